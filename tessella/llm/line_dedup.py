@@ -54,7 +54,8 @@ def line_dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
     windows = materialize(line_windows(docs.select("doc_id", "text"), span), "windows")
     spans = materialize(covered(windows), "spans").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "spans")
     joined = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)], F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
-    joined = joined.join(spans, (F.col("_doc") == F.col("_id")) & (F.xxhash64("_text") == F.col("_tie")) & F.col("_text").isNotNull(), "left")
+    # a merge join at every size: the texts are shuffled once, by doc_id, and the plan does not change as the corpus grows
+    joined = joined.join(spans.hint("merge"), (F.col("_doc") == F.col("_id")) & (F.xxhash64("_text") == F.col("_tie")) & F.col("_text").isNotNull(), "left")
     cut = joined.withColumn("_lines", F.split("_text", "\n"))
     pieces = F.transform(
         F.sequence(F.lit(0), F.size("spans")),
