@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_right
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,24 +18,66 @@ from tessella.llm.common import materialize, shuffle_width
 CUT = re.compile(r"[ \t\r\n]+")
 
 
+#: Runs of these signs take the short way: lower-casing and composing them is plain, and the
+#: vocabulary splits them into contractions, letters, single digits and other signs.
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: bytes without a printable sign take the next free letters from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - printable))}
+
+
+class PartIds(dict):
+    """The ids that the tokenizer's model gives one part of a run, as bytes; kept for the parts seen."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) > 200_000:
+            self.clear()
+        out = self[part] = array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
+        return out
+
+
 class WordIds(dict):
     """The token ids of a run without blanks, as bytes; kept for the runs seen.
 
     The vocabulary drops white space and never joins across it, so the ids of a text are those of
-    its runs, one after the other.
+    its runs, one after the other. Runs of plain signs are split here and their parts given to the
+    tokenizer's model; all others, and those that may hold a special token, to the whole tokenizer.
     """
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.parts, self.letters = tokenizer, PartIds(tokenizer.model), byte_letters()
 
     def __missing__(self, run: str) -> bytes:
-        if len(self) > 400_000:
+        if len(self) > 300_000:
             self.clear()
-        ids = np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+        if PLAIN.fullmatch(run) and "<|" not in run and len(run) < 200:
+            parts = PARTS.findall(run.lower())
+            if not run.isascii():
+                parts = [p.encode().decode("latin-1").translate(self.letters) for p in parts]
+            out = b"".join(map(self.parts.__getitem__, parts))
+        else:
+            out = array("I", self.tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
         if len(run) < 64:
-            self[run] = ids
-        return ids
+            self[run] = out
+        return out
+
+
+@lru_cache(maxsize=2)
+def word_ids(vocabulary: str) -> WordIds:
+    """One memory of runs per worker process, shared by its tasks."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return WordIds(Tokenizer.from_file(public_tokenizers.path(vocabulary)))
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, most: int, end: int = 0) -> DataFrame:
@@ -44,10 +88,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, most: int, end: int = 0) -> D
     kind = docs.schema["doc_id"].dataType
 
     def run(batches):
-        import public_tokenizers
-        from tokenizers import Tokenizer
+        from tessella.llm.packing import word_ids
 
-        known = WordIds(Tokenizer.from_file(public_tokenizers.path(vocabulary)))
+        known = word_ids(vocabulary)
         tail = int(end).to_bytes(4, "little")
         for b in batches:
             who, piece, start, length, crc = [], [], [], [], []
