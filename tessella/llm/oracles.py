@@ -1,3 +1,46 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express over whole tables."""
 
-ORACLES: dict[str, str] = {}
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+_OP1 = rf"""WITH d AS (SELECT doc_id, lang, row_number() OVER () AS r, coalesce(text, '') AS text, {WORDS} AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+win AS (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM (SELECT r, i, array_to_string(w[i:i+7], ' ') AS k FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8))),
+rep AS (SELECT r, CAST(sum(least(8, coalesce(nxt - i, 8))) AS BIGINT) AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM win WHERE c > 1) GROUP BY r),
+s AS (SELECT r, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, len(l) AS n_lines, coalesce(n, 0) AS n_repeat_words FROM d LEFT JOIN rep USING (r)),
+v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, n_symbols / greatest(n_words, 1)::DOUBLE AS symbol_share, n_dup_lines / greatest(n_lines, 1)::DOUBLE AS dup_line_share,
+  n_repeat_words / greatest(n_words, 1)::DOUBLE AS repeat_share, word_chars / greatest(n_words, 1)::DOUBLE AS mean_word FROM s),
+long AS (SELECT r, lang, rule, x FROM (SELECT r, lang, base_failed, symbol_share, dup_line_share, repeat_share, mean_word FROM v) UNPIVOT (x FOR rule IN (symbol_share, dup_line_share, repeat_share, mean_word))),
+cut AS (SELECT rule, unnest(cs) AS c FROM (VALUES ('symbol_share', [1.0, 0.5, 0.3, 0.2, 0.1, 0.05]::DOUBLE[]), ('dup_line_share', [0.9, 0.7, 0.5, 0.3, 0.2, 0.1]::DOUBLE[]), ('repeat_share', [0.25, 0.2, 0.15, 0.1, 0.05]::DOUBLE[]), ('mean_word', [40.0, 25.0, 18.0, 14.0, 12.0]::DOUBLE[])) t(rule, cs)),
+good AS (SELECT v.r FROM v JOIN labels ON labels.doc_id = v.doc_id AND quality = 1 WHERE NOT base_failed),
+cnt AS (SELECT lang, rule, c, count(*) AS n, count(*) FILTER (x > c) AS k FROM long JOIN good USING (r) JOIN cut USING (rule) GROUP BY ALL),
+lim AS (SELECT lang, rule, min(c) AS c FROM cnt WHERE k < 0.01 * n AND list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - CASE WHEN j > 0 THEN lgamma(j + 1) ELSE 0 END - lgamma(n - j + 1) + j * ln(0.01) + (n - j) * ln(0.99)))) <= 0.05 / 22 / (SELECT count(DISTINCT coalesce(lang, chr(0))) FROM cnt) GROUP BY ALL),
+bad AS (SELECT r, string_agg(long.rule, ',' ORDER BY list_position(['symbol_share', 'dup_line_share', 'repeat_share', 'mean_word'], long.rule)) AS b FROM long JOIN lim ON long.lang IS NOT DISTINCT FROM lim.lang AND long.rule = lim.rule WHERE x > lim.c GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(b, '') AS broken_rules, NOT base_failed AND b IS NULL AS kept FROM v LEFT JOIN bad USING (r)"""
+
+_OP3 = r"""WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+b AS (SELECT page_id, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(v, length(r.h || r.p)) AS verdict FROM h JOIN r ON (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h LEFT JOIN b USING (page_id)"""
+
+_OP5 = rf"""WITH d AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w, source_size * 2 AS cap FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY cap / w::DOUBLE, source NULLS FIRST) AS k FROM w),
+l AS (SELECT *, ((SELECT sum(source_size) FROM o) * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / ((SELECT sum(w) FROM o) - coalesce(sum(w) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM o),
+f AS (SELECT min(k) AS k, arg_min(level, k) AS level FROM l WHERE level * w <= cap),
+t AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, CASE WHEN f.k IS NULL OR l.k < f.k THEN CAST(cap AS DOUBLE) ELSE f.level * w END AS target FROM l, f),
+q AS (SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM d WHERE size > 0),
+v AS (SELECT doc_id, size, turn, (upto + turn * source_size) / target AS finish FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source, (VALUES (0), (1)) x(turn) WHERE target > 0),
+c AS (SELECT doc_id, count(*) AS copies FROM (SELECT doc_id, sum(size) OVER (ORDER BY finish, doc_id, turn ROWS UNBOUNDED PRECEDING) AS run FROM v) WHERE run <= (SELECT sum(target) FROM t) GROUP BY doc_id)
+SELECT doc_id, size, source_size, target, coalesce(copies, 0) * size AS taken FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN c USING (doc_id)"""
+
+_OP10 = r"""WITH l AS (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
+w AS (SELECT doc_id, i AS first, lead(i, 2) OVER n AS last, x || chr(10) || lead(x) OVER n || chr(10) || lead(x, 2) OVER n AS k FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]') WINDOW n AS (PARTITION BY doc_id ORDER BY i)),
+later AS (SELECT doc_id, first, last FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, first) AS r FROM w WHERE k IS NOT NULL) WHERE r > 1),
+gone AS (SELECT DISTINCT l.doc_id, l.i FROM l JOIN later ON l.doc_id = later.doc_id AND l.i BETWEEN later.first AND later.last),
+g AS (SELECT l.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed, string_agg(l.x, chr(10) ORDER BY l.i) FILTER (gone.i IS NULL) AS text FROM l LEFT JOIN gone USING (doc_id, i) GROUP BY l.doc_id)
+SELECT doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(g.text, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed FROM documents d LEFT JOIN g USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": _OP1, "op3_url_filters": _OP3, "op5_source_mix": _OP5, "op10_line_dedup": _OP10}

@@ -128,4 +128,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.04, level:
     joined = stats.join(cutoffs, F.col("lang").eqNullSafe(F.col("stratum")), "left")
     failed = base_failed(min_words, max_repeat_pct)
     broken = F.array_compact(F.array(*[F.when(values[r] > F.col(r), F.lit(r)) for r in CUTOFFS]))
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), broken.alias("broken_rules"), (~failed & (F.size(broken) == 0)).alias("kept"))
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.array_join(broken, ",").alias("broken_rules"), (~failed & (F.size(broken) == 0)).alias("kept"))
