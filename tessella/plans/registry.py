@@ -1,13 +1,436 @@
-"""All registered queries of the core library and their SQL counterparts."""
+"""All registered queries of the core library and their SQL counterparts.
+
+A query applies an operator to whole tables (or views derived from them, see views.py) and returns
+flat rows; doubles are rounded to six places on both sides.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessella.functions import text as TX
+from tessella.operators import cleaning as CL
+from tessella.operators import components as CO
+from tessella.operators import latent as LA
+from tessella.operators import scoring as SC
+from tessella.operators import statistics as ST
+from tessella.plans import views as V
+
 FLAGSHIP = "A01_empirical_distribution"
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, views: bool = True):
+    def add(f):
+        _QUERIES[name] = f
+        if sql is not None:
+            _ORACLES[name] = (V.ORACLE_VIEWS if views else "") + sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def labelled(s: SparkSession, d: str) -> DataFrame:
+    return V.responses(s, d).join(V.assignments(s, d).select("respondent_id", "cluster"), "respondent_id")
+
+
+def pairs_v(s: SparkSession, d: str) -> DataFrame:
+    return ST.cramers_v(ST.pair_cells(V.responses(s, d), V.batteries(s)))
+
+
+def metrics(s: SparkSession, d: str) -> DataFrame:
+    return SC.summary(V.eval_results(s, d), ["model", "subpopulation", "split", "prompt"])
+
+
+# ------------------------------------------------------------------ projections and cleaning
+
+
+@query("P01_prefix_strip", "SELECT o_orderkey, CASE WHEN o_custkey > 10 THEN o_custkey - 500 ELSE o_custkey END AS stripped FROM orders", False)
+def _(s, d):
+    return V.read(s, d, "orders").select("o_orderkey", CL.strip_prefix(F.col("o_custkey"), 500).alias("stripped"))
+
+
+@query("P02_interview_id", "SELECT o_orderkey, CAST(o_orderkey - 554070000 AS VARCHAR) AS id FROM orders", False)
+def _(s, d):
+    return V.read(s, d, "orders").select("o_orderkey", CL.interview_id(F.col("o_orderkey")).alias("id"))
+
+
+@query("P03_lenient_date", "SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders", False)
+def _(s, d):
+    raw = F.when(F.col("o_orderkey") % 10 == 0, "bad").otherwise(F.date_format("o_orderdate", "yyyyMMdd"))
+    return V.read(s, d, "orders").select("o_orderkey", CL.lenient_date(raw).cast("string").alias("day"))
+
+
+@query("P04_sentinel_recode", "SELECT respondent_id, column_name, CASE WHEN code IN (-2,-3,-99) THEN -5 ELSE code END AS code FROM raw")
+def _(s, d):
+    return V.raw_responses(s, d).withColumn("code", CL.recode_sentinels(F.col("code")))
+
+
+@query("P05_recode_audit", "SELECT stage, code, count(*) AS cells FROM (SELECT 'before' stage, code FROM raw UNION ALL SELECT 'after', CASE WHEN code IN (-2,-3,-99) THEN -5 ELSE code END FROM raw) WHERE code IN (-2,-3,-99,-5) GROUP BY ALL")
+def _(s, d):
+    return CL.recode_audit(V.raw_responses(s, d))
+
+
+@query("P08_mask_missing", "SELECT respondent_id, column_name, code FROM resp")
+def _(s, d):
+    return V.responses(s, d)
+
+
+@query("P09_contiguous_codes", "SELECT column_name, code, CAST(row_number() OVER (PARTITION BY column_name ORDER BY code) - 1 AS INT) AS idx FROM (SELECT DISTINCT column_name, code FROM resp WHERE code IS NOT NULL)")
+def _(s, d):
+    return CL.category_codes(V.responses(s, d))
+
+
+@query("P14_lenient_number", "SELECT event_id, TRY_CAST(replace(replace(props,'{\"k\": ',''),'}','') AS DOUBLE) AS k FROM events", False)
+def _(s, d):
+    return V.read(s, d, "events").select("event_id", F.regexp_replace("props", r"\{\"k\": |\}", "").try_cast("double").alias("k"))
+
+
+@query("P15_age_band", "SELECT respondent_id, CASE WHEN a>17 AND a<=24 THEN '18-24' WHEN a>24 AND a<=34 THEN '25-34' WHEN a>34 AND a<=44 THEN '35-44' WHEN a>44 AND a<=54 THEN '45-54' WHEN a>54 AND a<=64 THEN '55-64' WHEN a>64 AND a<=100 THEN '65-100' END AS band FROM (SELECT o_orderkey respondent_id, o_custkey % 110 a FROM orders)", False)
+def _(s, d):
+    return V.read(s, d, "orders").select(F.col("o_orderkey").alias("respondent_id"), CL.age_band(F.col("o_custkey") % 110).alias("band"))
+
+
+@query("P20_one_hot_levels", "SELECT column_name, coalesce(CAST(CAST(code AS DECIMAL(9,1)) AS VARCHAR),'Missing') AS level, count(*) AS n FROM resp GROUP BY ALL")
+def _(s, d):
+    return CL.one_hot(V.responses(s, d)).groupBy("column_name", "level").agg(F.sum("one").alias("n"))
+
+
+@query("A34_missing_fraction", "SELECT round(avg(m),6) AS missing_fraction FROM (SELECT column_name, avg(CASE WHEN code IS NULL THEN 1.0 ELSE 0 END) m FROM resp GROUP BY 1)")
+def _(s, d):
+    return CL.missing_fraction(V.responses(s, d))
+
+
+# ------------------------------------------------------------------ distributions and association
+
+
+@query("A01_empirical_distribution", "SELECT subpopulation, column_name, pos, code, n, round(CASE WHEN sum(n) OVER w > 0 THEN n/sum(n) OVER w ELSE 1.0/count(*) OVER w END, 6) AS p FROM (SELECT s.subpopulation, o.column_name, o.pos, o.code, count(r.code) n FROM (SELECT 'overall' subpopulation UNION SELECT CAST(cluster AS VARCHAR) FROM asg) s CROSS JOIN opt o LEFT JOIN (SELECT CAST(cluster AS VARCHAR) subpopulation, column_name, code FROM lab UNION ALL SELECT 'overall', column_name, code FROM lab) r ON r.subpopulation=s.subpopulation AND r.column_name=o.column_name AND r.code=o.code GROUP BY ALL) WINDOW w AS (PARTITION BY subpopulation, column_name)")
+def _(s, d):
+    return rounded(ST.empirical_distribution(ST.with_overall(labelled(s, d)), V.options(s)))
+
+
+@query("A02_subpopulation_sizes", "SELECT coalesce(CAST(cluster AS VARCHAR),'overall') AS subpopulation, count(*) AS size, round(count(*)/(SELECT count(*) FROM asg), 6) AS weight FROM asg GROUP BY ROLLUP(cluster)")
+def _(s, d):
+    sizes = ST.with_overall(V.assignments(s, d)).groupBy("subpopulation").agg(F.count(F.lit(1)).alias("size"))
+    return rounded(sizes.withColumn("weight", F.col("size") / F.max("size").over(Window.partitionBy())))
+
+
+@query("A03_mode_index", "SELECT subpopulation, column_name, arg_min(pos, rk) AS mode FROM (SELECT *, row_number() OVER (PARTITION BY subpopulation, column_name ORDER BY n DESC, pos) rk FROM (SELECT CAST(cluster AS VARCHAR) subpopulation, o.column_name, o.pos, count(r.code) n FROM (SELECT DISTINCT cluster FROM asg) s CROSS JOIN opt o LEFT JOIN lab r USING (cluster, column_name, code) GROUP BY ALL)) GROUP BY ALL")
+def _(s, d):
+    rows = labelled(s, d).withColumn("subpopulation", F.col("cluster").cast("string"))
+    return ST.mode_of(ST.empirical_distribution(rows, V.options(s)))
+
+
+@query("A04_posterior_distribution", "SELECT cluster, column_name, code, round(p,6) AS p FROM pp")
+def _(s, d):
+    return rounded(ST.posterior_distribution(V.responses(s, d), V.assignments(s, d)))
+
+
+@query("A05_nonresponse_rate", "SELECT cluster, column_name, round(sum(CASE WHEN code IS NULL THEN w ELSE 0 END)/greatest(sum(w),1e-12),6) AS rate FROM resp JOIN post USING (respondent_id) GROUP BY ALL")
+def _(s, d):
+    return rounded(ST.nonresponse(V.responses(s, d), V.assignments(s, d)))
+
+
+@query("A06_hard_distribution", "SELECT label, column_name, code, round(p,6) AS p FROM hp")
+def _(s, d):
+    return rounded(ST.hard_distribution(labelled(s, d).withColumnRenamed("cluster", "label")))
+
+
+@query("A07_informativeness", "SELECT column_name, round(avg(tvd),6) AS informativeness FROM (SELECT x.column_name, x.cluster a, y.cluster b, sum(abs(x.p-y.p))/2 tvd FROM pp x JOIN pp y ON x.column_name=y.column_name AND x.code=y.code AND x.cluster<y.cluster GROUP BY ALL) GROUP BY 1")
+def _(s, d):
+    return rounded(ST.informativeness(ST.posterior_distribution(V.responses(s, d), V.assignments(s, d)), "cluster"))
+
+
+@query("A23_informativeness_summary", ", inf AS (SELECT column_name, sum(abs(x.p-y.p))/2 v FROM pp x JOIN pp y USING (column_name, code) WHERE x.cluster=0 AND y.cluster=1 GROUP BY 1) SELECT round(avg(v),6) AS mean, round(median(v),6) AS median, round(quantile_cont(v,0.75),6) AS p75, round(max(v),6) AS max, count(*) FILTER (v>=0.2) AS over_02, count(*) FILTER (v>=0.3) AS over_03 FROM inf")
+def _(s, d):
+    v = F.col("informativeness")
+    i = ST.informativeness(ST.posterior_distribution(V.responses(s, d), V.assignments(s, d)), "cluster")
+    return rounded(i.agg(F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.percentile(v, F.lit(0.75)).alias("p75"), F.max(v).alias("max"), F.count_if(v >= 0.2).alias("over_02"), F.count_if(v >= 0.3).alias("over_03")))
+
+
+@query("A09_cross_table", "SELECT x, y, n, round(100*n/sum(n) OVER (PARTITION BY y),6) AS percent, round(n/sum(n) OVER (),6) AS share FROM (SELECT cluster x, cluster3 y, count(*) n FROM asg GROUP BY ALL)")
+def _(s, d):
+    return rounded(ST.cross_table(V.assignments(s, d).select(F.col("cluster").alias("x"), F.col("cluster3").alias("y"))))
+
+
+@query("A10_dominant_category", "SELECT label, column_name, code, n, round(percent,6) AS percent FROM (SELECT cluster AS label, column_name, code, count(*) n, 100.0*count(*)/sum(count(*)) OVER (PARTITION BY cluster, column_name) percent, row_number() OVER (PARTITION BY cluster, column_name ORDER BY count(*) DESC, code) k FROM lab WHERE code IS NOT NULL GROUP BY cluster, column_name, code) WHERE k=1")
+def _(s, d):
+    return rounded(ST.dominant_category(labelled(s, d).where("code is not null").withColumnRenamed("cluster", "label")))
+
+
+@query("A11_numeric_profile", "SELECT cluster, round(avg(c_acctbal),6) AS mean, round(median(c_acctbal),6) AS median FROM wide JOIN asg USING (respondent_id) GROUP BY 1")
+def _(s, d):
+    w = V.survey_wide(s, d).join(V.assignments(s, d), F.col("o_orderkey") == F.col("respondent_id"))
+    return rounded(w.groupBy("cluster").agg(F.avg("c_acctbal").alias("mean"), F.percentile("c_acctbal", F.lit(0.5)).alias("median")))
+
+
+@query("A13_composition", "SELECT label, column_name, code, n, round(share,6) AS share, round(sum(share) OVER (PARTITION BY label, column_name ORDER BY n DESC, code)-share,6) AS left_edge, share>=0.08 AS label_shown FROM (SELECT cluster AS label, column_name, code, count(*) n, count(*)/sum(count(*)) OVER (PARTITION BY cluster, column_name) share FROM lab WHERE code IS NOT NULL GROUP BY cluster, column_name, code)")
+def _(s, d):
+    return rounded(ST.composition(labelled(s, d).where("code is not null").withColumnRenamed("cluster", "label")))
+
+
+@query("A14_cramers_v", "SELECT a, b, n, round(v,6) AS v FROM vs")
+def _(s, d):
+    return rounded(pairs_v(s, d))
+
+
+@query("A15_redundancy", "SELECT column_name, partner, round(v,3) AS v FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY round(v,3) DESC, partner) k FROM sym) WHERE k=1")
+def _(s, d):
+    return ST.redundancy(pairs_v(s, d))
+
+
+@query("W02_top_partners", "SELECT column_name, partner, v, k FROM (SELECT column_name, partner, round(v,6) AS v, CAST(row_number() OVER (PARTITION BY column_name ORDER BY round(v,6) DESC, partner) AS INT) k FROM sym) WHERE k<=3")
+def _(s, d):
+    return ST.top_partners(pairs_v(s, d))
+
+
+@query("A16_cluster_sizes", "SELECT cluster, count(*) AS n, round(count(*)/sum(count(*)) OVER (),6) AS share FROM asg GROUP BY 1")
+def _(s, d):
+    return rounded(V.assignments(s, d).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy())))
+
+
+@query("A17_certainty", "SELECT round(avg(t),6) AS mean, round(median(t),6) AS median, round(avg(CASE WHEN t>0.9 THEN 1.0 ELSE 0 END),6) AS above_09 FROM (SELECT greatest(p0,1-p0) t FROM asg)")
+def _(s, d):
+    return rounded(ST.certainty(V.assignments(s, d)))
+
+
+@query("A18_relative_entropy", "SELECT round(1-sum(-p0*ln(p0+1e-12)-(1-p0)*ln(1-p0+1e-12))/(count(*)*ln(2)),6) AS relative_entropy FROM asg")
+def _(s, d):
+    return rounded(ST.relative_entropy(V.assignments(s, d)))
+
+
+@query("A19_size_entropy", "SELECT round(-sum(p*ln(p))/ln(count(*)),6) AS size_entropy FROM (SELECT cluster3, count(*)/sum(count(*)) OVER () p FROM asg GROUP BY 1)")
+def _(s, d):
+    return rounded(ST.size_entropy(V.assignments(s, d).select(F.col("cluster3").alias("label"))))
+
+
+@query("A20_coherence", ", lv AS (SELECT column_name, count(DISTINCT code) levels FROM resp WHERE code IS NOT NULL GROUP BY 1), h AS (SELECT column_name, label, -sum(CASE WHEN p>0 THEN p*ln(p) ELSE 0 END) h FROM hp GROUP BY ALL), sz AS (SELECT cluster AS label, count(DISTINCT respondent_id) size FROM lab GROUP BY 1) SELECT round(avg(c),6) AS coherence FROM (SELECT column_name, sum(size*(1-h/ln(levels)))/sum(size) c FROM h JOIN sz USING (label) JOIN lv USING (column_name) WHERE levels>=2 GROUP BY 1)")
+def _(s, d):
+    return rounded(ST.coherence(labelled(s, d).withColumnRenamed("cluster", "label")))
+
+
+@query("A21_adjusted_rand", ", c AS (SELECT cluster x, cluster3 y, count(*) n FROM asg GROUP BY ALL), t AS (SELECT (SELECT sum(n*(n-1)/2) FROM c) cs, (SELECT sum(m*(m-1)/2) FROM (SELECT sum(n) m FROM c GROUP BY x)) rs, (SELECT sum(m*(m-1)/2) FROM (SELECT sum(n) m FROM c GROUP BY y)) ks, (SELECT sum(n) FROM c) n) SELECT round((cs-rs*ks/(n*(n-1)/2))/((rs+ks)/2-rs*ks/(n*(n-1)/2)),6) AS ari FROM t")
+def _(s, d):
+    return rounded(ST.adjusted_rand(V.assignments(s, d).select(F.col("cluster").alias("x"), F.col("cluster3").alias("y"))))
+
+
+@query("A22_soft_hard_ablation", "SELECT column_name, round(avg(t),6) AS tvd FROM (SELECT coalesce(pp.column_name,hp.column_name) column_name, coalesce(pp.cluster,hp.label) k, sum(abs(coalesce(pp.p,0)-coalesce(hp.p,0)))/2 t FROM pp FULL JOIN hp ON pp.cluster=hp.label AND pp.column_name=hp.column_name AND pp.code=hp.code GROUP BY 1,2) GROUP BY 1")
+def _(s, d):
+    soft = ST.posterior_distribution(V.responses(s, d), V.assignments(s, d)).withColumnRenamed("p", "soft")
+    hard = ST.hard_distribution(labelled(s, d).withColumnRenamed("cluster", "label")).withColumnRenamed("label", "cluster").withColumnRenamed("p", "hard")
+    both = soft.join(hard, ["cluster", "column_name", "code"], "full").na.fill(0.0, ["soft", "hard"])
+    return rounded(both.groupBy("column_name", "cluster").agg((F.sum(F.abs(F.col("soft") - F.col("hard"))) / 2).alias("t")).groupBy("column_name").agg(F.avg("t").alias("tvd")))
+
+
+@query("A24_correlation", "SELECT round(corr(Q6,Q7),6) AS r FROM wide")
+def _(s, d):
+    return rounded(V.survey_wide(s, d).agg(F.corr("Q6", "Q7").alias("r")))
+
+
+@query("A39_certainty_histogram", "SELECT least(CAST(floor((greatest(p0,1-p0)-0.5)/0.05) AS INT),9) AS bin, count(*) AS n FROM asg GROUP BY 1")
+def _(s, d):
+    top = F.array_max("probs")
+    return V.assignments(s, d).groupBy(F.least(F.floor((top - 0.5) / 0.05).cast("int"), F.lit(9)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------------ joins, picks, components
+
+
+@query("J01_labelled_responses", "SELECT respondent_id, column_name, code, cluster FROM lab")
+def _(s, d):
+    return labelled(s, d)
+
+
+@query("J04_items_by_prompts", "SELECT b.column_name, p.item_id, p.text AS prompt FROM bat b CROSS JOIN benchmark p")
+def _(s, d):
+    return V.batteries(s).select("column_name").crossJoin(V.read(s, d, "benchmark").select("item_id", F.col("text").alias("prompt")))
+
+
+@query("J06_missing_jobs", "SELECT g.model, g.config, g.subpopulation FROM (SELECT DISTINCT model FROM ev) m CROSS JOIN (SELECT DISTINCT split config, subpopulation FROM ev) c0, LATERAL (SELECT m.model, c0.config, c0.subpopulation) g WHERE NOT EXISTS (SELECT 1 FROM ev e WHERE e.prompt=0 AND e.event_id%3=0 AND e.model=g.model AND e.split=g.config AND e.subpopulation IS NOT DISTINCT FROM g.subpopulation AND g.config='train')")
+def _(s, d):
+    e = V.eval_results(s, d)
+    grid = e.select("model").distinct().crossJoin(e.select(F.col("split").alias("config"), "subpopulation").distinct())
+    done = e.where("prompt = 0 and event_id % 3 = 0 and split = 'train'").select("model", F.col("split").alias("config"), "subpopulation").distinct()
+    return SC.missing_jobs(grid, done)
+
+
+@query("J08_pair_cells", "SELECT a, b, ca, cb, n FROM cells")
+def _(s, d):
+    return ST.pair_cells(V.responses(s, d), V.batteries(s))
+
+
+@query("M14_redundancy_components", "SELECT column_name, CASE WHEN column_name='Q5' THEN 'Q3' WHEN column_name='Q7' THEN 'Q6' ELSE column_name END AS root FROM bat")
+def _(s, d):
+    return CO.redundancy_components(V.batteries(s).select("column_name"), pairs_v(s, d))
+
+
+@query("W04_greedy_pick")
+def _(s, d):
+    p = pairs_v(s, d)
+    roots = CO.redundancy_components(V.batteries(s).select("column_name"), p)
+    ranked = ST.redundancy(p).join(V.batteries(s), "column_name").join(roots, "column_name")
+    ranked = ranked.select("column_name", "battery", "root", F.row_number().over(Window.orderBy(F.desc("v"), "column_name")).alias("rank"))
+    return CO.greedy_pick(ranked)
+
+
+# ------------------------------------------------------------------ text
+
+
+@query("T02_lettered_options", "SELECT column_name, pos, chr(CAST(65+pos AS INT))||'. '||CAST(CAST(code AS INT) AS VARCHAR) AS line FROM opt")
+def _(s, d):
+    listed = V.options(s).groupBy("column_name").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("code").cast("int").cast("string").alias("c")))).alias("o"))
+    return listed.select("column_name", F.posexplode(TX.lettered(F.transform("o", lambda x: x["c"]))).alias("pos", "line"))
+
+
+@query("T03_token_jaccard", ", tk AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text),'[a-z]+')) t FROM benchmark), sz AS (SELECT item_id, count(*) n FROM tk GROUP BY 1) SELECT a.item_id AS a, b.item_id AS b, round(count(*)/greatest(any_value(x.n)+any_value(y.n)-count(*),1),6) AS jaccard FROM tk a JOIN tk b USING (t) JOIN sz x ON x.item_id=a.item_id JOIN sz y ON y.item_id=b.item_id GROUP BY 1,2")
+def _(s, d):
+    return rounded(TX.token_jaccard(V.read(s, d, "benchmark").select(F.col("item_id").alias("name"), "text")))
+
+
+@query("T05_chat_turns", "SELECT conv_id, count(*) AS turns, string_agg(role,',' ORDER BY turn, role) AS roles FROM conversations GROUP BY 1", False)
+def _(s, d):
+    m = TX.ordered_turns(V.read(s, d, "conversations"))
+    return m.select("conv_id", F.size("messages").cast("long").alias("turns"), F.array_join(F.transform("messages", lambda x: x["role"]), ",").alias("roles"))
+
+
+@query("T06_after_marker", "SELECT conv_id, turn, nullif(trim(text,' '),'') AS answer FROM conversations", False)
+def _(s, d):
+    c = V.read(s, d, "conversations")
+    return c.select("conv_id", "turn", SC.after_marker(F.when(F.col("turn") % 2 == 0, F.concat(F.lit("so </think> "), F.col("text"))).otherwise(F.col("text"))).alias("answer"))
+
+
+@query("T13_substring_search", "SELECT doc_id FROM documents WHERE contains(lower(text),'the')", False)
+def _(s, d):
+    return V.read(s, d, "documents").where(F.contains(F.lower("text"), F.lit("the"))).select("doc_id")
+
+
+# ------------------------------------------------------------------ evaluation
+
+
+@query("A25_A26_divergences", "SELECT event_id, round(greatest(t0,1e-10)*ln(greatest(t0,1e-10)/greatest(m0,1e-10))+greatest(1-t0,1e-10)*ln(greatest(1-t0,1e-10)/greatest(1-m0,1e-10)),6) AS kl, round(-t0*ln(greatest(m0,1e-10))-(1-t0)*ln(greatest(1-m0,1e-10)),6) AS ce FROM ev")
+def _(s, d):
+    t, m = F.col("true_distribution"), F.col("model_distribution")
+    return rounded(V.eval_results(s, d).select("event_id", SC.kl_divergence(t, m).alias("kl"), SC.cross_entropy(t, m).alias("ce")))
+
+
+@query("A27_summary", "SELECT subpopulation, count(*) AS n, round(CASE WHEN count(is_correct)>0 THEN 100.0*count(*) FILTER (is_correct)/count(*) END,6) AS accuracy, round(avg(cross_entropy),6) AS cross_entropy, round(avg(kl_divergence),6) AS kl_divergence FROM ev GROUP BY 1")
+def _(s, d):
+    return rounded(SC.summary(V.eval_results(s, d), ["subpopulation"]))
+
+
+@query("A28_metrics", "SELECT model, subpopulation, split, prompt, n, round(accuracy,6) AS accuracy, round(cross_entropy,6) AS cross_entropy, round(kl_divergence,6) AS kl_divergence FROM met")
+def _(s, d):
+    return rounded(metrics(s, d))
+
+
+@query("A29_A30_prompt_means", "SELECT model, subpopulation, split, round(avg(accuracy),6) AS accuracy, round(avg(cross_entropy),6) AS cross_entropy, round(avg(kl_divergence),6) AS kl_divergence FROM met GROUP BY ALL UNION ALL SELECT model, subpopulation, 'overall', round(avg(a),6), round(avg(c),6), round(avg(k),6) FROM (SELECT model, subpopulation, prompt, sum(accuracy*n)/sum(n) a, sum(cross_entropy*n)/sum(n) c, sum(kl_divergence*n)/sum(n) k FROM met GROUP BY ALL) GROUP BY ALL")
+def _(s, d):
+    m = metrics(s, d)
+    return rounded(SC.mean_over_prompts(m, ["model", "subpopulation", "split"]).unionByName(SC.overall_split(m, ["model", "subpopulation"])))
+
+
+@query("A32_best_per_metric", ", t AS (SELECT model, avg(accuracy) accuracy, avg(cross_entropy) cross_entropy, avg(kl_divergence) kl_divergence FROM met GROUP BY 1) SELECT 'accuracy' AS metric, arg_max(model,accuracy) AS model, round(max(accuracy),6) AS value FROM t UNION ALL SELECT 'cross_entropy', arg_min(model,cross_entropy), round(min(cross_entropy),6) FROM t UNION ALL SELECT 'kl_divergence', arg_min(model,kl_divergence), round(min(kl_divergence),6) FROM t")
+def _(s, d):
+    return rounded(SC.best_per_metric(SC.mean_over_prompts(metrics(s, d), ["model"]), "model"))
+
+
+@query("A33_mean_distribution", "SELECT model, subpopulation, 0 AS pos, round(avg(m0),6) AS p FROM ev GROUP BY ALL UNION ALL SELECT model, subpopulation, 1, round(avg(1-m0),6) FROM ev GROUP BY ALL")
+def _(s, d):
+    return rounded(V.eval_results(s, d).select("model", "subpopulation", F.posexplode("model_distribution").alias("pos", "x")).groupBy("model", "subpopulation", "pos").agg(F.avg("x").alias("p")))
+
+
+@query("A36_resample_summary", "SELECT model, round(avg(cross_entropy),6) AS mean, round(median(cross_entropy),6) AS median, round(quantile_cont(cross_entropy,0.025),6) AS low, round(quantile_cont(cross_entropy,0.975),6) AS high, CASE WHEN avg(cross_entropy)>=0.7 THEN 'stable' ELSE 'unstable' END AS verdict FROM ev GROUP BY 1")
+def _(s, d):
+    c = F.col("cross_entropy")
+    q = F.percentile(c, F.array(F.lit(0.025), F.lit(0.975)))
+    return rounded(V.eval_results(s, d).groupBy("model").agg(F.avg(c).alias("mean"), F.percentile(c, F.lit(0.5)).alias("median"), q[0].alias("low"), q[1].alias("high"), F.when(F.avg(c) >= 0.7, "stable").otherwise("unstable").alias("verdict")))
+
+
+@query("A37_exceedance", "SELECT model, round((1+count(*) FILTER (cross_entropy>=2))/(1.0+count(*)),6) AS p FROM ev GROUP BY 1")
+def _(s, d):
+    return rounded(V.eval_results(s, d).groupBy("model").agg(((1 + F.count_if(F.col("cross_entropy") >= 2)) / (1 + F.count(F.lit(1)))).alias("p")))
+
+
+@query("W01_newest_run", "SELECT model, run, timestamp FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY timestamp DESC, run DESC) k FROM (SELECT event_type model, strftime(ts,'%Y-%m-%d') run, strftime(max(ts),'%Y-%m-%dT%H:%M:%S') AS timestamp FROM events WHERE user_id%4<>0 GROUP BY ALL)) WHERE k=1", False)
+def _(s, d):
+    e = V.read(s, d, "events").groupBy(F.col("event_type").alias("model"), F.date_format("ts", "yyyy-MM-dd").alias("run"), (F.col("user_id") % 4 == 0).alias("reasoning"))
+    return SC.newest_run(e.agg(F.date_format(F.max("ts"), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"))).select("model", "run", "timestamp")
+
+
+@query("W06_running_metrics", "SELECT * FROM (SELECT model, CAST(row_number() OVER w AS INT) AS i, round(100.0*sum(CASE WHEN is_correct THEN 1 ELSE 0 END) OVER w/row_number() OVER w,6) AS accuracy, round(avg(cross_entropy) OVER w,6) AS cross_entropy, round(avg(kl_divergence) OVER w,6) AS kl_divergence FROM ev WINDOW w AS (PARTITION BY model ORDER BY event_id ROWS UNBOUNDED PRECEDING)) WHERE i%100=0")
+def _(s, d):
+    return rounded(SC.running_metrics(V.eval_results(s, d), "model", "event_id"))
+
+
+@query("W07_failure_streaks", ", o AS (SELECT model, failed, row_number() OVER (PARTITION BY model ORDER BY event_id) i, row_number() OVER (PARTITION BY model, failed ORDER BY event_id) j FROM ev), r AS (SELECT model, i-j g, count(*) n, min(i) f FROM o WHERE failed GROUP BY ALL) SELECT m.model, coalesce(max(n),0) AS longest, CAST(min(CASE WHEN n>=10 THEN f+9 END) AS INT) AS abort_at FROM (SELECT DISTINCT model FROM ev) m LEFT JOIN r USING (model) GROUP BY 1")
+def _(s, d):
+    return SC.failure_streaks(V.eval_results(s, d), "model", "event_id")
+
+
+@query("W09_first_per_split", "SELECT split, event_id FROM (SELECT split, event_id, row_number() OVER (PARTITION BY split ORDER BY event_id) k FROM ev WHERE subpopulation='s1') WHERE k<=50")
+def _(s, d):
+    e = V.eval_results(s, d).where("subpopulation = 's1'").withColumn("k", F.row_number().over(Window.partitionBy("split").orderBy("event_id")))
+    return e.where("k <= 50").select("split", "event_id")
+
+
+@query("W12_top_items", "SELECT column_name, round(avg(tvd),6) AS informativeness FROM (SELECT x.column_name, sum(abs(x.p-y.p))/2 tvd FROM pp x JOIN pp y USING (column_name, code) WHERE x.cluster<y.cluster GROUP BY 1) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+def _(s, d):
+    i = ST.informativeness(ST.posterior_distribution(V.responses(s, d), V.assignments(s, d)), "cluster")
+    return rounded(i).orderBy(F.desc("informativeness"), "column_name").limit(5)
+
+
+# ------------------------------------------------------------------ splits, draws, models
+
+
+@query("X04_split_routing", "SELECT column_name, item_id, CASE WHEN column_name IN ('Q3','Q6') OR item_id%6=0 THEN 'validation' ELSE 'train' END AS split FROM bat CROSS JOIN benchmark")
+def _(s, d):
+    rows = V.batteries(s).select("column_name").crossJoin(V.read(s, d, "benchmark").select("item_id"))
+    return rows.withColumn("split", F.when(F.col("column_name").isin("Q3", "Q6") | (F.col("item_id") % 6 == 0), "validation").otherwise("train"))
+
+
+@query("X05_categorical_draw", "SELECT event_id, CASE WHEN m0 > CAST(('0x'||substr(md5('1|'||event_id),1,8)) AS BIGINT)/4294967296.0::DOUBLE THEN 0 ELSE 1 END AS pick FROM ev")
+def _(s, d):
+    return V.eval_results(s, d).select("event_id", TX.inverse_cdf(F.col("model_distribution"), TX.keyed_uniform(F.col("event_id"))).alias("pick"))
+
+
+@query("R06_category_expansion", "SELECT event_id, 0 AS pos, round(t0,6) AS q FROM ev UNION ALL SELECT event_id, 1, round(1-t0,6) FROM ev")
+def _(s, d):
+    return rounded(V.eval_results(s, d).select("event_id", F.posexplode("true_distribution").alias("pos", "q")))
+
+
+@query("R07_soft_cross_entropy", "SELECT round(avg(ln(exp(cross_entropy)+exp(kl_divergence))-t0*cross_entropy-(1-t0)*kl_divergence),6) AS loss FROM ev")
+def _(s, d):
+    e = V.eval_results(s, d).select(F.col("event_id").alias("row_id"), F.inline(F.arrays_zip(F.col("true_distribution").alias("q"), F.array("cross_entropy", "kl_divergence").alias("logprob"))))
+    return rounded(SC.soft_cross_entropy(e.toDF("row_id", "q", "logprob")))
+
+
+@query("M01_M03_latent_classes")
+def _(s, d):
+    r = V.responses(s, d)
+    parameters, priors, _ = LA.fit_latent_classes(r, 2, rounds=5)
+    return rounded(LA.posteriors(r, parameters, priors))
+
+
+@query("M10_kmeans")
+def _(s, d):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    v = V.read(s, d, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    return KMeans(k=3, seed=1, maxIter=10).fit(v).transform(v).select("vec_id", F.col("prediction").alias("cluster"))
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
-def oracles() -> dict:
-    return {}
+def oracles() -> dict[str, str]:
+    return dict(_ORACLES)
