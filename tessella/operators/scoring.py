@@ -33,7 +33,11 @@ def first_token_probability(top: Column, letter: Column) -> Column:
     left-trimmed text starts with it; else 0. top: array of (token, logprob).
     """
     tries = [letter, F.concat(letter, F.lit(".")), F.concat(F.lit(" "), letter), F.concat(letter, F.lit(":"))]
-    found = [F.get(F.filter(top, lambda t, x=x: t["token"] == x), F.lit(0))["logprob"] for x in tries]
+
+    def named(x: Column) -> Column:
+        return F.get(F.filter(top, lambda t: t["token"] == x), F.lit(0))["logprob"]
+
+    found = [named(x) for x in tries]
     loose = F.get(F.filter(top, lambda t: F.startswith(F.ltrim(t["token"]), letter)), F.lit(0))["logprob"]
     return F.coalesce(F.exp(F.coalesce(*found, loose)), F.lit(0.0))
 
