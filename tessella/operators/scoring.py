@@ -123,3 +123,15 @@ def soft_cross_entropy(completions: DataFrame) -> DataFrame:
     a = completions.withColumn("top", F.max("logprob").over(w))
     rows = a.groupBy("row_id").agg((F.max("top") + F.ln(F.sum(F.exp(F.col("logprob") - F.col("top"))))).alias("lse"), F.sum(F.col("q") * F.col("logprob")).alias("qx"), F.sum("q").alias("q"))
     return rows.agg(F.avg(F.col("q") * F.col("lse") - F.col("qx")).alias("loss"))
+
+
+def completed_runs(runs: DataFrame) -> DataFrame:
+    """(model, subpopulation) with a run that was not aborted and whose splits hold train and validation."""
+    whole = ~F.col("aborted") & F.array_contains("splits", "train") & F.array_contains("splits", "validation")
+    return runs.where(whole).select("model", "subpopulation").distinct()
+
+
+def work_estimate(jobs: DataFrame, seconds: int = 3600, workers: int = 2) -> DataFrame:
+    """Per model: jobs, seconds one after the other, and seconds with so many workers."""
+    n = F.count(F.lit(1))
+    return jobs.groupBy("model").agg(n.alias("jobs"), (n * seconds).alias("sequential_seconds"), (F.ceil(n / workers) * seconds).cast("double").alias("wall_seconds"))

@@ -387,6 +387,33 @@ def _(s, d):
     return rounded(i).orderBy(F.desc("informativeness"), "column_name").limit(5)
 
 
+@query("A31_main_table", ", u AS (SELECT model, subpopulation, split, avg(accuracy) accuracy, avg(cross_entropy) ce FROM met GROUP BY ALL UNION ALL SELECT model, subpopulation, 'overall', avg(a), avg(c) FROM (SELECT model, subpopulation, prompt, sum(accuracy*n)/sum(n) a, sum(cross_entropy*n)/sum(n) c FROM met GROUP BY ALL) GROUP BY ALL) SELECT model, subpopulation, round(max(CASE WHEN split='train' THEN accuracy END),6) AS train_accuracy, round(max(CASE WHEN split='train' THEN ce END),6) AS train_ce, round(max(CASE WHEN split='validation' THEN accuracy END),6) AS validation_accuracy, round(max(CASE WHEN split='validation' THEN ce END),6) AS validation_ce, round(max(CASE WHEN split='overall' THEN accuracy END),6) AS overall_accuracy, round(max(CASE WHEN split='overall' THEN ce END),6) AS overall_ce FROM u GROUP BY ALL")
+def _(s, d):
+    m = metrics(s, d)
+    both = SC.mean_over_prompts(m, ["model", "subpopulation", "split"]).unionByName(SC.overall_split(m, ["model", "subpopulation"]))
+    return rounded(both.groupBy("model", "subpopulation").pivot("split", ["train", "validation", "overall"]).agg(F.first("accuracy").alias("accuracy"), F.first("cross_entropy").alias("ce")))
+
+
+@query("A40_completed_runs", "SELECT DISTINCT model, subpopulation FROM (SELECT model, subpopulation, strftime(ts,'%Y-%m-%d') run, bool_or(event_id%97=0) aborted, count(DISTINCT split) k FROM ev GROUP BY ALL) WHERE NOT aborted AND k=2")
+def _(s, d):
+    runs = V.eval_results(s, d).groupBy("model", "subpopulation", F.date_format("ts", "yyyy-MM-dd").alias("run")).agg(F.collect_set("split").alias("splits"), F.bool_or(F.col("event_id") % 97 == 0).alias("aborted"))
+    return SC.completed_runs(runs)
+
+
+@query("A41_missing_work", "SELECT model, count(*) AS jobs, count(*)*3600 AS sequential_seconds, ceil(count(*)/4.0)*3600 AS wall_seconds FROM (SELECT DISTINCT m.model, c.subpopulation, c.prompt FROM (SELECT DISTINCT model FROM ev) m CROSS JOIN (SELECT DISTINCT subpopulation, prompt FROM ev) c) g WHERE NOT EXISTS (SELECT 1 FROM ev e WHERE e.model=g.model AND e.subpopulation=g.subpopulation AND e.prompt=g.prompt AND e.event_id%40=0) GROUP BY 1")
+def _(s, d):
+    e = V.eval_results(s, d)
+    grid = e.select("model").distinct().crossJoin(e.select("subpopulation", F.col("prompt").alias("config")).distinct())
+    done = e.where("event_id % 40 = 0").select("model", "subpopulation", F.col("prompt").alias("config")).distinct()
+    return SC.work_estimate(SC.missing_jobs(grid, done), workers=4)
+
+
+@query("A43_component_members", "SELECT root, CAST(2 AS BIGINT) AS size, members FROM (VALUES ('Q3','Q3,Q5'),('Q6','Q6,Q7')) t(root, members)", False)
+def _(s, d):
+    roots = CO.redundancy_components(V.batteries(s).select("column_name"), pairs_v(s, d))
+    return roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.array_join(F.sort_array(F.collect_list("column_name")), ",").alias("members")).where("size >= 2")
+
+
 # ------------------------------------------------------------------ splits, draws, models
 
 
