@@ -77,3 +77,10 @@ def ordered_turns(turns: DataFrame) -> DataFrame:
 
 def first_in_order(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("k = 1").drop("k")
+
+
+def list_literal(text: Column) -> Column:
+    """Items of a list written as JSON or with single quotes; the text itself as the only item if neither reads."""
+    parsed = F.from_json(text, "array<string>")
+    quoted = F.transform(F.regexp_extract_all(text, F.lit("""'([^']*)'|"([^"]*)\""""), F.lit(0)), lambda x: F.substr(x, F.lit(2), F.length(x) - 2))
+    return F.when(parsed.isNotNull() & (F.size(parsed) > 0), parsed).when(F.size(quoted) > 0, quoted).otherwise(F.array(text))

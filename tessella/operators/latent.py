@@ -7,9 +7,12 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.text import inverse_cdf, keyed_uniform
+from tessella.operators.statistics import adjusted_rand
+
 
 def _stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
@@ -22,49 +25,146 @@ def _stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def posteriors(responses: DataFrame, parameters: DataFrame, priors: DataFrame) -> DataFrame:
+def _paired(a: DataFrame, b: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    return a.join(b, list(by)) if by else a.join(b)
+
+
+def posteriors(responses: DataFrame, parameters: DataFrame, priors: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(respondent_id, class, p, loglik): class probabilities of each respondent, missing answers left out.
 
-    parameters: (class, column_name, code, logp); priors: (class, logp). New respondents may be
-    given; a code never seen is treated as missing.
+    parameters: (class, column_name, code, logp); priors: (class, logp); all with the columns `by`
+    where several fits are kept side by side. New respondents may be given; a code never seen is
+    treated as missing.
     """
-    sums = responses.where("code is not null").join(parameters, ["column_name", "code"]).groupBy("respondent_id", "class").agg(F.sum("logp").alias("s"))
-    grid = responses.select("respondent_id").distinct().join(priors.select("class", F.col("logp").alias("prior")))
-    joint = grid.join(sums, ["respondent_id", "class"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)) + F.col("prior"))
-    w = Window.partitionBy("respondent_id")
+    who = [*by, "respondent_id"]
+    sums = responses.where("code is not null").join(parameters, [*by, "column_name", "code"]).groupBy(*who, "class").agg(F.sum("logp").alias("s"))
+    grid = _paired(responses.select(*who).distinct(), priors.select(*by, "class", F.col("logp").alias("prior")), by)
+    joint = grid.join(sums, [*who, "class"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)) + F.col("prior"))
+    w = Window.partitionBy(*who)
     top = joint.withColumn("m", F.max("s").over(w))
     lse = F.col("m") + F.ln(F.sum(F.exp(F.col("s") - F.col("m"))).over(w))
-    return top.withColumn("loglik", lse).select("respondent_id", "class", F.exp(F.col("s") - F.col("loglik")).alias("p"), "loglik")
+    return top.withColumn("loglik", lse).select(*who, "class", F.exp(F.col("s") - F.col("loglik")).alias("p"), "loglik")
 
 
-def maximise(responses: DataFrame, post: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Parameters and priors from class probabilities; both as small as classes times levels."""
-    weights = responses.where("code is not null").join(post, "respondent_id").groupBy("class", "column_name", "code").agg(F.sum("p").alias("w"))
-    total = F.sum("w").over(Window.partitionBy("class", "column_name"))
-    parameters = weights.select("class", "column_name", "code", F.ln(F.greatest(F.col("w") / total, F.lit(1e-12))).alias("logp"))
-    sizes = post.groupBy("class").agg(F.sum("p").alias("w"))
-    priors = sizes.select("class", F.ln(F.greatest(F.col("w") / F.sum("w").over(Window.partitionBy()), F.lit(1e-12))).alias("logp"))
+def maximise(responses: DataFrame, post: DataFrame, by: tuple[str, ...] = (), weight: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Parameters and priors from class probabilities; both as small as fits times classes times levels."""
+    post = post.select(*by, "respondent_id", "class", (F.col("p") * weight if weight is not None else F.col("p")).alias("p")).where("p > 0")
+    weights = responses.where("code is not null").join(post, [*by, "respondent_id"]).groupBy(*by, "class", "column_name", "code").agg(F.sum("p").alias("w"))
+    total = F.sum("w").over(Window.partitionBy(*by, "class", "column_name"))
+    parameters = weights.select(*by, "class", "column_name", "code", F.ln(F.greatest(F.col("w") / total, F.lit(1e-12))).alias("logp"))
+    sizes = post.groupBy(*by, "class").agg(F.sum("p").alias("w"))
+    priors = sizes.select(*by, "class", F.ln(F.greatest(F.col("w") / F.sum("w").over(Window.partitionBy(*by)), F.lit(1e-12))).alias("logp"))
     return parameters, priors
 
 
-def fit_latent_classes(responses: DataFrame, k: int, rounds: int = 30, tolerance: float = 1e-4, seed: int = 1):
-    """(parameters, priors, loglik) after EM from a keyed random start; the same for the same rows and seed.
+def fit_many(responses: DataFrame, k: int, by: tuple[str, ...] = (), weight: Column | None = None, rounds: int = 30, tolerance: float = 1e-4, seed: int = 1):
+    """(parameters, priors, logliks) of one fit per value of `by`, all in the same plan.
 
-    A round is one equi-join and two grouped sums over the responses; only the log-likelihood comes
-    to the driver. Parameters are written to the shared folder each round, so lineage stays short.
+    Each fit starts from keyed random memberships, the same for the same rows and seed. A round is
+    one equi-join and two grouped sums over the responses; only one log-likelihood per fit comes to
+    the driver. Rounds end when every fit has converged. Parameters and memberships are written to
+    the shared folder each round, so lineage stays short. weight: how often a respondent counts.
     """
-    start = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("respondent_id").cast("string"), F.col("class").cast("string"))), 1, 8), 16, 10).cast("double") / 2**32 + 0.1
-    ids = responses.select("respondent_id").distinct().withColumn("class", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    post = ids.withColumn("u", start).withColumn("p", F.col("u") / F.sum("u").over(Window.partitionBy("respondent_id"))).drop("u")
-    last = -math.inf
+    who = [*by, "respondent_id"]
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in (*who, "class")]))
+    start = F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / 2**32 + 0.1
+    ids = responses.select(*who).distinct().withColumn("class", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    post = ids.withColumn("u", start).withColumn("p", F.col("u") / F.sum("u").over(Window.partitionBy(*who))).drop("u")
+    times = weight if weight is not None else F.lit(1.0)
+    last: dict[tuple, float] = {}
     for _ in range(rounds):
-        parameters, priors = (_stored(x) for x in maximise(responses, post))
-        post = _stored(posteriors(responses, parameters, priors))
-        loglik = post.where("class = 0").agg(F.sum("loglik")).first()[0] or 0.0
-        if loglik - last <= tolerance * max(1.0, abs(loglik)):
+        parameters, priors = (_stored(x) for x in maximise(responses, post, by, weight))
+        post = _stored(posteriors(responses, parameters, priors, by))
+        now = {tuple(r[c] for c in by): r["ll"] or 0.0 for r in post.where("class = 0").groupBy(*by).agg(F.sum(F.col("loglik") * times).alias("ll")).collect()}
+        if all(v - last.get(f, -math.inf) <= tolerance * max(1.0, abs(v)) for f, v in now.items()):
             break
-        last = loglik
-    return parameters, priors, loglik
+        last = now
+    return parameters, priors, now
+
+
+def fit_latent_classes(responses: DataFrame, k: int, rounds: int = 30, tolerance: float = 1e-4, seed: int = 1, starts: int = 1):
+    """(parameters, priors, loglik) of the best of several starts; the first of equals wins."""
+    if starts == 1:
+        parameters, priors, logliks = fit_many(responses, k, rounds=rounds, tolerance=tolerance, seed=seed)
+        return parameters, priors, logliks.get((), 0.0)
+    many = responses.withColumn("start", F.explode(F.sequence(F.lit(1), F.lit(starts))))
+    parameters, priors, logliks = fit_many(many, k, ("start",), None, rounds, tolerance, seed)
+    best = min(logliks, key=lambda f: (-logliks[f], f), default=(1,))
+    return parameters.where(F.col("start") == best[0]).drop("start"), priors.where(F.col("start") == best[0]).drop("start"), logliks.get(best, 0.0)
+
+
+def hard_labels(post: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(respondent_id, label, certainty): likeliest class, smallest on ties."""
+    return post.groupBy(*by, "respondent_id").agg(F.max_by("class", F.struct("p", -F.col("class"))).alias("label"), F.max("p").alias("certainty"))
+
+
+def certainty_curve(responses: DataFrame, parameters: DataFrame, priors: DataFrame, ranked: DataFrame, most: int = 15) -> DataFrame:
+    """(pool, n, mean, median, above_09): certainty when only the first n questions of a pool are answered.
+
+    ranked: (pool, column_name, rank from 1). All pools and sizes are one plan.
+    """
+    by = ("pool", "n")
+    rows = responses.join(ranked.where(F.col("rank") <= most), "column_name").withColumn("n", F.explode(F.sequence(F.col("rank"), F.lit(most))))
+    sizes = rows.select(*by).distinct()
+    post = posteriors(rows, _paired(parameters, sizes, ()), _paired(priors, sizes, ()), by)
+    c = F.col("certainty")
+    return hard_labels(post, by).groupBy(*by).agg(F.avg(c).alias("mean"), F.percentile(c, F.lit(0.5)).alias("median"), F.avg((c > 0.9).cast("double")).alias("above_09"))
+
+
+def poisson_one(*keys: Column, seed: int = 1) -> Column:
+    """How often a respondent is drawn into a resample: Poisson with mean 1, from a keyed draw."""
+    chances = F.array(*[F.lit(math.exp(-1) / math.factorial(i)) for i in range(12)])
+    return inverse_cdf(chances, keyed_uniform(*keys, seed=seed)).cast("double")
+
+
+def bootstrap_stability(responses: DataFrame, original: DataFrame, k: int, replicates: int = 50, rounds: int = 30, seed: int = 1) -> DataFrame:
+    """(replicate, ari): agreement of classes refitted on resamples with the original (respondent_id, label).
+
+    All replicates are fitted side by side; each then labels every respondent of the full data.
+    """
+    by = ("replicate",)
+    many = responses.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    drawn = poisson_one(F.col("replicate"), F.col("respondent_id"), seed=seed)
+    parameters, priors, _ = fit_many(many, k, by, drawn, rounds, seed=seed)
+    labels = hard_labels(posteriors(many, parameters, priors, by), by)
+    return adjusted_rand(labels.select(*by, "respondent_id", F.col("label").alias("y")).join(original.select("respondent_id", F.col("label").alias("x")), "respondent_id"), by)
+
+
+def simulate(parameters: DataFrame, priors: DataFrame, respondents: DataFrame, by: tuple[str, ...] = (), seed: int = 1) -> DataFrame:
+    """(respondent_id, column_name, code): complete responses drawn from a fitted model, by keyed draws."""
+    who = [F.col(c) for c in (*by, "respondent_id")]
+    listed = F.sort_array(F.collect_list(F.struct(F.col("class").alias("v"), F.exp("logp").alias("p"))))
+    classes = priors.agg(listed.alias("l"))
+    pick = inverse_cdf(F.col("l.p"), keyed_uniform(F.lit("class"), *who, seed=seed))
+    drawn = respondents.select(*who).join(classes).select(*who, F.get("l", pick)["v"].alias("class"))
+    codes = parameters.groupBy("class", "column_name").agg(F.sort_array(F.collect_list(F.struct(F.col("code").alias("v"), F.exp("logp").alias("p")))).alias("l"))
+    pick = inverse_cdf(F.col("l.p"), keyed_uniform(F.col("column_name"), *who, seed=seed))
+    return drawn.join(codes, "class").select(*who, "column_name", F.get("l", pick)["v"].alias("code"))
+
+
+def bootstrap_ratio_test(responses: DataFrame, k: int, replicates: int = 30, rounds: int = 30, seed: int = 1) -> dict[str, float]:
+    """Likelihood ratio of k against k + 1 classes and its p-value from responses simulated under k classes."""
+    by = ("replicate",)
+    parameters, priors, few = fit_latent_classes(responses, k, rounds, seed=seed)
+    _, _, more = fit_latent_classes(responses, k + 1, rounds, seed=seed)
+    ids = responses.select("respondent_id").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    drawn = _stored(simulate(parameters, priors, ids, by, seed))
+    _, _, a = fit_many(drawn, k, by, None, rounds, seed=seed)
+    _, _, b = fit_many(drawn, k + 1, by, None, rounds, seed=seed)
+    observed = 2 * (more - few)
+    return {"ratio": observed, "p": (1 + sum(2 * (b[f] - a[f]) >= observed for f in a)) / (1 + len(a))}
+
+
+def model_selection(responses: DataFrame, most: int = 6, starts: int = 2, rounds: int = 30, seed: int = 1) -> DataFrame:
+    """(k, loglik, parameters, aic, bic, bic_gap, best) for 1 to `most` classes; best: the smallest BIC's k."""
+    rows = []
+    for k in range(1, most + 1):
+        _, _, loglik = fit_latent_classes(responses, k, rounds, seed=seed, starts=starts)
+        ic = information_criteria(responses, k, loglik)
+        rows.append((k, float(loglik), int(ic["parameters"]), float(ic["aic"]), float(ic["bic"])))
+    table = responses.sparkSession.createDataFrame(rows, "k int, loglik double, parameters int, aic double, bic double")
+    w = Window.partitionBy()
+    return table.withColumn("bic_gap", F.col("bic") - F.min("bic").over(w)).withColumn("best", F.min_by("k", F.struct("bic", "k")).over(w))
 
 
 def information_criteria(responses: DataFrame, k: int, loglik: float) -> dict[str, float]:

@@ -42,6 +42,55 @@ def first_token_probability(top: Column, letter: Column) -> Column:
     return F.coalesce(F.exp(F.coalesce(*found, loose)), F.lit(0.0))
 
 
+def option_probability(answer: Column, option: Column, end: str = "<|im_end|>") -> Column:
+    """Probability of a whole option text along the generated answer.
+
+    answer: array of (token, top), top an array of (token, logprob), from the answer's first token
+    on. Generated tokens are followed while they spell a start of the option; where they leave it,
+    one other offered token that still fits is taken and the walk ends. A finished option also pays
+    for the end marker if it is offered next (or, when the generated text itself finished, at the
+    same place). Leading blanks do not count. Nothing that fits: 0; no answer: null. A generated
+    token that is not among its own offers adds nothing.
+    """
+
+    def bare(x: Column) -> Column:
+        return F.regexp_replace(x, r"^\s+", "")
+
+    def offered(top: Column, token: Column) -> Column:
+        return F.get(F.filter(top, lambda t: t["token"] == token), F.lit(0))["logprob"]
+
+    want = bare(option)
+    places = F.transform(answer, lambda t, i: F.struct(t["token"].alias("token"), t["top"].alias("top"), F.get(answer, i + 1)["top"].alias("next")))
+
+    def step(a: Column, t: Column) -> Column:
+        told = F.concat(a["text"], t["token"])
+        fits = F.startswith(want, bare(told))
+        other = F.get(F.filter(t["top"], lambda o: F.startswith(want, bare(F.concat(a["text"], o["token"])))), F.lit(0))
+        text = F.when(fits, told).otherwise(F.concat(a["text"], F.coalesce(other["token"], F.lit(""))))
+        whole = (bare(text) == want) & (fits | other["token"].isNotNull())
+        close = F.when(whole, F.coalesce(offered(t["next"], F.lit(end)), F.when(fits, offered(t["top"], F.lit(end)))))
+        gain = F.coalesce(F.when(fits, offered(t["top"], t["token"])).otherwise(other["logprob"]), F.lit(0.0)) + F.coalesce(close, F.lit(0.0))
+        moved = F.struct(text.alias("text"), (a["lp"] + gain).alias("lp"), (a["hit"] | fits | other["token"].isNotNull()).alias("hit"), (fits & ~whole).alias("open"))
+        return F.when(a["open"], moved).otherwise(a)
+
+    first = F.struct(F.lit("").alias("text"), F.lit(0.0).alias("lp"), F.lit(False).alias("hit"), F.lit(True).alias("open"))
+    walked = F.aggregate(places, first, step, lambda a: F.when(a["hit"], F.exp(a["lp"])).otherwise(0.0))
+    return F.when(F.size(answer) > 0, walked)
+
+
+def side_by_side(distributions: DataFrame) -> DataFrame:
+    """(question_id, subpopulation, pos, label, base, tuned, truth): mean distributions over prompts of a base model and of each model tuned from it.
+
+    distributions: (model, base_model, question_id, subpopulation, pos, label, p, truth). A tuned
+    model without its base keeps its row; a missing label becomes 'Opt n' with n from 1.
+    """
+    keys = ["base_model", "question_id", "subpopulation", "pos"]
+    means = distributions.groupBy("model", *keys).agg(F.avg("p").alias("p"), F.avg("truth").alias("truth"), F.min("label").alias("label"))
+    base = means.where("model = base_model").select(*keys, F.col("p").alias("base"))
+    tuned = means.where("model <> base_model").join(base, keys, "left")
+    return tuned.select("model", "question_id", "subpopulation", "pos", F.coalesce("label", F.concat(F.lit("Opt "), (F.col("pos") + 1).cast("string"))).alias("label"), "base", F.col("p").alias("tuned"), "truth")
+
+
 def answer_matches(answer: Column, expected: Column, letters: bool = False) -> Column:
     def norm(x: Column) -> Column:
         x = F.lower(F.trim(x))

@@ -143,18 +143,20 @@ def coherence(labelled: DataFrame) -> DataFrame:
     return q.agg(F.avg("c").alias("coherence"))
 
 
-def adjusted_rand(pairs: DataFrame) -> DataFrame:
-    """ARI of two labelings (x, y), from contingency counts."""
+def adjusted_rand(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """ARI of two labelings (x, y), from contingency counts; one per value of `by` where given."""
 
     def two(n: Column) -> Column:
         return n * (n - 1) / 2
 
-    cells = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    s = cells.agg(F.sum(two(F.col("n"))).alias("cells"), F.sum("n").alias("total"))
-    r = cells.groupBy("x").agg(F.sum("n").alias("n")).agg(F.sum(two(F.col("n"))).alias("rows"))
-    c = cells.groupBy("y").agg(F.sum("n").alias("n")).agg(F.sum(two(F.col("n"))).alias("cols"))
+    cells = pairs.groupBy(*by, "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    s = cells.groupBy(*by).agg(F.sum(two(F.col("n"))).alias("cells"), F.sum("n").alias("total"))
+    r = cells.groupBy(*by, "x").agg(F.sum("n").alias("n")).groupBy(*by).agg(F.sum(two(F.col("n"))).alias("rows"))
+    c = cells.groupBy(*by, "y").agg(F.sum("n").alias("n")).groupBy(*by).agg(F.sum(two(F.col("n"))).alias("cols"))
+    on = list(by) or None
     expected = F.col("rows") * F.col("cols") / two(F.col("total"))
-    return s.join(r).join(c).select(((F.col("cells") - expected) / ((F.col("rows") + F.col("cols")) / 2 - expected)).alias("ari"))
+    most = (F.col("rows") + F.col("cols")) / 2
+    return s.join(r, on).join(c, on).select(*by, F.when(most == expected, 1.0).otherwise((F.col("cells") - expected) / F.nullif(most - expected, F.lit(0.0))).alias("ari"))
 
 
 def dominant_category(labelled: DataFrame) -> DataFrame:
@@ -177,3 +179,57 @@ def cross_table(pairs: DataFrame) -> DataFrame:
     """(x, y, n, column percent, share of all) for two labelings."""
     n = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("percent", 100 * F.col("n") / F.sum("n").over(Window.partitionBy("y"))).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+
+
+def demographic_tvd(labelled: DataFrame) -> DataFrame:
+    """(column_name, tvd): mean over pairs of labels of the distance of their text values; missing is a value like any other."""
+    known = labelled.withColumn("code", F.coalesce("code", F.lit("Missing")))
+    return informativeness(hard_distribution(known), "label").withColumnRenamed("informativeness", "tvd")
+
+
+def demographic_profile(texts: DataFrame, numbers: DataFrame, labels: list, junk: str) -> DataFrame:
+    """One row per demographic with its distance (null for numbers) and a text per label, largest distance first.
+
+    texts: (respondent_id, label, column_name, code), shown by the commonest category and its
+    percent, junk left out there but not in the distance; numbers: (label, column_name, value), shown
+    by mean and median. labels: the labels, so that the pivot needs no job.
+    """
+    clean = texts.where(F.col("code").isNotNull() & ~F.lower("code").rlike(junk))
+    shown = dominant_category(clean).select("column_name", "label", F.format_string("%s (%.1f%%)", F.col("code"), F.col("percent").cast("double")).alias("shown"))
+    means = numbers.groupBy("column_name", "label").agg(F.format_string("%.2f / %.2f", F.avg("value"), F.percentile("value", F.lit(0.5))).alias("shown"))
+    wide = shown.unionByName(means).groupBy("column_name").pivot("label", labels).agg(F.first("shown"))
+    return wide.join(demographic_tvd(texts), "column_name", "left").orderBy(F.desc_nulls_last("tvd"), "column_name")
+
+
+def favours(metrics: DataFrame, larger: list[str]) -> DataFrame:
+    """(metric, first, second, favours) of two solutions from (metric, first, second).
+
+    Metrics named in `larger` are better when larger, all others when smaller; a tie or a missing
+    side favours neither (a dash).
+    """
+    gap = F.when(F.col("metric").isin(larger), F.col("first") - F.col("second")).otherwise(F.col("second") - F.col("first"))
+    return metrics.withColumn("favours", F.when(gap > 0, "first").when(gap < 0, "second").otherwise("-"))
+
+
+def largest_differences(a: DataFrame, b: DataFrame, most: int = 3) -> DataFrame:
+    """Columns whose (column_name, value) differ most between two solutions; first name on ties."""
+    both = a.select("column_name", F.col("value").alias("first")).join(b.select("column_name", F.col("value").alias("second")), "column_name")
+    return both.withColumn("difference", F.col("second") - F.col("first")).orderBy(F.desc(F.round(F.abs("difference"), 9)), "column_name").limit(most)
+
+
+def question_groups(ranked: DataFrame, most: int = 25) -> DataFrame:
+    """(battery, best, members): the first items grouped by battery, members in order of rank."""
+    top = ranked.where(F.col("rank") <= most)
+    return top.groupBy("battery").agg(F.min("rank").alias("best"), F.transform(F.sort_array(F.collect_list(F.struct("rank", "column_name"))), lambda x: x["column_name"]).alias("members"))
+
+
+def similar_questions(pairs: DataFrame, picked: DataFrame, held_out: DataFrame, texts: DataFrame, most: int = 5) -> DataFrame:
+    """(column_name, text, k, partner, partner_text, v): per picked question its closest partners that stay in training.
+
+    Partners that are held out themselves are left out before ranking.
+    """
+    s = symmetric(pairs).withColumn("v", F.round("v", 3)).join(picked.select("column_name"), "column_name", "left_semi")
+    s = s.join(held_out.select(F.col("column_name").alias("partner")), "partner", "left_anti")
+    top = s.withColumn("k", F.row_number().over(Window.partitionBy("column_name").orderBy(F.desc("v"), "partner"))).where(F.col("k") <= most)
+    named = texts.select(F.col("column_name").alias("partner"), F.col("text").alias("partner_text"))
+    return top.join(texts.select("column_name", "text"), "column_name", "left").join(named, "partner", "left").select("column_name", "text", "k", "partner", "partner_text", "v")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as TX
 from tessella.operators import cleaning as CL
+from tessella.operators import clusters as CU
 from tessella.operators import components as CO
 from tessella.operators import latent as LA
 from tessella.operators import scoring as SC
@@ -24,6 +25,10 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
 
+#: (column_name, root): every column reachable over V above a half, itself included.
+LINKED = ", reach AS (SELECT column_name, column_name root FROM bat UNION SELECT r.column_name, s.partner FROM reach r JOIN sym s ON s.column_name=r.root WHERE s.v>0.5) "
+
+
 def query(name: str, sql: str | None = None, views: bool = True):
     def add(f):
         _QUERIES[name] = f
@@ -267,7 +272,7 @@ def _(s, d):
     return ST.pair_cells(V.responses(s, d), V.batteries(s))
 
 
-@query("M14_redundancy_components", "SELECT column_name, CASE WHEN column_name='Q5' THEN 'Q3' WHEN column_name='Q7' THEN 'Q6' ELSE column_name END AS root FROM bat")
+@query("M14_redundancy_components", LINKED + "SELECT column_name, min(root) AS root FROM reach GROUP BY 1")
 def _(s, d):
     return CO.redundancy_components(V.batteries(s).select("column_name"), pairs_v(s, d))
 
@@ -408,7 +413,7 @@ def _(s, d):
     return SC.work_estimate(SC.missing_jobs(grid, done), workers=4)
 
 
-@query("A43_component_members", "SELECT root, CAST(2 AS BIGINT) AS size, members FROM (VALUES ('Q3','Q3,Q5'),('Q6','Q6,Q7')) t(root, members)", False)
+@query("A43_component_members", LINKED + "SELECT root, count(*) AS size, string_agg(column_name, ',' ORDER BY column_name) AS members FROM (SELECT column_name, min(root) root FROM reach GROUP BY 1) GROUP BY 1 HAVING count(*) >= 2")
 def _(s, d):
     roots = CO.redundancy_components(V.batteries(s).select("column_name"), pairs_v(s, d))
     return roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.array_join(F.sort_array(F.collect_list("column_name")), ",").alias("members")).where("size >= 2")
@@ -455,6 +460,168 @@ def _(s, d):
     return KMeans(k=3, seed=1, maxIter=10).fit(v).transform(v).select("vec_id", F.col("prediction").alias("cluster"))
 
 
+@query("M02_model_selection")
+def _(s, d):
+    return rounded(LA.model_selection(V.responses(s, d), most=3, starts=2, rounds=4))
+
+
+@query("M04_M05_certainty_curve")
+def _(s, d):
+    r = V.responses(s, d)
+    parameters, priors, _ = LA.fit_latent_classes(r, 2, rounds=5)
+    names = V.batteries(s).select("column_name", F.explode(F.array(F.lit("all"), F.when(F.col("battery") != 4, F.lit("narrow")))).alias("pool")).where("pool is not null")
+    ranked = names.withColumn("rank", F.row_number().over(Window.partitionBy("pool").orderBy("column_name")))
+    return rounded(LA.certainty_curve(r, parameters, priors, ranked, most=8))
+
+
+@query("M06_bootstrap_stability")
+def _(s, d):
+    r = V.responses(s, d)
+    parameters, priors, _ = LA.fit_latent_classes(r, 2, rounds=5)
+    original = LA.hard_labels(LA.posteriors(r, parameters, priors))
+    return rounded(LA.bootstrap_stability(r, original, 2, replicates=5, rounds=5))
+
+
+@query("M07_bootstrap_ratio_test")
+def _(s, d):
+    found = LA.bootstrap_ratio_test(V.responses(s, d), 1, replicates=5, rounds=4)
+    return s.createDataFrame([(float(found["ratio"]), float(found["p"]))], "ratio double, p double")
+
+
+@query("M08_k_modes")
+def _(s, d):
+    return CU.k_modes(V.responses(s, d), 3, starts=2, rounds=5)
+
+
+@query("M09_correspondence")
+def _(s, d):
+    place, _, _ = CU.correspondence(V.responses(s, d))
+    return rounded(place.select("respondent_id", F.posexplode("coordinates").alias("d", "x")))
+
+
+@query("M13_one_hot_components")
+def _(s, d):
+    place, _ = CU.one_hot_components(V.responses(s, d))
+    return rounded(place.select("respondent_id", F.posexplode("coordinates").alias("d", "x")))
+
+
+def vectors(s: SparkSession, d: str) -> DataFrame:
+    return V.read(s, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("features"), "label")
+
+
+@query("M11_diagonal_mixture")
+def _(s, d):
+    return CU.diagonal_mixture(vectors(s, d).drop("label"), 3, rounds=8)[0]
+
+
+@query("M12_bisecting_kmeans")
+def _(s, d):
+    return CU.k_means_labels(vectors(s, d).drop("label"), 3, bisecting=True)
+
+
+VECTORS = "WITH v AS (SELECT vec_id id, CAST(embedding AS DOUBLE[]) f, label FROM embeddings), e AS (SELECT id, label, unnest(range(len(f))) d, unnest(f) x FROM v), "
+
+
+@query("M16_noise_reassignment", VECTORS + "c AS (SELECT label, d, avg(x) m FROM e WHERE id%7<>0 GROUP BY ALL), g AS (SELECT e.label, e.id, round(sum((x-m)*(x-m)),9) gap FROM e JOIN c USING (label, d) WHERE e.id%7<>0 GROUP BY ALL), r AS (SELECT label, id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY gap, id) k FROM g) WHERE k=1), n AS (SELECT e.id, r.label, round(sum((e.x-y.x)*(e.x-y.x)),9) gap FROM e JOIN e y USING (d) JOIN r ON r.id=y.id WHERE e.id%7=0 GROUP BY ALL) SELECT id, label, false AS was_noise FROM v WHERE id%7<>0 UNION ALL SELECT id, label, true FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY gap, label) k FROM n) WHERE k=1", False)
+def _(s, d):
+    return CU.reassign_noise(vectors(s, d).withColumn("label", F.when(F.col("id") % 7 != 0, F.col("label"))))
+
+
+@query("M17_merge_single_members", VECTORS + "l AS (SELECT *, CASE WHEN id=(SELECT min(id) FROM v) THEN -1 ELSE label END g FROM v), x AS (SELECT g, id, unnest(range(len(f))) d, unnest(f) x FROM l), c AS (SELECT g, d, avg(x) m FROM x WHERE g<>-1 GROUP BY ALL), n AS (SELECT c.g, sum((x-m)*(x-m)) gap FROM x JOIN c USING (d) WHERE x.g=-1 GROUP BY ALL) SELECT id, CASE WHEN g=-1 THEN (SELECT arg_min(g, gap) FROM n) ELSE g END AS label FROM l", False)
+def _(s, d):
+    v = vectors(s, d)
+    return CU.merge_single_members(v.join(v.agg(F.min("id").alias("lone"))).withColumn("label", F.when(F.col("id") == F.col("lone"), -1).otherwise(F.col("label")))).select("id", "label")
+
+
+@query("M15_M18_method_comparison")
+def _(s, d):
+    a = V.assignments(s, d)
+    place = V.survey_wide(s, d).select(F.col("o_orderkey").alias("id"), F.array("Q3", "Q6", "Q7").alias("features"))
+    labels = {f"by_{c}": a.select("respondent_id", F.when(F.col("respondent_id") % 50 != 0, F.col(c)).alias("label")) for c in ("cluster", "cluster3")}
+    return rounded(CU.compare_methods(V.responses(s, d), place, labels))
+
+
+# ------------------------------------------------------------------ reports
+
+
+INF = "inf AS (SELECT column_name, sum(abs(x.p-y.p))/2 value FROM pp x JOIN pp y USING (column_name, code) WHERE x.cluster<y.cluster GROUP BY 1), hinf AS (SELECT column_name, sum(abs(x.p-y.p))/2 value FROM hp x JOIN hp y USING (column_name, code) WHERE x.label<y.label GROUP BY 1)"
+
+
+def two_solutions(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    soft = ST.informativeness(ST.posterior_distribution(V.responses(s, d), V.assignments(s, d)), "cluster")
+    hard = ST.informativeness(ST.hard_distribution(labelled(s, d).withColumnRenamed("cluster", "label")), "label")
+    return soft.withColumnRenamed("informativeness", "value"), hard.withColumnRenamed("informativeness", "value")
+
+
+TEXTS = ", tx AS (SELECT respondent_id, cluster label, 'segment' column_name, CASE WHEN o_custkey%20<>0 THEN c_mktsegment END code FROM wide JOIN asg USING (respondent_id) UNION ALL SELECT respondent_id, cluster, 'nation', CAST(c_nationkey AS VARCHAR) FROM wide JOIN asg USING (respondent_id)), tn AS (SELECT label, column_name, coalesce(code,'Missing') code, count(*) n FROM tx GROUP BY ALL), tg AS (SELECT l.label, g.column_name, g.code, coalesce(n,0) n FROM (SELECT DISTINCT label FROM tn) l CROSS JOIN (SELECT DISTINCT column_name, code FROM tn) g LEFT JOIN tn USING (label, column_name, code)), tp AS (SELECT *, n/sum(n) OVER (PARTITION BY label, column_name) p FROM tg), tvd AS (SELECT column_name, sum(abs(x.p-y.p))/2 tvd FROM tp x JOIN tp y USING (column_name, code) WHERE x.label<y.label GROUP BY 1) "
+
+
+def demographics(s: SparkSession, d: str) -> DataFrame:
+    w = V.survey_wide(s, d).join(V.assignments(s, d), F.col("o_orderkey") == F.col("respondent_id"))
+    w = w.select("respondent_id", F.col("cluster").alias("label"), F.when(F.col("o_custkey") % 20 != 0, F.col("c_mktsegment")).alias("segment"), F.col("c_nationkey").cast("string").alias("nation"), F.col("c_acctbal").cast("double").alias("balance"))
+    return w
+
+
+@query("A08_demographic_tvd", TEXTS + "SELECT column_name, round(tvd,6) AS tvd FROM tvd")
+def _(s, d):
+    return rounded(ST.demographic_tvd(demographics(s, d).unpivot(["respondent_id", "label"], ["segment", "nation"], "column_name", "code")))
+
+
+@query("A12_demographic_profile")
+def _(s, d):
+    w = demographics(s, d)
+    texts = w.unpivot(["respondent_id", "label"], ["segment", "nation"], "column_name", "code")
+    numbers = w.select("label", F.lit("balance").alias("column_name"), F.col("balance").alias("value"))
+    return rounded(ST.demographic_profile(texts, numbers, [0, 1], "missing|no answer"))
+
+
+@query("A38_solution_comparison", ", " + INF + " SELECT metric, round(f,6) AS first, round(s,6) AS second, CASE WHEN abs(f-s)<1e-9 THEN '-' WHEN f>s THEN 'first' ELSE 'second' END AS favours FROM (SELECT 'mean' metric, (SELECT avg(value) FROM inf) f, (SELECT avg(value) FROM hinf) s UNION ALL SELECT 'max', (SELECT max(value) FROM inf), (SELECT max(value) FROM hinf))")
+def _(s, d):
+    one = [x.agg(F.avg("value").alias("mean"), F.max("value").alias("max")).unpivot([], ["mean", "max"], "metric", n) for x, n in zip(two_solutions(s, d), ("first", "second"))]
+    return ST.favours(rounded(one[0].join(one[1], "metric")), ["mean", "max"])
+
+
+@query("A44_largest_differences", ", " + INF + " SELECT column_name, round(inf.value,6) AS first, round(hinf.value,6) AS second, round(hinf.value-inf.value,6) AS difference FROM inf JOIN hinf USING (column_name) ORDER BY round(abs(hinf.value-inf.value),9) DESC, 1 LIMIT 3")
+def _(s, d):
+    return rounded(ST.largest_differences(*two_solutions(s, d)))
+
+
+@query("A42_question_groups", ", " + INF + ", rk AS (SELECT battery, column_name, row_number() OVER (ORDER BY round(value,9) DESC, column_name) k FROM inf JOIN bat USING (column_name)) SELECT battery, CAST(min(k) AS INT) AS best, string_agg(column_name, ',' ORDER BY k) AS members FROM rk WHERE k<=5 GROUP BY 1")
+def _(s, d):
+    ranked = two_solutions(s, d)[0].join(V.batteries(s), "column_name").withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("value", 9)), "column_name")))
+    return ST.question_groups(ranked, 5).withColumn("members", F.array_join("members", ","))
+
+
+@query("A45_side_by_side", ", x AS (SELECT model, subpopulation, avg(m0) p, avg(1-m0) p1, avg(t0) t, avg(1-t0) t1 FROM ev GROUP BY ALL), y AS (SELECT model, subpopulation, 0 pos, p, t FROM x UNION ALL SELECT model, subpopulation, 1, p1, t1 FROM x) SELECT a.model, 'q' AS question_id, a.subpopulation, a.pos, 'Opt '||(a.pos+1) AS label, round(b.p,6) AS base, round(a.p,6) AS tuned, round(a.t,6) AS truth FROM y a LEFT JOIN y b ON b.model=(SELECT min(model) FROM ev) AND b.subpopulation=a.subpopulation AND b.pos=a.pos WHERE a.model<>(SELECT min(model) FROM ev)")
+def _(s, d):
+    e = V.eval_results(s, d)
+    rows = e.join(e.agg(F.min("model").alias("base_model"))).select("model", "base_model", F.lit("q").alias("question_id"), "subpopulation", F.posexplode(F.arrays_zip(F.col("model_distribution").alias("p"), F.col("true_distribution").alias("truth"))).alias("pos", "x"))
+    return rounded(SC.side_by_side(rows.select("model", "base_model", "question_id", "subpopulation", "pos", F.lit(None).cast("string").alias("label"), "x.*")))
+
+
+@query("T08_list_literal", "SELECT conv_id, turn, pos, item FROM (SELECT conv_id, turn, unnest([0,1]) pos, unnest([role, CAST(turn AS VARCHAR)]) item FROM conversations)", False)
+def _(s, d):
+    c = V.read(s, d, "conversations")
+    written = F.concat(F.lit("['"), F.col("role"), F.lit("', '"), F.col("turn").cast("string"), F.lit("']"))
+    return c.select("conv_id", "turn", F.posexplode(TX.list_literal(written)).alias("pos", "item"))
+
+
+@query("T11_similar_questions", ", k AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY round(v,3) DESC, partner) k FROM sym WHERE column_name IN ('Q3','Q6') AND partner NOT IN ('Q3','Q6')) SELECT column_name, 'Question '||column_name AS text, CAST(k AS INT) AS k, partner, 'Question '||partner AS partner_text, round(v,3) AS v FROM k WHERE k<=3")
+def _(s, d):
+    names = V.batteries(s).select("column_name", F.concat(F.lit("Question "), F.col("column_name")).alias("text"))
+    held = names.where(F.col("column_name").isin("Q3", "Q6")).select("column_name")
+    return ST.similar_questions(pairs_v(s, d), held, held, names, 3)
+
+
+@query("R02_option_probability", "SELECT event_id, round(exp(-(value/97)-(value/47)),6) AS p_first, round(exp(-(value/97)-3),6) AS p_second FROM events", False)
+def _(s, d):
+    token = lambda t, lp: F.struct(F.lit(t).alias("token"), lp.cast("double").alias("logprob"))
+    e = V.eval_results(s, d)
+    a, b = -F.col("kl_divergence"), -F.col("cross_entropy")
+    answer = F.array(F.struct(F.lit("Very").alias("token"), F.array(token("Very", a)).alias("top")), F.struct(F.lit(" often").alias("token"), F.array(token(" often", b), token(" rarely", F.lit(-3.0))).alias("top")))
+    return rounded(e.select("event_id", SC.option_probability(answer, F.lit("Very often")).alias("p_first"), SC.option_probability(answer, F.lit("Very rarely")).alias("p_second")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -88,7 +88,7 @@ def eval_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ORACLE_VIEWS = """WITH wide AS (SELECT o_orderkey AS respondent_id, o_custkey, o_orderdate, c_nationkey, c_mktsegment, c_acctbal,
+ORACLE_VIEWS = """WITH RECURSIVE wide AS (SELECT o_orderkey AS respondent_id, o_custkey, o_orderdate, c_nationkey, c_mktsegment, c_acctbal,
  CAST(CASE WHEN o_orderkey % 89 = 0 THEN -1 ELSE list_position(['F','O','P'], o_orderstatus) END AS DOUBLE) Q1,
  CAST(CASE WHEN o_orderkey % 97 = 0 THEN -2 ELSE CAST(substr(o_orderpriority,1,1) AS INT) END AS DOUBLE) Q2,
  CAST(quarter(o_orderdate) AS DOUBLE) Q3, CAST(year(o_orderdate)-1994 AS DOUBLE) Q4, CAST(month(o_orderdate) AS DOUBLE) Q5,

@@ -31,7 +31,7 @@ def _rows(columns, rows):
 def test_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("orders", "customer", "events", "benchmark", "conversations", "documents"):
+    for t in ("orders", "customer", "events", "benchmark", "conversations", "documents", "embeddings"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = registry.queries()[name](spark, SF)
     want = con.sql(registry.oracles()[name])
