@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Subpopulations that a run's name may hold.
-SUBPOPULATIONS = ("overall", "0", "1")
+SUBPOPULATIONS = ("overall", "cluster_0", "cluster_1")
+#: Display names of training methods and subpopulations.
+METHOD_NAMES = {"modal_response": "Modal response", "sampled_response": "Sampled response", "first_token_distribution": "First token", "full_string_distribution": "Full string"}
+POPULATION_NAMES = {"cluster_0": "cluster 0", "cluster_1": "cluster 1", "overall": "overall"}
 
 
 def user_prompt(template: Column, question: Column, sub_question: Column, options: Column) -> Column:
-    """Template and options, then the sub-question, where there are both; else question and options."""
-    listed = F.array_join(options, "\n")
-    full = F.concat(template, F.lit("\n"), listed, F.lit("\nsub_question: "), sub_question)
-    return F.when(template.isNotNull() & sub_question.isNotNull(), full).otherwise(F.concat(F.coalesce(template, question), F.lit("\n"), listed))
+    """Template, listed options and sub-question, where there are both; else question and options."""
+    listed = F.concat(F.lit("\n\nOptions:\n"), F.array_join(options, "\n"))
+    full = F.concat(template, listed, F.lit("\n\n"), sub_question, F.lit(":"))
+    return F.when(template.isNotNull() & sub_question.isNotNull(), full).otherwise(F.concat(question, listed))
 
 
 def lettered(options: Column) -> Column:
@@ -38,18 +41,59 @@ def token_jaccard(texts: DataFrame) -> DataFrame:
     return joined.select("a", "b", (F.col("both") / F.greatest(F.col("na") + F.col("nb") - F.col("both"), F.lit(1))).alias("jaccard"))
 
 
+def least_similar(texts: DataFrame) -> DataFrame:
+    """(name, similarity): the one text whose mean similarity to all texts, itself included, is least; first name on ties."""
+    pairs = token_jaccard(texts).groupBy(F.col("a").alias("name")).agg(F.sum("jaccard").alias("s"))
+    n = texts.agg(F.count(F.lit(1)).alias("n"))
+    means = texts.select("name").join(pairs, "name", "left").join(n).select("name", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("similarity"))
+    return means.orderBy(F.round("similarity", 9), "name").limit(1)
+
+
+def held_out_prompts(prompts: DataFrame, held: DataFrame, suffix: str = "_letter") -> DataFrame:
+    """The prompts (name) held out by their own name or as the lettered twin of a held-out name."""
+    plain = F.regexp_replace("name", f"{suffix}$", "")
+    return prompts.withColumn("plain", plain).join(held.select(F.col("name").alias("plain")), "plain", "left_semi").drop("plain")
+
+
 def chat(system: Column, user: Column, assistant: Column | None = None) -> Column:
     turns = [("system", system), ("user", user)] + ([("assistant", assistant)] if assistant is not None else [])
     return F.array(*[F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in turns])
 
 
-def base_model(name: Column, marker: str = "-nz-wvs-") -> Column:
-    return F.substring_index(name, marker, 1)
+def base_model(name: Column, marker: str = "nz-wvs-") -> Column:
+    """What precedes the marker, without hyphens at its end; the whole name without a marker."""
+    return F.when(F.instr(name, marker) > 0, F.regexp_replace(F.substring_index(name, marker, 1), "-+$", "")).otherwise(name)
+
+
+def adapter(name: Column, marker: str = "nz-wvs-") -> Column:
+    """What follows the first marker; 'base' without one."""
+    at = F.instr(name, marker)
+    return F.when(at > 0, F.substr(name, at + len(marker))).otherwise("base")
+
+
+def adapter_method(name: Column, marker: str = "nz-wvs-") -> Column:
+    """The adapter up to its last hyphen, or all of it."""
+    return F.regexp_replace(adapter(name, marker), "(?s)-[^-]*$", "")
+
+
+def adapter_population(name: Column, marker: str = "nz-wvs-") -> Column:
+    """The adapter from its last hyphen on, or all of it."""
+    return F.substring_index(adapter(name, marker), "-", -1)
+
+
+def named(key: Column, names: dict[str, str]) -> Column:
+    """Display name of a key, or the key itself."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[key], key)
+
+
+def adapter_label(name: Column) -> Column:
+    return F.concat(named(adapter_method(name), METHOD_NAMES), F.lit(" ("), named(adapter_population(name), POPULATION_NAMES), F.lit(")"))
 
 
-def adapter_method(name: Column, marker: str = "-nz-wvs-") -> Column:
-    """What follows the marker up to the last hyphen; null without a marker."""
-    return F.when(F.instr(name, marker) > 0, F.regexp_extract(F.substring_index(name, marker, -1), r"^(.*)-[^-]*$", 1))
+def question_label(question_id: Column, question: Column, sub_question: Column) -> Column:
+    """'Q<id>: ' and the sub-question, or else the first 50 signs of the question."""
+    sub = F.when(sub_question != "", sub_question)
+    return F.concat(F.lit("Q"), question_id.cast("string"), F.lit(": "), F.coalesce(sub, F.left(question, F.lit(50))))
 
 
 def run_subpopulation(run: Column) -> Column:

@@ -12,6 +12,31 @@ SENTINELS = (-2.0, -3.0, -99.0)
 AGE_BANDS = (17, 24, 34, 44, 54, 64, 100)
 
 
+#: Categories that are no answers.
+JUNK = "missing|no answer|don't know|don´t know|not applicable|other missing|unknown|none of these"
+#: Words and columns of sensitive questions.
+SENSITIVE_WORDS = ("homosexual", "immig", "abortion", "prostitution", "divorce", "sex before marriage", "casual sex", "wife", "husband", "women", "gender")
+SENSITIVE_COLUMNS = ("Q189", "Q190", "Q22", "Q36", "Q119", "Q263", "Q264", "Q265")
+#: Short forms of long category labels, per column.
+SHORT_LABELS = {
+    "education_respondent_cs": {
+        "NZ: Completed university or polytechnic degree": "University degree",
+        "NZ: Some university, wananga, polytechnic or other tertiary": "Some tertiary",
+        "NZ: Secondary school for 4 years or more": "Sec. school 4+ yrs",
+        "NZ: Secondary school for up to 3 years": "Sec. school ≤3 yrs",
+        "NZ: Kura kaupapa/primary school (including intermediate)": "Primary school",
+        "NZ: No formal schooling": "No schooling",
+    },
+    "social_class": {"Upper middle class": "Upper middle", "Lower middle class": "Lower middle"},
+    "income_scale": {"1": "≤$10K", "2": "$10-15K", "3": "$15-20K", "4": "$20-25K", "5": "$25-30K", "6": "$30-40K", "7": "$40-50K", "8": "$50-70K", "9": "$70-100K", "10": "$100K+"},
+    "religion": {
+        "Do not belong to a denomination{No religion}": "No religion",
+        "Other Christian (Jehova withness...){Other Christian}": "Other Christian",
+        "Catholic (Roman/Greek/etc)": "Catholic",
+    },
+}
+
+
 def strip_prefix(code: Column, prefix: float = 554000, guard: float = 10) -> Column:
     """Codes above guard lose the country prefix; others stay."""
     return F.when(code > guard, code - prefix).otherwise(code)
@@ -62,11 +87,51 @@ def one_hot(responses: DataFrame) -> DataFrame:
 
 
 def expand_items(mapping: DataFrame) -> DataFrame:
-    """One row per column of each mapping entry; the sub-question only where both lists have one length."""
-    fits = (F.size("sub_questions") == F.size("column_names")) & (F.size("sub_questions") > 0)
+    """One row per column of each mapping entry; the sub-question only where one is not empty and both lists have one length."""
+    fits = (F.size("sub_questions") == F.size("column_names")) & F.exists("sub_questions", lambda x: x != "")
     return mapping.select("id", "question", F.posexplode("column_names").alias("pos", "column_name"), F.when(fits, F.col("sub_questions")).alias("subs")).select("id", "question", "pos", "column_name", F.get("subs", F.col("pos")).alias("sub_question"))
 
 
+def value_questions(mapping: DataFrame) -> DataFrame:
+    return mapping.where("question_type = 'value survey'")
+
+
+def asked_questions(mapping: DataFrame) -> DataFrame:
+    """All but respondent information; a missing type passes."""
+    return mapping.where(~F.col("question_type").eqNullSafe("respondent information"))
+
+
+def column_kind(name: Column) -> Column:
+    """'value' for question columns, null for id and date, else 'demographic'."""
+    return F.when(F.startswith(name, F.lit("Q")), "value").when(~name.isin("id", "date"), "demographic")
+
+
+def is_junk(category: Column) -> Column:
+    """Whether a category is no answer; null is none of these phrases."""
+    return F.coalesce(F.lower(category).rlike(JUNK), F.lit(False))
+
+
+def short_label(column: Column, category: Column) -> Column:
+    """Short form of a category's label; incomes by the step in braces; others stay."""
+    step = F.when(F.instr(category, "{") > 0, F.regexp_replace(F.get(F.split(category, r"\{"), F.lit(1)), r"\}+$", "")).otherwise(category)
+    out = None
+    for name, short in SHORT_LABELS.items():
+        known = F.create_map(*[F.lit(x) for kv in short.items() for x in kv])[step if name == "income_scale" else category]
+        out = F.when(column == name, known) if out is None else out.when(column == name, known)
+    return F.coalesce(out, category)
+
+
+def is_sensitive(question: Column, sub_question: Column, column: Column) -> Column:
+    both = F.lower(F.concat(F.coalesce(question, F.lit("")), F.lit(" "), F.coalesce(sub_question, F.lit(""))))
+    return both.rlike("|".join(SENSITIVE_WORDS)) | column.isin(*SENSITIVE_COLUMNS)
+
+
+def code_labels(items: DataFrame) -> DataFrame:
+    """(column_name, code, label) from (column_name, codes, labels); codes below 0 are left out."""
+    rows = items.select("column_name", F.inline(F.arrays_zip(F.col("codes").alias("code"), F.col("labels").alias("label"))))
+    return rows.where("code >= 0")
+
+
 def age_band(age: Column) -> Column:
     """Band label; outside all bands null."""
     out = F.lit(None).cast("string")

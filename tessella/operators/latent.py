@@ -167,6 +167,14 @@ def model_selection(responses: DataFrame, most: int = 6, starts: int = 2, rounds
     return table.withColumn("bic_gap", F.col("bic") - F.min("bic").over(w)).withColumn("best", F.min_by("k", F.struct("bic", "k")).over(w))
 
 
+def fit_table(sweep: DataFrame) -> DataFrame:
+    """A sweep's gaps to the best AIC and BIC, the k of the smallest BIC, and the likelihood ratio of each k against the k before (null for the first)."""
+    w = Window.partitionBy()
+    ratio = 2 * (F.col("loglik") - F.lag("loglik").over(Window.orderBy("k")))
+    best = F.min_by("k", F.struct("bic", "k")).over(w)
+    return sweep.select("k", "aic", "bic", (F.col("aic") - F.min("aic").over(w)).alias("aic_delta"), (F.col("bic") - F.min("bic").over(w)).alias("bic_delta"), best.alias("best"), ratio.alias("ratio"))
+
+
 def information_criteria(responses: DataFrame, k: int, loglik: float) -> dict[str, float]:
     """AIC and BIC with k * sum(levels - 1) + k - 1 free parameters."""
     row = responses.where("code is not null").groupBy("column_name").agg((F.countDistinct("code") - 1).alias("d")).agg(F.sum("d").alias("d")).first()

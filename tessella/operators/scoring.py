@@ -91,19 +91,92 @@ def side_by_side(distributions: DataFrame) -> DataFrame:
     return tuned.select("model", "question_id", "subpopulation", "pos", F.coalesce("label", F.concat(F.lit("Opt "), (F.col("pos") + 1).cast("string"))).alias("label"), "base", F.col("p").alias("tuned"), "truth")
 
 
+def stripped(x: Column) -> Column:
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
 def answer_matches(answer: Column, expected: Column, letters: bool = False) -> Column:
+    """Equal but for case and outer blanks; a letter may be followed by full stops."""
+
     def norm(x: Column) -> Column:
-        x = F.lower(F.trim(x))
+        x = F.lower(stripped(x))
         return F.regexp_replace(x, r"\.+$", "") if letters else x
 
     return norm(answer) == norm(expected)
 
 
-def after_marker(text: Column, marker: str = "</think>") -> Column:
-    """What follows the last reasoning marker, trimmed; the whole text without one; null if empty."""
+def after_marker(text: Column, marker: str = "</think>", end: str = "<|im_end|>") -> Column:
+    """The answer after the first reasoning marker, without an end marker; the whole text if that is empty or there is no marker; null if nothing is left."""
     at = F.instr(text, marker)
-    rest = F.when(at > 0, F.substring_index(text, marker, -1)).otherwise(text)
-    return F.nullif(F.trim(rest), F.lit(""))
+    rest = stripped(F.when(at > 0, F.substr(text, at + len(marker))).otherwise(text))
+    bare = F.when(F.endswith(rest, F.lit(end)), stripped(F.substr(rest, F.lit(1), F.length(rest) - len(end)))).otherwise(rest)
+    return F.coalesce(F.nullif(bare, F.lit("")), F.nullif(stripped(text), F.lit("")))
+
+
+def modal_letter(distribution: Column) -> Column:
+    """Letter of the first largest probability; null for an empty distribution."""
+    return F.char(64 + F.array_position(distribution, F.array_max(distribution)))
+
+
+def option_loss(q: Column, logits: Column, real: Column) -> Column:
+    """-Sum of q ln softmax(logits) over the real options; places of padding (real false) do not count."""
+    rows = F.filter(F.arrays_zip(q.alias("q"), logits.alias("x"), real.alias("real")), lambda r: r["real"])
+    top = F.array_max(F.transform(rows, lambda r: r["x"]))
+    lse = top + F.ln(F.aggregate(rows, F.lit(0.0), lambda s, r: s + F.exp(r["x"] - top)))
+    return F.aggregate(rows, F.lit(0.0), lambda s, r: s + r["q"] * (lse - r["x"]))
+
+
+def completion_logprob(logprobs: Column, valid: Column) -> Column:
+    """Sum over the valid tokens, not divided by their number."""
+    return F.aggregate(F.zip_with(logprobs, valid, lambda x, v: F.when(v, x).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
+
+
+def label_cross_entropy(true: Column, categories: Column, top: Column) -> Column:
+    """Cross-entropy over the categories, renormalised from the offered tokens (token, logprob).
+
+    A category takes the token equal to it, else the first token that holds it or that it holds,
+    else a log-probability of -100.
+    """
+
+    def found(c: Column) -> Column:
+        same = F.get(F.filter(top, lambda t: t["token"] == c), F.lit(0))["logprob"]
+        near = F.get(F.filter(top, lambda t: F.contains(t["token"], c) | F.contains(c, t["token"])), F.lit(0))["logprob"]
+        return F.exp(F.coalesce(same, near, F.lit(-100.0)))
+
+    return cross_entropy(true, renormalized(F.transform(categories, found)))
+
+
+def pick_run(runs: DataFrame, mode: str) -> DataFrame:
+    """The first run (by ordinal) of each model for a mode: 'all', 'with_reasoning' or 'without_reasoning'."""
+    fits = F.lit(True) if mode == "all" else F.col("reasoning") == (mode == "with_reasoning")
+    order = Window.partitionBy("model").orderBy("ordinal")
+    return runs.where(fits).withColumn("k", F.row_number().over(order)).where("k = 1").drop("k").withColumn("mode", F.lit(mode))
+
+
+def throughput(results: DataFrame, key: str, order: str, micros: Column, every: int = 10) -> DataFrame:
+    """(key, i, rate, eta): results per second so far and the seconds left, at every so many results; null while no time has passed."""
+    w = Window.partitionBy(key).orderBy(order)
+    whole = Window.partitionBy(key)
+    i, elapsed = F.row_number().over(w), (micros - F.min(micros).over(whole)) / 1e6
+    a = results.select(key, i.alias("i"), F.when(elapsed > 0, i / elapsed).alias("rate"), F.count(F.lit(1)).over(whole).alias("n"))
+    return a.where(F.col("i") % every == 0).select(key, "i", "rate", ((F.col("n") - F.col("i")) / F.col("rate")).alias("eta"))
+
+
+def tuned_pairs(results: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
+    """Each tuned model's first row per keys beside its base model's, as base_<value> and tuned_<value>; a missing base gives nulls.
+
+    results: (model, base_model, keys, order, values); a base model is its own base_model.
+    """
+    on = ["base_model", *keys]
+    first = results.withColumn("k", F.row_number().over(Window.partitionBy("model", *on).orderBy(order))).where("k = 1")
+    base = first.where("model = base_model").select(*on, *[F.col(v).alias(f"base_{v}") for v in values])
+    return first.where("model <> base_model").select("model", *on, *[F.col(v).alias(f"tuned_{v}") for v in values]).join(base, on, "left")
+
+
+def bad_letters(rows: DataFrame) -> DataFrame:
+    """The rows whose answer_tokens are not distinct single signs."""
+    single = F.forall("answer_tokens", lambda t: F.char_length(t) == 1)
+    return rows.where(F.col("answer_tokens").isNull() | ~single | (F.size(F.array_distinct("answer_tokens")) < F.size("answer_tokens")))
 
 
 def summary(results: DataFrame, keys: list[str]) -> DataFrame:

@@ -28,6 +28,9 @@ _ORACLES: dict[str, str] = {}
 #: (column_name, root): every column reachable over V above a half, itself included.
 LINKED = ", reach AS (SELECT column_name, column_name root FROM bat UNION SELECT r.column_name, s.partner FROM reach r JOIN sym s ON s.column_name=r.root WHERE s.v>0.5) "
 
+#: The walk by rank that takes a column if neither its battery nor its root was taken.
+WALK = LINKED + ", red AS (SELECT column_name, round(v,3) v FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY round(v,3) DESC, partner) k FROM sym) WHERE k=1), rk AS (SELECT column_name, battery, root, v, row_number() OVER (ORDER BY v DESC, column_name) rank FROM red JOIN bat USING (column_name) JOIN (SELECT column_name, min(root) root FROM reach GROUP BY 1) USING (column_name)), walk AS (SELECT 0::BIGINT i, []::INT[] bs, []::VARCHAR[] rs, NULL::VARCHAR picked UNION ALL SELECT i+1, CASE WHEN ok THEN list_append(bs, battery) ELSE bs END, CASE WHEN ok THEN list_append(rs, root) ELSE rs END, CASE WHEN ok THEN column_name END FROM (SELECT w.*, rk.*, NOT list_contains(w.bs, rk.battery) AND NOT list_contains(w.rs, rk.root) ok FROM walk w JOIN rk ON rk.rank=w.i+1)) "
+
 
 def query(name: str, sql: str | None = None, views: bool = True):
     def add(f):
@@ -277,7 +280,7 @@ def _(s, d):
     return CO.redundancy_components(V.batteries(s).select("column_name"), pairs_v(s, d))
 
 
-@query("W04_greedy_pick")
+@query("W04_greedy_pick", WALK + "SELECT column_name, battery, root, CAST(rank AS INT) AS rank FROM walk JOIN rk ON rk.column_name=walk.picked")
 def _(s, d):
     p = pairs_v(s, d)
     roots = CO.redundancy_components(V.batteries(s).select("column_name"), p)
@@ -306,7 +309,7 @@ def _(s, d):
     return m.select("conv_id", F.size("messages").cast("long").alias("turns"), F.array_join(F.transform("messages", lambda x: x["role"]), ",").alias("roles"))
 
 
-@query("T06_after_marker", "SELECT conv_id, turn, nullif(trim(text,' '),'') AS answer FROM conversations", False)
+@query("T06_after_marker", r"SELECT conv_id, turn, nullif(regexp_replace(text,'^\s+|\s+$','','g'),'') AS answer FROM conversations", False)
 def _(s, d):
     c = V.read(s, d, "conversations")
     return c.select("conv_id", "turn", SC.after_marker(F.when(F.col("turn") % 2 == 0, F.concat(F.lit("so </think> "), F.col("text"))).otherwise(F.col("text"))).alias("answer"))
@@ -628,3 +631,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracles() -> dict[str, str]:
     return dict(_ORACLES)
+
+
+from tessella.plans import items_and_runs  # noqa: E402, F401  (registers its queries)

@@ -95,18 +95,44 @@ def test_scores_and_text(spark):
         F.array_join(TX.lettered(F.array(F.lit("x"), F.lit("y"))), "|").alias("l"),
         TX.base_model(F.lit("m-nz-wvs-modal-overall")).alias("b"),
         TX.adapter_method(F.lit("m-nz-wvs-first_token-overall")).alias("ad"),
-        TX.run_subpopulation(F.lit("modal-overall-2026")).alias("s"),
+        TX.run_subpopulation(F.lit("modal-cluster_1-2026")).alias("s"),
         TX.user_prompt(F.lit("T"), F.lit("Q"), F.lit("S"), F.array(F.lit("o1"), F.lit("o2"))).alias("p"),
         CL.lenient_date(F.lit("20261340")).alias("bad"),
     ).first()
-    assert (one["a"], one["z"], one["m"], one["eq"], one["l"], one["b"], one["ad"], one["s"], one["bad"]) == ([0.25, 0.75], [0.0, 0.0], "yes", True, "A. x|B. y", "m", "first_token", "overall", None)
-    assert one["p"] == "T\no1\no2\nsub_question: S"
+    assert (one["a"], one["z"], one["m"], one["eq"], one["l"], one["b"], one["ad"], one["s"], one["bad"]) == ([0.25, 0.75], [0.0, 0.0], "yes", True, "A. x|B. y", "m", "first_token", "cluster_1", None)
+    assert one["p"] == "T\n\nOptions:\no1\no2\n\nS:"
+
+
+def test_answers_labels_and_losses(spark):
+    one = spark.range(1).select(
+        SC.after_marker(F.lit("a </think> b </think>\n c <|im_end|> ")).alias("first"),
+        SC.after_marker(F.lit("only thought </think>  ")).alias("fallback"),
+        SC.after_marker(F.lit(" \n ")).alias("empty"),
+        SC.modal_letter(F.array(F.lit(0.2), F.lit(0.4), F.lit(0.4))).alias("letter"),
+        SC.modal_letter(F.array().cast("array<double>")).alias("none"),
+        SC.option_loss(F.array(F.lit(0.5), F.lit(0.5), F.lit(0.0)), F.array(F.lit(1.0), F.lit(1.0), F.lit(50.0)), F.array(F.lit(True), F.lit(True), F.lit(False))).alias("loss"),
+        TX.adapter(F.lit("plain")).alias("plain"),
+        TX.adapter_label(F.lit("m-nz-wvs-full_string_distribution-cluster_1")).alias("label"),
+        TX.question_label(F.lit(7), F.lit("q" * 60), F.lit("")).alias("long"),
+        CL.short_label(F.lit("income_scale"), F.lit("Top{10}")).alias("income"),
+        CL.is_junk(F.lit(None).cast("string")).alias("junk"),
+        CL.column_kind(F.lit("date")).alias("kind"),
+    ).first()
+    assert (one["first"], one["fallback"], one["empty"], one["letter"], one["none"]) == ("b </think>\n c", "only thought </think>", None, "B", None)
+    assert abs(one["loss"] - 0.693147) < 1e-6
+    assert (one["plain"], one["label"], one["long"], one["income"], one["junk"], one["kind"]) == ("base", "Full string (cluster 1)", "Q7: " + "q" * 50, "$100K+", False, None)
+
+
+def test_fit_table(spark):
+    sweep = spark.createDataFrame([(1, -100.0, 1, 202.0, 205.0), (2, -90.0, 3, 186.0, 195.0), (3, -89.0, 5, 188.0, 203.0)], "k int, loglik double, parameters int, aic double, bic double")
+    got = {r["k"]: (r["aic_delta"], r["bic_delta"], r["best"], r["ratio"]) for r in LA.fit_table(sweep).collect()}
+    assert got == {1: (16.0, 10.0, 2, None), 2: (0.0, 0.0, 2, 20.0), 3: (2.0, 8.0, 2, 2.0)}
 
 
 def test_items_expand_only_matching_sub_questions(spark):
-    rows = [(1, "q", ["s1", "s2"], ["Q1", "Q2"]), (2, "r", ["s"], ["Q3", "Q4"]), (3, "t", [], ["Q5"])]
+    rows = [(1, "q", ["s1", "s2"], ["Q1", "Q2"]), (2, "r", ["s"], ["Q3", "Q4"]), (3, "t", [], ["Q5"]), (4, "u", [""], ["Q6"])]
     got = [(r["column_name"], r["sub_question"]) for r in CL.expand_items(spark.createDataFrame(rows, "id int, question string, sub_questions array<string>, column_names array<string>")).orderBy("column_name").collect()]
-    assert got == [("Q1", "s1"), ("Q2", "s2"), ("Q3", None), ("Q4", None), ("Q5", None)]
+    assert got == [("Q1", "s1"), ("Q2", "s2"), ("Q3", None), ("Q4", None), ("Q5", None), ("Q6", None)]
 
 
 def test_sources_and_sinks(spark, tmp_path):
