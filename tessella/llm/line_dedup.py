@@ -5,22 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialize
+from tessella.llm.common import WORD, materialize
 
 SPAN = 3
 
 
-def line_windows(docs: DataFrame, span: int = SPAN) -> DataFrame:
+def line_windows(docs: DataFrame, span: int = SPAN, over: int | None = None) -> DataFrame:
     """(doc_id, tie, first, last, hash): every run of span lines that hold a word.
 
+    With over, also every run of fewer lines that hold more than over words together.
+
     first and last are the places of the run's outer lines among all lines of the text. Blank lines
     between them belong to the run but not to its hash. tie tells texts with the same doc_id apart.
     """
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda y: y["x"].rlike(r"[^\x20\x09-\x0D]"))
     a = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("tie"), lines.alias("l"))
-    b = a.where(F.size("l") >= span).select("doc_id", "tie", F.col("l.i").alias("i"), F.transform("l", lambda y: F.xxhash64(y["x"])).alias("h"))
-    runs = F.transform(F.sequence(F.lit(1), F.size("h") - (span - 1)), lambda j: F.struct(F.element_at("i", j).alias("first"), F.element_at("i", j + (span - 1)).alias("last"), F.xxhash64(F.slice("h", j, span)).alias("hash")))
-    return b.select("doc_id", "tie", F.inline(runs))
+    least = span if over is None else 1
+    b = a.where(F.size("l") >= least).select("doc_id", "tie", F.col("l.i").alias("i"), F.transform("l", lambda y: F.xxhash64(y["x"])).alias("h"), *([] if over is None else [F.transform("l", lambda y: F.regexp_count(y["x"], F.lit(WORD))).alias("w")]))
+
+    def runs(n: int):
+        return F.transform(F.sequence(F.lit(1), F.size("h") - (n - 1)), lambda j: F.struct(F.element_at("i", j).alias("first"), F.element_at("i", j + (n - 1)).alias("last"), F.xxhash64(F.slice("h", j, n)).alias("hash"), *([] if over is None else [F.aggregate(F.slice("w", j, n), F.lit(0), lambda t, x: t + x).alias("words")])))
+
+    if over is None:
+        return b.select("doc_id", "tie", F.inline(runs(span)))
+    none = F.slice(runs(1), 1, 0)
+    every = [F.when(F.size("h") >= n, runs(n)).otherwise(none) for n in range(1, span + 1)]
+    every = [F.filter(r, lambda x: x["words"] > over) for r in every[:-1]] + every[-1:]
+    return b.select("doc_id", "tie", F.inline(F.concat(*every))).drop("words")
 
 
 def covered(windows: DataFrame) -> DataFrame:
@@ -40,18 +51,19 @@ def covered(windows: DataFrame) -> DataFrame:
     return merged.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
 
 
-def line_dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
+def line_dedup(docs: DataFrame, span: int = SPAN, over: int | None = None) -> DataFrame:
     """docs with later occurrences of repeated passages removed, plus n_lines and n_removed.
 
     A passage is a run of span lines with words, equal to a run found earlier in the corpus (by
     doc_id, then place); all lines that such runs cover go, with the blank lines between them. The
-    first occurrence stays. Texts of fewer lines, null and empty texts are unchanged. Rows that
+    first occurrence stays. With over, a run of fewer lines that hold more than over words is a passage
+    too; repeats that begin or end within a line stay. Texts of fewer lines, null and empty texts are unchanged. Rows that
     repeat with the same doc_id and text count as one document, so all of them are treated alike.
     A text that repeats whole under another doc_id becomes empty; its row stays. All columns of docs
     are kept; n_chars, where there is one, follows the new text. A text of one line is one line even
     if it is empty.
     """
-    windows = materialize(line_windows(docs.select("doc_id", "text"), span), "windows")
+    windows = materialize(line_windows(docs.select("doc_id", "text"), span, over), "windows")
     spans = materialize(covered(windows), "spans").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "spans")
     joined = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)], F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
     # a merge join at every size: the texts are shuffled once, by doc_id, and the plan does not change as the corpus grows
