@@ -17,7 +17,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 #: Weak parts: names of accounts or key ids, free-standing keys, addresses of services.
 IDENTIFIER = re.compile(r"(?:user(?:name)?|login|client_?id|account|key_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{3,})|(?:ASIA|AROA|AIDA)[A-Z0-9]{12,}", re.I | re.A)
-SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_=-])")
+#: A key may follow '=' directly, as in files of KEY=value lines and URL parameters.
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"(?:jdbc:[a-z]+|[a-z][a-z0-9+]{1,9})://[^\s\"'<>]{3,}|[a-z0-9.-]+\.amazonaws\.com\S*", re.A)
 SCOPE = 300
 
@@ -44,11 +45,12 @@ def weak_parts(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def linked_parts(base: list[tuple[str, int, int]], weak: list[tuple[str, int, int]], scope: int = SCOPE) -> list[tuple[str, int, int]]:
+def linked_parts(base: list[tuple[str, int, int]], weak: list[tuple[str, int, int]], scope: int = SCOPE, text: str = "") -> list[tuple[str, int, int]]:
     """Weak parts with a complement within scope code points: an interval join over sorted places.
 
-    A secret needs an identifier (or access id), an identifier or endpoint needs a secret (or a
-    complete assign or hex secret); an endpoint alone with an identifier shows nothing.
+    A secret needs an identifier (or access id) or an endpoint, an identifier or endpoint needs a
+    secret (or a complete assign or hex secret); an endpoint alone with an identifier shows nothing.
+    An address is no endpoint for a part of its own path, but for a parameter's value or a login in it.
     """
     role = {"access": 0, "identifier": 0, "assign": 1, "hex": 1, "secret": 1, "endpoint": 2}
     places: list[list[tuple[int, int, str]]] = [[], [], []]
@@ -60,17 +62,18 @@ def linked_parts(base: list[tuple[str, int, int]], weak: list[tuple[str, int, in
 
     def beside(s: int, e: int, other: int) -> bool:
         found = places[other]
+        path = other == 2 and not (text[s - 1 : s] == "=" or text[s - 1 : s] == ":" and text[s] != "/")
         for i in range(bisect_left(found, (s - scope - longest[other],)), len(found)):
             a, b, _ = found[i]
             if a > e + scope:
                 return False
-            if b >= s - scope and (a, b) != (s, e):
+            if b >= s - scope and (a, b) != (s, e) and not (path and a < e and s < b):
                 return True
         return False
 
-    wants = {"secret": 0, "identifier": 1, "endpoint": 1}
+    wants = {"secret": (0, 2), "identifier": (1,), "endpoint": (1,)}
     taken = [(s, e) for _, s, e in base]
-    return [(k, s, e) for k, s, e in weak if beside(s, e, wants[k]) and not any(a < e and s < b for a, b in taken)]
+    return [(k, s, e) for k, s, e in weak if any(beside(s, e, r) for r in wants[k]) and not any(a < e and s < b for a, b in taken)]
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
@@ -82,7 +85,7 @@ def scan_text(text: str | None, scope: int = SCOPE) -> tuple[list, list]:
     text = text or ""
     base = base_spans(text)
     weak = weak_parts(text)
-    return base, linked_parts(base, weak, scope) if weak else []
+    return base, linked_parts(base, weak, scope, text) if weak else []
 
 
 def secret_scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
