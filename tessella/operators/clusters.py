@@ -13,9 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.shared import stored
 from tessella.functions.text import keyed_uniform
 from tessella.operators import statistics as ST
-from tessella.operators.latent import _stored
 
 #: Level of a missing answer where missing is a level of its own.
 MISSING = -5.0
@@ -42,15 +42,15 @@ def k_modes(responses: DataFrame, k: int, starts: int = 3, rounds: int = 20, see
     to the mode with the fewest mismatches, then takes each cluster's commonest code (smallest on
     ties); it stops when the total cost no longer falls.
     """
-    rows = _stored(_levels(responses))
+    rows = stored(_levels(responses))
     best, least = None, math.inf
     for start in range(starts):
         draw = keyed_uniform(F.col("respondent_id"), seed=seed * 1000 + start)
         first = rows.select("respondent_id").distinct().withColumn("u", draw).orderBy("u", "respondent_id").limit(k)
         chosen = first.select("respondent_id", (F.row_number().over(Window.orderBy("u", "respondent_id")) - 1).alias("label"))
-        modes, last = _stored(rows.join(chosen, "respondent_id").select("column_name", "label", "code")), math.inf
+        modes, last = stored(rows.join(chosen, "respondent_id").select("column_name", "label", "code")), math.inf
         for _ in range(rounds):
-            found = _stored(_nearest_modes(rows, modes))
+            found = stored(_nearest_modes(rows, modes))
             cost = found.agg(F.sum("cost")).first()[0] or 0
             if cost < least:
                 best, least = found, cost
@@ -58,7 +58,7 @@ def k_modes(responses: DataFrame, k: int, starts: int = 3, rounds: int = 20, see
                 break
             last = cost
             counts = rows.join(found.select("respondent_id", "label"), "respondent_id").groupBy("label", "column_name", "code").agg(F.count(F.lit(1)).alias("n"))
-            modes = _stored(counts.groupBy("column_name", "label").agg(F.max_by("code", F.struct("n", -F.col("code"))).alias("code")))
+            modes = stored(counts.groupBy("column_name", "label").agg(F.max_by("code", F.struct("n", -F.col("code"))).alias("code")))
     return best if best is not None else found
 
 
@@ -177,7 +177,7 @@ def diagonal_mixture(vectors: DataFrame, k: int, rounds: int = 30, tolerance: fl
                 lse = top[:, 0] + np.log(np.exp(logs - top).sum(1))
                 yield pd.DataFrame({"id": b["id"], "features": b["features"], "probs": list(np.exp(logs - lse[:, None])), "loglik": lse})
 
-        post = _stored(vectors.mapInPandas(member, "id long, features array<double>, probs array<double>, loglik double"))
+        post = stored(vectors.mapInPandas(member, "id long, features array<double>, probs array<double>, loglik double"))
         loglik = post.agg(F.sum("loglik")).first()[0]
         rounds -= 1
         if rounds <= 0 or loglik - last <= tolerance * max(1.0, abs(loglik)):
@@ -225,7 +225,7 @@ def reassign_noise(labelled: DataFrame) -> DataFrame:
 
 def merge_single_members(labelled: DataFrame) -> DataFrame:
     """(id, features, label) in which clusters of one member have joined the nearest other centroid, smallest first, until none is left."""
-    now = _stored(labelled.select("id", "features", "label"))
+    now = stored(labelled.select("id", "features", "label"))
     while True:
         sizes = now.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
         state = sizes.agg(F.count(F.lit(1)).alias("k"), F.min(F.when(F.col("n") == 1, F.col("label"))).alias("single")).first()
@@ -234,7 +234,7 @@ def merge_single_members(labelled: DataFrame) -> DataFrame:
         at = _centroids(now).where(F.col("label") != state["single"]).select(F.col("label").alias("to"), "centroid")
         lone = now.where(F.col("label") == state["single"])
         to = lone.join(at).agg(F.min(F.struct(_distance(F.col("features"), F.col("centroid")).alias("gap"), "to")).alias("b")).first()["b"]["to"]
-        now = _stored(now.withColumn("label", F.when(F.col("label") == state["single"], F.lit(to)).otherwise(F.col("label"))))
+        now = stored(now.withColumn("label", F.when(F.col("label") == state["single"], F.lit(to)).otherwise(F.col("label"))))
 
 
 def compare_methods(responses: DataFrame, vectors: DataFrame, labels: dict[str, DataFrame]) -> DataFrame:

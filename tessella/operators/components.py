@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators.latent import _stored
+from tessella.functions.shared import stored
 
 
 def redundancy_components(columns: DataFrame, pairs: DataFrame, least: float = 0.5) -> DataFrame:
     """(column_name, root): columns linked by V above least share the smallest name reachable."""
     links = pairs.where(F.col("v") > least).select("a", "b")
-    both = _stored(links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    roots = _stored(columns.select("column_name", F.col("column_name").alias("root")))
+    both = stored(links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    roots = stored(columns.select("column_name", F.col("column_name").alias("root")))
     while True:
         reach = both.join(roots, both.b == roots.column_name).groupBy("a").agg(F.min("root").alias("r"))
         stepped = roots.join(reach, roots.column_name == reach.a, "left").select("column_name", F.least("root", F.coalesce("r", "root")).alias("root"))
         up = stepped.select(F.col("column_name").alias("c"), F.col("root").alias("up"))
-        following = _stored(stepped.join(up, stepped.root == up.c).select("column_name", F.least("root", "up").alias("root")))
+        following = stored(stepped.join(up, stepped.root == up.c).select("column_name", F.least("root", "up").alias("root")))
         if not following.join(roots, ["column_name", "root"], "left_anti").limit(1).count():
             return following
         roots = following
@@ -29,10 +29,10 @@ def greedy_pick(ranked: DataFrame) -> DataFrame:
     In rounds: whoever is first of what is left in both its battery and its root is taken; what
     shares either goes. This equals the walk, without a loop over rows.
     """
-    left, taken = _stored(ranked), None
+    left, taken = stored(ranked), None
     while left.limit(1).count():
         first = left.withColumn("b1", F.min("rank").over(Window.partitionBy("battery"))).withColumn("r1", F.min("rank").over(Window.partitionBy("root")))
-        now = _stored(first.where("rank = b1 and rank = r1").drop("b1", "r1"))
+        now = stored(first.where("rank = b1 and rank = r1").drop("b1", "r1"))
         taken = now if taken is None else taken.unionByName(now)
-        left = _stored(left.join(now.select("battery").distinct(), "battery", "left_anti").join(now.select("root").distinct(), "root", "left_anti").select(*ranked.columns))
+        left = stored(left.join(now.select("battery").distinct(), "battery", "left_anti").join(now.select("root").distinct(), "root", "left_anti").select(*ranked.columns))
     return taken if taken is not None else left

@@ -3,28 +3,15 @@
 from __future__ import annotations
 
 import math
-import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.shared import discard, stored
 from tessella.functions.text import inverse_cdf, keyed_uniform
 from tessella.operators.statistics import adjusted_rand
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = os.path.join(base, f"tessella-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _paired(a: DataFrame, b: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return a.join(b, list(by)) if by else a.join(b)
 
@@ -72,13 +59,17 @@ def fit_many(responses: DataFrame, k: int, by: tuple[str, ...] = (), weight: Col
     post = ids.withColumn("u", start).withColumn("p", F.col("u") / F.sum("u").over(Window.partitionBy(*who))).drop("u")
     times = weight if weight is not None else F.lit(1.0)
     last: dict[tuple, float] = {}
+    parameters = priors = None
     for _ in range(rounds):
-        parameters, priors = (_stored(x) for x in maximise(responses, post, by, weight))
-        post = _stored(posteriors(responses, parameters, priors, by))
+        before = (parameters, priors, post)
+        parameters, priors = (stored(x) for x in maximise(responses, post, by, weight))
+        post = stored(posteriors(responses, parameters, priors, by))
+        discard(*before)
         now = {tuple(r[c] for c in by): r["ll"] or 0.0 for r in post.where("class = 0").groupBy(*by).agg(F.sum(F.col("loglik") * times).alias("ll")).collect()}
         if all(v - last.get(f, -math.inf) <= tolerance * max(1.0, abs(v)) for f, v in now.items()):
             break
         last = now
+    discard(post)
     return parameters, priors, now
 
 
@@ -148,7 +139,7 @@ def bootstrap_ratio_test(responses: DataFrame, k: int, replicates: int = 30, rou
     parameters, priors, few = fit_latent_classes(responses, k, rounds, seed=seed)
     _, _, more = fit_latent_classes(responses, k + 1, rounds, seed=seed)
     ids = responses.select("respondent_id").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    drawn = _stored(simulate(parameters, priors, ids, by, seed))
+    drawn = stored(simulate(parameters, priors, ids, by, seed))
     _, _, a = fit_many(drawn, k, by, None, rounds, seed=seed)
     _, _, b = fit_many(drawn, k + 1, by, None, rounds, seed=seed)
     observed = 2 * (more - few)

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as TX
+from tessella.functions.shared import new_path
 from tessella.operators import cleaning as CL
 from tessella.operators import components as CO
 from tessella.operators import latent as LA
@@ -24,11 +21,7 @@ from tessella.streaming import monitor
 
 def folder(s: SparkSession) -> str:
     """A new place in the folder that all executors share."""
-    base = s.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tessella-")
-        s.conf.set("spark.checkpoint.dir", base)
-    return os.path.join(base, f"tessella-{uuid.uuid4().hex}")
+    return new_path(s, "files")
 
 
 # ------------------------------------------------------------------ question items
