@@ -1,47 +1,51 @@
-"""Pieces that several operators share: tables in the shared folder, word splitting, calibration."""
+"""Pieces that several operators share: word splitting, rows of any column names, calibration."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions.shared import discard, stored as materialize  # noqa: F401
+
 #: Words are maximal runs of anything but these six ASCII white-space characters.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a new one where that is unset (local mode)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+def beside(docs: DataFrame) -> DataFrame:
+    """docs with its columns called _0, _1, ..., so that none clashes with what is joined to them."""
+    return docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)])
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again.
+def named(numbered: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs under their own names, from a frame that holds them as beside() calls them."""
+    return numbered.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
-    This cuts the lineage: what is read later survives the loss of any executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessella-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.shared_path = path
-    return out
+
+def place_of(docs: DataFrame, column: str) -> Column:
+    """The column of docs in what beside() makes of it."""
+    return F.col(f"_{docs.columns.index(column)}")
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that materialize() wrote, once nothing reads it any more."""
-    spark, path = df.sparkSession, df.shared_path
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, of which one row of each group stays.
+
+    groups: (doc_id, tie, g) for every row of docs, tie being xxhash64 of the text. The smallest
+    doc_id of a group stays (null last, then by tie); of rows that repeat with the same doc_id and
+    text one stays.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
+    groups = materialize(groups.select("g", order.alias("x")), "groups")
+    first = groups.groupBy("g").agg(F.min("x").alias("first"))
+    gone = groups.join(first, "g").where("x <> first").select(F.col("x.doc_id").alias("gone"), F.col("x.tie").alias("gone_tie")).distinct()
+    again = groups.groupBy("x").count().where("count > 1").limit(1).count()
+    rows = beside(docs).withColumn("tie", F.xxhash64(place_of(docs, "text")))
+    who = place_of(docs, "doc_id")
+    out = rows.join(materialize(gone, "gone"), who.eqNullSafe(F.col("gone")) & (F.col("tie") == F.col("gone_tie")), "left_anti")
+    return named(out.dropDuplicates([f"_{docs.columns.index('doc_id')}", "tie"]) if again else out, docs)
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -62,9 +66,18 @@ def id_crc(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))
 
 
-def extra_free(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Only the named columns, so that others with clashing names do no harm."""
-    return df.select(*columns)
+#: Bytes of text that a task splits at once; a longer text is split alone.
+AT_ONCE = 32_000_000
+
+
+def in_portions(texts: pa.Array, most: int = AT_ONCE):
+    """(first row, rows) of an Arrow batch with at most so many bytes of text each; a longer text stands alone."""
+    size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < len(texts):
+        n = max(1, int(np.searchsorted(np.cumsum(size[at:]), most, side="right")))
+        yield at, texts.slice(at, n)
+        at += n
 
 
 # ---------------------------------------------------------------- isotonic calibration
@@ -89,12 +102,12 @@ def score_bin(raw: Column) -> Column:
     return F.least(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)) * BINS), F.lit(BINS - 1)).cast("int")
 
 
-def fit_isotonic(scored: DataFrame, raw: str, label: str) -> list[float]:
+def fit_isotonic(scored: DataFrame, raw: str, label: str, lean: float = 0.5) -> list[float]:
     """Calibrated probability for each of BINS bins of a raw score.
 
     The labelled rows are counted by bin in Spark; only the counts (BINS rows at most) reach the
-    driver. Each bin's level leans a little towards the overall rate, so that a few rows do not
-    give a certainty. Without rows every bin gets 0.5.
+    driver. Each level leans towards the overall rate by lean rows' worth, so that one row alone
+    does not give a certainty. Without rows every bin gets 0.5.
     """
     rows = scored.groupBy(score_bin(F.col(raw)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("double")).alias("pos")).collect()
     if not rows:
@@ -104,10 +117,9 @@ def fit_isotonic(scored: DataFrame, raw: str, label: str) -> list[float]:
     n, pos = np.array([r["n"] for r in rows], float), np.array([r["pos"] for r in rows], float)
     prior = (pos.sum() + 1) / (n.sum() + 2)
     fitted = pool_adjacent(pos / n, n)
-    # weight of each pooled level, to lean it towards the prior by two rows' worth
     for level in np.unique(fitted):
         on = fitted == level
-        fitted[on] = (level * n[on].sum() + 2 * prior) / (n[on].sum() + 2)
+        fitted[on] = (level * n[on].sum() + lean * prior) / (n[on].sum() + lean)
     fitted = np.maximum.accumulate(fitted)
     return [float(x) for x in np.interp(np.arange(BINS), at, fitted)]
 

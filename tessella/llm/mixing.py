@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialize, shuffle_width, word_count
+from tessella.llm.common import beside, materialize, named, place_of, shuffle_width, word_count
 
 ROWS_PER_BUCKET = 100_000
 
@@ -48,8 +48,8 @@ def fair_mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5
 
     Running sums are made in two steps, sums of buckets first, so neither a source with a third of
     all rows nor the whole order ever meets in one task. Reruns agree. Rows that repeat queue one
-    after the other; documents of size 0 are never taken; null is a source of its own; empty tables
-    give no rows. Other columns are not read.
+    after the other; documents of size 0 are never taken; null is a source of its own; a null doc_id
+    is an id like others; empty tables give no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     rows = materialize(docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "sizes")
@@ -60,7 +60,7 @@ def fair_mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5
     buckets = max(1, shuffle_width(spark), -(-n // ROWS_PER_BUCKET))
 
     # finish times: place of a row = words of earlier buckets of its source + words before it in its bucket
-    key = F.md5(F.col("doc_id").cast("string"))
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     lot = rows.where("size > 0").withColumn("u", key).withColumn("part", (F.conv(F.substring("u", 1, 8), 16, 10).cast("long") * buckets / F.lit(2**32)).cast("long"))
     sums = lot.groupBy("source", "part").agg(F.sum("size").alias("s"))
     ahead = sums.withColumn("ahead", F.coalesce(F.sum("s").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("s")
@@ -86,7 +86,28 @@ def fair_mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5
     copies = taken.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("c"))
     same = Window.partitionBy("doc_id", "source", "size")
     ranked = rows.withColumn("r", F.row_number().over(same.orderBy("doc_id"))).withColumn("m", F.count(F.lit(1)).over(same))
-    out = ranked.alias("r").join(copies.alias("c"), (F.col("r.doc_id") == F.col("c.doc_id")) & F.col("r.source").eqNullSafe(F.col("c.source")) & (F.col("r.size") == F.col("c.size")), "left")
+    out = ranked.alias("r").join(copies.alias("c"), F.col("r.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("r.source").eqNullSafe(F.col("c.source")) & (F.col("r.size") == F.col("c.size")), "left")
     out = out.select("r.doc_id", "r.size", "r.source", F.coalesce(F.floor((F.col("c") + F.col("m") - F.col("r")) / F.col("m")), F.lit(0)).cast("long").alias("copies"))
     out = out.join(targets.withColumnRenamed("source", "t_"), F.col("source").eqNullSafe(F.col("t_")), "left")
     return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def take_mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
+    """The rows of docs, all columns, each as many times as the mix takes it.
+
+    Rows are told apart by doc_id, source and size; the copies taken of several rows with the same
+    three are dealt among them in the order of their texts' hashes. Nulls are values of their own.
+    """
+    turns = fair_mix(docs, weights, share, most).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("m"))
+    turns = materialize(turns.where("copies > 0"), "chosen")
+    rows = beside(docs).withColumn("words", word_count(place_of(docs, "text")))
+    who, source = place_of(docs, "doc_id"), place_of(docs, "source").cast("string")
+    out = rows.join(turns.hint("merge"), who.eqNullSafe(F.col("doc_id")) & source.eqNullSafe(F.col("source")) & (F.col("words") == F.col("size")))
+    n = F.col("copies")
+    if turns.where("copies % m <> 0").limit(1).count():
+        r = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.xxhash64(place_of(docs, "text"))))
+        n = F.floor((F.col("copies") + F.col("m") - r) / F.col("m"))
+    else:
+        n = n / F.col("m")
+    out = out.withColumn("turns", n.cast("int")).where("turns > 0")
+    return named(out.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("turns")))), docs)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialize
+from tessella.llm.common import materialize, one_of_each
 from tessella.llm.graph import components
 
 BITS = 64
@@ -32,15 +32,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp as signed long) for every row."""
+    """(doc_id, tie, fp as signed long) for every row; tie tells texts with the same doc_id apart."""
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t, shingle) for t in b.column(2).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["doc_id", "tie", "fp"])
 
-    docs = docs.select("doc_id", "text")
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(run, f"doc_id {kind}, tie long, fp long")
 
 
 def near_pairs(prints: DataFrame, most: int = 2) -> DataFrame:
@@ -87,27 +87,34 @@ def near_pairs(prints: DataFrame, most: int = 2) -> DataFrame:
     return a.join(b, on & ring & (F.bit_count(diff) <= most)).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
 
 
+def linked_prints(prints: DataFrame, most: int) -> DataFrame:
+    """(fp, component_id) for every fingerprint: the smallest doc_id reachable by links, null where all are null."""
+    every = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "nodes")
+    found = materialize(components(near_pairs(every.select("fp", F.col("fp").alias("rep")), most)), "components")
+    rooted = every.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("root"), "id")
+    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    return rooted.select("fp", "root").join(least, "root")
+
+
 def simhash_classes(docs: DataFrame, most: int = 2, shingle: int = 3) -> DataFrame:
     """One row per row of docs: doc_id, fp, component_id (smallest doc_id reachable by links).
 
     Equal fingerprints are one node, so a group of copies of any size costs one row per key. Null
     and empty texts have fingerprint zero and are linked like any other. Rows that repeat get equal
-    results; an empty table gives no rows; other columns are not read.
+    results; a null doc_id names no class; an empty table gives no rows; other columns are not read.
     """
     prints = materialize(fingerprints(docs, shingle), "prints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    found = materialize(components(near_pairs(nodes, most)), "components")
-    moved = nodes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(moved, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    classes = materialize(linked_prints(prints, most), "classes").select(F.col("fp").alias("print"), "component_id")
+    return prints.join(classes, F.col("fp") == F.col("print")).select("doc_id", "fp", "component_id")
 
 
 def simhash_dedup(docs: DataFrame, most: int = 2, shingle: int = 3) -> DataFrame:
     """The rows of docs, all columns, of which one document of each near-duplicate group stays.
 
-    The smallest doc_id of a group stays. Of rows that repeat with that doc_id one stays.
+    The smallest doc_id of a group stays (null last, then by text), whatever other texts have the
+    same doc_id; of rows that repeat with that doc_id and text one stays. Null and empty texts are
+    alike. An empty table gives no rows.
     """
-    classes = materialize(simhash_classes(docs, most, shingle), "classes")
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    again = classes.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    out = docs.join(materialize(gone, "gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
-    return out.dropDuplicates(["doc_id"]) if again else out
+    prints = materialize(fingerprints(docs, shingle), "prints")
+    classes = materialize(linked_prints(prints, most), "classes").select(F.col("fp").alias("print"), F.col("root").alias("g"))
+    return one_of_each(docs, prints.join(classes, F.col("fp") == F.col("print")).select("doc_id", "tie", "g"))
