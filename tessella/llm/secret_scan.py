@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,9 +18,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 #: Weak parts: names of accounts or key ids, free-standing keys, addresses of services.
 IDENTIFIER = re.compile(r"(?:user(?:name)?|login|client_?id|account|key_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{3,})|(?:ASIA|AROA|AIDA)[A-Z0-9]{12,}", re.I | re.A)
+#: Long runs of signs are looked at once, from where they begin, so texts of any length take time in proportion.
 #: A key may follow '=' directly, as in files of KEY=value lines and URL parameters.
 SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"(?:jdbc:[a-z]+|[a-z][a-z0-9+]{1,9})://[^\s\"'<>]{3,}|[a-z0-9.-]+\.amazonaws\.com\S*", re.A)
+ENDPOINT = re.compile(r"(?:jdbc:[a-z]+|[a-z][a-z0-9+]{1,9})://[^\s\"'<>]{3,}|(?<![a-z0-9.-])[a-z0-9.-]+\.amazonaws\.com\S*", re.A)
 SCOPE = 300
 
 
@@ -45,6 +47,17 @@ def weak_parts(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+class Places:
+    """Spans of one role, asked how many of them a stretch meets, by two searches in sorted ends."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.ends, self.same = sorted(s for s, _ in spans), sorted(e for _, e in spans), Counter(spans)
+
+    def met(self, s: int, e: int) -> int:
+        """Spans that reach from s on, up to e, both included; all that end before s also begin before it."""
+        return bisect_right(self.starts, e) - bisect_left(self.ends, s)
+
+
 def linked_parts(base: list[tuple[str, int, int]], weak: list[tuple[str, int, int]], scope: int = SCOPE, text: str = "") -> list[tuple[str, int, int]]:
     """Weak parts with a complement within scope code points: an interval join over sorted places.
 
@@ -53,27 +66,22 @@ def linked_parts(base: list[tuple[str, int, int]], weak: list[tuple[str, int, in
     An address is no endpoint for a part of its own path, but for a parameter's value or a login in it.
     """
     role = {"access": 0, "identifier": 0, "assign": 1, "hex": 1, "secret": 1, "endpoint": 2}
-    places: list[list[tuple[int, int, str]]] = [[], [], []]
+    spans: list[list[tuple[int, int]]] = [[], [], []]
     for kind, s, e in base + weak:
-        places[role[kind]].append((s, e, kind))
-    for p in places:
-        p.sort()
-    longest = [max((e - s for s, e, _ in p), default=0) for p in places]
-
-    def beside(s: int, e: int, other: int) -> bool:
-        found = places[other]
-        path = other == 2 and not (text[s - 1 : s] == "=" or text[s - 1 : s] == ":" and text[s] != "/")
-        for i in range(bisect_left(found, (s - scope - longest[other],)), len(found)):
-            a, b, _ = found[i]
-            if a > e + scope:
-                return False
-            if b >= s - scope and (a, b) != (s, e) and not (path and a < e and s < b):
-                return True
-        return False
+        spans[role[kind]].append((s, e))
+    places = [Places(p) for p in spans]
+    taken = Places([(s, e) for _, s, e in base])
+
+    def has(s: int, e: int, other: int) -> bool:
+        p = places[other]
+        if other == 2 and not (text[s - 1 : s] == "=" or text[s - 1 : s] == ":" and text[s] != "/"):
+            # only addresses beside the part: one that ends up to scope before it, or begins up to scope behind it
+            before = bisect_right(p.ends, s) - bisect_left(p.ends, s - scope)
+            return before > 0 or bisect_right(p.starts, e + scope) > bisect_left(p.starts, e)
+        return p.met(s - scope, e + scope) > p.same[(s, e)]
 
     wants = {"secret": (0, 2), "identifier": (1,), "endpoint": (1,)}
-    taken = [(s, e) for _, s, e in base]
-    return [(k, s, e) for k, s, e in weak if any(beside(s, e, r) for r in wants[k]) and not any(a < e and s < b for a, b in taken)]
+    return [(k, s, e) for k, s, e in weak if any(has(s, e, r) for r in wants[k]) and not taken.met(s + 1, e - 1)]
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
