@@ -1,10 +1,11 @@
 """Allow and block rules for urls by a sort-merge range join [native: DataFrame functions only].
 
-A host is written in reverse ("com.example.www."), so all its subdomains share a prefix; a rule is
-then an interval of keys, host first and path after it. Intervals of prefixes are nested or apart.
-Sorted together, the borders of the rules and the keys of the urls are swept once: a border carries
-the rule on top of the stack from there on (the rule itself where it opens, the rule around it where
-it closes), and a url's rule is the top that the last border before it left.
+A host is written in reverse ("com.example.www."), so all its subdomains share a prefix; a rule's
+host is then an interval of keys, and so is a path behind one host. Intervals of prefixes are nested
+or apart. Sorted together, the borders of the intervals and the keys asked about are swept once: a
+border that opens puts its rule on the stack of active rules, one that closes takes it off again, and
+a key's rules are what the stack holds when the sweep comes to it. Urls' hosts are swept against the
+rules' hosts, then paths within the hosts so found against the rules' paths.
 """
 
 from __future__ import annotations
@@ -33,22 +34,43 @@ def reversed_host(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
 
-def rule_key(host: Column, path: Column) -> Column:
-    return F.concat(reversed_host(host).cast("binary"), F.expr(PART), path.cast("binary"))
+def _cuts(asked: DataFrame) -> list[bytes]:
+    """Keys that cut the asked ones into ranges: quantiles of a bounded sample, the same in each run."""
+    ranges = max(1, min(MOST_RANGES, max(shuffle_width(asked.sparkSession), -(-asked.count() // ROWS_PER_RANGE))))
+    sample = asked.select("key").orderBy(F.xxhash64("key")).limit(min(20 * ranges, 20_000)).collect()
+    keys = sorted(bytes(r["key"]) for r in sample)
+    return sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else []
 
 
-def borders(rules: DataFrame) -> DataFrame:
-    """(key, kind 0, top): where a rule opens or closes, and the rule on top of the stack from there.
+def swept(rules: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked with `stack`: what the rules carry whose keys are prefixes of the asked key, outermost first.
 
-    The rule around another is found by an equi-join on all proper prefixes of its key, so no rule is
-    compared with all others.
+    rules: (key binary, load), each key once. asked: each key once, so no range is larger than its
+    share. Each range of keys is swept by itself; it begins with the rules open at its cut, which are
+    those on a prefix of the cut. The stack's levels are the last rules opened at each depth, up to
+    the depth now; their number is that of the deepest nesting among the rules.
     """
-    r = rules.withColumn("key", rule_key(F.col("r_host"), F.col("r_path"))).select("key", F.struct("rule", "verdict", F.length("key").alias("size")).alias("top"))
-    prefixes = r.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda i: F.substring("key", F.lit(1), i - 1))).alias("around"))
-    parent = prefixes.join(r.select(F.col("key").alias("around"), F.col("top").alias("up")), "around").groupBy("key").agg(F.max_by("up", F.length("around")).alias("up"))
-    none = F.struct(F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), F.lit(0).alias("size"))
-    close = r.join(parent, "key", "left").select(F.concat("key", F.expr(CLOSE)).alias("key"), F.coalesce("up", none).alias("top"))
-    return r.unionByName(close)
+    spark = asked.sparkSession
+    cuts = _cuts(asked)
+    bucket = _range_of(cuts)
+    kind = lambda k, step: [F.lit(k).alias("kind"), F.lit(step).alias("step")]
+    size = F.length("key").alias("size")
+    opens = rules.select(bucket(F.col("key")).alias("bucket"), F.col("key").alias("at"), *kind(1, 1), size, "load")
+    ends = F.concat("key", F.expr(CLOSE))
+    closes = rules.select(bucket(ends).alias("bucket"), ends.alias("at"), *kind(0, -1), size, "load")
+    starts = spark.range(1).select(F.posexplode(_literal(cuts)).alias("i", "cut")).select((F.col("i") + 1).alias("bucket"), "cut")
+    around = starts.where(F.length("cut") > 0).select("bucket", F.explode(F.transform(F.sequence(F.lit(0), F.length("cut") - 1), lambda i: F.substring("cut", F.lit(1), i))).alias("prefix"))
+    carried = rules.join(around, rules["key"] == around["prefix"]).select("bucket", F.expr("X''").alias("at"), *kind(-1, 1), size, "load")
+    edges = materialize(opens.unionByName(closes).unionByName(carried), "borders")
+    sweep = Window.partitionBy("bucket").orderBy("at", "kind", "size").rowsBetween(Window.unboundedPreceding, 0)
+    deepest = edges.withColumn("depth", F.sum("step").over(sweep)).agg(F.max("depth")).first()[0] or 0
+    extra = [c for c in asked.columns if c != "key"]
+    keys = asked.select(bucket(F.col("key")).alias("bucket"), F.col("key").alias("at"), *kind(2, 0), F.lit(0).alias("size"), F.lit(None).cast(edges.schema["load"].dataType).alias("load"), *extra)
+    events = edges.select("*", *[F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in extra]).unionByName(keys).withColumn("depth", F.sum("step").over(sweep))
+    levels = [F.last(F.when((F.col("step") == 1) & (F.col("depth") == i), F.col("load")), ignorenulls=True).over(sweep).alias(f"level{i}") for i in range(1, deepest + 1)]
+    events = events.select("kind", "depth", F.col("at").alias("key"), *extra, *levels).where("kind = 2 and depth > 0")
+    stack = F.slice(F.array(*[F.col(f"level{i}") for i in range(1, deepest + 1)]), F.lit(1), F.col("depth").cast("int")) if deepest else F.array().cast(f"array<{rules.schema['load'].dataType.simpleString()}>")
+    return events.select("key", *extra, stack.alias("stack"))
 
 
 def canonical_rules(rules: DataFrame) -> DataFrame:
@@ -63,57 +85,45 @@ def canonical_rules(rules: DataFrame) -> DataFrame:
 def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """One row per row of pages: page_id, host, path, rule, verdict.
 
-    The longest rule that fits wins; urls that none fits, null urls and urls without "://" get the
-    default verdict and a null rule. Different (host, path) pairs are swept once and joined back, so
-    a host or url that fills a third of the rows is summed before the shuffle. Ranges are cut at keys
-    from a bounded sample. An empty table of pages gives no rows; without rules all get the default.
-    Other columns of pages are not read.
+    The longest rule that fits wins (of equally long ones block, then the later by name); urls that
+    none fits, null urls and urls without "://" get the default verdict and a null rule. Only
+    different hosts are swept, then only different pairs of a rule's host and a path, so a host, a
+    path or a url that fills a third of the rows is one key; verdicts go back to the rows by merge
+    joins, whose large partitions the adaptive planner splits. Urls of any length are keys like
+    others. An empty table of pages gives no rows; without rules all get the default. Other columns
+    of pages are not read.
     """
-    spark = pages.sparkSession
     host, path = split_url(F.col("url"))
     judged = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule = materialize(canonical_rules(rules), "rules")
-    names = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(names)), lambda i: F.array_join(F.slice(names, i, F.size(names)), "."))
-    asked = judged.select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("r_host"))
-    asked = asked.join(rule.select("r_host").distinct(), "r_host", "left_semi").select("host", "path", rule_key(F.col("r_host"), F.col("path")).alias("key"))
+    hosts = materialize(judged.select("host").distinct().select("host", reversed_host(F.col("host")).cast("binary").alias("key")), "hosts")
+    names = rule.select("r_host").distinct().select(reversed_host(F.col("r_host")).cast("binary").alias("key"), F.col("r_host").alias("load"))
+    active = materialize(swept(names, hosts).select("host", "stack"), "stacks")
+    asked = judged.select("host", "path").distinct().join(active.hint("merge"), "host").select("host", "path", F.explode("stack").alias("r_host"))
     asked = materialize(asked, "asked")
-    n = asked.count()
-    ranges = max(1, min(MOST_RANGES, max(shuffle_width(spark), -(-n // ROWS_PER_RANGE))))
-    # the cuts: quantiles of a bounded sample, the same in each run
-    sample = asked.select("key").orderBy(F.xxhash64("key")).limit(min(20 * ranges, 20_000)).collect()
-    keys = sorted(bytes(r["key"]) for r in sample)
-    cuts = sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else []
-    bucket = _range_of(cuts)
-    edge = materialize(borders(rule).withColumn("bucket", bucket(F.col("key"))), "borders")
-    # what is on top of the stack where a range begins: the last border before it
-    start = spark.range(len(cuts)).select((F.col("id") + 1).cast("int").alias("bucket"))
-    ends = edge.groupBy("bucket").agg(F.max_by("top", "key").alias("top")).withColumn("bucket", F.col("bucket") + 1)
-    carried = start.join(ends, "bucket", "left").withColumn("top", F.last("top", ignorenulls=True).over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
-    none = F.lit(None).cast("string")
-    events = edge.select("bucket", "key", F.lit(1).alias("kind"), "top", none.alias("host"), none.alias("path"))
-    events = events.unionByName(carried.where("top is not null").select("bucket", F.expr("X''").alias("key"), F.lit(0).alias("kind"), "top", none.alias("host"), none.alias("path")))
-    events = events.unionByName(asked.select(bucket(F.col("key")).alias("bucket"), "key", F.lit(2).alias("kind"), F.lit(None).cast(edge.schema["top"].dataType).alias("top"), "host", "path"))
-    sweep = Window.partitionBy("bucket").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    hit = events.withColumn("top", F.last("top", ignorenulls=True).over(sweep)).where("kind = 2 and top.rule is not null")
-    best = materialize(hit.groupBy("host", "path").agg(F.max_by("top", "top.size").alias("top")), "verdicts")
-    out = judged.join(best, ["host", "path"], "left")
+    key = lambda h, p: F.concat(reversed_host(h).cast("binary"), F.expr(PART), p.cast("binary"))
+    known = rule.select(key(F.col("r_host"), F.col("r_path")).alias("key"), F.struct(F.char_length("rule").alias("size"), "verdict", "rule").alias("load"))
+    pairs = materialize(asked.select("r_host", "path").distinct().withColumn("key", key(F.col("r_host"), F.col("path"))), "pairs")
+    found = materialize(swept(known, pairs).select("r_host", "path", F.try_element_at("stack", F.lit(-1)).alias("top")), "found")
+    best = asked.join(found.hint("merge"), ["r_host", "path"]).groupBy("host", "path").agg(F.max("top").alias("top"))
+    out = judged.join(materialize(best, "verdicts").hint("merge"), ["host", "path"], "left")
     return out.select("page_id", "host", "path", F.col("top.rule").alias("rule"), F.coalesce("top.verdict", F.lit(default)).alias("verdict"))
 
 
+def _literal(keys: list[bytes]) -> Column:
+    return F.array(*[F.expr(f"X'{x.hex()}'") for x in keys]) if keys else F.array().cast("array<binary>")
+
+
 def _range_of(cuts: list[bytes]):
     """Number of cuts at or below a key, by a search in two steps over at most 64 keys each."""
     step = max(1, int(len(cuts) ** 0.5))
     coarse = cuts[::step]
 
-    def literal(xs: list[bytes]) -> Column:
-        return F.array(*[F.expr(f"X'{x.hex()}'") for x in xs]) if xs else F.array().cast("array<binary>")
-
     def bucket(key: Column) -> Column:
         if not cuts:
             return F.lit(0)
-        block = F.size(F.filter(literal(coarse), lambda c: c <= key))
-        fine = F.filter(F.slice(literal(cuts), F.greatest((block - 1) * step + 1, F.lit(1)), step), lambda c: c <= key)
+        block = F.size(F.filter(_literal(coarse), lambda c: c <= key))
+        fine = F.filter(F.slice(_literal(cuts), F.greatest((block - 1) * step + 1, F.lit(1)), step), lambda c: c <= key)
         return F.when(block == 0, F.lit(0)).otherwise((block - 1) * step + F.size(fine)).cast("int")
 
     return bucket
