@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tessella.llm.common import BINS, fit_isotonic, id_crc, materialize
 
 N_STATS = 16
+#: Matrices that one task adds up.
+FAN = 16
 
 
 def text_stats(text: str | None) -> list[float]:
@@ -92,7 +94,7 @@ class QualityModel:
 
 
 def _normal_equations(rows: DataFrame, model: QualityModel) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of z z' and z y over all rows: summed in each partition, then in a few, then on the driver."""
+    """Sum of z z' and z y over all rows: in each partition, then FAN of these at a time until few are left, which the driver adds."""
     size = 1 + N_STATS + model.w.shape[1]
 
     def part(batches):
@@ -112,8 +114,13 @@ def _normal_equations(rows: DataFrame, model: QualityModel) -> tuple[np.ndarray,
                 total += np.frombuffer(m).reshape(size, size + 1)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["m"])
 
-    parts = rows.select("x", "label").mapInArrow(part, "m binary").repartition(8).mapInArrow(add, "m binary").collect()
-    total = sum(np.frombuffer(r["m"]).reshape(size, size + 1) for r in parts)
+    parts = rows.select("x", "label")
+    left = parts.rdd.getNumPartitions()
+    parts = parts.mapInArrow(part, "m binary")
+    while left > FAN:
+        left = -(-left // FAN)
+        parts = parts.repartition(left).mapInArrow(add, "m binary")
+    total = sum((np.frombuffer(r["m"]).reshape(size, size + 1) for r in parts.collect()), np.zeros((size, size + 1)))
     return total[:, :-1], total[:, -1]
 
 
