@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -10,14 +11,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialize, shuffle_width
-
-CUT = re.compile(r"[ \t\r\n]+")
-
+from tessella.llm.common import in_portions, materialize, shuffle_width
 
+#: The form of vocabulary whose ids are those of the runs between blanks, one after the other: it
+#: drops white space and never joins across it. Its two settings, as its file must hold them.
+RUNS_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+RUNS_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Runs of these signs take the short way: lower-casing and composing them is plain, and the
 #: vocabulary splits them into contractions, letters, single digits and other signs.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
@@ -38,18 +41,17 @@ class PartIds(dict):
         self.model = model
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) > 200_000:
+        if len(self) > 400_000:
             self.clear()
         out = self[part] = array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
         return out
 
 
-class WordIds(dict):
+class RunIds(dict):
     """The token ids of a run without blanks, as bytes; kept for the runs seen.
 
-    The vocabulary drops white space and never joins across it, so the ids of a text are those of
-    its runs, one after the other. Runs of plain signs are split here and their parts given to the
-    tokenizer's model; all others, and those that may hold a special token, to the whole tokenizer.
+    Runs of plain signs are split here and their parts given to the tokenizer's model; all others,
+    and those that may hold a special token, to the whole tokenizer.
     """
 
     def __init__(self, tokenizer):
@@ -57,9 +59,11 @@ class WordIds(dict):
         self.tokenizer, self.parts, self.letters = tokenizer, PartIds(tokenizer.model), byte_letters()
 
     def __missing__(self, run: str) -> bytes:
-        if len(self) > 300_000:
+        if len(self) > 400_000:
             self.clear()
-        if PLAIN.fullmatch(run) and "<|" not in run and len(run) < 200:
+        if run.isascii() and run.isalpha() and len(run) < 200:
+            out = self.parts[run.lower()]
+        elif PLAIN.fullmatch(run) and "<|" not in run and len(run) < 200:
             parts = PARTS.findall(run.lower())
             if not run.isascii():
                 parts = [p.encode().decode("latin-1").translate(self.letters) for p in parts]
@@ -71,13 +75,57 @@ class WordIds(dict):
         return out
 
 
+class TextIds:
+    """The token ids of whole texts by one vocabulary.
+
+    Where the vocabulary has the form of runs, a batch's runs are split and numbered in Arrow, each
+    distinct run is encoded once, and the ids of all runs are gathered by their places. Any other
+    vocabulary encodes the texts whole.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path) as f:
+            form = json.load(f)
+        split = json.dumps(form.get("pre_tokenizer"))
+        self.by_runs = form.get("normalizer") == RUNS_NORMALIZER and json.dumps(RUNS_SPLIT) in split and '"ByteLevel"' in split
+        self.runs = RunIds(self.tokenizer) if self.by_runs else None
+
+    def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): all texts' ids one after the other, each text's closed by the end id; ends are the places behind them."""
+        if not self.by_runs:
+            found = [[*e.ids, end] for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.array([i for x in found for i in x], np.uint32), np.cumsum([len(x) for x in found])
+        split = pc.ascii_split_whitespace(texts)
+        upto = split.offsets.to_numpy()[1:].astype(np.int64) - split.offsets[0].as_py()
+        runs = split.flatten().dictionary_encode()
+        known = [*map(self.runs.__getitem__, runs.dictionary.to_pylist()), np.uint32(end).tobytes()]
+        table = np.frombuffer(b"".join(known), "<u4")
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        at = np.cumsum(size) - size
+        # the run behind each text's last one stands for the end id
+        codes = np.full(len(runs) + len(texts), len(known) - 1, np.int64)
+        within = np.ones(len(codes), bool)
+        last = upto + np.arange(len(texts))
+        within[last] = False
+        codes[within] = runs.indices.to_numpy()
+        length = size[codes]
+        behind = np.cumsum(length)
+        ids = table[np.repeat(at[codes] - behind + length, length) + np.arange(behind[-1] if len(behind) else 0)]
+        return ids, behind[last]
+
+
 @lru_cache(maxsize=2)
-def word_ids(vocabulary: str) -> WordIds:
+def text_ids(vocabulary: str) -> TextIds:
     """One memory of runs per worker process, shared by its tasks."""
+    import os
+
     import public_tokenizers
-    from tokenizers import Tokenizer
 
-    return WordIds(Tokenizer.from_file(public_tokenizers.path(vocabulary)))
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return TextIds(public_tokenizers.path(vocabulary))
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, most: int, end: int = 0) -> DataFrame:
@@ -88,22 +136,21 @@ def token_pieces(docs: DataFrame, vocabulary: str, most: int, end: int = 0) -> D
     kind = docs.schema["doc_id"].dataType
 
     def run(batches):
-        from tessella.llm.packing import word_ids
+        from tessella.llm.packing import text_ids
 
-        known = word_ids(vocabulary)
-        tail = int(end).to_bytes(4, "little")
+        encode = text_ids(vocabulary)
         for b in batches:
-            who, piece, start, length, crc = [], [], [], [], []
-            for at, text in enumerate(b.column(1).to_pylist()):
-                ids = b"".join(map(known.__getitem__, CUT.split(text or ""))) + tail
-                for k in range(0, len(ids), 4 * most):
-                    part = ids[k : k + 4 * most]
-                    who.append(at)
-                    piece.append(k // (4 * most))
-                    start.append(k // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for first, texts in in_portions(b.column(1).fill_null("")):
+                ids, ends = encode(texts, end)
+                size = np.diff(ends, prepend=0)
+                n = -(-size // most)
+                who = np.repeat(np.arange(len(texts)), n)
+                piece = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * most
+                length = np.minimum(most, size[who] - start)
+                at = (ends - size)[who] + start
+                crc = [zlib.crc32(ids[s : s + k]) for s, k in zip(at.tolist(), length.tolist())]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who + first)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
