@@ -59,7 +59,9 @@ def swept(rules: DataFrame, asked: DataFrame) -> DataFrame:
     ends = F.concat("key", F.expr(CLOSE))
     closes = rules.select(bucket(ends).alias("bucket"), ends.alias("at"), *kind(0, -1), size, "load")
     starts = spark.range(1).select(F.posexplode(_literal(cuts)).alias("i", "cut")).select((F.col("i") + 1).alias("bucket"), "cut")
-    around = starts.where(F.length("cut") > 0).select("bucket", F.explode(F.transform(F.sequence(F.lit(0), F.length("cut") - 1), lambda i: F.substring("cut", F.lit(1), i))).alias("prefix"))
+    # prefixes only as long as some rule's key, so a cut of any length has few
+    lengths = F.array(*[F.lit(r[0]) for r in rules.select(F.length("key")).distinct().collect()]).cast("array<int>")
+    around = starts.select("bucket", F.explode(F.transform(F.filter(lengths, lambda n: n < F.length("cut")), lambda n: F.substring("cut", F.lit(1), n))).alias("prefix"))
     carried = rules.join(around, rules["key"] == around["prefix"]).select("bucket", F.expr("X''").alias("at"), *kind(-1, 1), size, "load")
     edges = materialize(opens.unionByName(closes).unionByName(carried), "borders")
     sweep = Window.partitionBy("bucket").orderBy("at", "kind", "size").rowsBetween(Window.unboundedPreceding, 0)

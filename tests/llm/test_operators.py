@@ -215,33 +215,61 @@ def test_mix_meets_targets(docs, texts):
 # ---------------------------------------------------------------- 6 embeddings
 
 
-def test_embeddings_against_brute_force(spark):
-    rng = np.random.default_rng(4)
-    base = rng.normal(size=(60, 24))
-    rows = [b.tolist() for b in base] + [(base[i % 5] * 3).tolist() for i in range(20)] + [(base[i % 7] + rng.normal(size=24) * s).tolist() for i in range(60) for s in (0.05, 0.2, 0.3)]
-    rows += [base[0].tolist()] * 30 + [None, [0.0] * 24, [float("nan")] * 24, [None] + [1.0] * 23, [1.0, 2.0], [float("inf")] + [1.0] * 23]
-    data = [(i, r, 0, "x") for i, r in enumerate(rows)]
-    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int, rep string")
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_classes(df).collect()}
-    ok = [i for i, r in enumerate(rows) if r is not None and len(r) == 24 and all(x is not None and np.isfinite(x) for x in r) and any(r)]
-    u = np.array([rows[i] for i in ok])
-    u /= np.linalg.norm(u, axis=1, keepdims=True)
-    near = u @ u.T >= 0.95
-    parent = {i: i for i in range(len(rows))}
+def brute_classes(ids, rows, cosine=0.95):
+    fit = [r is not None and len(r) > 0 and all(x is not None and np.isfinite(x) for x in r) and any(r) for r in rows]
+    parent, links = {i: i for i in ids}, dict.fromkeys(ids, 0)
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a, b in zip(*np.nonzero(near)):
-        x, y = root(ok[a]), root(ok[b])
-        parent[max(x, y)] = min(x, y)
-    links = dict.fromkeys(range(len(rows)), 0) | {ok[i]: int(near[i].sum()) - 1 for i in range(len(ok))}
-    assert got == {i: (links[i], root(i), root(i) == i) for i in range(len(rows))}
+    def unit(r):
+        u = np.array(r, float) / np.abs(r).max()
+        return u / np.linalg.norm(u)
+
+    for n in {len(r) for r, f in zip(rows, fit) if f}:
+        on = [i for i, f in enumerate(fit) if f and len(rows[i]) == n]
+        u = np.array([unit(rows[i]) for i in on])
+        near = u @ u.T >= cosine - 1e-15
+        for a, b in zip(*np.nonzero(near)):
+            if a != b:
+                links[ids[on[a]]] += 1
+                x, y = root(ids[on[a]]), root(ids[on[b]])
+                parent[max(x, y)] = min(x, y)
+    return {i: (links[i], root(i), root(i) == i) for i in ids}
+
+
+@pytest.mark.parametrize("grid", [None, 2, 3])
+def test_embeddings_against_brute_force(spark, grid):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(60, 24))
+    rows = [b.tolist() for b in base] + [(base[i % 5] * 3).tolist() for i in range(20)] + [(base[i % 7] + rng.normal(size=24) * s).tolist() for i in range(60) for s in (0.05, 0.2, 0.3)]
+    rows += [base[0].tolist()] * 30 + [None, [], [0.0] * 24, [float("nan")] * 24, [None] + [1.0] * 23, [1.0, 2.0], [float("inf")] + [1.0] * 23]
+    # other lengths, and magnitudes whose squares overflow or vanish
+    short = rng.normal(size=(12, 6))
+    rows += [(short[i % 12] + rng.normal(size=6) * 0.05).tolist() for i in range(40)] + [[2.0], [3.0], [-1.0], [1.0, 2.01]]
+    rows += [(base[i] * f).tolist() for i in range(4) for f in (1e200, 1e-200, 1e-170)] + [[1e-170, 1e-170], [1e-170, -1e-170], [5e-324, 0.0]]
+    df = spark.createDataFrame([(i, r, 0, "x", "y") for i, r in enumerate(rows)], "vec_id long, embedding array<double>, label int, rep string, n string")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_classes(df, grid=grid).collect()}
+    assert got == brute_classes(list(range(len(rows))), rows)
     assert embedding_classes(df.limit(0)).count() == 0
 
 
+def test_cells_are_cut_into_tiles(spark, monkeypatch):
+    from tessella.llm import embedding_dedup as E
+
+    monkeypatch.setattr(E, "TILE", 16)
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=16)
+    rows = [(centre + rng.normal(size=16) * 0.12).tolist() for _ in range(150)] + [rng.normal(size=16).tolist() for _ in range(50)]
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_classes(df).collect()} == brute_classes(list(range(len(rows))), rows)
+    # a null id: a row of its own, whatever it equals
+    odd = spark.createDataFrame([(None, rows[0]), (7, rows[0]), (7, rows[0])], "vec_id long, embedding array<double>")
+    assert sorted(map(str, embedding_classes(odd).collect())) == sorted(map(str, [r for r in spark.createDataFrame([(None, 0, None, True), (7, 1, 7, True), (7, 1, 7, True)], "vec_id long, n_links long, component_id long, kept boolean").collect()]))
+
+
 # ---------------------------------------------------------------- 7 simhash
 
 
@@ -349,12 +377,18 @@ def test_pieces_round_trip_and_fit(docs, texts):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
-def test_word_ids_equal_the_whole_tokenizer():
-    known = packing.word_ids("word_bpe_49k.json")
-    odd = ["don't STOP's I'LL we're ''s", "a<|endoftext|>b", "x y z", "\x1fa\x1cb\x85", "ΑΣ ß ẞ İ ﬁ é é naïve CAFÉ", "1234 ½ ²", "", " \n\t", "日本 😀😀a", "µª×÷¿¡«»", "a\x0bb\x00d\x7fe", "ÿŸÆØøþÞðÐ'S'T", "!!,.", "A.,B"]
-    for t in odd:
-        got = np.frombuffer(b"".join(map(known.__getitem__, packing.CUT.split(t))), "<u4").tolist()
-        assert got == known.tokenizer.encode(t, add_special_tokens=False).ids, t
+def test_text_ids_equal_the_whole_tokenizer():
+    import pyarrow as pa
+    import public_tokenizers
+
+    odd = ["don't STOP's I'LL we're ''s", "a<|endoftext|>b", "x y z", "\x1fa\x1cb\x85", "ΑΣ ß ẞ İ ﬁ é é naïve CAFÉ", "1234 ½ ²", "", " \n\t", "日本 😀😀a", "µª×÷¿¡«»", "a\x0bb\x0cd\x00d\x7fe", "ÿŸÆØøþÞðÐ'S'T", "!!,.", "A.,B", "a \u0301b \n\u0338", "it,a.b's(c)'s d<\u0338 e|f x<|endoftext|>y, z<|ENDOFTEXT|>, é,…, H\u0331, 1,2 a1.b ×,÷."]
+    for name, by_runs in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        encode = packing.text_ids(name)
+        assert encode.by_runs == by_runs
+        ids, ends = encode(pa.array(odd), 7)
+        for t, part in zip(odd, np.split(ids, ends[:-1])):
+            assert part.tolist() == [*encode.tokenizer.encode(t, add_special_tokens=False).ids, 7], t
+    assert [n for _, x in packing.in_portions(pa.array(["a" * 5, "b" * 3, "", "c" * 90, "d"]), 8) for n in [len(x)]] == [3, 1, 1]
 
 
 # ---------------------------------------------------------------- 10 line dedup
