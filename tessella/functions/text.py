@@ -128,3 +128,10 @@ def list_literal(text: Column) -> Column:
     parsed = F.from_json(text, "array<string>")
     quoted = F.transform(F.regexp_extract_all(text, F.lit("""'([^']*)'|"([^"]*)\""""), F.lit(0)), lambda x: F.substr(x, F.lit(2), F.length(x) - 2))
     return F.when(parsed.isNotNull() & (F.size(parsed) > 0), parsed).when(F.size(quoted) > 0, quoted).otherwise(F.array(text))
+
+
+def duration(seconds: Column) -> Column:
+    """'1h 02m 03s', '2m 03s' or '3s'; parts of a second are left out."""
+    n = seconds.cast("long")
+    h, m, r = F.floor(n / 3600), F.floor(n % 3600 / 60), n % 60
+    return F.when(h > 0, F.format_string("%dh %02dm %02ds", h, m, r)).when(m > 0, F.format_string("%dm %02ds", m, r)).otherwise(F.format_string("%ds", r))

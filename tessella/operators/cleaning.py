@@ -8,8 +8,50 @@ from pyspark.sql import functions as F
 MISSING = -5.0
 #: Codes that fold to "missing".
 SENTINELS = (-2.0, -3.0, -99.0)
-#: Bounds of the age bands, each closed at its upper end.
+#: Bounds of the age bands, each closed at its upper end, and their names.
 AGE_BANDS = (17, 24, 34, 44, 54, 64, 100)
+AGE_NAMES = ("18-24", "25-34", "35-44", "45-54", "55-64", "65+")
+#: The label columns that describe a respondent, and their new names.
+RESPONDENT_COLUMNS = {
+    "N_REGION_WVS": "region",
+    "G_TOWNSIZE": "townsize",
+    "H_SETTLEMENT": "settlement",
+    "H_URBRURAL": "settlement_type",
+    "Q260": "sex",
+    "Q261": "birth_year",
+    "Q262": "age",
+    "Q263": "immigrant",
+    "Q264": "mother_immigrant",
+    "Q265": "father_immigrant",
+    "Q266": "birth_country",
+    "Q267": "mother_birth_country",
+    "Q268": "father_birth_country",
+    "Q269": "citizen",
+    "Q270": "household_size",
+    "Q271": "live_with_parents",
+    "Q272": "home_language",
+    "Q273": "marital_status",
+    "Q274": "children",
+    "Q275": "education_respondent",
+    "Q276": "education_spouse",
+    "Q277": "education_mother",
+    "Q278": "education_father",
+    "Q275A": "education_respondent_cs",
+    "Q276A": "education_spouse_cs",
+    "Q277A": "education_mother_cs",
+    "Q278A": "education_father_cs",
+    "Q279": "employment_respondent",
+    "Q280": "employment_spouse",
+    "Q281": "occupation_respondent",
+    "Q282": "occupation_spouse",
+    "Q283": "occupation_father",
+    "Q284": "employment_sector",
+    "Q285": "chief_wage_earner",
+    "Q286": "savings",
+    "Q287": "social_class",
+    "Q288": "income_scale",
+    "Q289": "religion",
+}
 
 
 #: Categories that are no answers.
@@ -135,11 +177,41 @@ def code_labels(items: DataFrame) -> DataFrame:
 def age_band(age: Column) -> Column:
     """Band label; outside all bands null."""
     out = F.lit(None).cast("string")
-    for lo, hi in list(zip(AGE_BANDS, AGE_BANDS[1:]))[::-1]:
-        out = F.when((age > lo) & (age <= hi), F.lit(f"{lo + 1}-{hi}")).otherwise(out)
+    for lo, hi, name in list(zip(AGE_BANDS, AGE_BANDS[1:], AGE_NAMES))[::-1]:
+        out = F.when((age > lo) & (age <= hi), F.lit(name)).otherwise(out)
     return out
 
 
+def value_survey(codes: DataFrame, labels: DataFrame, mapping: DataFrame, key: str | None = None, names: dict[str, str] = RESPONDENT_COLUMNS, metadata: tuple[str, ...] = ("id", "date")) -> DataFrame:
+    """The metadata, the columns of value questions as codes, and the respondent's columns as labels under their new names.
+
+    mapping: (question_type, column_names); its few columns of value questions are read by the
+    driver. Labels are attached by the key both tables have, or by the place of the row where there
+    is none. Columns that a table lacks are left out.
+    """
+    asked = [r[0] for r in value_questions(mapping).select(F.explode("column_names")).distinct().collect()]
+    chosen = [c for c in codes.columns if c in metadata or c in asked]
+    shown = [F.col(c).alias(n) for c, n in names.items() if c in labels.columns]
+    if key is not None:
+        right = labels.select(F.col(key).alias("_key"), *shown)
+        return codes.select(F.col(key).alias("_left"), *chosen).join(right, F.col("_left") == F.col("_key"), "left").drop("_left", "_key")
+    return attach_by_place(codes.select(*chosen), labels.select(*shown))
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """rows with `place`, their number in reading order from 0: sizes of partitions first, then places within."""
+    a = rows.withColumn("_m", F.monotonically_increasing_id())
+    part, at = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = a.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n"))
+    ahead = sizes.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    return a.join(ahead, part == F.col("_part")).withColumn("place", F.col("_ahead") + at).drop("_m", "_part", "_ahead")
+
+
+def attach_by_place(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The columns of right beside those of left, row by row in reading order; both must be read from files whose order is fixed."""
+    return placed(left).join(placed(right), "place", "left").drop("place")
+
+
 def missing_fraction(responses: DataFrame) -> DataFrame:
     """Mean over columns of each column's share of missing cells."""
     return responses.groupBy("column_name").agg(F.avg(F.col("code").isNull().cast("double")).alias("m")).agg(F.round(F.avg("m"), 6).alias("missing_fraction"))

@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.shared import stored
-from tessella.functions.text import keyed_uniform
+from tessella.functions.shared import discard, stored
+from tessella.functions.text import inverse_cdf, keyed_uniform
 from tessella.operators import statistics as ST
 
 #: Level of a missing answer where missing is a level of its own.
@@ -28,27 +28,47 @@ def _levels(responses: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ K-Modes
 
 
-def _nearest_modes(rows: DataFrame, modes: DataFrame) -> DataFrame:
-    """(respondent_id, label, cost): fewest mismatches, smallest label on ties."""
+def _costs(rows: DataFrame, modes: DataFrame) -> DataFrame:
     m = modes.select("column_name", "label", F.col("code").alias("mode"))
-    costs = rows.join(m, "column_name").groupBy("respondent_id", "label").agg(F.count_if(F.col("code") != F.col("mode")).alias("cost"))
-    return costs.groupBy("respondent_id").agg(F.min(F.struct("cost", "label")).alias("best")).select("respondent_id", "best.label", "best.cost")
+    return rows.join(m, "column_name").groupBy("respondent_id", "label").agg(F.count_if(F.col("code") != F.col("mode")).alias("cost"))
 
 
-def k_modes(responses: DataFrame, k: int, starts: int = 3, rounds: int = 20, seed: int = 1) -> DataFrame:
+def _nearest_modes(rows: DataFrame, modes: DataFrame) -> DataFrame:
+    """(respondent_id, label, cost): fewest mismatches, smallest label on ties."""
+    return _costs(rows, modes).groupBy("respondent_id").agg(F.min(F.struct("cost", "label")).alias("best")).select("respondent_id", "best.label", "best.cost")
+
+
+def _first_modes(rows: DataFrame, levels: DataFrame, k: int, seed: int) -> DataFrame:
+    """(column_name, label, code): codes drawn by how often they occur, then the respondent nearest to each such mode, no respondent twice."""
+    codes, chances = F.transform("l", lambda x: x["code"]), F.transform("l", lambda x: x["p"])
+    drawn = levels.select("column_name", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("label"), "l")
+    drawn = stored(drawn.select("column_name", "label", F.get(codes, inverse_cdf(chances, keyed_uniform(F.col("column_name"), F.col("label"), seed=seed))).alias("code")))
+    costs = stored(_costs(rows, drawn))
+    taken: dict[int, object] = {}
+    for label in range(k):
+        near = costs.where(F.col("label") == label).orderBy("cost", "respondent_id").limit(k).collect()
+        taken[label] = next((r["respondent_id"] for r in near if r["respondent_id"] not in taken.values()), None)
+    label = F.lit(None).cast("int")
+    for c, who in taken.items():
+        label = label if who is None else F.when(F.col("respondent_id") == F.lit(who), c).otherwise(label)
+    modes = stored(rows.select("column_name", label.alias("label"), "code").where("label is not null"))
+    discard(drawn, costs)
+    return modes
+
+
+def k_modes(responses: DataFrame, k: int, starts: int = 10, rounds: int = 20, seed: int = 1) -> DataFrame:
     """(respondent_id, label, cost) of the cheapest of several starts; missing is a level of its own.
 
-    A start takes as modes the k respondents with the smallest keyed draws. A round assigns everyone
-    to the mode with the fewest mismatches, then takes each cluster's commonest code (smallest on
-    ties); it stops when the total cost no longer falls.
+    A start draws a mode for each cluster by the frequencies of the codes and takes the respondents
+    nearest to these. A round assigns everyone to the mode with the fewest mismatches, then takes
+    each cluster's commonest code (smallest on ties); it stops when the total cost no longer falls.
     """
     rows = stored(_levels(responses))
-    best, least = None, math.inf
+    counts = rows.groupBy("column_name", "code").agg(F.count(F.lit(1)).alias("n")).withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("column_name")))
+    levels = stored(counts.groupBy("column_name").agg(F.sort_array(F.collect_list(F.struct("code", "p"))).alias("l")))
+    best, least, found = None, math.inf, None
     for start in range(starts):
-        draw = keyed_uniform(F.col("respondent_id"), seed=seed * 1000 + start)
-        first = rows.select("respondent_id").distinct().withColumn("u", draw).orderBy("u", "respondent_id").limit(k)
-        chosen = first.select("respondent_id", (F.row_number().over(Window.orderBy("u", "respondent_id")) - 1).alias("label"))
-        modes, last = stored(rows.join(chosen, "respondent_id").select("column_name", "label", "code")), math.inf
+        modes, last = _first_modes(rows, levels, k, seed * 1000 + start), math.inf
         for _ in range(rounds):
             found = stored(_nearest_modes(rows, modes))
             cost = found.agg(F.sum("cost")).first()[0] or 0
@@ -224,24 +244,35 @@ def reassign_noise(labelled: DataFrame) -> DataFrame:
 
 
 def merge_single_members(labelled: DataFrame) -> DataFrame:
-    """(id, features, label) in which clusters of one member have joined the nearest other centroid, smallest first, until none is left."""
-    now = stored(labelled.select("id", "features", "label"))
-    while True:
-        sizes = now.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-        state = sizes.agg(F.count(F.lit(1)).alias("k"), F.min(F.when(F.col("n") == 1, F.col("label"))).alias("single")).first()
-        if state["single"] is None or state["k"] < 2:
-            return now
-        at = _centroids(now).where(F.col("label") != state["single"]).select(F.col("label").alias("to"), "centroid")
-        lone = now.where(F.col("label") == state["single"])
-        to = lone.join(at).agg(F.min(F.struct(_distance(F.col("features"), F.col("centroid")).alias("gap"), "to")).alias("b")).first()["b"]["to"]
-        now = stored(now.withColumn("label", F.when(F.col("label") == state["single"], F.lit(to)).otherwise(F.col("label"))))
-
+    """(id, features, label) in which clusters of one member have joined the nearest other centroid, smallest label first, until none is left.
 
-def compare_methods(responses: DataFrame, vectors: DataFrame, labels: dict[str, DataFrame]) -> DataFrame:
-    """(method, metric, value): silhouette, size entropy, informativeness, coherence and noise share of each labeling.
-
-    labels: method to (respondent_id, label), label null for noise. The number of methods is small;
-    each metric is one distributed job per method.
+    Merges are found on the clusters' sums and sizes alone, which is what reaches the driver (labels
+    times dimensions); the rows are relabelled once.
+    """
+    sums = labelled.select("label", F.posexplode("features").alias("d", "x")).groupBy("label", "d").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
+    clusters: dict = {}
+    for r in sums.collect():
+        clusters.setdefault(r["label"], {})[r["d"]] = (r["s"], r["n"])
+    total = {c: np.array([v[d][0] for d in sorted(v)]) for c, v in clusters.items()}
+    size = {c: next(iter(v.values()))[1] for c, v in clusters.items()}
+    moved: dict = {}
+    while len(size) > 1 and (single := min((c for c, n in size.items() if n == 1), default=None)) is not None:
+        to = min((c for c in size if c != single), key=lambda c: (float(((total[c] / size[c] - total[single]) ** 2).sum()), c))
+        total[to], size[to] = total[to] + total.pop(single), size[to] + size.pop(single)
+        moved = {c: to if t == single else t for c, t in moved.items()} | {single: to}
+    rows = labelled.select("id", "features", "label")
+    if not moved:
+        return rows
+    known = F.create_map(*[F.lit(x) for kv in moved.items() for x in kv])
+    return rows.withColumn("label", F.coalesce(known[F.col("label")], F.col("label")).cast(labelled.schema["label"].dataType))
+
+
+def compare_methods(responses: DataFrame, vectors: DataFrame, labels: dict[str, DataFrame], bics: dict[str, float] | None = None) -> DataFrame:
+    """(method, metric, value): silhouette, BIC, size entropy, informativeness, coherence and noise share of each labeling.
+
+    labels: method to (respondent_id, label), label null for noise; bics: method to BIC, for methods
+    that have a likelihood (null for others). The number of methods is small; each metric is one
+    distributed job per method.
     """
     spark, parts = responses.sparkSession, []
     for method, frame in labels.items():
@@ -250,6 +281,7 @@ def compare_methods(responses: DataFrame, vectors: DataFrame, labels: dict[str,
         value = silhouette(vectors.join(known, vectors["id"] == known["respondent_id"]))
         score = spark.range(1).select(F.lit("silhouette").alias("metric"), F.lit(value).cast("double").alias("value"))
         for metric, df in (
+            ("bic", spark.range(1).select(F.lit((bics or {}).get(method)).alias("bic"))),
             ("size_entropy", ST.size_entropy(known)),
             ("informativeness", ST.informativeness(ST.hard_distribution(rows), "label").agg(F.avg("informativeness"))),
             ("coherence", ST.coherence(rows)),

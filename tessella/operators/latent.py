@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.shared import discard, stored
 from tessella.functions.text import inverse_cdf, keyed_uniform
+from tessella.operators.running import exact_percentiles
 from tessella.operators.statistics import adjusted_rand
 
 
@@ -99,7 +100,10 @@ def certainty_curve(responses: DataFrame, parameters: DataFrame, priors: DataFra
     sizes = rows.select(*by).distinct()
     post = posteriors(rows, _paired(parameters, sizes, ()), _paired(priors, sizes, ()), by)
     c = F.col("certainty")
-    return hard_labels(post, by).groupBy(*by).agg(F.avg(c).alias("mean"), F.percentile(c, F.lit(0.5)).alias("median"), F.avg((c > 0.9).cast("double")).alias("above_09"))
+    found = stored(hard_labels(post, by).select(F.struct(*by).alias("fit"), "certainty"))
+    middle = exact_percentiles(found, "fit", "certainty", {"median": 0.5})
+    means = found.groupBy("fit").agg(F.avg(c).alias("mean"), F.avg((c > 0.9).cast("double")).alias("above_09"))
+    return means.join(middle, "fit").select("fit.*", "mean", "median", "above_09")
 
 
 def poisson_one(*keys: Column, seed: int = 1) -> Column:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.text import METHOD_NAMES, POPULATION_NAMES, named, run_subpopulation
+from tessella.operators.running import running
+
 FLOOR = 1e-10
 
 
@@ -153,13 +156,13 @@ def pick_run(runs: DataFrame, mode: str) -> DataFrame:
     return runs.where(fits).withColumn("k", F.row_number().over(order)).where("k = 1").drop("k").withColumn("mode", F.lit(mode))
 
 
-def throughput(results: DataFrame, key: str, order: str, micros: Column, every: int = 10) -> DataFrame:
+def throughput(results: DataFrame, key: str, order: str, micros: str, every: int = 10) -> DataFrame:
     """(key, i, rate, eta): results per second so far and the seconds left, at every so many results; null while no time has passed."""
-    w = Window.partitionBy(key).orderBy(order)
-    whole = Window.partitionBy(key)
-    i, elapsed = F.row_number().over(w), (micros - F.min(micros).over(whole)) / 1e6
-    a = results.select(key, i.alias("i"), F.when(elapsed > 0, i / elapsed).alias("rate"), F.count(F.lit(1)).over(whole).alias("n"))
-    return a.where(F.col("i") % every == 0).select(key, "i", "rate", ((F.col("n") - F.col("i")) / F.col("rate")).alias("eta"))
+    whole = results.groupBy(F.col(key).alias("_key")).agg(F.min(micros).alias("first"), F.count(F.lit(1)).alias("n"))
+    a = running(results.select(key, order, F.col(micros).alias("_at")), key, [order], {}).where(F.col("i") % every == 0)
+    a = a.join(whole, F.col(key).eqNullSafe(F.col("_key"))).withColumn("elapsed", (F.col("_at") - F.col("first")) / 1e6)
+    a = a.withColumn("rate", F.when(F.col("elapsed") > 0, F.col("i") / F.col("elapsed")))
+    return a.select(key, F.col("i").cast("int").alias("i"), "rate", ((F.col("n") - F.col("i")) / F.col("rate")).alias("eta"))
 
 
 def tuned_pairs(results: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
@@ -212,22 +215,45 @@ def best_per_metric(table: DataFrame, key: str) -> DataFrame:
 
 def running_metrics(results: DataFrame, key: str, order: str, every: int = 100) -> DataFrame:
     """Running accuracy and means per run, at every so many results."""
-    w = Window.partitionBy(key).orderBy(order)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    i = F.row_number().over(w)
-    right = F.sum(F.when(F.col("is_correct"), 1).otherwise(0)).over(upto)
-    return results.select(key, i.alias("i"), (100 * right / i).alias("accuracy"), F.avg("cross_entropy").over(upto).alias("cross_entropy"), F.avg("kl_divergence").over(upto).alias("kl_divergence")).where(F.col("i") % every == 0)
+    ce, kl = F.col("cross_entropy"), F.col("kl_divergence")
+    sums = {"right": F.col("is_correct").cast("long"), "ce": ce, "n_ce": ce.isNotNull().cast("long"), "kl": kl, "n_kl": kl.isNotNull().cast("long")}
+    upto = running(results.select(key, order, "is_correct", "cross_entropy", "kl_divergence"), key, [order], sums).where(F.col("i") % every == 0)
+    mean = lambda c: F.when(F.col(f"n_{c}") > 0, F.col(c) / F.col(f"n_{c}"))
+    return upto.select(key, F.col("i").cast("int").alias("i"), (100 * F.col("right") / F.col("i")).alias("accuracy"), mean("ce").alias("cross_entropy"), mean("kl").alias("kl_divergence"))
 
 
 def failure_streaks(results: DataFrame, key: str, order: str, most: int = 10) -> DataFrame:
-    """Per run: longest streak of failures, and where the first streak reaches `most` (null: never)."""
-    w = Window.partitionBy(key).orderBy(order)
-    a = results.withColumn("i", F.row_number().over(w)).withColumn("island", F.col("i") - F.row_number().over(Window.partitionBy(key, "failed").orderBy(order)))
-    runs = a.where("failed").groupBy(key, "island").agg(F.count(F.lit(1)).alias("length"), F.min("i").alias("first"))
+    """Per run: longest streak of failures, and where the first streak reaches `most` (null: never).
+
+    A streak is known by how many results before it did not fail.
+    """
+    a = running(results.select(key, order, "failed"), key, [order], {"passed": (~F.col("failed")).cast("long")})
+    runs = a.where("failed").groupBy(key, "passed").agg(F.count(F.lit(1)).alias("length"), F.min("i").cast("int").alias("first"))
     found = runs.groupBy(key).agg(F.max("length").alias("longest"), F.min(F.when(F.col("length") >= most, F.col("first") + most - 1)).alias("abort_at"))
     return results.select(key).distinct().join(found, key, "left").select(key, F.coalesce("longest", F.lit(0)).alias("longest"), "abort_at")
 
 
+def first_per_split(rows: DataFrame, order: str, most: int, split: str = "split") -> DataFrame:
+    """The first `most` rows of each split."""
+    return running(rows, split, [order], {}).where(F.col("i") <= most).drop("i")
+
+
+def category_expansion(rows: DataFrame, distribution: str, categories: str | None = None) -> DataFrame:
+    """One row per category of each row's distribution: pos, category (where named) and q; the other columns stay."""
+    listed = {"q": F.col(distribution)} | ({"category": F.col(categories)} if categories else {})
+    zipped = F.arrays_zip(*[c.alias(n) for n, c in listed.items()])
+    rest = [c for c in rows.columns if c not in (distribution, categories)]
+    return rows.select(*rest, F.posexplode(zipped).alias("pos", "x")).select(*rest, "pos", *[f"x.{n}" for n in listed])
+
+
+def route_splits(rows: DataFrame, held_items: DataFrame, held_prompts: DataFrame, item: list[str], prompt: str) -> DataFrame:
+    """rows with `split`: validation where the item or the prompt is held out, else train."""
+    items = held_items.select(*item).distinct().withColumn("_item", F.lit(True))
+    prompts = held_prompts.select(prompt).distinct().withColumn("_prompt", F.lit(True))
+    out = rows.join(items, item, "left").join(prompts, prompt, "left")
+    return out.withColumn("split", F.when(F.col("_item") | F.col("_prompt"), "validation").otherwise("train")).drop("_item", "_prompt")
+
+
 def newest_run(runs: DataFrame) -> DataFrame:
     order = Window.partitionBy("model").orderBy(F.desc("timestamp"), F.desc("run"))
     return runs.where("not reasoning").withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
@@ -248,9 +274,55 @@ def soft_cross_entropy(completions: DataFrame) -> DataFrame:
 
 
 def completed_runs(runs: DataFrame) -> DataFrame:
-    """(model, subpopulation) with a run that was not aborted and whose splits hold train and validation."""
-    whole = ~F.col("aborted") & F.array_contains("splits", "train") & F.array_contains("splits", "validation")
-    return runs.where(whole).select("model", "subpopulation").distinct()
+    """(model, dataset, subpopulation) of the runs that need not be made again; a null subpopulation is a pass over all.
+
+    runs: (model, dataset, subpopulation, reasoning, aborted, splits, result_rows), null result_rows
+    where there is no results file. A run counts if it was made without reasoning, was not aborted,
+    has results, and covers both train and validation.
+    """
+    plain = ~F.coalesce("reasoning", F.lit(False)) & ~F.coalesce("aborted", F.lit(False)) & (F.col("result_rows") > 0)
+    whole = F.array_contains("splits", "train") & F.array_contains("splits", "validation")
+    return runs.where(plain & whole).select("model", "dataset", "subpopulation").distinct()
+
+
+def main_table(metrics: DataFrame) -> DataFrame:
+    """One row per base model and version: (base_model, place, label, <metric>_<split>), the base model first.
+
+    metrics: (base_model, method, subpopulation, split, metrics), the base model's method being
+    'base'. The base model is shown on the overall population, an adapter on the population it was
+    trained for, which its method's name ends with; one without results there is left out. Adapters
+    come by training method, then population; unknown ones last.
+    """
+    base = F.col("method") == "base"
+    stem, own = F.regexp_replace("method", "(?s)-[^-]*$", ""), F.substring_index("method", "-", -1)
+    place = lambda c, xs: F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(x) for x in xs]), c), F.lit(0)), F.lit(len(xs) + 1))
+    label = F.when(base, "Base").otherwise(F.concat(named(stem, METHOD_NAMES), F.lit(" ("), named(own, POPULATION_NAMES), F.lit(")")))
+    order = F.when(base, F.struct(F.lit(0).alias("m"), F.lit(0).alias("p"))).otherwise(F.struct(place(stem, list(METHOD_NAMES)).cast("int").alias("m"), place(own, list(POPULATION_NAMES)).cast("int").alias("p")))
+    shown = metrics.where(F.col("subpopulation") == F.when(base, "overall").otherwise(own)).withColumns({"label": label, "order": order})
+    cells = [F.first(F.when(F.col("split") == split, F.col(m)), ignorenulls=True).alias(f"{m}_{split}") for split in ("train", "validation", "overall") for m in METRICS]
+    rows = shown.groupBy("base_model", "method", "label", "order").agg(*cells)
+    at = F.row_number().over(Window.partitionBy("base_model").orderBy("order", "method")) - 1
+    return rows.withColumn("place", at).select("base_model", "place", "label", *[f"{m}_{split}" for split in ("train", "validation", "overall") for m in METRICS])
+
+
+def published(configs: DataFrame, results: DataFrame) -> DataFrame:
+    """(model, runs): every run of a model with its config and results, for the viewer.
+
+    configs: (model, run, target, dataset, run_name, timestamp, model_sha, reasoning); results:
+    (model, run, question_id, ...). Results without a question go; a missing population comes from
+    the run's name; answers and expected texts are cut to 200 signs and missing texts are empty. A
+    run without config or results is left out, a run whose results all go keeps an empty list.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    plain = ["question", "column_name", "question_format", "system_prompt_id"]
+    empty = ["sub_question", "model_reasoning", "categories", "model_distribution", "true_distribution", "kl_divergence", "cross_entropy"]
+    cut = ["model_answer", "expected_text"]
+    shown = F.struct("question_id", F.coalesce(F.nullif(F.col("subpopulation"), F.lit("")), run_subpopulation(F.col("run"))).alias("subpopulation"), *plain, *[text(c).alias(c) for c in empty], *[F.left(text(c), F.lit(200)).alias(c) for c in cut])
+    asked = F.col("question_id").isNotNull() & (F.col("question_id") != "")
+    kept = results.groupBy("model", "run").agg(F.sort_array(F.collect_list(F.when(asked, shown))).alias("results"))
+    config = F.struct("target", "dataset", "run_name", "timestamp", "model_sha", F.coalesce("reasoning", F.lit(False)).alias("reasoning")).alias("config")
+    runs = configs.select("model", "run", config).join(kept, ["model", "run"])
+    return runs.groupBy("model").agg(F.transform(F.sort_array(F.collect_list(F.struct("run", "config", "results"))), lambda x: F.struct(x["config"].alias("config"), x["results"].alias("results"))).alias("runs"))
 
 
 def work_estimate(jobs: DataFrame, seconds: int = 3600, workers: int = 2) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.running import exact_percentiles
+
 
 def with_overall(responses: DataFrame, label: str = "cluster") -> DataFrame:
     """Each row under its own label and under 'overall', as `subpopulation`."""
@@ -115,8 +117,16 @@ def top_partners(pairs: DataFrame, most: int = 3) -> DataFrame:
 
 
 def certainty(assignments: DataFrame) -> DataFrame:
-    top = F.array_max("probs")
-    return assignments.agg(F.avg(top).alias("mean"), F.percentile(top, F.lit(0.5)).alias("median"), F.avg((top > 0.9).cast("double")).alias("above_09"))
+    """Mean and median of the largest membership, and the share above 0.9."""
+    top = assignments.select(F.lit(1).alias("all"), F.array_max("probs").alias("top"))
+    middle = exact_percentiles(top, "all", "top", {"median": 0.5})
+    return top.groupBy("all").agg(F.avg("top").alias("mean"), F.avg((F.col("top") > 0.9).cast("double")).alias("above_09")).join(middle, "all").select("mean", "median", "above_09")
+
+
+def numeric_profile(labelled: DataFrame, label: str, value: str) -> DataFrame:
+    """(label, mean, median) of a numeric column."""
+    means = labelled.groupBy(label).agg(F.avg(value).alias("mean"))
+    return means.join(exact_percentiles(labelled, label, value, {"median": 0.5}), label, "left")
 
 
 def relative_entropy(assignments: DataFrame) -> DataFrame:
@@ -159,6 +169,14 @@ def adjusted_rand(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return s.join(r, on).join(c, on).select(*by, F.when(most == expected, 1.0).otherwise((F.col("cells") - expected) / F.nullif(most - expected, F.lit(0.0))).alias("ari"))
 
 
+def adjusted_rand_matrix(labels: DataFrame) -> DataFrame:
+    """(a, b, ari) for every two methods of (method, respondent_id, label), each with itself too; rows without a label do not count."""
+    known = labels.where("label is not null").select("method", "respondent_id", "label")
+    a = known.select(F.col("method").alias("a"), "respondent_id", F.col("label").alias("x"))
+    b = known.select(F.col("method").alias("b"), "respondent_id", F.col("label").alias("y"))
+    return adjusted_rand(a.join(b, "respondent_id"), ("a", "b"))
+
+
 def dominant_category(labelled: DataFrame) -> DataFrame:
     """Commonest category per (label, column) with its share; first in order on ties."""
     counts = labelled.groupBy("label", "column_name", "code").agg(F.count(F.lit(1)).alias("n"))
@@ -196,7 +214,8 @@ def demographic_profile(texts: DataFrame, numbers: DataFrame, labels: list, junk
     """
     clean = texts.where(F.col("code").isNotNull() & ~F.lower("code").rlike(junk))
     shown = dominant_category(clean).select("column_name", "label", F.format_string("%s (%.1f%%)", F.col("code"), F.col("percent").cast("double")).alias("shown"))
-    means = numbers.groupBy("column_name", "label").agg(F.format_string("%.2f / %.2f", F.avg("value"), F.percentile("value", F.lit(0.5))).alias("shown"))
+    profile = numeric_profile(numbers.select(F.struct("column_name", "label").alias("who"), "value"), "who", "value")
+    means = profile.select("who.column_name", "who.label", F.format_string("%.2f / %.2f", F.col("mean"), F.col("median")).alias("shown"))
     wide = shown.unionByName(means).groupBy("column_name").pivot("label", labels).agg(F.first("shown"))
     return wide.join(demographic_tvd(texts), "column_name", "left").orderBy(F.desc_nulls_last("tvd"), "column_name")
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -258,7 +256,7 @@ def _(s, d):
 
 @query("A35_fit_table")
 def _(s, d):
-    return rounded(LA.fit_table(LA.model_selection(V.responses(s, d), most=3, starts=1, rounds=3)))
+    return rounded(LA.fit_table(LA.model_selection(V.responses(s, d), starts=1)))
 
 
 @query("W03_pick_order", R.WALK + "SELECT column_name, battery, v, CAST(row_number() OVER (ORDER BY rank) AS INT) AS pick, row_number() OVER (ORDER BY rank)<=2 AS held_out FROM walk JOIN rk ON rk.column_name=walk.picked")
@@ -296,7 +294,7 @@ def _(s, d):
 def _(s, d):
     e = V.read(s, d, "events")
     e = e.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("o", F.struct("at", "event_id"))
-    return rounded(SC.throughput(e, "event_type", "o", F.col("at")))
+    return rounded(SC.throughput(e, "event_type", "o", "at"))
 
 
 # ------------------------------------------------------------------ scores of stored responses
@@ -378,13 +376,16 @@ def _(s, d):
     return rounded(back.select("event_id", "model", (F.size(F.from_json("true_distribution", "array<double>")) == 2).alias("whole"), "cross_entropy"))
 
 
-@query("S09_nested_json", f"SELECT subpopulation, column_name, pos, code, p FROM ({_A01})")
+@query("S09_nested_json", f"SELECT subpopulation, size, round(size/(SELECT count(*) FROM asg),6) AS weight, column_name, pos, code, 'Opt '||(pos+1) AS label, p FROM ({_A01}) JOIN (SELECT CAST(cluster AS VARCHAR) subpopulation, count(*) size FROM asg GROUP BY 1) USING (subpopulation)")
 def _(s, d):
     path = folder(s)
-    files.write_distributions(ST.empirical_distribution(ST.with_overall(R.labelled(s, d)), V.options(s)), path)
-    back = s.read.json(path, schema="subpopulation string, items map<string, struct<codes: array<double>, distribution: array<double>>>")
-    flat = back.select("subpopulation", F.explode("items").alias("column_name", "x"))
-    return rounded(flat.select("subpopulation", "column_name", F.posexplode(F.arrays_zip(F.col("x.codes").alias("code"), F.col("x.distribution").alias("p"))).alias("pos", "y")).select("subpopulation", "column_name", "pos", "y.*"))
+    sizes = ST.with_overall(V.assignments(s, d)).groupBy("subpopulation").agg(F.count(F.lit(1)).alias("size"))
+    labels = V.options(s).select("column_name", "code", F.concat(F.lit("Opt "), (F.col("pos") + 1).cast("string")).alias("label"))
+    files.write_distributions(ST.empirical_distribution(ST.with_overall(R.labelled(s, d)), V.options(s)), sizes, labels, path)
+    back = s.read.json(path, schema="subpopulation string, size long, weight double, items map<string, struct<numeric_codes: array<double>, word_labels: array<string>, distribution: array<double>>>")
+    flat = back.select("subpopulation", "size", "weight", F.explode("items").alias("column_name", "x"))
+    zipped = F.arrays_zip(F.col("x.numeric_codes").alias("code"), F.col("x.word_labels").alias("label"), F.col("x.distribution").alias("p"))
+    return rounded(flat.select("subpopulation", "size", "weight", "column_name", F.posexplode(zipped).alias("pos", "y")).select("subpopulation", "size", "weight", "column_name", "pos", "y.*"))
 
 
 @query("S07_S10_S11_manifest", "SELECT model AS config, split, subpopulation, count(*) AS rows FROM ev GROUP BY ROLLUP (model, split, subpopulation)")
@@ -402,9 +403,112 @@ def _(s, d):
     return files.cached(s, root, "a", make)
 
 
-@query("ST1_live_monitor", "SELECT model, subpopulation, count(*) AS n, round(CASE WHEN count(is_correct)>0 THEN 100.0*count(*) FILTER (is_correct)/count(*) END,6) AS accuracy, round(avg(cross_entropy),6) AS cross_entropy, round(avg(kl_divergence),6) AS kl_divergence FROM ev GROUP BY ALL")
+@query("ST1_live_monitor", "SELECT model, subpopulation, count(*) FILTER (NOT failed) AS n, round(CASE WHEN count(is_correct) FILTER (NOT failed)>0 THEN 100.0*count(*) FILTER (is_correct AND NOT failed)/count(*) FILTER (NOT failed) END,6) AS accuracy, round(avg(cross_entropy) FILTER (NOT failed),6) AS cross_entropy, round(avg(kl_divergence) FILTER (NOT failed),6) AS kl_divergence, count(*) FILTER (failed) AS failures FROM ev GROUP BY ALL")
 def _(s, d):
-    path, name = folder(s), f"live_{uuid.uuid4().hex}"
+    path, out = folder(s), folder(s)
     V.eval_results(s, d).select("event_id", "model", "subpopulation", "is_correct", "cross_entropy", "kl_divergence", "failed").write.parquet(path)
-    monitor.start(monitor.live_summary(s, path), name, folder(s)).awaitTermination()
-    return rounded(s.table(name))
+    monitor.start(monitor.live_summary(s, path), out, folder(s)).awaitTermination()
+    return rounded(monitor.newest(s, out))
+
+
+@query("S01_coded_scan", "SELECT CAST(respondent_id AS DOUBLE) AS id, Q1, Q2, Q6 FROM wide")
+def _(s, d):
+    path = folder(s)
+    V.survey_wide(s, d).select(F.col("o_orderkey").alias("id"), *[F.col(q).cast("int").alias(q) for q in ("Q1", "Q2", "Q6")]).write.csv(path, sep=";", header=True)
+    return files.read_coded(s, path, ["id", "Q1", "Q2", "Q6"])
+
+
+@query("S02_label_scan", "SELECT CAST(conv_id AS VARCHAR) AS id, CAST(turn AS VARCHAR) AS turn, role||';\"'||text AS answer FROM conversations", False)
+def _(s, d):
+    path = folder(s)
+    rows = V.read(s, d, "conversations").select(F.col("conv_id").alias("id the interview"), F.col("turn"), F.concat("role", F.lit(';"'), "text").alias("answer in words"))
+    rows.write.csv(path, sep=";", header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return files.read_labels(s, path)
+
+
+def by_bucket(rows: DataFrame, one: F.Column, path: str) -> None:
+    """One text file per bucket, so that each is a JSON document of its own."""
+    rows.select("bucket", one.alias("value")).write.partitionBy("bucket").text(path)
+
+
+@query("S03_mapping_scan", MAPPING + "SELECT CAST(id AS BIGINT) AS id, any_value(question) AS question, count(*) AS n_columns, string_agg(column_name, ',' ORDER BY pos) AS columns FROM it GROUP BY 1", False)
+def _(s, d):
+    path = folder(s)
+    entries = mapping(s, d).select((F.col("id") % 4).alias("bucket"), F.to_json(F.struct("id", "question", "column_names")).alias("j"))
+    by_bucket(entries.groupBy("bucket").agg(F.collect_list("j").alias("j")), F.concat(F.lit("["), F.array_join("j", ", "), F.lit("]")), path)
+    back = files.read_mapping(s, path)
+    return back.select("id", "question", F.size("column_names").cast("long").alias("n_columns"), F.array_join("column_names", ",").alias("columns"))
+
+
+@query("S04_template_scan", "SELECT CASE WHEN item_id%2=0 THEN 'system_prompts' ELSE 'question_templates' END AS kind, 't'||item_id AS name, text FROM benchmark", False)
+def _(s, d):
+    path = folder(s)
+    entry = F.struct(F.concat(F.lit("t"), F.col("item_id").cast("string")).alias("name"), "text")
+    pick = lambda k: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("item_id") % 2 == k, entry))))
+    maps = V.read(s, d, "benchmark").groupBy((F.col("item_id") % 4).alias("bucket")).agg(pick(0).alias("system_prompts"), pick(1).alias("question_templates"))
+    by_bucket(maps, F.to_json(F.struct("system_prompts", "question_templates")), path)
+    return files.read_templates(s, path)
+
+
+def stored_runs(s: SparkSession, d: str) -> tuple[str, str]:
+    """Runs as folders of files: configs and results below <model>/<run>."""
+    configs, results = folder(s), folder(s)
+    e = V.eval_results(s, d).withColumn("run", F.concat(F.lit("r-"), F.when(F.col("prompt") % 2 == 0, "cluster_0").otherwise("own"), F.lit("-"), F.col("prompt").cast("string")))
+    runs = e.groupBy("model", "run").agg(F.collect_set("split").alias("splits"), F.max("prompt").alias("p"))
+    runs = runs.select("model", "run", F.to_json(F.struct(F.col("model").alias("target"), F.lit("d").alias("dataset"), F.sort_array("splits").alias("splits"), (F.col("p") == 3).alias("reasoning"), F.col("run").alias("run_name"))).alias("value"))
+    runs.write.partitionBy("model", "run").text(configs)
+    rows = e.select("model", "run", F.when(F.col("event_id") % 8 != 0, F.concat(F.lit("q"), F.col("event_id").cast("string"))).alias("question_id"), F.when(F.col("event_id") % 3 != 0, F.col("subpopulation")).alias("subpopulation"), F.repeat(F.lit("ab,\n"), (F.col("event_id") % 100).cast("int")).alias("model_answer"), F.round("cross_entropy", 6).cast("string").alias("cross_entropy"))
+    rows.repartition("model", "run").write.partitionBy("model", "run").csv(results, header=True, quoteAll=True, escape='"', nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return configs, results
+
+
+RESULTS = "question_id string, subpopulation string, model_answer string, cross_entropy string"
+
+
+@query("S06_run_scan", "SELECT model, 'r-'||CASE WHEN prompt%2=0 THEN 'cluster_0' ELSE 'own' END||'-'||prompt AS run, prompt=3 AS reasoning, count(DISTINCT split) AS splits, count(*) AS rows FROM ev GROUP BY ALL")
+def _(s, d):
+    configs, results = stored_runs(s, d)
+    counts = files.read_results(s, results, RESULTS, "part-*").groupBy("model", "run").agg(F.count(F.lit(1)).alias("rows"))
+    return files.read_runs(s, configs, "part-*").select("model", "run", "reasoning", F.size("splits").cast("long").alias("splits")).join(counts, ["model", "run"])
+
+
+@query("S14_evaluation_publish", "SELECT model, 'r-'||CASE WHEN prompt%2=0 THEN 'cluster_0' ELSE 'own' END||'-'||prompt AS run_name, prompt=3 AS reasoning, 'q'||event_id AS question_id, CASE WHEN event_id%3<>0 THEN subpopulation WHEN prompt%2=0 THEN 'cluster_0' ELSE 'unknown' END AS subpopulation, least(200, 4*(event_id%100)) AS answer_signs, CAST(round(cross_entropy,6) AS DOUBLE) AS cross_entropy FROM ev WHERE event_id%8<>0")
+def _(s, d):
+    configs, results = stored_runs(s, d)
+    rows = files.read_results(s, results, RESULTS, "part-*")
+    for c in ("question", "sub_question", "column_name", "question_format", "system_prompt_id", "model_reasoning", "categories", "model_distribution", "true_distribution", "kl_divergence", "expected_text"):
+        rows = rows.withColumn(c, F.lit(None).cast("string"))
+    nested = SC.published(files.read_runs(s, configs, "part-*").withColumn("model_sha", F.lit(None).cast("string")), rows)
+    path = folder(s)
+    nested.write.json(path)
+    back = s.read.json(path, schema=nested.schema)
+    flat = back.select("model", F.inline("runs")).select("model", "config.run_name", "config.reasoning", F.inline("results"))
+    return rounded(flat.select("model", "run_name", "reasoning", "question_id", "subpopulation", F.char_length("model_answer").cast("long").alias("answer_signs"), F.col("cross_entropy").cast("double").alias("cross_entropy")))
+
+
+@query("S07_split_scan", "SELECT id, split FROM (SELECT event_id id, split, row_number() OVER (PARTITION BY split ORDER BY event_id) k FROM ev WHERE model=(SELECT min(model) FROM ev) AND subpopulation='s2') WHERE k<=20")
+def _(s, d):
+    path, e = folder(s), V.eval_results(s, d)
+    files.write_dataset(e.select(F.col("event_id").alias("id"), F.col("model").alias("config"), "split", "subpopulation"), path)
+    return files.read_splits(s, path, e.agg(F.min("model")).first()[0], subpopulation="s2", most=20).select("id", "split")
+
+
+@query("S12_fingerprint")
+def _(s, d):
+    path = folder(s)
+    V.eval_results(s, d).select("event_id", "model").repartition(4, "event_id").sortWithinPartitions("event_id").write.csv(path)
+    every = files.fingerprint(s, f"{path}/part-*")
+    return files.file_digests(s, f"{path}/part-*").select(F.substring("name", 1, 10).alias("name"), "digest", F.lit(every).alias("fingerprint"))
+
+
+@query("P06_P07_value_survey", "SELECT respondent_id AS id, Q3, Q6, c_mktsegment AS social_class, CAST(c_nationkey AS VARCHAR) AS religion FROM wide")
+def _(s, d):
+    w = V.survey_wide(s, d).withColumn("id", F.col("o_orderkey"))
+    codes, labels = w.select("id", "Q3", "Q4", "Q6"), w.select("id", F.col("c_mktsegment").alias("Q287"), F.col("c_nationkey").cast("string").alias("Q289"))
+    asked = V.batteries(s).where("column_name in ('Q3', 'Q6')").select(F.lit("value survey").alias("question_type"), F.array("column_name").alias("column_names"))
+    return CL.value_survey(codes, labels, asked, "id")
+
+
+@query("T14_duration", "SELECT event_id, CASE WHEN n>=3600 THEN printf('%dh %02dm %02ds', n//3600, n%3600//60, n%60) WHEN n>=60 THEN printf('%dm %02ds', n//60, n%60) ELSE printf('%ds', n) END AS elapsed FROM (SELECT event_id, CAST(floor(value*event_id%9000) AS BIGINT) n FROM events)", False)
+def _(s, d):
+    return V.read(s, d, "events").select("event_id", TX.duration(F.floor(F.col("value") * F.col("event_id") % 9000)).alias("elapsed"))

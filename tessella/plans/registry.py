@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as TX
+from tessella.functions.shared import stored
 from tessella.operators import cleaning as CL
 from tessella.operators import clusters as CU
 from tessella.operators import components as CO
 from tessella.operators import latent as LA
+from tessella.operators import running as RU
 from tessella.operators import scoring as SC
 from tessella.operators import statistics as ST
 from tessella.plans import views as V
@@ -102,7 +104,7 @@ def _(s, d):
     return V.read(s, d, "events").select("event_id", F.regexp_replace("props", r"\{\"k\": |\}", "").try_cast("double").alias("k"))
 
 
-@query("P15_age_band", "SELECT respondent_id, CASE WHEN a>17 AND a<=24 THEN '18-24' WHEN a>24 AND a<=34 THEN '25-34' WHEN a>34 AND a<=44 THEN '35-44' WHEN a>44 AND a<=54 THEN '45-54' WHEN a>54 AND a<=64 THEN '55-64' WHEN a>64 AND a<=100 THEN '65-100' END AS band FROM (SELECT o_orderkey respondent_id, o_custkey % 110 a FROM orders)", False)
+@query("P15_age_band", "SELECT respondent_id, CASE WHEN a>17 AND a<=24 THEN '18-24' WHEN a>24 AND a<=34 THEN '25-34' WHEN a>34 AND a<=44 THEN '35-44' WHEN a>44 AND a<=54 THEN '45-54' WHEN a>54 AND a<=64 THEN '55-64' WHEN a>64 AND a<=100 THEN '65+' END AS band FROM (SELECT o_orderkey respondent_id, o_custkey % 110 a FROM orders)", False)
 def _(s, d):
     return V.read(s, d, "orders").select(F.col("o_orderkey").alias("respondent_id"), CL.age_band(F.col("o_custkey") % 110).alias("band"))
 
@@ -177,7 +179,7 @@ def _(s, d):
 @query("A11_numeric_profile", "SELECT cluster, round(avg(c_acctbal),6) AS mean, round(median(c_acctbal),6) AS median FROM wide JOIN asg USING (respondent_id) GROUP BY 1")
 def _(s, d):
     w = V.survey_wide(s, d).join(V.assignments(s, d), F.col("o_orderkey") == F.col("respondent_id"))
-    return rounded(w.groupBy("cluster").agg(F.avg("c_acctbal").alias("mean"), F.percentile("c_acctbal", F.lit(0.5)).alias("median")))
+    return rounded(ST.numeric_profile(w.select("cluster", F.col("c_acctbal").cast("double").alias("c_acctbal")), "cluster", "c_acctbal"))
 
 
 @query("A13_composition", "SELECT label, column_name, code, n, round(share,6) AS share, round(sum(share) OVER (PARTITION BY label, column_name ORDER BY n DESC, code)-share,6) AS left_edge, share>=0.08 AS label_shown FROM (SELECT cluster AS label, column_name, code, count(*) n, count(*)/sum(count(*)) OVER (PARTITION BY cluster, column_name) share FROM lab WHERE code IS NOT NULL GROUP BY cluster, column_name, code)")
@@ -238,6 +240,14 @@ def _(s, d):
     return rounded(both.groupBy("column_name", "cluster").agg((F.sum(F.abs(F.col("soft") - F.col("hard"))) / 2).alias("t")).groupBy("column_name").agg(F.avg("t").alias("tvd")))
 
 
+@query("A21_rand_matrix", ", m AS (SELECT respondent_id, 'by2' method, cluster l FROM asg UNION ALL SELECT respondent_id, 'by3', cluster3 FROM asg UNION ALL SELECT respondent_id, 'certain', CASE WHEN respondent_id%9<>0 THEN CAST(p0>=0.5 AS INT) END FROM asg), c AS (SELECT x.method a, y.method b, x.l lx, y.l ly, count(*) n FROM m x JOIN m y USING (respondent_id) WHERE x.l IS NOT NULL AND y.l IS NOT NULL GROUP BY ALL), t AS (SELECT a, b, sum(n*(n-1)/2) cs, sum(n) n FROM c GROUP BY ALL), r AS (SELECT a, b, sum(k*(k-1)/2) rs FROM (SELECT a, b, lx, sum(n) k FROM c GROUP BY ALL) GROUP BY ALL), q AS (SELECT a, b, sum(k*(k-1)/2) ks FROM (SELECT a, b, ly, sum(n) k FROM c GROUP BY ALL) GROUP BY ALL) SELECT a, b, round((cs-rs*ks/(n*(n-1)/2))/((rs+ks)/2-rs*ks/(n*(n-1)/2)),6) AS ari FROM t JOIN r USING (a, b) JOIN q USING (a, b)")
+def _(s, d):
+    a = V.assignments(s, d)
+    certain = F.when(F.col("respondent_id") % 9 != 0, (F.col("probs")[0] >= 0.5).cast("int"))
+    long = a.select("respondent_id", F.inline(F.array(*[F.struct(F.lit(n).alias("method"), c.alias("label")) for n, c in (("by2", F.col("cluster")), ("by3", F.col("cluster3")), ("certain", certain))])))
+    return rounded(ST.adjusted_rand_matrix(long))
+
+
 @query("A24_correlation", "SELECT round(corr(Q6,Q7),6) AS r FROM wide")
 def _(s, d):
     return rounded(V.survey_wide(s, d).agg(F.corr("Q6", "Q7").alias("r")))
@@ -245,8 +255,7 @@ def _(s, d):
 
 @query("A39_certainty_histogram", "SELECT least(CAST(floor((greatest(p0,1-p0)-0.5)/0.05) AS INT),9) AS bin, count(*) AS n FROM asg GROUP BY 1")
 def _(s, d):
-    top = F.array_max("probs")
-    return V.assignments(s, d).groupBy(F.least(F.floor((top - 0.5) / 0.05).cast("int"), F.lit(9)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return RU.histogram(V.assignments(s, d).select(F.array_max("probs").alias("top")), "top", 0.5, 1.0, 10)
 
 
 # ------------------------------------------------------------------ joins, picks, components
@@ -292,10 +301,10 @@ def _(s, d):
 # ------------------------------------------------------------------ text
 
 
-@query("T02_lettered_options", "SELECT column_name, pos, chr(CAST(65+pos AS INT))||'. '||CAST(CAST(code AS INT) AS VARCHAR) AS line FROM opt")
+@query("T02_lettered_options", "SELECT user_id, pos, chr(CAST(65+pos AS INT))||'. '||event_type AS line FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_type)-1 AS pos FROM (SELECT DISTINCT user_id, event_type FROM events))", False)
 def _(s, d):
-    listed = V.options(s).groupBy("column_name").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("code").cast("int").cast("string").alias("c")))).alias("o"))
-    return listed.select("column_name", F.posexplode(TX.lettered(F.transform("o", lambda x: x["c"]))).alias("pos", "line"))
+    listed = V.read(s, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_set("event_type")).alias("o"))
+    return listed.select("user_id", F.posexplode(TX.lettered(F.col("o"))).alias("pos", "line"))
 
 
 @query("T03_token_jaccard", ", tk AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text),'[a-z]+')) t FROM benchmark), sz AS (SELECT item_id, count(*) n FROM tk GROUP BY 1) SELECT a.item_id AS a, b.item_id AS b, round(count(*)/greatest(any_value(x.n)+any_value(y.n)-count(*),1),6) AS jaccard FROM tk a JOIN tk b USING (t) JOIN sz x ON x.item_id=a.item_id JOIN sz y ON y.item_id=b.item_id GROUP BY 1,2")
@@ -357,14 +366,14 @@ def _(s, d):
 
 @query("A36_resample_summary", "SELECT model, round(avg(cross_entropy),6) AS mean, round(median(cross_entropy),6) AS median, round(quantile_cont(cross_entropy,0.025),6) AS low, round(quantile_cont(cross_entropy,0.975),6) AS high, CASE WHEN avg(cross_entropy)>=0.7 THEN 'stable' ELSE 'unstable' END AS verdict FROM ev GROUP BY 1")
 def _(s, d):
-    c = F.col("cross_entropy")
-    q = F.percentile(c, F.array(F.lit(0.025), F.lit(0.975)))
-    return rounded(V.eval_results(s, d).groupBy("model").agg(F.avg(c).alias("mean"), F.percentile(c, F.lit(0.5)).alias("median"), q[0].alias("low"), q[1].alias("high"), F.when(F.avg(c) >= 0.7, "stable").otherwise("unstable").alias("verdict")))
+    return rounded(RU.resample_summary(V.eval_results(s, d), "model", "cross_entropy"))
 
 
-@query("A37_exceedance", "SELECT model, round((1+count(*) FILTER (cross_entropy>=2))/(1.0+count(*)),6) AS p FROM ev GROUP BY 1")
+@query("A37_exceedance", ", o AS (SELECT model, quantile_cont(cross_entropy, 0.99) x FROM ev WHERE prompt=0 GROUP BY 1) SELECT model, round((1+count(*) FILTER (cross_entropy>=x))/(1.0+count(cross_entropy)),6) AS p, (1+count(*) FILTER (cross_entropy>=x))/(1.0+count(cross_entropy))<0.05 AS rejected FROM ev JOIN o USING (model) GROUP BY 1")
 def _(s, d):
-    return rounded(V.eval_results(s, d).groupBy("model").agg(((1 + F.count_if(F.col("cross_entropy") >= 2)) / (1 + F.count(F.lit(1)))).alias("p")))
+    e = V.eval_results(s, d)
+    observed = RU.exact_percentiles(e.where("prompt = 0"), "model", "cross_entropy", {"observed": 0.99})
+    return rounded(RU.exceedance(e, observed, "model", "cross_entropy"))
 
 
 @query("W01_newest_run", "SELECT model, run, timestamp FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY timestamp DESC, run DESC) k FROM (SELECT event_type model, strftime(ts,'%Y-%m-%d') run, strftime(max(ts),'%Y-%m-%dT%H:%M:%S') AS timestamp FROM events WHERE user_id%4<>0 GROUP BY ALL)) WHERE k=1", False)
@@ -385,8 +394,7 @@ def _(s, d):
 
 @query("W09_first_per_split", "SELECT split, event_id FROM (SELECT split, event_id, row_number() OVER (PARTITION BY split ORDER BY event_id) k FROM ev WHERE subpopulation='s1') WHERE k<=50")
 def _(s, d):
-    e = V.eval_results(s, d).where("subpopulation = 's1'").withColumn("k", F.row_number().over(Window.partitionBy("split").orderBy("event_id")))
-    return e.where("k <= 50").select("split", "event_id")
+    return SC.first_per_split(V.eval_results(s, d).where("subpopulation = 's1'").select("split", "event_id"), "event_id", 50)
 
 
 @query("W12_top_items", "SELECT column_name, round(avg(tvd),6) AS informativeness FROM (SELECT x.column_name, sum(abs(x.p-y.p))/2 tvd FROM pp x JOIN pp y USING (column_name, code) WHERE x.cluster<y.cluster GROUP BY 1) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
@@ -395,16 +403,29 @@ def _(s, d):
     return rounded(i).orderBy(F.desc("informativeness"), "column_name").limit(5)
 
 
-@query("A31_main_table", ", u AS (SELECT model, subpopulation, split, avg(accuracy) accuracy, avg(cross_entropy) ce FROM met GROUP BY ALL UNION ALL SELECT model, subpopulation, 'overall', avg(a), avg(c) FROM (SELECT model, subpopulation, prompt, sum(accuracy*n)/sum(n) a, sum(cross_entropy*n)/sum(n) c FROM met GROUP BY ALL) GROUP BY ALL) SELECT model, subpopulation, round(max(CASE WHEN split='train' THEN accuracy END),6) AS train_accuracy, round(max(CASE WHEN split='train' THEN ce END),6) AS train_ce, round(max(CASE WHEN split='validation' THEN accuracy END),6) AS validation_accuracy, round(max(CASE WHEN split='validation' THEN ce END),6) AS validation_ce, round(max(CASE WHEN split='overall' THEN accuracy END),6) AS overall_accuracy, round(max(CASE WHEN split='overall' THEN ce END),6) AS overall_ce FROM u GROUP BY ALL")
+#: Runs of a base model and of models tuned from it: events dealt to two base models and to training methods.
+VERSIONS = ", mv AS (SELECT 'b'||(prompt%2) AS base_model, ['base','first_token_distribution-cluster_0','modal_response-overall','modal_response-cluster_1','own-overall'][event_id%5+1] AS method, ['overall','cluster_0','cluster_1'][CAST(substr(subpopulation,2) AS INT)+1] AS pop, split, prompt, is_correct, cross_entropy, kl_divergence FROM ev), mm AS (SELECT base_model, method, pop, split, prompt, count(*) n, CASE WHEN count(is_correct)>0 THEN 100.0*count(*) FILTER (is_correct)/count(*) END accuracy, avg(cross_entropy) cross_entropy, avg(kl_divergence) kl_divergence FROM mv GROUP BY ALL), mo AS (SELECT base_model, method, pop, split, avg(accuracy) accuracy, avg(cross_entropy) cross_entropy, avg(kl_divergence) kl_divergence FROM mm GROUP BY ALL UNION ALL SELECT base_model, method, pop, 'overall', avg(a), avg(c), avg(k) FROM (SELECT base_model, method, pop, prompt, sum(accuracy*n)/sum(n) a, sum(cross_entropy*n)/sum(n) c, sum(kl_divergence*n)/sum(n) k FROM mm GROUP BY ALL) GROUP BY ALL) "
+
+
+def versions(s: SparkSession, d: str) -> DataFrame:
+    one_of = lambda i, xs: F.element_at(F.array(*[F.lit(x) for x in xs]), i.cast("int") + 1)
+    e = V.eval_results(s, d).withColumn("base_model", F.concat(F.lit("b"), (F.col("prompt") % 2).cast("string")))
+    e = e.withColumn("method", one_of(F.col("event_id") % 5, ["base", "first_token_distribution-cluster_0", "modal_response-overall", "modal_response-cluster_1", "own-overall"]))
+    return e.withColumn("subpopulation", one_of(F.substring("subpopulation", 2, 1), ["overall", "cluster_0", "cluster_1"]))
+
+
+@query("A31_main_table", VERSIONS + "SELECT base_model, CAST(row_number() OVER (PARTITION BY base_model ORDER BY o) - 1 AS INT) AS place, label, " + ", ".join(f"round(max(CASE WHEN split='{x}' THEN {m} END),6) AS {m}_{x}" for x in ("train", "validation", "overall") for m in SC.METRICS) + " FROM mo JOIN (VALUES ('base','overall',0,'Base'),('modal_response-cluster_1','cluster_1',1,'Modal response (cluster 1)'),('modal_response-overall','overall',2,'Modal response (overall)'),('first_token_distribution-cluster_0','cluster_0',3,'First token (cluster 0)'),('own-overall','overall',4,'own (overall)')) t(method,pop,o,label) USING (method, pop) GROUP BY base_model, o, label")
 def _(s, d):
-    m = metrics(s, d)
-    both = SC.mean_over_prompts(m, ["model", "subpopulation", "split"]).unionByName(SC.overall_split(m, ["model", "subpopulation"]))
-    return rounded(both.groupBy("model", "subpopulation").pivot("split", ["train", "validation", "overall"]).agg(F.first("accuracy").alias("accuracy"), F.first("cross_entropy").alias("ce")))
+    keys = ["base_model", "method", "subpopulation"]
+    m = SC.summary(versions(s, d), [*keys, "split", "prompt"])
+    return rounded(SC.main_table(SC.mean_over_prompts(m, [*keys, "split"]).unionByName(SC.overall_split(m, keys))))
 
 
-@query("A40_completed_runs", "SELECT DISTINCT model, subpopulation FROM (SELECT model, subpopulation, strftime(ts,'%Y-%m-%d') run, bool_or(event_id%97=0) aborted, count(DISTINCT split) k FROM ev GROUP BY ALL) WHERE NOT aborted AND k=2")
+@query("A40_completed_runs", "SELECT DISTINCT model, dataset, subpopulation FROM (SELECT model, strftime(ts,'%Y-%m-%d') run, 'd'||(prompt%2) dataset, CASE WHEN subpopulation<>'s0' THEN subpopulation END subpopulation, CASE WHEN prompt<>5 THEN prompt=4 END reasoning, bool_or(event_id%97=0) aborted, count(DISTINCT split) k, count(is_correct) rows FROM ev GROUP BY ALL) WHERE reasoning IS NOT TRUE AND NOT aborted AND k=2 AND rows>0")
 def _(s, d):
-    runs = V.eval_results(s, d).groupBy("model", "subpopulation", F.date_format("ts", "yyyy-MM-dd").alias("run")).agg(F.collect_set("split").alias("splits"), F.bool_or(F.col("event_id") % 97 == 0).alias("aborted"))
+    p = F.col("prompt")
+    keys = ["model", F.date_format("ts", "yyyy-MM-dd").alias("run"), F.concat(F.lit("d"), (p % 2).cast("string")).alias("dataset"), F.when(F.col("subpopulation") != "s0", F.col("subpopulation")).alias("subpopulation"), F.when(p != 5, p == 4).alias("reasoning")]
+    runs = V.eval_results(s, d).groupBy(*keys).agg(F.collect_set("split").alias("splits"), F.bool_or(F.col("event_id") % 97 == 0).alias("aborted"), F.nullif(F.count("is_correct"), F.lit(0)).alias("result_rows"))
     return SC.completed_runs(runs)
 
 
@@ -425,10 +446,11 @@ def _(s, d):
 # ------------------------------------------------------------------ splits, draws, models
 
 
-@query("X04_split_routing", "SELECT column_name, item_id, CASE WHEN column_name IN ('Q3','Q6') OR item_id%6=0 THEN 'validation' ELSE 'train' END AS split FROM bat CROSS JOIN benchmark")
+@query("X04_split_routing", "SELECT column_name, item_id, CASE WHEN column_name IN (SELECT column_name FROM bat WHERE battery=2) OR item_id IN (SELECT item_id FROM benchmark WHERE length(text)%6=0) THEN 'validation' ELSE 'train' END AS split FROM bat CROSS JOIN benchmark")
 def _(s, d):
-    rows = V.batteries(s).select("column_name").crossJoin(V.read(s, d, "benchmark").select("item_id"))
-    return rows.withColumn("split", F.when(F.col("column_name").isin("Q3", "Q6") | (F.col("item_id") % 6 == 0), "validation").otherwise("train"))
+    prompts = V.read(s, d, "benchmark")
+    rows = V.batteries(s).select("column_name").crossJoin(prompts.select("item_id"))
+    return SC.route_splits(rows, V.batteries(s).where("battery = 2"), prompts.where(F.char_length("text") % 6 == 0), ["column_name"], "item_id").select("column_name", "item_id", "split")
 
 
 @query("X05_categorical_draw", "SELECT event_id, CASE WHEN m0 > CAST(('0x'||substr(md5('1|'||event_id),1,8)) AS BIGINT)/4294967296.0::DOUBLE THEN 0 ELSE 1 END AS pick FROM ev")
@@ -438,7 +460,7 @@ def _(s, d):
 
 @query("R06_category_expansion", "SELECT event_id, 0 AS pos, round(t0,6) AS q FROM ev UNION ALL SELECT event_id, 1, round(1-t0,6) FROM ev")
 def _(s, d):
-    return rounded(V.eval_results(s, d).select("event_id", F.posexplode("true_distribution").alias("pos", "q")))
+    return rounded(SC.category_expansion(V.eval_results(s, d).select("event_id", "true_distribution"), "true_distribution"))
 
 
 @query("R07_soft_cross_entropy", "SELECT round(avg(ln(exp(cross_entropy)+exp(kl_divergence))-t0*cross_entropy-(1-t0)*kl_divergence),6) AS loss FROM ev")
@@ -450,50 +472,47 @@ def _(s, d):
 @query("M01_M03_latent_classes")
 def _(s, d):
     r = V.responses(s, d)
-    parameters, priors, _ = LA.fit_latent_classes(r, 2, rounds=5)
+    parameters, priors, _ = LA.fit_latent_classes(r, 2)
     return rounded(LA.posteriors(r, parameters, priors))
 
 
 @query("M10_kmeans")
 def _(s, d):
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    v = V.read(s, d, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    return KMeans(k=3, seed=1, maxIter=10).fit(v).transform(v).select("vec_id", F.col("prediction").alias("cluster"))
+    place, _, _ = CU.correspondence(V.responses(s, d))
+    return CU.k_means_labels(place.select(F.col("respondent_id").alias("id"), F.col("coordinates").alias("features")), 3)
 
 
 @query("M02_model_selection")
 def _(s, d):
-    return rounded(LA.model_selection(V.responses(s, d), most=3, starts=2, rounds=4))
+    return rounded(LA.model_selection(V.responses(s, d)))
 
 
 @query("M04_M05_certainty_curve")
 def _(s, d):
     r = V.responses(s, d)
-    parameters, priors, _ = LA.fit_latent_classes(r, 2, rounds=5)
+    parameters, priors, _ = LA.fit_latent_classes(r, 2)
     names = V.batteries(s).select("column_name", F.explode(F.array(F.lit("all"), F.when(F.col("battery") != 4, F.lit("narrow")))).alias("pool")).where("pool is not null")
     ranked = names.withColumn("rank", F.row_number().over(Window.partitionBy("pool").orderBy("column_name")))
-    return rounded(LA.certainty_curve(r, parameters, priors, ranked, most=8))
+    return rounded(LA.certainty_curve(r, parameters, priors, ranked))
 
 
 @query("M06_bootstrap_stability")
 def _(s, d):
     r = V.responses(s, d)
-    parameters, priors, _ = LA.fit_latent_classes(r, 2, rounds=5)
+    parameters, priors, _ = LA.fit_latent_classes(r, 2)
     original = LA.hard_labels(LA.posteriors(r, parameters, priors))
-    return rounded(LA.bootstrap_stability(r, original, 2, replicates=5, rounds=5))
+    return rounded(LA.bootstrap_stability(r, original, 2))
 
 
 @query("M07_bootstrap_ratio_test")
 def _(s, d):
-    found = LA.bootstrap_ratio_test(V.responses(s, d), 1, replicates=5, rounds=4)
+    found = LA.bootstrap_ratio_test(V.responses(s, d), 2)
     return s.createDataFrame([(float(found["ratio"]), float(found["p"]))], "ratio double, p double")
 
 
 @query("M08_k_modes")
 def _(s, d):
-    return CU.k_modes(V.responses(s, d), 3, starts=2, rounds=5)
+    return CU.k_modes(V.responses(s, d), 3)
 
 
 @query("M09_correspondence")
@@ -514,7 +533,7 @@ def vectors(s: SparkSession, d: str) -> DataFrame:
 
 @query("M11_diagonal_mixture")
 def _(s, d):
-    return CU.diagonal_mixture(vectors(s, d).drop("label"), 3, rounds=8)[0]
+    return CU.diagonal_mixture(vectors(s, d).drop("label"), 3)[0]
 
 
 @query("M12_bisecting_kmeans")
@@ -538,10 +557,12 @@ def _(s, d):
 
 @query("M15_M18_method_comparison")
 def _(s, d):
-    a = V.assignments(s, d)
+    a, r = V.assignments(s, d), V.responses(s, d)
     place = V.survey_wide(s, d).select(F.col("o_orderkey").alias("id"), F.array("Q3", "Q6", "Q7").alias("features"))
     labels = {f"by_{c}": a.select("respondent_id", F.when(F.col("respondent_id") % 50 != 0, F.col(c)).alias("label")) for c in ("cluster", "cluster3")}
-    return rounded(CU.compare_methods(V.responses(s, d), place, labels))
+    parameters, priors, loglik = LA.fit_latent_classes(r, 2)
+    labels["latent"] = stored(LA.hard_labels(LA.posteriors(r, parameters, priors)).select("respondent_id", "label"))
+    return rounded(CU.compare_methods(r, place, labels, {"latent": LA.information_criteria(r, 2, loglik)["bic"]}))
 
 
 # ------------------------------------------------------------------ reports

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.operators.scoring import first_per_split
+
 MAPPING = "id long, question string, sub_questions array<string>, column_names array<string>, word_response_types array<string>, numeric_response_types array<string>, survey_section string, question_type string, question_format string"
 RUN = "target string, dataset string, split string, splits array<string>, subpopulation string, reasoning boolean, aborted boolean, run_name string, timestamp string, elapsed_seconds double"
 
@@ -15,8 +17,11 @@ def read_coded(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Label text with quoted separators; a byte-order mark goes, names end at their first blank."""
-    df = spark.read.csv(path, sep=";", header=True, quote='"', escape='"', mode="PERMISSIVE")
+    """Label text with quoted separators; a byte-order mark goes, names end at their first blank.
+
+    A quoted text may hold line breaks, so each file is read by one task.
+    """
+    df = spark.read.csv(path, sep=";", header=True, quote='"', escape='"', mode="PERMISSIVE", multiLine=True)
     return df.toDF(*[c.lstrip("﻿").split(" ")[0] for c in df.columns])
 
 
@@ -36,17 +41,25 @@ def read_templates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _from_path(df: DataFrame) -> DataFrame:
+    """model and run from the two folders above a file; a folder called key=value gives its value."""
     at = F.col("_metadata.file_path")
-    return df.select("*", F.regexp_extract(at, r"([^/]+)/[^/]+/[^/]+$", 1).alias("model"), F.regexp_extract(at, r"[^/]+/([^/]+)/[^/]+$", 1).alias("run"))
+    return df.select("*", F.regexp_extract(at, r"(?:[^/=]+=)?([^/]+)/[^/]+/[^/]+$", 1).alias("model"), F.regexp_extract(at, r"[^/]+/(?:[^/=]+=)?([^/]+)/[^/]+$", 1).alias("run"))
+
+
+def read_runs(spark: SparkSession, root: str, name: str = "config.json") -> DataFrame:
+    """Every <model>/<run>/<name> under root, with model and run from the path."""
+    return _from_path(spark.read.json(f"{root}/*/*/{name}", schema=RUN, multiLine=True))
 
 
-def read_runs(spark: SparkSession, root: str) -> DataFrame:
-    """Every <model>/<run>/config.json under root, with model and run from the path."""
-    return _from_path(spark.read.json(f"{root}/*/*/config.json", schema=RUN, multiLine=True))
+def read_results(spark: SparkSession, root: str, schema: str, name: str = "per_question_results.csv") -> DataFrame:
+    return _from_path(spark.read.csv(f"{root}/*/*/{name}", header=True, schema=schema, multiLine=True, escape='"'))
 
 
-def read_results(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    return _from_path(spark.read.csv(f"{root}/*/*/per_question_results.csv", header=True, schema=schema, multiLine=True, escape='"'))
+def read_splits(spark: SparkSession, path: str, config: str, splits: tuple[str, ...] = ("train", "validation"), subpopulation: str | None = None, most: int | None = None, order: str = "id") -> DataFrame:
+    """Rows of a dataset's splits with their `split`; of one population and the first `most` per split only, where asked."""
+    rows = spark.read.parquet(path).where((F.col("config") == config) & F.col("split").isin(*splits))
+    rows = rows if subpopulation is None else rows.where(F.col("subpopulation") == subpopulation)
+    return rows if most is None else first_per_split(rows, order, most)
 
 
 def write_dataset(rows: DataFrame, path: str) -> None:
@@ -62,22 +75,37 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; arrays and maps as JSON text."""
+    """CSV with a header; arrays and maps as JSON text, blanks at the ends of texts kept."""
     nested = {c for c, t in df.dtypes if t.startswith(("array", "map", "struct"))}
-    df.select(*[F.to_json(c).alias(c) if c in nested else F.col(c) for c in df.columns]).write.mode("overwrite").csv(path, header=True)
+    df.select(*[F.to_json(c).alias(c) if c in nested else F.col(c) for c in df.columns]).write.mode("overwrite").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def write_distributions(dist: DataFrame, sizes: DataFrame, labels: DataFrame, path: str) -> None:
+    """One JSON object per cluster: size, weight, and column -> numeric codes, word labels and distribution, in order.
+
+    dist: (subpopulation, column_name, pos, code, p); sizes: (subpopulation, size) with a row for
+    'overall', which sets the weights and is not exported itself; labels: (column_name, code, label).
+    """
+    named = dist.where("subpopulation <> 'overall'").join(labels, ["column_name", "code"], "left")
+    items = named.groupBy("subpopulation", "column_name").agg(F.sort_array(F.collect_list(F.struct("pos", "code", "label", "p"))).alias("o"))
+    part = lambda c, to: F.transform("o", lambda x: x[c]).alias(to)
+    entry = F.struct("column_name", F.struct(part("code", "numeric_codes"), part("label", "word_labels"), part("p", "distribution")))
+    every = items.groupBy("subpopulation").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("items"))
+    total = sizes.where("subpopulation = 'overall'").select(F.col("size").alias("total"))
+    shares = sizes.where("subpopulation <> 'overall'").crossJoin(total).select("subpopulation", "size", (F.col("size") / F.col("total")).alias("weight"))
+    shares.join(every, "subpopulation").write.mode("overwrite").json(path)
 
 
-def write_distributions(dist: DataFrame, path: str) -> None:
-    """One JSON object per subpopulation: column -> codes and probabilities in order."""
-    items = dist.groupBy("subpopulation", "column_name").agg(F.sort_array(F.collect_list(F.struct("pos", "code", "p"))).alias("o"))
-    entry = F.struct("column_name", F.struct(F.transform("o", lambda x: x["code"]).alias("codes"), F.transform("o", lambda x: x["p"]).alias("distribution")))
-    items.groupBy("subpopulation").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("items")).write.mode("overwrite").json(path)
+def file_digests(spark: SparkSession, pattern: str) -> DataFrame:
+    """(name, bytes, digest): SHA-256 of each matching file, taken where the file is read; files of 2 GB and more are refused by Spark's reader."""
+    files = spark.read.format("binaryFile").load(pattern)
+    return files.select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("digest"))
 
 
 def fingerprint(spark: SparkSession, pattern: str) -> str:
-    """SHA-256 over the digests of all matching files in the order of their names."""
-    files = spark.read.format("binaryFile").load(pattern).select("path", F.sha2("content", 256).alias("digest"))
-    return files.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "digest"))), lambda x: x["digest"]), ""), 256)).first()[0] or ""
+    """SHA-256 over the digests of all matching files in the order of their names; a digest's 64 signs per file is what meets in one place."""
+    every = F.sort_array(F.collect_list(F.struct("name", "digest")))
+    return file_digests(spark, pattern).agg(F.sha2(F.array_join(F.transform(every, lambda x: x["digest"]), ""), 256)).first()[0] or ""
 
 
 def cached(spark: SparkSession, root: str, key: str, compute) -> DataFrame:

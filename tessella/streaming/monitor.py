@@ -10,17 +10,37 @@ from tessella.operators.scoring import summary
 RESULT = "event_id long, model string, subpopulation string, is_correct boolean, cross_entropy double, kl_divergence double, failed boolean"
 
 
-def live_summary(spark: SparkSession, path: str, keys: tuple[str, ...] = ("model", "subpopulation")) -> DataFrame:
+def with_failures(results: DataFrame, keys: list[str]) -> DataFrame:
+    """The summary of the results that did not fail, and how many failed, by the keys.
+
+    A failed result has no answer to score; a key all of whose results failed has n 0 and null metrics.
+    """
+    scored = lambda c: F.when(~F.col("failed"), F.col(c)).alias(c)
+    rows = results.select(*keys, "failed", *[scored(c) for c in ("is_correct", "cross_entropy", "kl_divergence")])
+    right = F.sum(F.when(F.col("is_correct"), 1).otherwise(0))
+    n = F.count_if(~F.col("failed"))
+    return rows.groupBy(*keys).agg(n.alias("n"), F.when(F.count("is_correct") > 0, 100 * right / n).alias("accuracy"), F.avg("cross_entropy").alias("cross_entropy"), F.avg("kl_divergence").alias("kl_divergence"), F.count_if("failed").alias("failures"))
+
+
+def live_summary(spark: SparkSession, path: str, keys: tuple[str, ...] = ("model", "subpopulation"), failures: bool = True) -> DataFrame:
     """Running summary by the keys; the same rows as the batch summary of all files seen so far.
 
     State is one row of sums per key, so no watermark is needed.
     """
-    return summary(spark.readStream.schema(RESULT).parquet(path), list(keys))
+    results = spark.readStream.schema(RESULT).parquet(path)
+    return with_failures(results, list(keys)) if failures else summary(results, list(keys))
+
+
+def start(stream: DataFrame, path: str, checkpoint: str):
+    """Write the summary after each batch of files as a table of its own below path; newest() reads the last."""
 
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-def start(stream: DataFrame, name: str, checkpoint: str):
-    return stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def failures(results: DataFrame) -> DataFrame:
-    return results.groupBy("model").agg(F.count_if("failed").alias("failures"))
+def newest(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.parquet(path)
+    last = rows.agg(F.max("batch")).first()[0]
+    return rows.where(F.col("batch") == last).drop("batch")

@@ -4,6 +4,7 @@ import json
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from tessella.functions import text as TX
 from tessella.operators import cleaning as CL
 from tessella.operators import components as CO
 from tessella.operators import latent as LA
+from tessella.operators import running as RU
 from tessella.operators import scoring as SC
 from tessella.operators import statistics as ST
 from tessella.plans import registry
@@ -156,9 +158,54 @@ def test_sources_and_sinks(spark, tmp_path):
     calls = []
     make = lambda: calls.append(1) or rows
     assert files.cached(spark, f"{tmp_path}/cache", a, make).count() == files.cached(spark, f"{tmp_path}/cache", a, make).count() == 3 and len(calls) == 1
-    d = spark.createDataFrame([("overall", "Q1", 0, 1.0, 0.25), ("overall", "Q1", 1, 2.0, 0.75)], "subpopulation string, column_name string, pos int, code double, p double")
-    files.write_distributions(d, f"{tmp_path}/dist")
-    assert spark.read.json(f"{tmp_path}/dist").first()["items"]["Q1"]["distribution"] == [0.25, 0.75]
+    d = spark.createDataFrame([("overall", "Q1", 0, 1.0, 0.5), ("0", "Q1", 0, 1.0, 0.25), ("0", "Q1", 1, 2.0, 0.75)], "subpopulation string, column_name string, pos int, code double, p double")
+    sizes, labels = spark.createDataFrame([("overall", 8), ("0", 2)], "subpopulation string, size long"), spark.createDataFrame([("Q1", 1.0, "yes"), ("Q1", 2.0, "no")], "column_name string, code double, label string")
+    files.write_distributions(d, sizes, labels, f"{tmp_path}/dist")
+    found = spark.read.json(f"{tmp_path}/dist").collect()
+    assert len(found) == 1 and (found[0]["size"], found[0]["weight"]) == (2, 0.25)
+    assert found[0]["items"]["Q1"].asDict() == {"numeric_codes": [1.0, 2.0], "word_labels": ["yes", "no"], "distribution": [0.25, 0.75]}
+    (tmp_path / "map.json").write_text(json.dumps([{"id": 1, "question": "q", "column_names": ["Q1"]}, {"id": 2, "question": "r", "column_names": []}]))
+    assert [(r["id"], r["column_names"]) for r in files.read_mapping(spark, f"{tmp_path}/map.json").collect()] == [(1, ["Q1"]), (2, [])]
+    (run / "per_question_results.csv").write_text('question_id,answer\n7,"a\nb, ""c"""\n,x\n')
+    assert [tuple(r) for r in files.read_results(spark, f"{tmp_path}/evals", "question_id int, answer string").orderBy("question_id").collect()] == [(None, "x", "m1", "r1"), (7, 'a\nb, "c"', "m1", "r1")]
+
+
+def test_columns_are_attached_by_place(spark, tmp_path):
+    for name, rows in (("codes", ["id;Q1;Q9", *[f"{i};{i % 5};{i % 3}" for i in range(500)]]), ("labels", ["id;Q262;Q287;Q1", *[f"{i};{i + 20};c{i % 4};x" for i in range(500)]])):
+        (tmp_path / f"{name}.csv").write_text("\n".join(rows))
+    codes, labels = (spark.read.csv(f"{tmp_path}/{n}.csv", sep=";", header=True) for n in ("codes", "labels"))
+    mapping = spark.createDataFrame([("value survey", ["Q1", "Q2"]), ("other", ["Q9"])], "question_type string, column_names array<string>")
+    for key in (None, "id"):
+        out = CL.value_survey(codes, labels, mapping, key)
+        assert out.columns == ["id", "Q1", "age", "social_class"]
+        assert {tuple(r) for r in out.collect()} == {(str(i), str(i % 5), str(i + 20), f"c{i % 4}") for i in range(500)}
+    assert len(CL.RESPONDENT_COLUMNS) == 38
+
+
+def test_running_sums_and_percentiles(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i, rng.choice([None, 1.0, 2.0, 2.0, 7.5])) for i in range(700)]
+    df = spark.createDataFrame(rows, "k string, o long, v double")
+    got = {r["o"]: (r["i"], r["s"]) for r in RU.running(df, "k", ["o"], {"s": F.col("v")}).collect()}
+    place, total = Counter(), Counter()
+    for k, o, v in rows:
+        place[k] += 1
+        total[k] += v or 0
+        assert got[o] == (place[k], total[k])
+    found = {r["k"]: (r["a"], r["b"]) for r in RU.exact_percentiles(df, "k", "v", {"a": 0.5, "b": 0.975}).collect()}
+    for k in ("a", "b", None):
+        v = [x for q, _, x in rows if q == k and x is not None]
+        assert np.allclose(found[k], np.percentile(v, [50, 97.5]))
+    assert {r["bin"]: r["n"] for r in RU.histogram(spark.createDataFrame([(0.0,), (0.5,), (1.0,), (1.5,)], "v double"), "v", 0.0, 1.0, 4).collect()} == {0: 1, 2: 1, 3: 1}
+
+
+def test_completed_runs_and_main_table(spark):
+    runs = [("m", "d", None, None, False, ["train", "validation"], 5), ("m", "e", "s", False, None, ["validation", "train", "x"], 1), ("m", "f", "s", True, False, ["train", "validation"], 5), ("m", "g", "s", False, True, ["train", "validation"], 5), ("m", "h", "s", False, False, ["validation"], 5), ("m", "i", "s", False, False, ["train", "validation"], 0), ("m", "j", "s", False, False, ["train", "validation"], None), ("m", "k", "s", False, False, None, 4)]
+    done = SC.completed_runs(spark.createDataFrame(runs, "model string, dataset string, subpopulation string, reasoning boolean, aborted boolean, splits array<string>, result_rows long"))
+    assert {tuple(r) for r in done.collect()} == {("m", "d", None), ("m", "e", "s")}
+    rows = [("b", m, p, s, float(i), 1.0, 2.0) for i, (m, p, s) in enumerate([("base", "overall", "train"), ("base", "cluster_0", "train"), ("zzz-overall", "overall", "train"), ("modal_response-cluster_1", "cluster_0", "train"), ("modal_response-overall", "overall", "overall"), ("modal_response-cluster_0", "cluster_0", "train")])]
+    table = SC.main_table(spark.createDataFrame(rows, "base_model string, method string, subpopulation string, split string, accuracy double, cross_entropy double, kl_divergence double")).orderBy("place").collect()
+    assert [(r["label"], r["accuracy_train"], r["accuracy_overall"]) for r in table] == [("Base", 0.0, None), ("Modal response (cluster 0)", 5.0, None), ("Modal response (overall)", None, 4.0), ("zzz (overall)", 2.0, None)]
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -166,12 +213,13 @@ def test_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, monitor.RESULT)
     for k in range(3):
         df.where(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    q = monitor.start(monitor.live_summary(spark, f"{tmp_path}/in"), "live", f"{tmp_path}/cp")
+    q = monitor.start(monitor.live_summary(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp")
     q.awaitTermination(60)
-    live = spark.sql("select * from live")
-    batch = SC.summary(df, ["model", "subpopulation"])
-    fix = lambda x: Counter((r["model"], r["subpopulation"], r["n"], round(r["accuracy"], 6), round(r["cross_entropy"], 6)) for r in x.collect())
-    assert fix(live) == fix(batch)
+    live, batch = monitor.newest(spark, f"{tmp_path}/out"), monitor.with_failures(df, ["model", "subpopulation"])
+    fix = lambda x: Counter((r["model"], r["subpopulation"], r["n"], round(r["accuracy"], 6), round(r["cross_entropy"], 6), r["failures"]) for r in x.collect())
+    assert fix(live) == fix(batch) and sum(r["failures"] for r in live.collect()) == sum(r[6] for r in rows)
+    passed = SC.summary(df.where("not failed"), ["model", "subpopulation"])
+    assert {(r["model"], r["subpopulation"], r["n"], r["accuracy"]) for r in passed.collect()} == {(r["model"], r["subpopulation"], r["n"], r["accuracy"]) for r in live.collect()}
 
 
 def test_entry_runs(spark):

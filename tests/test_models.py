@@ -121,3 +121,40 @@ def test_list_literal_and_favours(spark):
     assert got[:3] == [["a", "b"], ["a", "b c"], ["plain"]]
     m = spark.createDataFrame([("bic", 1.0, 2.0), ("ari", 1.0, 2.0), ("x", 1.0, 1.0), ("y", None, 1.0)], "metric string, first double, second double")
     assert {r["metric"]: r["favours"] for r in ST.favours(m, ["ari"]).collect()} == {"bic": "first", "ari": "second", "x": "-", "y": "-"}
+
+
+def test_k_means_and_bisecting_find_planted_groups(spark):
+    rng = random.Random(5)
+    rows = [(i, [10.0 * (i % 3) + rng.gauss(0, 0.5), rng.gauss(0, 0.5)]) for i in range(150)]
+    v = spark.createDataFrame(rows, "id long, features array<double>")
+    for bisecting in (False, True):
+        labels = {r["id"]: r["label"] for r in CU.k_means_labels(v, 3, bisecting=bisecting).collect()}
+        assert len({(i % 3, c) for i, c in labels.items()}) == 3 == len(set(labels.values()))
+
+
+def test_demographic_profile_against_plain_python(spark):
+    rng = random.Random(6)
+    people = [(i, i % 2, rng.choice(["x", "y", "y", "No answer", None]), rng.choice(["p", "q"]), round(rng.uniform(0, 90), 1)) for i in range(120)]
+    texts = [(i, label, c, v) for i, label, a, b, _ in people for c, v in (("first", a), ("second", b))]
+    numbers = [(label, "balance", x) for _, label, _, _, x in people]
+    got = {r["column_name"]: r for r in ST.demographic_profile(spark.createDataFrame(texts, "respondent_id long, label int, column_name string, code string"), spark.createDataFrame(numbers, "label int, column_name string, value double"), [0, 1], "missing|no answer").collect()}
+    for c in ("first", "second"):
+        share = {}
+        for label in (0, 1):
+            v = [x if x is not None else "Missing" for _, at, k, x in texts if at == label and k == c]
+            share[label] = {x: v.count(x) / len(v) for x in set(v)}
+            shown = [x for x in v if x not in ("Missing", "No answer")]
+            top = min(set(shown), key=lambda x: (-shown.count(x), x))
+            assert got[c][str(label)] == f"{top} ({100 * shown.count(top) / len(shown):.1f}%)"
+        assert abs(got[c]["tvd"] - sum(abs(share[0].get(x, 0) - share[1].get(x, 0)) for x in {*share[0], *share[1]}) / 2) < 1e-9
+    for label in (0, 1):
+        v = [x for at, _, x in numbers if at == label]
+        assert got["balance"][str(label)] == f"{np.mean(v):.2f} / {np.median(v):.2f}" and got["balance"]["tvd"] is None
+
+
+def test_k_modes_starts_differ_and_repeat(spark):
+    rng = random.Random(8)
+    rows = [(i, f"c{j}", float((i % 3 + (rng.random() < 0.1)) % 3)) for i in range(90) for j in range(6)]
+    r = spark.createDataFrame(rows, "respondent_id long, column_name string, code double")
+    a, b = (sorted((x["respondent_id"], x["label"], x["cost"]) for x in CU.k_modes(r, 3, starts=3).collect()) for _ in range(2))
+    assert a == b and len({(i % 3, c) for i, c, _ in a}) < 9 and sum(c for _, _, c in a) < 150
