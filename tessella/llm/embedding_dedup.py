@@ -13,9 +13,12 @@ from tessella.llm.common import materialize
 from tessella.llm.graph import components
 
 BLOCKS = 8
-GRID = 2
-TILE = 4096
-CODE = 127.0
+#: Vectors of a cell that are compared in one task, and rows that they are compared with there, as a multiple.
+TILE, ASKERS = 4096, 4
+#: Coordinates of a unit vector are kept as whole numbers in this scale: sums of squares stay below 2**24, so products in single precision are exact.
+SCALE = 1800
+#: What a dealt row costs, in comparisons, and about the share of pairs that another coordinate in a cell keeps.
+ROW_COST, KEPT = 1000, 0.64
 
 
 def rotation(dim: int, seed: int = 5) -> np.ndarray:
@@ -25,14 +28,15 @@ def rotation(dim: int, seed: int = 5) -> np.ndarray:
 
 
 def unit_rows(vectors: list, dim: int) -> np.ndarray:
+    """Rows of length one; divided by their largest component first, so that no square is lost or infinite."""
     m = np.array(vectors, np.float64).reshape(-1, dim)
     m = m / np.abs(m).max(axis=1, keepdims=True)
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def cell_keys(cells: np.ndarray, block: int) -> np.ndarray:
-    """A 64-bit key of a block's grid cell (int columns); distinct cells may share a key only in theory."""
-    key = np.full(len(cells), block + 1, np.uint64)
+def cell_keys(cells: np.ndarray) -> np.ndarray:
+    """A 64-bit key of grid cells (int columns); distinct cells may share a key only in theory."""
+    key = np.full(len(cells), 1, np.uint64)
     for c in cells.T:
         key = (key ^ (c.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
         key ^= key >> np.uint64(29)
@@ -45,139 +49,179 @@ def half_steps(grid: int) -> np.ndarray:
     return steps[len(steps) // 2 + 1 :]
 
 
-def placed(reps: DataFrame, dim: int, radius2: float, blocks: int, grid: int) -> DataFrame:
-    """(rep, code, home, probe): the rotated unit vector in signed bytes; its cell in each block and the cells it also looks into."""
-    width = math.sqrt(radius2 / blocks)
-    turn = rotation(dim)
-    cuts = np.array_split(np.arange(dim), blocks)
-    steps = half_steps(min(grid, dim // blocks))
+def grid_for(n: int) -> int:
+    """Coordinates that make a cell: more of them for larger tables, where the rows dealt to neighbours cost less than the comparisons saved."""
+    return min(range(1, 9), key=lambda k: 3**k * ROW_COST + n * KEPT**k)
+
+
+class Budgets:
+    """What pairs of one length may differ by, in squared units of the kept whole numbers.
+
+    The squared distance radius2 is dealt to the blocks by their numbers of coordinates; a pair
+    within radius2 is within its share in one block at least. Rounding moves each difference by one
+    unit at most, so shares are widened by that: no pair is lost. Up to `sure` the true distance is
+    within radius2 whatever the rounding, beyond `most` it is not.
+    """
+
+    def __init__(self, dim: int, cosine: float, blocks: int):
+        radius = math.sqrt(max(0.0, 2 - 2 * cosine))
+        self.cuts = np.array_split(np.arange(dim), max(1, min(blocks, dim)))
+        self.share = [int((radius * math.sqrt(len(c) / dim) * SCALE + math.sqrt(len(c)) + 1e-3) ** 2) for c in self.cuts]
+        self.most = int((radius * SCALE + math.sqrt(dim) + 1e-3) ** 2)
+        self.sure = int(max(0.0, radius * SCALE - math.sqrt(dim) - 1e-3) ** 2) - 1
+
+
+def placed(reps: DataFrame, cosine: float, blocks: int, grid: int) -> DataFrame:
+    """(dim, rep, n, code, home, probe): the rotated unit vector in whole numbers; for each block its cell and the cells it also looks into."""
 
     def run(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            r = unit_rows(b.column(1).to_pylist(), dim) @ turn
-            code = np.rint(r * CODE).astype(np.int8)
-            home, probe = [], []
-            for i, cut in enumerate(cuts):
-                cell = np.floor(r[:, cut[: steps.shape[1]]] / width).astype(np.int64)
-                home.append(cell_keys(cell, i))
-                probe += [cell_keys(cell + s, i) for s in steps]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in code], pa.binary()), pa.array(list(np.stack(home, 1))), pa.array(list(np.stack(probe, 1)))], ["rep", "code", "home", "probe"])
-
-    return reps.select("rep", "embedding").mapInArrow(run, "rep long, code binary, home array<long>, probe array<long>")
-
-
-def candidate_pairs(cells: DataFrame, dim: int, radius2: float, blocks: int) -> DataFrame:
-    """(a, b): pairs within their block's share of the squared distance, checked against the whole codes.
-
-    A cell with very many vectors is cut into tiles of about TILE of them, and every pair of tiles is
-    its own group, so no task holds a whole cell. Codes are rounded, so both checks allow for the
-    rounding: no pair within the radius is lost.
+            vectors = b.column(2).to_pylist()
+            sizes = np.fromiter(map(len, vectors), np.int64, len(vectors))
+            for dim in np.unique(sizes):
+                on = np.flatnonzero(sizes == dim)
+                code = np.rint(unit_rows([vectors[i] for i in on], dim) @ rotation(int(dim)) * SCALE).astype(np.int16)
+                budget = Budgets(int(dim), cosine, blocks)
+                home, probe = [], []
+                for cut, share in zip(budget.cuts, budget.share):
+                    cell = np.floor_divide(code[:, cut[:grid]].astype(np.int64), math.isqrt(share) + 1)
+                    home.append(cell_keys(cell))
+                    probe.append(np.stack([cell_keys(cell + s) for s in half_steps(cell.shape[1])], 1))
+                one = pa.array(on)
+                nested = pa.array([list(x) for x in np.stack(probe, 1)], pa.list_(pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays([pa.array(sizes[on], pa.int32()), b.column(0).take(one), b.column(1).take(one), pa.array([x.tobytes() for x in code], pa.binary()), pa.array(list(np.stack(home, 1))), nested], ["dim", "rep", "n", "code", "home", "probe"])
+
+    return reps.select("rep", "n", "embedding").mapInArrow(run, "dim int, rep long, n long, code binary, home array<long>, probe array<array<long>>")
+
+
+def unite(parent: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+    """Join the classes of p and q in place; each place's parent is its class's smallest place."""
+    while True:
+        a, b = parent[p], parent[q]
+        apart = a != b
+        if not apart.any():
+            return
+        np.minimum.at(parent, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (parent[parent] != parent).any():
+            parent[:] = parent[parent]
+
+
+def compared(dim: int, block: int, budget: Budgets, build: tuple, ask: tuple) -> dict[str, np.ndarray]:
+    """What the pairs of build and asking rows give in this block.
+
+    Of a pair that several blocks would find only the first counts. Pairs that are surely near are
+    summed here: to each vector the copies on the other side, and links that join the same classes,
+    one per vector at most. Pairs too near the limit to tell are listed one by one.
+    """
+    (rep1, n1, code1), (rep2, n2, code2, both) = build, ask
+    cut, near = budget.cuts[block], budget.share[block]
+    x, y = code1[:, cut].astype(np.float32), code2[:, cut].astype(np.float32)
+    # one product of the widened rows gives the squared distance
+    right = np.vstack([-2 * y.T, np.ones(len(y), np.float32), (y * y).sum(1)])
+    names, at = np.unique(np.concatenate([rep1, rep2]), return_inverse=True)
+    at1, at2 = at[: len(rep1)], at[len(rep1) :]
+    parent, links = np.arange(len(names)), np.zeros(len(names), np.int64)
+    open_a, open_b = [], []
+    for s in range(0, len(x), 256):
+        part = x[s : s + 256]
+        left = np.hstack([part, (part * part).sum(1)[:, None], np.ones((len(part), 1), np.float32)])
+        found = np.flatnonzero(left @ right <= near)
+        p, q = found // len(y) + s, found % len(y)
+        ok = ~both[q] | (rep1[p] < rep2[q])
+        p, q = p[ok], q[ok]
+        for t in range(0, len(p), 65536):
+            i, j = p[t : t + 65536], q[t : t + 65536]
+            gap = code1[i].astype(np.int32) - code2[j]
+            gap *= gap
+            whole = gap.sum(1)
+            take = whole <= budget.most
+            for earlier in range(block):
+                take[take] = gap[take][:, budget.cuts[earlier]].sum(1) > budget.share[earlier]
+            i, j, sure = i[take], j[take], whole[take] <= budget.sure
+            open_a.append(rep1[i[~sure]])
+            open_b.append(rep2[j[~sure]])
+            i, j = i[sure], j[sure]
+            np.add.at(links, at1[i], n2[j])
+            np.add.at(links, at2[j], n1[i])
+            unite(parent, at1[i], at2[j])
+    moved, linked = np.flatnonzero(parent != np.arange(len(names))), np.flatnonzero(links)
+    none = np.zeros(0, np.int64)
+    a, b = np.concatenate([none, *open_a]), np.concatenate([none, *open_b])
+    return {"kind": np.repeat([0, 1, 2], [len(linked), len(moved), len(a)]), "a": np.concatenate([names[linked], names[moved], np.minimum(a, b)]), "b": np.concatenate([links[linked], names[parent[moved]], np.maximum(a, b)])}
+
+
+def near_vectors(cells: DataFrame, cosine: float, blocks: int) -> DataFrame:
+    """(kind, a, b): kind 0 gives a vector and a number of links, 1 a link of the classes, 2 a pair still to be verified.
+
+    Rows meet in the cells of each block. The vectors of a cell are cut into tiles of about TILE, the
+    rows that look into it into portions of about ASKERS times that, and each tile meets each portion
+    in a group of its own, so no task holds a whole cell.
     """
-    share = radius2 / blocks
-    size = -(-dim // blocks)
-    slip = 1 / CODE  # two codes, each off by half a step in every coordinate
-    near = (math.sqrt(share) + slip * math.sqrt(size)) ** 2
-    whole = (math.sqrt(radius2) + slip * math.sqrt(dim)) ** 2
-    cuts = np.array_split(np.arange(dim), blocks)
-
-    rows = cells.select("rep", "code", F.posexplode("home").alias("block", "cell"), F.lit(0).alias("role"))
-    per = cells.select(F.size("probe")).first()
-    per_block = (per[0] if per else blocks) // blocks
-    asks = cells.select("rep", "code", F.posexplode("probe").alias("p", "cell"), F.lit(1).alias("role")).select("rep", "code", (F.col("p") / per_block).cast("int").alias("block"), "cell", "role")
-    heavy = rows.unionByName(asks).groupBy("block", "cell").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("role") == 0).alias("homes")).where((F.col("homes") > 0) & (F.col("n") > 1))
-    heavy = materialize(heavy.select("block", "cell", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "cells")
-    both = rows.unionByName(asks).join(heavy, ["block", "cell"])
-    salt = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
-    every = F.sequence(F.lit(0), F.col("tiles") - 1)
-    # build rows with salt s meet tiles (s, *) from the left and (*, s) from the right; asking rows only come from the right
-    left = F.transform(every, lambda y: F.struct(salt.alias("x"), y.alias("y"), F.lit(0).alias("side")))
-    right = F.transform(every, lambda x: F.struct(x.alias("x"), salt.alias("y"), F.lit(1).alias("side")))
-    ahead = F.filter(right, lambda t: t["x"] < t["y"])
-    dealt = both.select("rep", "code", "block", "cell", "role", F.inline(F.when(F.col("role") == 1, right).otherwise(F.concat(left, ahead))))
+    rows = cells.select("dim", "rep", "n", "code", F.posexplode("home").alias("block", "cell"), F.lit(0).alias("role"))
+    asks = cells.select("dim", "rep", "n", "code", F.posexplode("probe").alias("block", "c")).select("dim", "rep", "n", "code", "block", F.explode("c").alias("cell"), F.lit(1).alias("role"))
+    both = rows.unionByName(asks)
+    counts = both.groupBy("dim", "block", "cell").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("role") == 0).alias("homes")).where("homes > 0 and rows > 1")
+    tiles = materialize(counts.select("dim", "block", "cell", F.ceil(F.col("homes") / TILE).cast("int").alias("tiles"), F.ceil(F.col("rows") / (TILE * ASKERS)).cast("int").alias("portions")), "cells")
+    both = both.join(tiles, ["dim", "block", "cell"])
+    tile, portion = (F.pmod(F.xxhash64("rep", F.lit(s)), F.col(c)).cast("int") for s, c in ((1, "tiles"), (2, "portions")))
+    build = F.transform(F.sequence(F.lit(0), F.col("portions") - 1), lambda y: F.struct(tile.alias("x"), y.alias("y"), F.lit(True).alias("build")))
+    asking = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda x: F.struct(x.alias("x"), portion.alias("y"), F.lit(False).alias("build")))
+    dealt = both.select("dim", "rep", "n", "code", "block", "cell", "role", F.inline(F.when(F.col("role") == 1, asking).otherwise(F.concat(build, asking))))
 
     def run(key, table):
-        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        block, same = key[0].as_py(), key[2].as_py() == key[3].as_py()
-        side = table.column("side").to_numpy()
-        rep = table.column("rep").to_numpy()
-        code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.int8).reshape(-1, dim)
-        role = table.column("role").to_numpy()
-        one = np.flatnonzero(side == 0)
-        two = np.concatenate([one if same else np.zeros(0, np.int64), np.flatnonzero(side == 1)])
-        if not len(one) or not len(two):
-            return none
-        part = code[:, cuts[block]].astype(np.float32) / CODE
-        found_a, found_b = [], []
-        square = (part[two] ** 2).sum(1)
-        for at in range(0, len(one), 512):
-            i = one[at : at + 512]
-            d = (part[i] ** 2).sum(1)[:, None] + square[None] - 2 * part[i] @ part[two].T
-            p, q = np.nonzero(d <= near + 1e-5)
-            p, q = i[p], two[q]
-            ok = (role[q] == 1) | (not same) | (rep[p] < rep[q])
-            p, q = p[ok], q[ok]
-            for s in range(0, len(p), 65536):
-                gap = code[p[s : s + 65536]].astype(np.int32) - code[q[s : s + 65536]]
-                hit = (gap * gap).sum(1) <= whole * CODE * CODE
-                found_a.append(rep[p[s : s + 65536]][hit])
-                found_b.append(rep[q[s : s + 65536]][hit])
-        if not found_a:
-            return none
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return dealt.groupBy("block", "cell", "x", "y").applyInArrow(run, "a long, b long").where("a <> b").distinct()
-
-
-def verified(pairs: DataFrame, reps: DataFrame, dim: int, cosine: float) -> DataFrame:
-    """The pairs whose cosine, in double precision, is at least cosine."""
-    left = reps.select(F.col("rep").alias("a"), F.col("embedding").alias("ea"))
-    right = reps.select(F.col("rep").alias("b"), F.col("embedding").alias("eb"))
+        dim, block = key[0].as_py(), key[1].as_py()
+        rep, n, role, on = (table.column(c).to_numpy() for c in ("rep", "n", "role", "build"))
+        code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.int16).reshape(-1, dim)
+        found = compared(dim, block, Budgets(dim, cosine, blocks), (rep[on], n[on], code[on]), (rep[~on], n[~on], code[~on], role[~on] == 0))
+        return pa.table({"kind": pa.array(found["kind"], pa.int32()), "a": found["a"], "b": found["b"]})
+
+    return dealt.groupBy("dim", "block", "cell", "x", "y").applyInArrow(run, "kind int, a long, b long")
+
+
+def verified(pairs: DataFrame, reps: DataFrame, cosine: float) -> DataFrame:
+    """The pairs whose cosine, in double precision, is at least cosine, with the copies of both sides."""
+    left = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("embedding").alias("ea"))
+    right = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("embedding").alias("eb"))
 
     def run(batches):
         for t in batches:
-            if not t.num_rows:
-                continue
-            x, y = (np.array(t.column(c).to_pylist(), np.float64).reshape(-1, dim) for c in (2, 3))
-            c = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
-            ok = c >= cosine
-            yield pa.RecordBatch.from_arrays([t.column(0).filter(pa.array(ok)), t.column(1).filter(pa.array(ok))], ["a", "b"])
+            near = []
+            for x, y in zip(t.column(4).to_pylist(), t.column(5).to_pylist()):
+                u, v = unit_rows([x], len(x)), unit_rows([y], len(y))
+                near.append(bool((u * v).sum() >= cosine))
+            yield pa.RecordBatch.from_arrays([t.column(i).filter(pa.array(near, pa.bool_())) for i in range(4)], ["a", "b", "na", "nb"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ea", "eb").mapInArrow(run, "a long, b long, na long, nb long")
 
 
-def embedding_classes(vectors: DataFrame, cosine: float = 0.95, dim: int | None = None, blocks: int = BLOCKS, grid: int = GRID) -> DataFrame:
+def embedding_classes(vectors: DataFrame, cosine: float = 0.95, blocks: int = BLOCKS, grid: int | None = None) -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept.
 
-    Vectors of unit length are linked when their squared distance is at most 2 - 2 * cosine; then in
-    one of the blocks it is at most an equal share of that, which is where candidates come from.
-    Equal vectors are one node, so a group of copies of any size costs one row. Null vectors, vectors
-    that are zero, hold null or non-finite components or have another length than dim (default: the
-    commonest; of equally common the longer) link with nothing. Rows that repeat are vectors of their
-    own. An empty table gives no rows; other columns are not read. Tiny or huge components are scaled
-    only to find candidates; the cosine itself is computed as it stands.
+    Vectors of one length are linked when, scaled to length one, their squared distance is at most
+    2 - 2 * cosine; then in one of the blocks it is at most that block's share, which is where
+    candidates come from. Vectors of different lengths never meet; each length is joined within
+    itself, all in the same plan. Equal vectors are one node, so a group of copies of any size costs
+    one row; a group of near copies costs rows per member, not per pair. Null vectors, vectors
+    without components, zero vectors and those with null or non-finite components link with
+    nothing. Rows that repeat are vectors of their own; a null vec_id is a row like others that no
+    class takes its name from. An empty table gives no rows; other columns are not read. Tiny and
+    huge components are scaled before anything is squared. grid: coordinates that make a cell
+    (default: by the number of vectors).
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    if dim is None:
-        size = rows.where("embedding is not null").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-        dim = size["d"] if size else 1
-    dim = max(1, dim)
-    good = F.col("embedding").isNotNull() & (F.size("embedding") == dim) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
+    good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
     usable = rows.where(good).withColumn("k1", F.xxhash64("embedding")).withColumn("k2", F.xxhash64(F.lit(1), F.col("embedding")))
     reps = materialize(usable.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding")), "vectors")
-    radius2 = max(0.0, 2 - 2 * cosine) + 1e-9
-    blocks = max(1, min(blocks, dim))
-    cells = materialize(placed(reps, dim, radius2, blocks, grid), "placed")
-    links = materialize(verified(candidate_pairs(cells, dim, radius2, blocks), reps, dim, cosine), "links")
-    both = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionAll(links.select(F.col("b").alias("rep"), F.col("a").alias("other")))
-    weight = reps.select(F.col("rep").alias("other"), F.col("n").alias("m"))
-    degree = both.join(weight, "other").groupBy("rep").agg(F.sum("m").alias("links"))
-    found = components(links).withColumnRenamed("node", "rep")
-    nodes = reps.select("k1", "k2", "rep", "n").join(degree, "rep", "left").join(found, "rep", "left")
+    cells = materialize(placed(reps, cosine, blocks, grid or grid_for(reps.count())), "placed")
+    found = materialize(near_vectors(cells, cosine, blocks), "found")
+    checked = materialize(verified(found.where("kind = 2").select("a", "b"), reps, cosine), "verified")
+    sums = found.where("kind = 0").select(F.col("a").alias("rep"), F.col("b").alias("m"))
+    sums = sums.unionAll(checked.select("a", "nb")).unionAll(checked.select("b", "na"))
+    degree = sums.groupBy("rep").agg(F.sum("m").alias("links"))
+    joined = components(found.where("kind = 1").select("a", "b").unionAll(checked.select("a", "b"))).withColumnRenamed("node", "rep")
+    nodes = reps.select("k1", "k2", "rep", "n").join(degree, "rep", "left").join(joined, "rep", "left")
     nodes = materialize(nodes.select(F.col("k1").alias("j1"), F.col("k2").alias("j2"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "nodes")
     keyed = rows.select("vec_id", F.when(good, F.xxhash64("embedding")).alias("k1"), F.when(good, F.xxhash64(F.lit(1), F.col("embedding"))).alias("k2"))
     out = keyed.join(nodes, (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2")), "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
