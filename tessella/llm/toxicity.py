@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import calibrated, fit_isotonic, id_crc, materialize
+from tessella.llm.common import calibrated, fit_isotonic, id_crc, in_portions, materialize
 
 #: Common insults and second-person words.
 INSULTS = "idiot idiots moron morons stupid dumb loser losers scum trash worthless pathetic disgusting clown clowns fool fools jerk jerks garbage filth filthy vermin creep ugly imbecile cretin pig swine rat coward liar freak bastard".split()
@@ -103,38 +103,44 @@ class WordCodes(dict):
         return code
 
 
-def toxic_features(text: str | None, codes: WordCodes) -> list[float]:
-    text = text or ""
-    words = text.split()
-    n = len(words)
-    if not n:
-        return [0.0] * N_FEATURES
-    code = np.fromiter(map(codes.__getitem__, words), np.int64, n)
+def toxic_features(texts: pa.Array, codes: WordCodes) -> np.ndarray:
+    """N_FEATURES numbers for every whole text of a batch without nulls; all zero where there is no word.
+
+    Words are numbered in Arrow, each distinct one gets its flags once, and the texts' counts are
+    sums over the places of flagged words.
+    """
+    rows = len(texts)
+    split = pc.ascii_split_whitespace(texts)
+    doc = np.repeat(np.arange(rows), np.diff(split.offsets.to_numpy()))
+    words = split.flatten().dictionary_encode()
+    spelled, at = words.dictionary.to_pylist(), words.indices.to_numpy()
+    flags = np.fromiter((codes[w] if w else -1 for w in spelled), np.int64, len(spelled))
+    doc, at = doc[flags[at] >= 0], at[flags[at] >= 0]  # blanks at a text's ends leave an empty word
+    code = flags[at]
+
+    def per_text(on: np.ndarray) -> np.ndarray:
+        return np.bincount(doc[on], minlength=rows).astype(float)
+
+    lexicon, insult, second, inner, leet, capital = (per_text((code & k) > 0) for k in (1, 2, 4, 8, 16, 32))
     bad, you = np.flatnonzero(code & 19), np.flatnonzero(code & 4)
-    lexicon, insult, leet = (np.count_nonzero(code & k) for k in (1, 2, 16))
-    if len(bad) and len(you):
-        at = np.searchsorted(you, bad)
-        gap = np.minimum(np.abs(you[np.minimum(at, len(you) - 1)] - bad), np.abs(you[np.maximum(at - 1, 0)] - bad))
-        near, gap = np.count_nonzero(gap <= NEAR), int(gap.min())
-    else:
-        near, gap = 0, 1000
-    size = len(text)
-    return [
-        lexicon / n,
-        math.log1p(lexicon),
-        insult / n,
-        math.log1p(insult),
-        len({words[i].lower().strip(TRIM) for i in bad[:5000]}),
-        near / n,
-        math.log1p(min(gap, 1000)),
-        len(you) / n,
-        np.count_nonzero(code & 32) / n,
-        (text.count("!") + text.count("?")) / size,
-        (text.count("*") + text.count("#") + text.count("$") + text.count("@")) / size,
-        np.count_nonzero(code & 8) / n,
-        leet / n,
-        math.log1p(n),
-    ]
+    gap = np.full(len(bad), 1000)
+    if len(you):
+        k = np.searchsorted(you, bad)
+        for other in (you[np.minimum(k, len(you) - 1)], you[np.maximum(k - 1, 0)]):
+            gap = np.where(doc[other] == doc[bad], np.minimum(gap, np.abs(other - bad)), gap)
+    near, least = np.bincount(doc[bad[gap <= NEAR]], minlength=rows), np.full(rows, 1000)
+    np.minimum.at(least, doc[bad], gap)
+    # spellings of flagged words that differ only in case and outer signs count once
+    named: dict[str, int] = {}
+    bare = np.zeros(len(spelled), np.int64)
+    for i in np.unique(at[bad]):
+        bare[i] = named.setdefault(spelled[i].lower().strip(TRIM), len(named))
+    different = np.unique(doc[bad] * max(1, len(named)) + bare[at[bad]]) // max(1, len(named))
+    n = np.bincount(doc, minlength=rows).astype(float)
+    size, each = np.maximum(pc.utf8_length(texts).to_numpy(), 1), np.maximum(n, 1)
+    stops, signs = (sum(pc.count_substring(texts, c).to_numpy() for c in group) for group in ("!?", "*#$@"))
+    x = np.stack([lexicon / each, np.log1p(lexicon), insult / each, np.log1p(insult), np.bincount(different, minlength=rows), near / each, np.log1p(least), second / each, capital / each, stops / size, signs / size, inner / each, leet / each, np.log1p(n)], 1)
+    return np.where(n[:, None] > 0, x, 0.0)
 
 
 def dense_features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
@@ -143,7 +149,10 @@ def dense_features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     def run(batches):
         codes = WordCodes(lexicon)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([toxic_features(t, codes) for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["doc_id", "x"])
+            for first, texts in in_portions(b.column(1).fill_null("")):
+                x = toxic_features(texts, codes)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * N_FEATURES), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(x)), lists], ["doc_id", "x"])
 
     docs = docs.select("doc_id", "text")
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
