@@ -9,11 +9,12 @@ is used; a stratum without enough labels gets none and its documents are kept.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import materialize, words_of
 
+#: Words of a window, a power of two.
 WINDOW = 8
 #: Candidate cutoffs of each rule, from loose to strict. All statistics are shares or means.
 CUTOFFS = {
@@ -43,7 +44,12 @@ def document_stats(docs: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("h"),
     )
-    c = b.withColumn("w", F.when(F.size("h") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("h") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("h", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))).drop("h")
+    # hashes of two words, of two such pairs, and so on, up to WINDOW words
+    c, width = b.withColumn("w", F.col("h")).drop("h"), 1
+    while width < WINDOW:
+        ahead = F.slice("w", width + 1, F.greatest(F.size("w") - width, F.lit(0)))
+        c = c.withColumn("w", F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - width, F.lit(0))), ahead, lambda x, y: F.xxhash64(x, y)))
+        width *= 2
     d = c.withColumn("s", F.when(F.size(F.array_distinct("w")) < F.size("w"), F.sort_array(F.transform("w", lambda x, i: F.struct(x.alias("x"), i.alias("i")))))).drop("w")
     last = F.size("s") - 1
     twice = F.filter("s", lambda y, j: ((j > 0) & (F.get("s", j - 1)["x"] == y["x"])) | ((j < last) & (F.get("s", j + 1)["x"] == y["x"])))
@@ -107,12 +113,12 @@ def certified_cutoffs(stats: DataFrame, labels: DataFrame, risk: float = 0.04, l
     values = rule_values()
     per_rule = risk / len(CUTOFFS)
     tests = [(r, c) for r, cs in CUTOFFS.items() for c in cs]
-    counts = held.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(values[r] > c).alias(f"{r}__{i}") for i, (r, c) in enumerate(tests)])
-    strata = counts.select(F.count(F.lit(1)).alias("strata"))
-    cells = counts.join(strata)
-    one = level / len(tests)
-    out = cells.select("lang", *[F.when(binomial_cdf(F.col(f"{r}__{i}"), F.col("n"), per_rule) <= F.lit(one) / F.col("strata"), F.lit(c)).alias(f"{r}__{i}") for i, (r, c) in enumerate(tests)])
-    return out.select(F.col("lang").alias("stratum"), *[F.array_min(F.array(*[F.col(f"{r}__{i}") for i, (q, _) in enumerate(tests) if q == r])).alias(r) for r in CUTOFFS])
+    counts = held.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(values[r] > c).alias(f"k{i}") for i, (r, c) in enumerate(tests)])
+    counts = counts.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy()))
+    # one row and one test for each cutoff
+    each = counts.select("lang", "n", "strata", F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"k{i}").alias("k")) for i, (r, c) in enumerate(tests)])))
+    sure = each.where(binomial_cdf(F.col("k"), F.col("n"), per_rule) <= F.lit(level / len(tests)) / F.col("strata"))
+    return sure.groupBy(F.col("lang").alias("stratum")).agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(r) for r in CUTOFFS])
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.04, level: float = 0.05, min_words: int = 20, max_repeat_pct: int = 30) -> DataFrame:
