@@ -84,19 +84,21 @@ def pair_cells(responses: DataFrame, batteries: DataFrame, across_only: bool = T
 def cramers_v(cells: DataFrame, least: int = 50) -> DataFrame:
     """(a, b, n, v): Cramer's V, null below `least` pairs or where a side has one level.
 
-    chi2 runs over the full grid of levels, cells that never occur included; with one degree of
-    freedom deviations shrink by up to a half (Yates).
+    chi2 runs over the full grid of levels; cells that never occur add what is expected of them. With
+    two levels on both sides all four cells deviate by the same amount, which shrinks by up to a half
+    (Yates). Margins are windows over the cells of a pair, so the cells are moved once.
     """
-    rows = cells.groupBy("a", "b", "ca").agg(F.sum("n").alias("nr"))
-    cols = cells.groupBy("a", "b", "cb").agg(F.sum("n").alias("nc"))
-    sizes = rows.groupBy("a", "b").agg(F.sum("nr").alias("total"), F.count(F.lit(1)).alias("r")).join(cols.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")), ["a", "b"])
-    grid = rows.join(cols, ["a", "b"]).join(cells, ["a", "b", "ca", "cb"], "left").join(sizes, ["a", "b"])
+    pair = Window.partitionBy("a", "b")
+    seen = cells.withColumn("total", F.sum("n").over(pair)).withColumn("nr", F.sum("n").over(Window.partitionBy("a", "b", "ca"))).withColumn("nc", F.sum("n").over(Window.partitionBy("a", "b", "cb")))
     e = F.col("nr") * F.col("nc") / F.col("total")
-    gap = F.abs(F.coalesce("n", F.lit(0)) - e)
-    gap = F.when((F.col("r") == 2) & (F.col("c") == 2), gap - F.least(F.lit(0.5), gap)).otherwise(gap)
-    chi2 = grid.groupBy("a", "b").agg(F.sum(gap * gap / e).alias("chi2"), F.max("total").alias("n"), F.max("r").alias("r"), F.max("c").alias("c"))
+    gap = F.col("n") - e
+    levels = [F.size(F.collect_set(c)).alias(x) for c, x in (("ca", "r"), ("cb", "c"))]
+    t = seen.groupBy("a", "b").agg(F.max("total").alias("n"), *levels, F.sum(gap * gap / e).alias("seen"), F.sum(e).alias("expected"), F.count(F.lit(1)).alias("cells"), F.max(F.abs(gap)).alias("gap"))
+    chi2 = F.col("seen") + F.when(F.col("cells") < F.col("r") * F.col("c"), F.col("n") - F.col("expected")).otherwise(0.0)
+    less = F.col("gap") - F.least(F.lit(0.5), F.col("gap"))
+    chi2 = F.when((F.col("r") == 2) & (F.col("c") == 2), F.when(F.col("gap") > 0, chi2 * less * less / (F.col("gap") * F.col("gap"))).otherwise(0.0)).otherwise(chi2)
     k = F.least("r", "c") - 1
-    return chi2.select("a", "b", "n", F.when((F.col("n") >= least) & (k >= 1), F.sqrt(F.col("chi2") / (F.col("n") * k))).alias("v"))
+    return t.select("a", "b", "n", F.when((F.col("n") >= least) & (k >= 1), F.sqrt(chi2 / (F.col("n") * k))).alias("v"))
 
 
 def symmetric(pairs: DataFrame) -> DataFrame:
