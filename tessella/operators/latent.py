@@ -1,11 +1,14 @@
-"""Latent classes of categorical responses by expectation maximisation, as joins and grouped sums."""
+"""Latent classes of categorical responses by expectation maximisation, as sums made next to the data."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions.shared import discard, stored
 from tessella.functions.text import inverse_cdf, keyed_uniform
@@ -34,47 +37,101 @@ def posteriors(responses: DataFrame, parameters: DataFrame, priors: DataFrame, b
     return top.withColumn("loglik", lse).select(*who, "class", F.exp(F.col("s") - F.col("loglik")).alias("p"), "loglik")
 
 
-def maximise(responses: DataFrame, post: DataFrame, by: tuple[str, ...] = (), weight: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Parameters and priors from class probabilities; both as small as fits times classes times levels."""
-    post = post.select(*by, "respondent_id", "class", (F.col("p") * weight if weight is not None else F.col("p")).alias("p")).where("p > 0")
-    weights = responses.where("code is not null").join(post, [*by, "respondent_id"]).groupBy(*by, "class", "column_name", "code").agg(F.sum("p").alias("w"))
-    total = F.sum("w").over(Window.partitionBy(*by, "class", "column_name"))
-    parameters = weights.select(*by, "class", "column_name", "code", F.ln(F.greatest(F.col("w") / total, F.lit(1e-12))).alias("logp"))
-    sizes = post.groupBy(*by, "class").agg(F.sum("p").alias("w"))
-    priors = sizes.select(*by, "class", F.ln(F.greatest(F.col("w") / F.sum("w").over(Window.partitionBy(*by)), F.lit(1e-12))).alias("logp"))
-    return parameters, priors
+def _round(keys: list[str], levels: int, k: int, model: tuple[np.ndarray, np.ndarray] | None):
+    """A partition's sums per fit: class-major weights of the levels, sizes of the classes, log-likelihood.
 
-
-def fit_many(responses: DataFrame, k: int, by: tuple[str, ...] = (), weight: Column | None = None, rounds: int = 30, tolerance: float = 1e-4, seed: int = 1):
-    """(parameters, priors, logliks) of one fit per value of `by`, all in the same plan.
-
-    Each fit starts from keyed random memberships, the same for the same rows and seed. A round is
-    one equi-join and two grouped sums over the responses; only one log-likelihood per fit comes to
-    the driver. Rounds end when every fit has converged. Parameters and memberships are written to
-    the shared folder each round, so lineage stays short. weight: how often a respondent counts.
+    model: log-probabilities (fit, level, class) and log-priors (fit, class); without one the
+    memberships are those to start from.
     """
-    who = [*by, "respondent_id"]
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in (*who, "class")]))
-    start = F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / 2**32 + 0.1
-    ids = responses.select(*who).distinct().withColumn("class", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    post = ids.withColumn("u", start).withColumn("p", F.col("u") / F.sum("u").over(Window.partitionBy(*who))).drop("u")
-    times = weight if weight is not None else F.lit(1.0)
-    last: dict[tuple, float] = {}
-    parameters = priors = None
-    for _ in range(rounds):
-        before = (parameters, priors, post)
-        parameters, priors = (stored(x) for x in maximise(responses, post, by, weight))
-        post = stored(posteriors(responses, parameters, priors, by))
-        discard(*before)
-        now = {tuple(r[c] for c in by): r["ll"] or 0.0 for r in post.where("class = 0").groupBy(*by).agg(F.sum(F.col("loglik") * times).alias("ll")).collect()}
-        if all(v - last.get(f, -math.inf) <= tolerance * max(1.0, abs(v)) for f, v in now.items()):
-            break
-        last = now
-    discard(post)
-    return parameters, priors, now
-
-
-def fit_latent_classes(responses: DataFrame, k: int, rounds: int = 30, tolerance: float = 1e-4, seed: int = 1, starts: int = 1):
+    number = {f: i for i, f in enumerate(keys)}
+
+    def sums(batches):
+        total, met = np.zeros((len(keys), k * levels + k + 1)), np.zeros(len(keys), bool)
+        for b in batches:
+            n = len(b)
+            if not n:
+                continue
+            fit, w = b["_fit"].map(number).to_numpy(), b["_w"].to_numpy()
+            at = np.concatenate(b["_at"].to_numpy()).astype(np.int64)
+            row = np.repeat(np.arange(n), b["_at"].map(len).to_numpy())
+            if model is None:
+                p, loglik = np.stack(b["_start"].to_numpy()), np.zeros(n)
+            else:
+                terms = model[0][fit[row], at]
+                joint = model[1][fit] + np.stack([np.bincount(row, terms[:, c], n) for c in range(k)], 1)
+                top = joint.max(1, keepdims=True)
+                loglik = top[:, 0] + np.log(np.exp(joint - top).sum(1))
+                p = np.exp(joint - loglik[:, None])
+            p = p * w[:, None]
+            for c in range(k):
+                total[:, c * levels : (c + 1) * levels] += np.bincount(fit[row] * levels + at, p[row, c], len(keys) * levels).reshape(len(keys), levels)
+                total[:, k * levels + c] += np.bincount(fit, p[:, c], len(keys))
+            total[:, -1] += np.bincount(fit, loglik * w, len(keys))
+            met[fit] = True
+        yield pd.DataFrame({"fit": np.flatnonzero(met).astype(np.int32), "sums": list(total[met])})
+
+    return sums
+
+
+def fit_many(responses: DataFrame, k: int, by: tuple[str, ...] = (), weight: Column | None = None, rounds: int = 250, tolerance: float = 1e-6, seed: int = 1):
+    """(parameters, priors, logliks) of one fit per value of `by`, all in the same jobs.
+
+    Each respondent's answers are brought together once, as places of levels, and written to the
+    shared folder. A round is then one pass over that table without a join: memberships and their
+    sums are made in Arrow batches next to the data, partitions' sums are added by Spark, and fits
+    times classes times levels numbers reach the driver, never a respondent. Each fit starts from
+    keyed random memberships, the same for the same rows and seed, and stays as it is once it gains
+    less than tolerance of its log-likelihood; only the others' respondents are read again. weight: how often a respondent counts. Rows
+    without a respondent are left out; a level that no weight falls on counts as missing.
+    """
+    spark, who = responses.sparkSession, [*by, "respondent_id"]
+    rows = responses.where("respondent_id is not null")
+    levels = [tuple(r) for r in rows.where("code is not null").select("column_name", "code").distinct().orderBy("column_name", "code").collect()]
+    kinds = responses.select(*by, "column_name", "code").schema
+    schema = T.StructType([*[kinds[c] for c in by], T.StructField("class", T.IntegerType()), kinds["column_name"], kinds["code"], T.StructField("logp", T.DoubleType())])
+    places = spark.createDataFrame([(*x, i) for i, x in enumerate(levels)], T.StructType([kinds["column_name"], kinds["code"], T.StructField("_at", T.IntegerType())]))
+    digest = [F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in who], F.lit(str(c)))) for c in range(k)]
+    draws = [F.conv(F.substring(x, 1, 8), 16, 10).cast("double") / 2**32 + 0.1 for x in digest]
+    people = rows.join(places, ["column_name", "code"], "left").groupBy(*who).agg(F.collect_list("_at").alias("_at"))
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in by]) if by else F.lit("")
+    one = (weight if weight is not None else F.lit(1.0)).cast("double")
+    people = stored(people.select(*by, key.alias("_fit"), "_at", one.alias("_w"), F.transform(F.array(*draws), lambda u: u / sum(draws[1:], draws[0])).alias("_start")), "people")
+    fits = [tuple(r) for r in people.select("_fit", *by).distinct().orderBy("_fit").collect()]
+    n, m = len(fits), len(levels)
+    names = sorted({c for c, _ in levels})
+    column = np.array([names.index(c) for c, _ in levels], int)
+    model, logliks, going = None, np.full(n, -np.inf), np.ones(n, bool)
+    logp, prior, seen = np.zeros((n, m, k)), np.zeros((n, k)), np.zeros((n, m), bool)
+    for turn in range(rounds + 1 if fits else 0):
+        some = people if going.all() else people.where(F.col("_fit").isin([f[0] for f, g in zip(fits, going) if g]))
+        parts = some.drop(*by).mapInPandas(_round([f[0] for f in fits], m, k, model), "fit int, sums array<double>")
+        added = parts.select("fit", F.posexplode("sums").alias("at", "x")).groupBy("fit", "at").agg(F.sum("x").alias("x")).toArrow()
+        sums = np.zeros((n, k * m + k + 1))
+        sums[added["fit"].to_numpy(), added["at"].to_numpy()] = added["x"].to_numpy()
+        if model is not None:
+            now = np.where(going, sums[:, -1], logliks)
+            going = going & (now - logliks > tolerance * np.maximum(1.0, np.abs(now)))
+            logliks = now
+            if turn == rounds or not going.any():
+                break
+        weights = sums[:, : k * m].reshape(n, k, m).transpose(0, 2, 1)
+        total = np.zeros((n, len(names), k))
+        np.add.at(total, (slice(None), column), weights)
+        on = going[:, None, None]
+        seen = np.where(going[:, None], weights.sum(2) > 0, seen)
+        logp = np.where(on, np.where(seen[:, :, None], np.log(np.maximum(weights / np.maximum(total[:, column], 1e-300), 1e-12)), 0.0), logp)
+        sizes = sums[:, k * m : k * m + k]
+        prior = np.where(going[:, None], np.log(np.maximum(sizes / np.maximum(sizes.sum(1, keepdims=True), 1e-300), 1e-12)), prior)
+        model = (logp, prior)
+    discard(people)
+    parameters = [(*f[1:], c, *levels[i], float(logp[j, i, c])) for j, f in enumerate(fits) for i in range(m) if seen[j, i] for c in range(k)]
+    classes = [(*f[1:], c, float(prior[j, c])) for j, f in enumerate(fits) for c in range(k)]
+    small = T.StructType([f for f in schema if f.name not in ("column_name", "code")])
+    found = {f[1:]: float(logliks[j]) for j, f in enumerate(fits)}
+    return spark.createDataFrame(parameters, schema), spark.createDataFrame(classes, small), found
+
+
+def fit_latent_classes(responses: DataFrame, k: int, rounds: int = 250, tolerance: float = 1e-6, seed: int = 1, starts: int = 1):
     """(parameters, priors, loglik) of the best of several starts; the first of equals wins."""
     if starts == 1:
         parameters, priors, logliks = fit_many(responses, k, rounds=rounds, tolerance=tolerance, seed=seed)
@@ -112,7 +169,7 @@ def poisson_one(*keys: Column, seed: int = 1) -> Column:
     return inverse_cdf(chances, keyed_uniform(*keys, seed=seed)).cast("double")
 
 
-def bootstrap_stability(responses: DataFrame, original: DataFrame, k: int, replicates: int = 50, rounds: int = 30, seed: int = 1) -> DataFrame:
+def bootstrap_stability(responses: DataFrame, original: DataFrame, k: int, replicates: int = 50, rounds: int = 250, seed: int = 1) -> DataFrame:
     """(replicate, ari): agreement of classes refitted on resamples with the original (respondent_id, label).
 
     All replicates are fitted side by side; each then labels every respondent of the full data.
@@ -137,20 +194,23 @@ def simulate(parameters: DataFrame, priors: DataFrame, respondents: DataFrame, b
     return drawn.join(codes, "class").select(*who, "column_name", F.get("l", pick)["v"].alias("code"))
 
 
-def bootstrap_ratio_test(responses: DataFrame, k: int, replicates: int = 30, rounds: int = 30, seed: int = 1) -> dict[str, float]:
-    """Likelihood ratio of k against k + 1 classes and its p-value from responses simulated under k classes."""
+def bootstrap_ratio_test(responses: DataFrame, k: int, replicates: int = 30, rounds: int = 250, tolerance: float = 1e-4, seed: int = 1) -> dict[str, float]:
+    """Likelihood ratio of k against k + 1 classes and its p-value from responses simulated under k classes.
+
+    All four kinds of fits end by the same tolerance, so that their ratios compare.
+    """
     by = ("replicate",)
-    parameters, priors, few = fit_latent_classes(responses, k, rounds, seed=seed)
-    _, _, more = fit_latent_classes(responses, k + 1, rounds, seed=seed)
+    parameters, priors, few = fit_latent_classes(responses, k, rounds, tolerance, seed)
+    _, _, more = fit_latent_classes(responses, k + 1, rounds, tolerance, seed)
     ids = responses.select("respondent_id").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     drawn = stored(simulate(parameters, priors, ids, by, seed))
-    _, _, a = fit_many(drawn, k, by, None, rounds, seed=seed)
-    _, _, b = fit_many(drawn, k + 1, by, None, rounds, seed=seed)
+    _, _, a = fit_many(drawn, k, by, None, rounds, tolerance, seed)
+    _, _, b = fit_many(drawn, k + 1, by, None, rounds, tolerance, seed)
     observed = 2 * (more - few)
     return {"ratio": observed, "p": (1 + sum(2 * (b[f] - a[f]) >= observed for f in a)) / (1 + len(a))}
 
 
-def model_selection(responses: DataFrame, most: int = 6, starts: int = 2, rounds: int = 30, seed: int = 1) -> DataFrame:
+def model_selection(responses: DataFrame, most: int = 6, starts: int = 2, rounds: int = 250, seed: int = 1) -> DataFrame:
     """(k, loglik, parameters, aic, bic, bic_gap, best) for 1 to `most` classes; best: the smallest BIC's k."""
     rows = []
     for k in range(1, most + 1):

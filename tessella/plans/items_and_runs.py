@@ -180,7 +180,7 @@ def _(s, d):
 @query("X07_simulated_responses")
 def _(s, d):
     r = V.responses(s, d)
-    parameters, priors, _ = LA.fit_latent_classes(r, 2, rounds=3)
+    parameters, priors, _ = LA.fit_latent_classes(r, 2, starts=10)
     return LA.simulate(parameters, priors, r.select("respondent_id").distinct())
 
 

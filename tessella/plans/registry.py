@@ -472,7 +472,7 @@ def _(s, d):
 @query("M01_M03_latent_classes")
 def _(s, d):
     r = V.responses(s, d)
-    parameters, priors, _ = LA.fit_latent_classes(r, 2)
+    parameters, priors, _ = LA.fit_latent_classes(r, 2, starts=10)
     return rounded(LA.posteriors(r, parameters, priors))
 
 
@@ -490,7 +490,7 @@ def _(s, d):
 @query("M04_M05_certainty_curve")
 def _(s, d):
     r = V.responses(s, d)
-    parameters, priors, _ = LA.fit_latent_classes(r, 2)
+    parameters, priors, _ = LA.fit_latent_classes(r, 2, starts=10)
     names = V.batteries(s).select("column_name", F.explode(F.array(F.lit("all"), F.when(F.col("battery") != 4, F.lit("narrow")))).alias("pool")).where("pool is not null")
     ranked = names.withColumn("rank", F.row_number().over(Window.partitionBy("pool").orderBy("column_name")))
     return rounded(LA.certainty_curve(r, parameters, priors, ranked))
@@ -499,7 +499,7 @@ def _(s, d):
 @query("M06_bootstrap_stability")
 def _(s, d):
     r = V.responses(s, d)
-    parameters, priors, _ = LA.fit_latent_classes(r, 2)
+    parameters, priors, _ = LA.fit_latent_classes(r, 2, starts=10)
     original = LA.hard_labels(LA.posteriors(r, parameters, priors))
     return rounded(LA.bootstrap_stability(r, original, 2))
 
@@ -560,7 +560,7 @@ def _(s, d):
     a, r = V.assignments(s, d), V.responses(s, d)
     place = V.survey_wide(s, d).select(F.col("o_orderkey").alias("id"), F.array("Q3", "Q6", "Q7").alias("features"))
     labels = {f"by_{c}": a.select("respondent_id", F.when(F.col("respondent_id") % 50 != 0, F.col(c)).alias("label")) for c in ("cluster", "cluster3")}
-    parameters, priors, loglik = LA.fit_latent_classes(r, 2)
+    parameters, priors, loglik = LA.fit_latent_classes(r, 2, starts=10)
     labels["latent"] = stored(LA.hard_labels(LA.posteriors(r, parameters, priors)).select("respondent_id", "label"))
     return rounded(CU.compare_methods(r, place, labels, {"latent": LA.information_criteria(r, 2, loglik)["bic"]}))
 

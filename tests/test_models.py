@@ -80,7 +80,12 @@ def test_mixture_silhouette_noise_and_single_members(spark):
 def test_latent_checks(spark):
     _, r = planted(spark)
     parameters, priors, loglik = LA.fit_latent_classes(r, 2, rounds=10, starts=2)
-    original = LA.hard_labels(LA.posteriors(r, parameters, priors))
+    post = LA.posteriors(r, parameters, priors)
+    assert abs(loglik - post.where("class = 0").agg(F.sum("loglik")).first()[0]) < 1e-6
+    better = LA.fit_many(r.withColumn("fit", F.explode(F.array(F.lit(1), F.lit(2)))), 2, ("fit",))
+    assert set(better[2]) == {(1,), (2,)} and max(better[2].values()) >= loglik - 1e-3 and better[0].count() == 2 * 2 * 12
+    assert LA.fit_many(r.where("false"), 2)[2] == {} and LA.fit_latent_classes(r.where("false"), 2)[2] == 0.0
+    original = LA.hard_labels(post)
     assert agreement(original) > 0.8
     stable = LA.bootstrap_stability(r, original, 2, replicates=3, rounds=10).collect()
     assert len(stable) == 3 and all(x["ari"] > 0.8 for x in stable)
