@@ -80,9 +80,12 @@ def fit_many(responses: DataFrame, k: int, by: tuple[str, ...] = (), weight: Col
     shared folder. A round is then one pass over that table without a join: memberships and their
     sums are made in Arrow batches next to the data, partitions' sums are added by Spark, and fits
     times classes times levels numbers reach the driver, never a respondent. Each fit starts from
-    keyed random memberships, the same for the same rows and seed, and stays as it is once it gains
-    less than tolerance of its log-likelihood; only the others' respondents are read again. weight: how often a respondent counts. Rows
-    without a respondent are left out; a level that no weight falls on counts as missing.
+    keyed random memberships, the same for the same rows and seed. Of three rounds two are plain
+    steps and one is taken from a squared extrapolation of both; where that is less likely than the
+    plain steps, these stand. A fit ends once a plain step gains less than tolerance of its
+    log-likelihood, or after rounds passes with the likeliest model met; only the others' respondents
+    are read again. weight: how often a respondent counts. Rows without a respondent are left out; a
+    level that no weight falls on counts as missing.
     """
     spark, who = responses.sparkSession, [*by, "respondent_id"]
     rows = responses.where("respondent_id is not null")
@@ -100,29 +103,51 @@ def fit_many(responses: DataFrame, k: int, by: tuple[str, ...] = (), weight: Col
     n, m = len(fits), len(levels)
     names = sorted({c for c, _ in levels})
     column = np.array([names.index(c) for c, _ in levels], int)
-    model, logliks, going = None, np.full(n, -np.inf), np.ones(n, bool)
-    logp, prior, seen = np.zeros((n, m, k)), np.zeros((n, k)), np.zeros((n, m), bool)
+    cut = k * m
+
+    def normal(weights: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """A row per fit: the shares of each column's levels in each class, then the classes' shares."""
+        total = np.zeros((n, len(names), k))
+        np.add.at(total, (slice(None), column), weights * seen[:, :, None])
+        p = np.where(seen[:, :, None], np.maximum(weights / np.maximum(total[:, column], 1e-300), 1e-12), 1.0)
+        return np.hstack([p.reshape(n, cut), np.maximum(sizes / np.maximum(sizes.sum(1, keepdims=True), 1e-300), 1e-12)])
+
+    def split(model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return model[:, :cut].reshape(n, m, k), model[:, cut:]
+
+    model, best, logliks, going = None, np.ones((n, cut + k)), np.full(n, -np.inf), np.ones(n, bool)
+    seen, reach = np.zeros((n, m), bool), np.full(n, 4.0)
     for turn in range(rounds + 1 if fits else 0):
         some = people if going.all() else people.where(F.col("_fit").isin([f[0] for f, g in zip(fits, going) if g]))
-        parts = some.drop(*by).mapInPandas(_round([f[0] for f in fits], m, k, model), "fit int, sums array<double>")
+        parts = some.drop(*by).mapInPandas(_round([f[0] for f in fits], m, k, None if model is None else split(np.log(model))), "fit int, sums array<double>")
         added = parts.select("fit", F.posexplode("sums").alias("at", "x")).groupBy("fit", "at").agg(F.sum("x").alias("x")).toArrow()
-        sums = np.zeros((n, k * m + k + 1))
+        sums = np.zeros((n, cut + k + 1))
         sums[added["fit"].to_numpy(), added["at"].to_numpy()] = added["x"].to_numpy()
-        if model is not None:
-            now = np.where(going, sums[:, -1], logliks)
-            going = going & (now - logliks > tolerance * np.maximum(1.0, np.abs(now)))
-            logliks = now
-            if turn == rounds or not going.any():
+        weights, now = sums[:, :cut].reshape(n, k, m).transpose(0, 2, 1), sums[:, -1]
+        if model is None:
+            seen = weights.sum(2) > 0
+            model = normal(weights, sums[:, cut : cut + k])
+            continue
+        better = going & (now >= logliks)
+        best[better], logliks = model[better], np.where(better, now, logliks)
+        step = normal(weights, sums[:, cut : cut + k])
+        if turn % 3 == 1:
+            base, before, model = model, now, step
+        elif turn % 3 == 2:
+            going = going & (now - before > tolerance * np.maximum(1.0, np.abs(now)))
+            if not going.any():
                 break
-        weights = sums[:, : k * m].reshape(n, k, m).transpose(0, 2, 1)
-        total = np.zeros((n, len(names), k))
-        np.add.at(total, (slice(None), column), weights)
-        on = going[:, None, None]
-        seen = np.where(going[:, None], weights.sum(2) > 0, seen)
-        logp = np.where(on, np.where(seen[:, :, None], np.log(np.maximum(weights / np.maximum(total[:, column], 1e-300), 1e-12)), 0.0), logp)
-        sizes = sums[:, k * m : k * m + k]
-        prior = np.where(going[:, None], np.log(np.maximum(sizes / np.maximum(sizes.sum(1, keepdims=True), 1e-300), 1e-12)), prior)
-        model = (logp, prior)
+            # along the curve of the last two steps; a length of 1 is the plain step
+            change, plain, before = model - base, step, now
+            bend = step - model - change
+            length = np.clip(np.sqrt((change**2).sum(1) / np.maximum((bend**2).sum(1), 1e-300)), 1.0, reach)
+            far = length[:, None]
+            model = normal(*(np.maximum(x, 1e-12) for x in split(base + 2 * far * change + far**2 * bend)))
+        else:
+            worse = now < before
+            reach = np.where(worse, np.maximum(reach / 4, 1.0), np.where(length == reach, reach * 4, reach))
+            model = np.where(worse[:, None], plain, step)
+    logp, prior = split(np.log(best))
     discard(people)
     parameters = [(*f[1:], c, *levels[i], float(logp[j, i, c])) for j, f in enumerate(fits) for i in range(m) if seen[j, i] for c in range(k)]
     classes = [(*f[1:], c, float(prior[j, c])) for j, f in enumerate(fits) for c in range(k)]
