@@ -219,7 +219,7 @@ def simulate(parameters: DataFrame, priors: DataFrame, respondents: DataFrame, b
     return drawn.join(codes, "class").select(*who, "column_name", F.get("l", pick)["v"].alias("code"))
 
 
-def bootstrap_ratio_test(responses: DataFrame, k: int, replicates: int = 30, rounds: int = 250, tolerance: float = 1e-4, seed: int = 1) -> dict[str, float]:
+def bootstrap_ratio_test(responses: DataFrame, k: int, replicates: int = 30, rounds: int = 250, tolerance: float = 1e-6, seed: int = 1) -> dict[str, float]:
     """Likelihood ratio of k against k + 1 classes and its p-value from responses simulated under k classes.
 
     All four kinds of fits end by the same tolerance, so that their ratios compare.
