@@ -43,4 +43,22 @@ gone AS (SELECT DISTINCT l.doc_id, l.i FROM l JOIN later ON l.doc_id = later.doc
 g AS (SELECT l.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed, string_agg(l.x, chr(10) ORDER BY l.i) FILTER (gone.i IS NULL) AS text FROM l LEFT JOIN gone USING (doc_id, i) GROUP BY l.doc_id)
 SELECT doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(g.text, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed FROM documents d LEFT JOIN g USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op1_quality_rules": _OP1, "op3_url_filters": _OP3, "op5_source_mix": _OP5, "op10_line_dedup": _OP10}
+_OP11 = r"""WITH RECURSIVE e(i, v) AS (SELECT i, i::BIGINT FROM range(256) t(i)),
+tab AS (SELECT list((SELECT list_reduce(list_prepend(v, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) ORDER BY i) AS t FROM e),
+d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS r, list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text], lambda x: coalesce(CAST(strlen(x) AS VARCHAR) || ':' || x, '-')) AS f,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295::BIGINT) AS crc FROM documents, tab),
+leaf AS (SELECT doc_id, lang, r, sha256(array_to_string(f, '')) AS leaf, CASE WHEN crc % 7 = 0 AND n_chars IS NOT NULL THEN
+  sha256(array_to_string(list_concat(f[1:3], [CAST(strlen(CAST(n_chars + 1 AS VARCHAR)) AS VARCHAR) || ':' || CAST(n_chars + 1 AS VARCHAR)], f[5:5]), '')) ELSE sha256(array_to_string(f, '')) END AS held FROM d),
+lv(lang, k, l) AS (SELECT lang, 0, list(leaf ORDER BY r) FROM leaf GROUP BY lang
+  UNION ALL SELECT lang, k + 1, list_transform(range(0, len(l), 2), lambda i: sha256(array_to_string(l[i + 1:i + 2], ''))) FROM lv WHERE len(l) > 1),
+sub AS (SELECT lang, l[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS r FROM lv WHERE len(l) = 1),
+uv(k, l) AS (SELECT 0, list(subroot ORDER BY r) FROM sub
+  UNION ALL SELECT k + 1, list_transform(range(0, len(l), 2), lambda i: sha256(array_to_string(l[i + 1:i + 2], ''))) FROM uv WHERE len(l) > 1),
+st AS (SELECT doc_id, k, r >> k AS p, l FROM leaf JOIN lv ON leaf.lang IS NOT DISTINCT FROM lv.lang WHERE len(l) > 1
+  UNION ALL SELECT doc_id, 1000 + k, sub.r >> k, l FROM leaf JOIN sub ON leaf.lang IS NOT DISTINCT FROM sub.lang, uv WHERE len(l) > 1),
+pf AS (SELECT doc_id, list((CASE WHEN p % 2 = 1 THEN 'L' WHEN p + 1 < len(l) THEN 'R' ELSE '-' END) || coalesce(l[1 + xor(p, 1)], '') ORDER BY k) AS s FROM st GROUP BY doc_id),
+o AS (SELECT doc_id, leaf, subroot, (SELECT l[1] FROM uv WHERE len(l) = 1) AS root, sha256(coalesce(array_to_string(list_transform(s, lambda x: x[2:]), ''), '')) AS proof_sha256,
+  list_reduce(list_prepend(held, coalesce(s, [])), lambda h, x: CASE x[1] WHEN 'L' THEN sha256(x[2:] || h) WHEN 'R' THEN sha256(h || x[2:]) ELSE sha256(h) END) AS folded_root FROM leaf JOIN sub ON leaf.lang IS NOT DISTINCT FROM sub.lang LEFT JOIN pf USING (doc_id))
+SELECT *, folded_root = root AS verified FROM o"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": _OP1, "op3_url_filters": _OP3, "op5_source_mix": _OP5, "op10_line_dedup": _OP10, "op11_merkle_manifest": _OP11}

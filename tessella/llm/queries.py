@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import id_crc
 from tessella.llm.embedding_dedup import embedding_classes
 from tessella.llm.line_dedup import line_dedup
+from tessella.llm.merkle import build_manifest, document_digest, fold, proof_digest
 from tessella.llm.mixing import fair_mix
 from tessella.llm.packing import pack
 from tessella.llm.quality_classifier import quality_scores
@@ -68,4 +69,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_url_filters, op4_toxicity, op5_source_mix, op6_embedding_dedup, op7_simhash, op8_secret_scan, op9_packing, op10_line_dedup)}
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.when(id_crc() % 7 == 0, document_digest(F.col("n_chars") + 1))
+    manifest = build_manifest(_read(spark, sf_dir, "documents"), {"changed": changed})
+    folded = fold(F.coalesce("changed", "leaf"), F.col("proof"))
+    out = manifest.prove().select("doc_id", "leaf", "subroot", F.lit(manifest.root).cast("string").alias("root"), proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_url_filters, op4_toxicity, op5_source_mix, op6_embedding_dedup, op7_simhash, op8_secret_scan, op9_packing, op10_line_dedup, op11_merkle_manifest)}
