@@ -61,4 +61,9 @@ o AS (SELECT doc_id, leaf, subroot, (SELECT l[1] FROM uv WHERE len(l) = 1) AS ro
   list_reduce(list_prepend(held, coalesce(s, [])), lambda h, x: CASE x[1] WHEN 'L' THEN sha256(x[2:] || h) WHEN 'R' THEN sha256(h || x[2:]) ELSE sha256(h) END) AS folded_root FROM leaf JOIN sub ON leaf.lang IS NOT DISTINCT FROM sub.lang LEFT JOIN pf USING (doc_id))
 SELECT *, folded_root = root AS verified FROM o"""
 
-ORACLES: dict[str, str] = {"op1_quality_rules": _OP1, "op3_url_filters": _OP3, "op5_source_mix": _OP5, "op10_line_dedup": _OP10, "op11_merkle_manifest": _OP11}
+_OP13 = r"""WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r, a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: coalesce(z[1] * z[2], 0))) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.r <> b.r)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS k FROM s) WHERE k <= 20"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": _OP1, "op3_url_filters": _OP3, "op5_source_mix": _OP5, "op10_line_dedup": _OP10, "op11_merkle_manifest": _OP11, "op13_exact_top_k": _OP13}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm.alignment import align
 from tessella.llm.common import id_crc
 from tessella.llm.embedding_dedup import embedding_classes
 from tessella.llm.line_dedup import line_dedup
@@ -15,6 +16,7 @@ from tessella.llm.quality_classifier import quality_scores
 from tessella.llm.quality_rules import quality_rules
 from tessella.llm.secret_scan import secret_scan
 from tessella.llm.simhash_dedup import simhash_classes
+from tessella.llm.topk import top_k
 from tessella.llm.toxicity import toxicity_scores
 from tessella.llm.url_filters import url_filter
 
@@ -78,4 +80,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_url_filters, op4_toxicity, op5_source_mix, op6_embedding_dedup, op7_simhash, op8_secret_scan, op9_packing, op10_line_dedup, op11_merkle_manifest)}
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(_read(spark, sf_dir, "documents"))
+
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_url_filters, op4_toxicity, op5_source_mix, op6_embedding_dedup, op7_simhash, op8_secret_scan, op9_packing, op10_line_dedup, op11_merkle_manifest, op12_tokenizer_alignment, op13_exact_top_k)}
