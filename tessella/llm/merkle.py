@@ -20,6 +20,8 @@ from tessella.operators.running import running
 
 #: Nodes below the top of a pack, at most.
 SPAN = 256
+#: Trees up to which their sizes are broadcast, a name and a number each.
+FEW_TREES = 20_000
 STEPS = "array<struct<before:string,after:string>>"
 STEP = pa.list_(pa.struct([("before", pa.string()), ("after", pa.string())]))
 
@@ -84,11 +86,13 @@ def build_trees(nodes: DataFrame, fan: int) -> tuple[list[DataFrame], DataFrame]
 
     schema = pa.schema([("tree", pa.string()), ("rank", pa.int64()), ("digest", pa.string()), ("n", pa.int64()), ("depth", pa.int32()), ("keys", pa.list_(pa.string())), ("children", pa.list_(pa.list_(pa.string())))])
     counts = nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n"))
-    most = counts.agg(F.max("n")).first()[0] or 0
-    layer = nodes.join(counts, "tree")
+    counts = materialize(counts, "counts")
+    trees, most = counts.agg(F.count(F.lit(1)), F.max("n")).first()
+    most = most or 0
+    layer = nodes.join(F.broadcast(counts) if trees <= FEW_TREES else counts, "tree")
     packs, tops = [], layer.where("n = 1").select("tree", "digest")
     while most > 1:
-        grouped = layer.where("n > 1").select("tree", F.floor(F.col("rank") / span).alias("block"), "rank", "digest", "n").groupBy("tree", "block")
+        grouped = layer.where("n > 1").select("tree", F.floor(F.col("rank") / span).alias("block"), "rank", "digest", "n").repartition("tree", "block").groupBy("tree", "block")
         layer = materialize(grouped.applyInArrow(pack, "tree string, rank long, digest string, n long, depth int, keys array<string>, children array<array<string>>"), "packs")
         packs.append(layer)
         tops = tops.unionAll(layer.where("n = 1").select("tree", "digest"))
