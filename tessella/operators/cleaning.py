@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.sources.ranges import attach_by_place
+
 MISSING = -5.0
 #: Codes that fold to "missing".
 SENTINELS = (-2.0, -3.0, -99.0)
@@ -186,8 +188,9 @@ def value_survey(codes: DataFrame, labels: DataFrame, mapping: DataFrame, key: s
     """The metadata, the columns of value questions as codes, and the respondent's columns as labels under their new names.
 
     mapping: (question_type, column_names); its few columns of value questions are read by the
-    driver. Labels are attached by the key both tables have, or by the place of the row where there
-    is none. Columns that a table lacks are left out.
+    driver. Labels are attached by the key both tables have; where there is none, by the place of the
+    row in file order, for which both tables must be read from files or hold a column `place`.
+    Columns that a table lacks are left out.
     """
     asked = [r[0] for r in value_questions(mapping).select(F.explode("column_names")).distinct().collect()]
     chosen = [c for c in codes.columns if c in metadata or c in asked]
@@ -195,21 +198,8 @@ def value_survey(codes: DataFrame, labels: DataFrame, mapping: DataFrame, key: s
     if key is not None:
         right = labels.select(F.col(key).alias("_key"), *shown)
         return codes.select(F.col(key).alias("_left"), *chosen).join(right, F.col("_left") == F.col("_key"), "left").drop("_left", "_key")
-    return attach_by_place(codes.select(*chosen), labels.select(*shown))
-
-
-def placed(rows: DataFrame) -> DataFrame:
-    """rows with `place`, their number in reading order from 0: sizes of partitions first, then places within."""
-    a = rows.withColumn("_m", F.monotonically_increasing_id())
-    part, at = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = a.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n"))
-    ahead = sizes.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
-    return a.join(ahead, part == F.col("_part")).withColumn("place", F.col("_ahead") + at).drop("_m", "_part", "_ahead")
-
-
-def attach_by_place(left: DataFrame, right: DataFrame) -> DataFrame:
-    """The columns of right beside those of left, row by row in reading order; both must be read from files whose order is fixed."""
-    return placed(left).join(placed(right), "place", "left").drop("place")
+    at = lambda t: [c for c in ("place",) if c in t.columns]
+    return attach_by_place(codes.select(*chosen, *at(codes)), labels.select(*shown, *at(labels)))
 
 
 def missing_fraction(responses: DataFrame) -> DataFrame:

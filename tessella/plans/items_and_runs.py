@@ -15,7 +15,7 @@ from tessella.operators import statistics as ST
 from tessella.plans import registry as R
 from tessella.plans import views as V
 from tessella.plans.registry import query, rounded
-from tessella.sources import files
+from tessella.sources import files, ranges, versions
 from tessella.streaming import monitor
 
 
@@ -390,17 +390,26 @@ def _(s, d):
 
 @query("S07_S10_S11_manifest", "SELECT model AS config, split, subpopulation, count(*) AS rows FROM ev GROUP BY ROLLUP (model, split, subpopulation)")
 def _(s, d):
-    path = folder(s)
-    files.write_dataset(V.eval_results(s, d).withColumnRenamed("model", "config"), path)
-    return files.manifest(s, path).select("config", "split", "subpopulation", "rows")
+    root, e = folder(s), V.eval_results(s, d).withColumnRenamed("model", "config")
+    files.write_dataset(e.withColumn("config", F.concat(F.lit("old-"), "config")), root, "old")
+    files.write_dataset(e, root, "new")
+    return files.manifest(s, files.dataset_path(s, root)).select("config", "split", "subpopulation", "rows")
 
 
-@query("S13_keyed_cache", "SELECT model, count(*) AS n FROM ev GROUP BY 1")
+@query("S13_keyed_cache", "SELECT version, model, n FROM (SELECT model, count(*) AS n FROM ev GROUP BY 1), (VALUES ('first'), ('again'), ('changed')) v(version) WHERE version <> 'changed' UNION ALL SELECT 'changed', model, count(*) FROM ev WHERE split = 'train' GROUP BY ALL")
 def _(s, d):
-    root = folder(s)
-    make = lambda: V.eval_results(s, d).groupBy("model").agg(F.count(F.lit(1)).alias("n"))
-    files.cached(s, root, "a", make)
-    return files.cached(s, root, "a", make)
+    """A table kept by its inputs' fingerprint: asked twice, then once more after the input has changed."""
+    root, where, e = folder(s), folder(s), V.eval_results(s, d).select("model", "split")
+
+    def counts(version: str) -> DataFrame:
+        key = ranges.fingerprint(s, f"{where}/part-*")
+        table = versions.keyed(s, root, key, lambda: s.read.parquet(where).groupBy("model").agg(F.count(F.lit(1)).alias("n")))
+        return table.select(F.lit(version).alias("version"), "model", "n")
+
+    e.write.parquet(where)
+    out = counts("first").unionAll(counts("again"))
+    e.where("split = 'train'").write.mode("overwrite").parquet(where)
+    return out.unionAll(counts("changed"))
 
 
 @query("ST1_live_monitor", "SELECT model, subpopulation, count(*) FILTER (NOT failed) AS n, round(CASE WHEN count(is_correct) FILTER (NOT failed)>0 THEN 100.0*count(*) FILTER (is_correct AND NOT failed)/count(*) FILTER (NOT failed) END,6) AS accuracy, round(avg(cross_entropy) FILTER (NOT failed),6) AS cross_entropy, round(avg(kl_divergence) FILTER (NOT failed),6) AS kl_divergence, count(*) FILTER (failed) AS failures FROM ev GROUP BY ALL")
@@ -418,10 +427,10 @@ def _(s, d):
     return files.read_coded(s, path, ["id", "Q1", "Q2", "Q6"])
 
 
-@query("S02_label_scan", "SELECT CAST(conv_id AS VARCHAR) AS id, CAST(turn AS VARCHAR) AS turn, role||';\"'||text AS answer FROM conversations", False)
+@query("S02_label_scan", "SELECT CAST(conv_id AS VARCHAR) AS id, CAST(turn AS VARCHAR) AS turn, role||';\"'||chr(10)||text AS answer FROM conversations", False)
 def _(s, d):
     path = folder(s)
-    rows = V.read(s, d, "conversations").select(F.col("conv_id").alias("id the interview"), F.col("turn"), F.concat("role", F.lit(';"'), "text").alias("answer in words"))
+    rows = V.read(s, d, "conversations").select(F.col("conv_id").alias("id the interview"), F.col("turn"), F.concat("role", F.lit(';"\n'), "text").alias("answer in words"))
     rows.write.csv(path, sep=";", header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return files.read_labels(s, path)
 
@@ -489,7 +498,7 @@ def _(s, d):
 @query("S07_split_scan", "SELECT id, split FROM (SELECT event_id id, split, row_number() OVER (PARTITION BY split ORDER BY event_id) k FROM ev WHERE model=(SELECT min(model) FROM ev) AND subpopulation='s2') WHERE k<=20")
 def _(s, d):
     path, e = folder(s), V.eval_results(s, d)
-    files.write_dataset(e.select(F.col("event_id").alias("id"), F.col("model").alias("config"), "split", "subpopulation"), path)
+    path = files.write_dataset(e.select(F.col("event_id").alias("id"), F.col("model").alias("config"), "split", "subpopulation"), path)
     return files.read_splits(s, path, e.agg(F.min("model")).first()[0], subpopulation="s2", most=20).select("id", "split")
 
 
@@ -497,8 +506,20 @@ def _(s, d):
 def _(s, d):
     path = folder(s)
     V.eval_results(s, d).select("event_id", "model").repartition(4, "event_id").sortWithinPartitions("event_id").write.csv(path)
-    every = files.fingerprint(s, f"{path}/part-*")
-    return files.file_digests(s, f"{path}/part-*").select(F.substring("name", 1, 10).alias("name"), "digest", F.lit(every).alias("fingerprint"))
+    every = ranges.fingerprint(s, f"{path}/part-*")
+    return ranges.file_digests(s, f"{path}/part-*").select(F.substring("name", 1, 10).alias("name"), "digest", F.lit(every).alias("fingerprint"))
+
+
+@query("P07_attach_by_place", "SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS place, user_id % 7 AS code, 'u'||user_id||';\"'||chr(10)||'t' AS label FROM events", False)
+def _(s, d):
+    """Codes and quoted labels in two tables of several files each, cut at different rows; nothing but their order joins them."""
+    codes, labels, e = folder(s), folder(s), V.read(s, d, "events").orderBy("event_id")
+    e.select("event_id", (F.col("user_id") % 7).alias("code")).write.csv(codes, sep=";", header=True)
+    label = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(';"\nt')).alias("label shown")
+    ordered = e.repartitionByRange(3, F.pow(F.col("event_id").cast("double"), 3)).sortWithinPartitions("event_id")
+    ordered.select(label).write.csv(labels, sep=";", header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False)
+    left = s.read.csv(codes, sep=";", header=True, schema="event_id long, code long")
+    return ranges.placed(left).join(files.read_labels(s, labels, place=True), "place", "left")
 
 
 @query("P06_P07_value_survey", "SELECT respondent_id AS id, Q3, Q6, c_mktsegment AS social_class, CAST(c_nationkey AS VARCHAR) AS religion FROM wide")

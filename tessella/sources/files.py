@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators.scoring import first_per_split
+from tessella.sources.ranges import read_quoted
+from tessella.sources.versions import current, publish
 
 MAPPING = "id long, question string, sub_questions array<string>, column_names array<string>, word_response_types array<string>, numeric_response_types array<string>, survey_section string, question_type string, question_format string"
 RUN = "target string, dataset string, split string, splits array<string>, subpopulation string, reasoning boolean, aborted boolean, run_name string, timestamp string, elapsed_seconds double"
@@ -16,13 +18,9 @@ def read_coded(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return spark.read.csv(path, sep=";", header=True, schema=", ".join(f"`{c}` double" for c in columns))
 
 
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Label text with quoted separators; a byte-order mark goes, names end at their first blank.
-
-    A quoted text may hold line breaks, so each file is read by one task.
-    """
-    df = spark.read.csv(path, sep=";", header=True, quote='"', escape='"', mode="PERMISSIVE", multiLine=True)
-    return df.toDF(*[c.lstrip("﻿").split(" ")[0] for c in df.columns])
+def read_labels(spark: SparkSession, path: str, place: bool = False) -> DataFrame:
+    """Label text with quoted separators and line breaks, read in parallel; see ranges.read_quoted."""
+    return read_quoted(spark, path, ";", place)
 
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
@@ -62,9 +60,20 @@ def read_splits(spark: SparkSession, path: str, config: str, splits: tuple[str,
     return rows if most is None else first_per_split(rows, order, most)
 
 
-def write_dataset(rows: DataFrame, path: str) -> None:
-    """Parquet by config, split and subpopulation; a full overwrite drops stale partitions."""
-    rows.write.partitionBy("config", "split", "subpopulation").mode("overwrite").parquet(path)
+def write_dataset(rows: DataFrame, root: str, key: str = "dataset") -> str:
+    """Publish rows as Parquet by config, split and subpopulation and return where they are.
+
+    A new version replaces the one before at once; stale partitions go with old versions.
+    """
+    return publish(rows, root, key, ("config", "split", "subpopulation"))
+
+
+def dataset_path(spark: SparkSession, root: str) -> str:
+    """Where the current version of a published dataset is."""
+    found = current(spark, root)
+    if found is None:
+        raise FileNotFoundError(f"no dataset is published in {root}")
+    return found[1]
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -94,25 +103,3 @@ def write_distributions(dist: DataFrame, sizes: DataFrame, labels: DataFrame, pa
     total = sizes.where("subpopulation = 'overall'").select(F.col("size").alias("total"))
     shares = sizes.where("subpopulation <> 'overall'").crossJoin(total).select("subpopulation", "size", (F.col("size") / F.col("total")).alias("weight"))
     shares.join(every, "subpopulation").write.mode("overwrite").json(path)
-
-
-def file_digests(spark: SparkSession, pattern: str) -> DataFrame:
-    """(name, bytes, digest): SHA-256 of each matching file, taken where the file is read; files of 2 GB and more are refused by Spark's reader."""
-    files = spark.read.format("binaryFile").load(pattern)
-    return files.select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("digest"))
-
-
-def fingerprint(spark: SparkSession, pattern: str) -> str:
-    """SHA-256 over the digests of all matching files in the order of their names; a digest's 64 signs per file is what meets in one place."""
-    every = F.sort_array(F.collect_list(F.struct("name", "digest")))
-    return file_digests(spark, pattern).agg(F.sha2(F.array_join(F.transform(every, lambda x: x["digest"]), ""), 256)).first()[0] or ""
-
-
-def cached(spark: SparkSession, root: str, key: str, compute) -> DataFrame:
-    """The table stored under this key, computed and stored first where it is missing."""
-    path = f"{root}/key={key}"
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        compute().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
