@@ -16,33 +16,40 @@ from tessella.llm.common import in_portions, materialize
 from tessella.llm.packing import byte_letters
 
 #: Bytes of text of a chunk: its documents are aligned together, and its distinct id pairs are priced together.
-CHUNK = 8_000_000
+CHUNK = 2_000_000
 #: A cut: a single blank before a sign that is no white space, mark or control sign.
 CUT = r" ([^\s\p{Z}\p{M}\p{C}\x{85}])"
 BLANK = "▁"
 MARK = "\x00"
 
 
-class Pieces(dict):
-    """(ids of A, ids of B, whether both spell the piece) for a piece of text; kept for short pieces seen."""
+class Pieces:
+    """(ids of A, ids of B, whether both spell the piece) for pieces of text.
 
-    def __init__(self, tokenizers: "Tokenizers"):
-        super().__init__()
-        self.tokenizers = tokenizers
+    Short pieces are kept in two generations: when the younger is full the older goes, and what is
+    asked for again moves to the younger.
+    """
+
+    def __init__(self, tokenizers: "Tokenizers", most: int = 75_000):
+        self.tokenizers, self.most = tokenizers, most
+        self.young: dict[str, tuple[bytes, bytes, bool]] = {}
+        self.old: dict[str, tuple[bytes, bytes, bool]] = {}
 
     def of(self, pieces: list[str]) -> list[tuple[bytes, bytes, bool]]:
-        if len(self) > 400_000:
-            self.clear()
-        t = self.tokenizers
-        new = [p for p in pieces if p not in self]
+        t, young, old = self.tokenizers, self.young, self.old
+        out = [young.get(p) or old.get(p) for p in pieces]
+        at = [i for i, x in enumerate(out) if x is None]
+        new = [pieces[i] for i in at]
         a = [e.ids for e in t.a.encode_batch([" " + p for p in new], add_special_tokens=False)] if new else []
         b = t.b.encode(new, num_threads=1) if new else []
-        fresh, spell_a, spell_b = {}, t.bytes_a.__getitem__, t.bytes_b.__getitem__
-        for p, x, y in zip(new, a, b):
+        spell_a, spell_b = t.bytes_a.__getitem__, t.bytes_b.__getitem__
+        for i, p, x, y in zip(at, new, a, b):
             same = b"".join(map(spell_a, x)) == b" " + p.encode() == b"".join(map(spell_b, y))
-            fresh[p] = array("i", x).tobytes(), array("i", y).tobytes(), same
-        self.update((p, v) for p, v in fresh.items() if len(p) < 64)
-        return [fresh[p] if p in fresh else self[p] for p in pieces]
+            out[i] = array("i", x).tobytes(), array("i", y).tobytes(), same
+        if len(young) > self.most:
+            self.old, self.young = young, {}
+        self.young.update((p, x) for p, x in zip(pieces, out) if len(p) < 64)
+        return out
 
 
 class Tokenizers:
