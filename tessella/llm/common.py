@@ -30,10 +30,15 @@ def place_of(docs: DataFrame, column: str) -> Column:
     return F.col(f"_{docs.columns.index(column)}")
 
 
+def tie_of(text: Column) -> Column:
+    """128 bits that tell texts with one doc_id apart; null and the empty text differ."""
+    return F.md5(F.coalesce(F.concat(F.lit("="), text), F.lit("")).cast("binary"))
+
+
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of docs, all columns, of which one row of each group stays.
 
-    groups: (doc_id, tie, g) for every row of docs, tie being xxhash64 of the text. The smallest
+    groups: (doc_id, tie, g) for every row of docs, tie being tie_of the text. The smallest
     doc_id of a group stays (null last, then by tie); of rows that repeat with the same doc_id and
     text one stays.
     """
@@ -42,9 +47,11 @@ def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     first = groups.groupBy("g").agg(F.min("x").alias("first"))
     gone = groups.join(first, "g").where("x <> first").select(F.col("x.doc_id").alias("gone"), F.col("x.tie").alias("gone_tie")).distinct()
     again = groups.groupBy("x").count().where("count > 1").limit(1).count()
-    rows = beside(docs).withColumn("tie", F.xxhash64(place_of(docs, "text")))
+    rows = beside(docs).withColumn("tie", tie_of(place_of(docs, "text")))
     who = place_of(docs, "doc_id")
-    out = rows.join(materialize(gone, "gone"), who.eqNullSafe(F.col("gone")) & (F.col("tie") == F.col("gone_tie")), "left_anti")
+    gone = materialize(gone, "gone")
+    discard(groups)
+    out = rows.join(gone, who.eqNullSafe(F.col("gone")) & (F.col("tie") == F.col("gone_tie")), "left_anti")
     return named(out.dropDuplicates([f"_{docs.columns.index('doc_id')}", "tie"]) if again else out, docs)
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialize, one_of_each
+from tessella.llm.common import materialize, one_of_each, tie_of
 from tessella.llm.graph import components
 
 BITS = 64
@@ -31,16 +31,17 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, tie, fp as signed long) for every row; tie tells texts with the same doc_id apart."""
+def fingerprints(docs: DataFrame, shingle: int = 3, tie: Column | None = None) -> DataFrame:
+    """(doc_id, tie, fp as signed long) for every row; tie (a hash of the text unless given) tells texts with the same doc_id apart."""
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in b.column(2).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["doc_id", "tie", "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(run, f"doc_id {kind}, tie long, fp long")
+    rows = docs.select("doc_id", (F.xxhash64("text") if tie is None else tie).alias("tie"), "text")
+    kinds = [rows.schema[c].dataType.simpleString() for c in ("doc_id", "tie")]
+    return rows.mapInArrow(run, f"doc_id {kinds[0]}, tie {kinds[1]}, fp long")
 
 
 def near_pairs(prints: DataFrame, most: int = 2) -> DataFrame:
@@ -115,6 +116,6 @@ def simhash_dedup(docs: DataFrame, most: int = 2, shingle: int = 3) -> DataFrame
     same doc_id; of rows that repeat with that doc_id and text one stays. Null and empty texts are
     alike. An empty table gives no rows.
     """
-    prints = materialize(fingerprints(docs, shingle), "prints")
+    prints = materialize(fingerprints(docs, shingle, tie_of(F.col("text"))), "prints")
     classes = materialize(linked_prints(prints, most), "classes").select(F.col("fp").alias("print"), F.col("root").alias("g"))
     return one_of_each(docs, prints.join(classes, F.col("fp") == F.col("print")).select("doc_id", "tie", "g"))
