@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,42 +16,13 @@ from tessella.llm.common import in_portions, materialize
 from tessella.llm.packing import byte_letters
 
 #: Bytes of text of a chunk: its documents are aligned together, and its distinct id pairs are priced together.
-CHUNK = 2_000_000
+CHUNK = 4_000_000
 #: A cut: a single blank before a sign that is no white space, mark or control sign.
 CUT = r" ([^\s\p{Z}\p{M}\p{C}\x{85}])"
 BLANK = "▁"
 MARK = "\x00"
 
 
-class Pieces:
-    """(ids of A, ids of B, whether both spell the piece) for pieces of text.
-
-    Short pieces are kept in two generations: when the younger is full the older goes, and what is
-    asked for again moves to the younger.
-    """
-
-    def __init__(self, tokenizers: "Tokenizers", most: int = 75_000):
-        self.tokenizers, self.most = tokenizers, most
-        self.young: dict[str, tuple[bytes, bytes, bool]] = {}
-        self.old: dict[str, tuple[bytes, bytes, bool]] = {}
-
-    def of(self, pieces: list[str]) -> list[tuple[bytes, bytes, bool]]:
-        t, young, old = self.tokenizers, self.young, self.old
-        out = [young.get(p) or old.get(p) for p in pieces]
-        at = [i for i, x in enumerate(out) if x is None]
-        new = [pieces[i] for i in at]
-        a = [e.ids for e in t.a.encode_batch([" " + p for p in new], add_special_tokens=False)] if new else []
-        b = t.b.encode(new, num_threads=1) if new else []
-        spell_a, spell_b = t.bytes_a.__getitem__, t.bytes_b.__getitem__
-        for i, p, x, y in zip(at, new, a, b):
-            same = b"".join(map(spell_a, x)) == b" " + p.encode() == b"".join(map(spell_b, y))
-            out[i] = array("i", x).tobytes(), array("i", y).tobytes(), same
-        if len(young) > self.most:
-            self.old, self.young = young, {}
-        self.young.update((p, x) for p, x in zip(pieces, out) if len(p) < 64)
-        return out
-
-
 class Tokenizers:
     """Two vocabularies: A of byte-level pieces, given a blank and the text; B of pieces that mark a blank, given the text.
 
@@ -81,11 +52,47 @@ class Tokenizers:
         level = form.get("pre_tokenizer") or {}
         plain = form.get("normalizer") is None and level.get("type") == "ByteLevel" and level.get("use_regex", True) and not level.get("add_prefix_space")
         self.cuts = bool(plain) and not any(BLANK in p.lstrip(BLANK) for p in spelt) and self.b.encode("a b") == self.b.encode("a") + self.b.encode("b")
-        self.pieces = Pieces(self)
+        self.ranks = self._ranks(path_a.removesuffix(".json") + ".tiktoken") if self.cuts else None
         na, nb = len(self.bytes_a), len(self.bytes_b)
         # decimal ids with the sign that follows them: A within and at the end of its side, then B
         self.signs = [f"{i}," for i in range(na)] + [f"{i}|" for i in range(na)] + [f"{i}," for i in range(nb)] + [f"{i};" for i in range(nb)]
 
+    def _ranks(self, path: str):
+        """The vocabulary of A as ranks, where the file beside it holds the same tokens: the same ids, found faster."""
+        import base64
+        import os
+
+        import public_tokenizers
+        import tiktoken
+
+        if not os.path.exists(path):
+            return None
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        if any(self.bytes_a[i] != token for token, i in ranks.items()) or len(ranks) + len(self.a.get_added_tokens_decoder()) != len(self.bytes_a):
+            return None
+        return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _a(self, text: str) -> list[int]:
+        if self.ranks is not None and len(text) < 2000:
+            return self.ranks.encode_ordinary(text)
+        return self.a.encode(text, add_special_tokens=False).ids
+
+    def spelt(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(A's ids, their number by piece, B's ids, their number, whether both spell the piece) of pieces, which A gets behind a blank."""
+        a, b = [self._a(" " + p) for p in pieces], self.b.encode(pieces, num_threads=1) if pieces else []
+        plain = [b" " + p.encode() for p in pieces]
+        out, length = [], np.fromiter(map(len, plain), np.int64, len(plain))
+        same, together = np.ones(len(pieces), bool), b"".join(plain)
+        for ids, size, table in ((a, self.size_a, self.bytes_a), (b, self.size_b, self.bytes_b)):
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, n.sum())
+            upto = np.concatenate([[0], np.cumsum(size[flat])])[np.concatenate([[0], np.cumsum(n)])]
+            if (np.diff(upto) != length).any() or b"".join(map(table.__getitem__, flat.tolist())) != together:
+                same &= [b"".join(map(table.__getitem__, x)) == p for x, p in zip(ids, plain)]
+            out += [flat, n]
+        return *out, same
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids of A, their ends by text, ids of B, their ends by text, texts that both spell): texts without any have no ids."""
         n = len(texts)
@@ -100,32 +107,28 @@ class Tokenizers:
         codes = np.concatenate([coded.indices.to_numpy().astype(np.int64), len(coded.dictionary) + np.arange(len(whole))])
         counts = np.ones(n, np.int64)
         counts[order[: len(plain)]] = np.diff(split.offsets.to_numpy()) if len(plain) else 0
-        known = self.pieces.of(coded.dictionary.to_pylist() + whole.to_pylist())
+        ids_a, n_a, ids_b, n_b, same = self.spelt(coded.dictionary.to_pylist() + whole.to_pylist())
         # pieces stand in the order plain texts, whole texts; put the texts' pieces in the texts' own order
         first = np.zeros(n, np.int64)
         first[order] = np.cumsum(counts[order]) - counts[order]
         codes = codes[np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
         owner = np.repeat(np.arange(n), counts)
-        spelt = np.array([k[2] for k in known], bool)
-        good = np.bincount(owner, ~spelt[codes], n) == 0
+        good = np.bincount(owner, ~same[codes], n) == 0
         for i in np.flatnonzero(~good).tolist():  # pieces that differ may still spell the text together
-            mine = [known[c] for c in codes[owner == i]]
             text = (" " + texts[i].as_py()).encode()
-            good[i] = all(b"".join(table[t] for m in mine for t in np.frombuffer(m[k], "<i4")) == text for k, table in ((0, self.bytes_a), (1, self.bytes_b)))
+            good[i] = all(b"".join(map(table.__getitem__, gathered(ids, k, codes[owner == i]).tolist())) == text for ids, k, table in ((ids_a, n_a, self.bytes_a), (ids_b, n_b, self.bytes_b)))
         good &= pc.not_equal(texts, "").to_numpy(zero_copy_only=False)
         keep = good[owner]
-        return *gathered([k[0] for k in known], codes[keep], owner[keep], n), *gathered([k[1] for k in known], codes[keep], owner[keep], n), good
+        codes, owner = codes[keep], owner[keep]
+        upto = lambda k: np.cumsum(np.bincount(owner, k[codes], n)).astype(np.int64)
+        return gathered(ids_a, n_a, codes), upto(n_a), gathered(ids_b, n_b, codes), upto(n_b), good
 
 
-def gathered(known: list[bytes], codes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of the pieces that codes name, one after the other, and the place behind each of n owners' last."""
-    table = np.frombuffer(b"".join(known), "<i4")
-    size = np.fromiter(map(len, known), np.int64, len(known)) // 4
-    at = np.cumsum(size) - size
-    length = size[codes]
+def gathered(ids: np.ndarray, n: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The ids of the pieces that codes name, one after the other; the pieces' n ids stand one after the other in ids."""
+    at, length = np.cumsum(n) - n, n[codes]
     behind = np.cumsum(length)
-    ids = table[np.repeat(at[codes] - behind + length, length) + np.arange(length.sum())]
-    return ids, np.cumsum(np.bincount(owner, length, n)).astype(np.int64)
+    return ids[np.repeat(at[codes] - behind + length, length) + np.arange(length.sum())]
 
 
 def gallop(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -181,14 +184,17 @@ def common_ends(ends_a: np.ndarray, upto_a: np.ndarray, ends_b: np.ndarray, upto
     return a[order], b[order]
 
 
-def group_text(ids_a: np.ndarray, ids_b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, t: Tokenizers) -> str:
-    """`a1,a2|b1;a3|b2,b3`: the groups that the common ends at cut_a and cut_b close, in order."""
+def group_signs(ids_a: np.ndarray, ids_b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, t: Tokenizers) -> np.ndarray:
+    """Places in t.signs that write `a1,a2|b1;a3|b2,b3;` for the groups that the common ends at cut_a and cut_b close, in order."""
     na, nb = len(t.bytes_a), len(t.bytes_b)
-    out = np.empty(len(ids_a) + len(ids_b), np.int64)
+    out = np.empty(len(ids_a) + len(ids_b), np.int32)
     size_a, size_b = np.diff(cut_a, prepend=-1), np.diff(cut_b, prepend=-1)
-    out[np.arange(len(ids_a)) + np.repeat(cut_b + 1 - size_b, size_a)] = ids_a + np.isin(np.arange(len(ids_a)), cut_a) * na
-    out[np.arange(len(ids_b)) + np.repeat(cut_a + 1, size_b)] = 2 * na + ids_b + np.isin(np.arange(len(ids_b)), cut_b) * nb
-    return "".join(map(t.signs.__getitem__, out.tolist()))[:-1]
+    sign_a, sign_b = ids_a.copy(), ids_b + 2 * na
+    sign_a[cut_a] += na
+    sign_b[cut_b] += nb
+    out[np.arange(len(ids_a)) + np.repeat(cut_b + 1 - size_b, size_a)] = sign_a
+    out[np.arange(len(ids_b)) + np.repeat(cut_a + 1, size_b)] = sign_b
+    return out
 
 
 @lru_cache(maxsize=2)
@@ -226,11 +232,11 @@ def aligned(docs: DataFrame, a: str, b: str) -> DataFrame:
                 links = ids_a[link_a].astype(np.int64) << 32 | ids_b[link_b]
                 pairs, at, times = np.unique(links, return_inverse=True, return_counts=True)
                 upto = np.searchsorted(link_a, upto_a)
-                digests, start = [], (0, 0, 0)
-                for stop in zip(upto_a.tolist(), upto_b.tolist(), upto.tolist()):
-                    (sa, sb, sl), (ea, eb, el) = start, stop
-                    text = group_text(ids_a[sa:ea], ids_b[sb:eb], link_a[sl:el] - sa, link_b[sl:el] - sb, t) if el > sl else ""
-                    digests.append(hashlib.sha256(text.encode()).hexdigest() if text else "")
+                # a text's bytes end with a token of both, so no group reaches into the next text
+                signs, digests, start = group_signs(ids_a, ids_b, link_a, link_b, t), [], 0
+                for stop in (upto_a + upto_b).tolist():
+                    groups = "".join(map(t.signs.__getitem__, signs[start:stop].tolist()))[:-1]
+                    digests.append(hashlib.sha256(groups.encode()).hexdigest() if groups else "")
                     start = stop
                 rows, n = len(texts), np.diff(upto, prepend=0)
                 lead = np.concatenate([[0], np.full(rows, len(pairs))]).astype(np.int32)

@@ -146,7 +146,7 @@ def test_pieces_are_encoded_as_whole_texts_are(pair):
         assert good[i] == same, text
         assert (ids_a[at[0] : upto_a[i]].tolist(), ids_b[at[1] : upto_b[i]].tolist()) == ((a, b) if same else ([], [])), text
         at = upto_a[i], upto_b[i]
-    assert 0 < good.sum() < len(good)
+    assert 0 < good.sum() < len(good) and pair.cuts and pair.ranks is not None
 
 
 def test_galloping_against_search():
