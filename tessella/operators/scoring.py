@@ -223,14 +223,14 @@ def running_metrics(results: DataFrame, key: str, order: str, every: int = 100)
 
 
 def failure_streaks(results: DataFrame, key: str, order: str, most: int = 10) -> DataFrame:
-    """Per run: longest streak of failures, and where the first streak reaches `most` (null: never).
+    """Per run: longest streak of failures, where the first streak reaches `most` (null: never) and whether it does (aborted).
 
     A streak is known by how many results before it did not fail.
     """
     a = running(results.select(key, order, "failed"), key, [order], {"passed": (~F.col("failed")).cast("long")})
     runs = a.where("failed").groupBy(key, "passed").agg(F.count(F.lit(1)).alias("length"), F.min("i").cast("int").alias("first"))
     found = runs.groupBy(key).agg(F.max("length").alias("longest"), F.min(F.when(F.col("length") >= most, F.col("first") + most - 1)).alias("abort_at"))
-    return results.select(key).distinct().join(found, key, "left").select(key, F.coalesce("longest", F.lit(0)).alias("longest"), "abort_at")
+    return results.select(key).distinct().join(found, key, "left").select(key, F.coalesce("longest", F.lit(0)).alias("longest"), "abort_at", F.col("abort_at").isNotNull().alias("aborted"))
 
 
 def first_per_split(rows: DataFrame, order: str, most: int, split: str = "split") -> DataFrame:

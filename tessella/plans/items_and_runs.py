@@ -420,6 +420,27 @@ def _(s, d):
     return rounded(monitor.newest(s, out))
 
 
+_LIVE = """SELECT model, kind, i, round(accuracy,6) AS accuracy, round(cross_entropy,6) AS cross_entropy, round(kl_divergence,6) AS kl_divergence, round(rate,6) AS rate, longest, abort_at, aborted FROM (
+SELECT model, 'means' AS kind, i, 100.0*good/i AS accuracy, ce AS cross_entropy, kl AS kl_divergence, CAST(NULL AS DOUBLE) AS rate, CAST(NULL AS BIGINT) AS longest, CAST(NULL AS BIGINT) AS abort_at, CAST(NULL AS BOOLEAN) AS aborted FROM up WHERE i%100=0
+UNION ALL SELECT model, 'speed', i, NULL, NULL, NULL, i/nullif(e,0), NULL, NULL, NULL FROM up WHERE i%10=0
+UNION ALL SELECT u.model, 'run', n, NULL, NULL, NULL, NULL, coalesce(longest,0), abort_at, abort_at IS NOT NULL FROM (SELECT model, count(*) AS n FROM up GROUP BY 1) u LEFT JOIN (SELECT model, CAST(max(n) AS BIGINT) AS longest, CAST(min(CASE WHEN n>=10 THEN f+9 END) AS BIGINT) AS abort_at FROM (SELECT model, i-j AS g, count(*) AS n, min(i) AS f FROM up WHERE failed GROUP BY ALL) GROUP BY 1) s USING (model))"""
+
+
+@query("ST1_live_runs", ", tm AS (SELECT e.*, epoch_us(x.ts) AS us FROM ev e JOIN events x USING (event_id)), up AS (SELECT model, failed, row_number() OVER w AS i, row_number() OVER (PARTITION BY model, failed ORDER BY event_id) AS j, sum(CASE WHEN is_correct THEN 1 ELSE 0 END) OVER w AS good, avg(cross_entropy) OVER w AS ce, avg(kl_divergence) OVER w AS kl, (us-min(us) OVER w)/1e6 AS e FROM tm WINDOW w AS (PARTITION BY model ORDER BY event_id ROWS UNBOUNDED PRECEDING)) " + _LIVE)
+def _(s, d):
+    """Results of all runs arrive in three lots of files; what the state by run tells is the same as from all at once."""
+    path, out, state = folder(s), folder(s), folder(s)
+    at = V.read(s, d, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    rows = V.eval_results(s, d).join(at, "event_id").select(*[c.split(" ")[0] for c in monitor.RUN_RESULT.split(", ")])
+    cuts = rows.approxQuantile("event_id", [0.3, 0.65], 0.0)
+    lots = [F.col("event_id") <= cuts[0], (F.col("event_id") > cuts[0]) & (F.col("event_id") <= cuts[1]), F.col("event_id") > cuts[1]]
+    for lot in lots:
+        rows.where(lot).write.mode("append").parquet(path)
+        monitor.start_runs(monitor.live_runs(s, path), out, state).awaitTermination()
+    found = [monitor.run_events(s, out, k).withColumn("kind", F.lit(k)) for k in ("means", "speed", "run")]
+    return rounded(found[0].unionByName(found[1]).unionByName(found[2]).select("model", "kind", "i", "accuracy", "cross_entropy", "kl_divergence", "rate", "longest", "abort_at", "aborted"))
+
+
 @query("S01_coded_scan", "SELECT CAST(respondent_id AS DOUBLE) AS id, Q1, Q2, Q6 FROM wide")
 def _(s, d):
     path = folder(s)

@@ -387,7 +387,7 @@ def _(s, d):
     return rounded(SC.running_metrics(V.eval_results(s, d), "model", "event_id"))
 
 
-@query("W07_failure_streaks", ", o AS (SELECT model, failed, row_number() OVER (PARTITION BY model ORDER BY event_id) i, row_number() OVER (PARTITION BY model, failed ORDER BY event_id) j FROM ev), r AS (SELECT model, i-j g, count(*) n, min(i) f FROM o WHERE failed GROUP BY ALL) SELECT m.model, coalesce(max(n),0) AS longest, CAST(min(CASE WHEN n>=10 THEN f+9 END) AS INT) AS abort_at FROM (SELECT DISTINCT model FROM ev) m LEFT JOIN r USING (model) GROUP BY 1")
+@query("W07_failure_streaks", ", o AS (SELECT model, failed, row_number() OVER (PARTITION BY model ORDER BY event_id) i, row_number() OVER (PARTITION BY model, failed ORDER BY event_id) j FROM ev), r AS (SELECT model, i-j g, count(*) n, min(i) f FROM o WHERE failed GROUP BY ALL) SELECT m.model, coalesce(max(n),0) AS longest, CAST(min(CASE WHEN n>=10 THEN f+9 END) AS INT) AS abort_at, count(*) FILTER (n>=10)>0 AS aborted FROM (SELECT DISTINCT model FROM ev) m LEFT JOIN r USING (model) GROUP BY 1")
 def _(s, d):
     return SC.failure_streaks(V.eval_results(s, d), "model", "event_id")
 

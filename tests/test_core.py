@@ -216,6 +216,38 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {(r["model"], r["subpopulation"], r["n"], r["accuracy"]) for r in passed.collect()} == {(r["model"], r["subpopulation"], r["n"], r["accuracy"]) for r in live.collect()}
 
 
+def test_live_runs_equal_the_batch_operators(spark, tmp_path):
+    """Runs in three lots with streaks across lots; each lot is a stream of its own on the same state."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(900):
+        m = f"m{i % 3}"
+        failed = (m == "m0" and 280 < i < 320) or (m == "m1" and i > 850) or rng.random() < 0.1
+        rows.append((i, m, 10**6 * (i // 5), None if rng.random() < 0.1 else rng.random() < 0.5, None if failed else rng.random(), rng.random(), failed))
+    df = spark.createDataFrame(rows, monitor.RUN_RESULT)
+    out, state = f"{tmp_path}/out", f"{tmp_path}/state"
+    for a, b in ((0, 300), (300, 311), (311, 900)):
+        df.where(f"event_id >= {a} and event_id < {b}").write.mode("append").parquet(f"{tmp_path}/in")
+        monitor.start_runs(monitor.live_runs(spark, f"{tmp_path}/in", planned=400), out, state).awaitTermination(120)
+    fix = lambda rows: Counter(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in rows)
+    means = monitor.run_events(spark, out, "means").select("model", "i", "accuracy", "cross_entropy", "kl_divergence").collect()
+    assert fix(means) == fix(SC.running_metrics(df, "model", "event_id").collect()) and len(means) == 9
+    runs = monitor.run_events(spark, out, "run").select("model", "longest", "abort_at", "aborted").collect()
+    assert fix(runs) == fix(SC.failure_streaks(df, "model", "event_id").collect()) and {r["model"] for r in runs if r["aborted"]} == {"m0", "m1"}
+    speed = monitor.run_events(spark, out, "speed").collect()
+    assert fix((r["model"], r["i"], r["rate"]) for r in speed) == fix((r["model"], r["i"], r["rate"]) for r in SC.throughput(df, "model", "event_id", "at").collect())
+    assert all(r["eta"] == (400 - r["i"]) / r["rate"] for r in speed if r["rate"])
+
+
+def test_summary_keeps_the_newest_row_of_each_key(spark, tmp_path):
+    rows = [(i, None if i % 4 == 3 else f"m{i % 4}", "s", True, 1.0, 1.0, False) for i in range(80)]
+    df = spark.createDataFrame(rows, monitor.RESULT)
+    for some in ("event_id < 20", "event_id >= 20 and event_id % 4 in (0, 3)", "event_id >= 20 and event_id % 4 in (1, 2)"):
+        df.where(some).write.mode("append").parquet(f"{tmp_path}/in")
+        monitor.start(monitor.live_summary(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(60)
+    assert {r["model"]: r["n"] for r in monitor.newest(spark, f"{tmp_path}/out").collect()} == {"m0": 20, "m1": 20, "m2": 20, None: 20}
+
+
 def test_entry_runs(spark):
     import __spark_entry__
 
