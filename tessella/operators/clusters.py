@@ -9,13 +9,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.shared import discard, stored
-from tessella.functions.text import inverse_cdf, keyed_uniform
+from tessella.functions.shared import stored
 from tessella.operators import statistics as ST
+from tessella.operators.arrays import lists, tree_sum, uniform
 
 #: Level of a missing answer where missing is a level of its own.
 MISSING = -5.0
@@ -28,31 +28,80 @@ def _levels(responses: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ K-Modes
 
 
-def _costs(rows: DataFrame, modes: DataFrame) -> DataFrame:
-    m = modes.select("column_name", "label", F.col("code").alias("mode"))
-    return rows.join(m, "column_name").groupBy("respondent_id", "label").agg(F.count_if(F.col("code") != F.col("mode")).alias("cost"))
+def _answers(responses: DataFrame) -> tuple[DataFrame, list[tuple[str, float]], np.ndarray, np.ndarray, list[str]]:
+    """(stored (respondent_id, at), levels, their counts, their questions' places, questions): answers as places of levels, by question.
 
+    Levels and their counts reach the driver, respondents do not. A question that a respondent has
+    no row for counts as missing.
+    """
+    rows = _levels(responses)
+    ones = rows.groupBy("column_name", "code").agg(F.count(F.lit(1)).alias("n")).orderBy("column_name", "code").toArrow().to_pylist()
+    names = sorted({r["column_name"] for r in ones})
+    n = rows.select("respondent_id").distinct().count()
+    counts = {(r["column_name"], r["code"]): r["n"] for r in ones}
+    for c in names:  # respondents without a row
+        if short := n - sum(k for (name, _), k in counts.items() if name == c):
+            counts[(c, MISSING)] = counts.get((c, MISSING), 0) + max(short, 0)
+    levels = sorted(x for x, k in counts.items() if k > 0)
+    number = {x: i for i, x in enumerate(levels)}
+    column = np.array([names.index(c) for c, _ in levels], int)
+    spark, kind = responses.sparkSession, rows.schema["code"].dataType.simpleString()
+    places = spark.createDataFrame([(*x, i, names.index(x[0])) for x, i in number.items()], f"column_name string, code {kind}, _at int, _q int")
+    filled = [number.get((c, MISSING), -1) for c in names]
+    marks = F.map_from_entries(F.collect_list(F.struct("_q", "_at")))
+    whole = F.transform(F.array(*[F.lit(x) for x in filled]), lambda x, i: F.coalesce(F.element_at("m", i), x)) if names else F.array().cast("array<int>")
+    people = rows.join(F.broadcast(places), ["column_name", "code"]).groupBy("respondent_id").agg(marks.alias("m")).select("respondent_id", whole.alias("at"))
+    return stored(people, "answers"), levels, np.array([counts[x] for x in levels], float), column, names
+
+
+def _mismatches(at: np.ndarray, modes: np.ndarray) -> np.ndarray:
+    """(row, start, label): answers that differ from the mode."""
+    out = np.zeros((len(at), *modes.shape[:2]), np.int32)
+    for q in range(at.shape[1]):
+        out += at[:, q, None, None] != modes[None, :, :, q]
+    return out
 
-def _nearest_modes(rows: DataFrame, modes: DataFrame) -> DataFrame:
-    """(respondent_id, label, cost): fewest mismatches, smallest label on ties."""
-    return _costs(rows, modes).groupBy("respondent_id").agg(F.min(F.struct("cost", "label")).alias("best")).select("respondent_id", "best.label", "best.cost")
 
+def _first_modes(people: DataFrame, counts: np.ndarray, column: np.ndarray, questions: int, k: int, starts: int, seed: int) -> np.ndarray:
+    """(start, label, question): codes drawn by how often they occur, then the respondent nearest to each such mode, no respondent twice.
 
-def _first_modes(rows: DataFrame, levels: DataFrame, k: int, seed: int) -> DataFrame:
-    """(column_name, label, code): codes drawn by how often they occur, then the respondent nearest to each such mode, no respondent twice."""
-    codes, chances = F.transform("l", lambda x: x["code"]), F.transform("l", lambda x: x["p"])
-    drawn = levels.select("column_name", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("label"), "l")
-    drawn = stored(drawn.select("column_name", "label", F.get(codes, inverse_cdf(chances, keyed_uniform(F.col("column_name"), F.col("label"), seed=seed))).alias("code")))
-    costs = stored(_costs(rows, drawn))
-    taken: dict[int, object] = {}
-    for label in range(k):
-        near = costs.where(F.col("label") == label).orderBy("cost", "respondent_id").limit(k).collect()
-        taken[label] = next((r["respondent_id"] for r in near if r["respondent_id"] not in taken.values()), None)
-    label = F.lit(None).cast("int")
-    for c, who in taken.items():
-        label = label if who is None else F.when(F.col("respondent_id") == F.lit(who), c).otherwise(label)
-    modes = stored(rows.select("column_name", label.alias("label"), "code").where("label is not null"))
-    discard(drawn, costs)
+    All starts take one pass: each task tells the k nearest respondents of each mode.
+    """
+    drawn = np.zeros((starts, k, questions), np.int64)
+    for s in range(starts):
+        rng = np.random.default_rng([seed, s])
+        for q in range(questions):
+            own = np.flatnonzero(column == q)
+            drawn[s, :, q] = rng.choice(own, k, p=counts[own] / counts[own].sum())
+
+    def near(batches):
+        found = {}
+        for b in batches:
+            at, who = lists(b.column(1)), b.column(0).to_pylist()
+            if not who:
+                continue
+            cost = _mismatches(at, drawn)
+            for s in range(starts):
+                for c in range(k):
+                    for i in np.argsort(cost[:, s, c], kind="stable")[:k] if len(who) > 4 * k else range(len(who)):
+                        found.setdefault((s, c), []).append((int(cost[i, s, c]), who[i], at[i].tolist()))
+                    found[s, c] = sorted(found[s, c])[:k]
+        rows = [(s, c, *x) for (s, c), xs in found.items() for x in xs]
+        cols = list(zip(*rows)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], kind), pa.array(cols[4], pa.list_(pa.int32()))], ["start", "label", "cost", "who", "at"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(people.schema["respondent_id"].dataType)
+    near_rows = people.mapInArrow(near, f"start int, label int, cost long, who {people.schema['respondent_id'].dataType.simpleString()}, at array<int>")
+    place = F.row_number().over(Window.partitionBy("start", "label").orderBy("cost", "who"))
+    modes, taken = drawn.copy(), {s: set() for s in range(starts)}
+    for r in near_rows.withColumn("r", place).where(F.col("r") <= k).orderBy("start", "label", "r").collect():
+        key = (r["start"], r["label"])
+        if key not in taken and r["who"] not in taken[r["start"]]:
+            modes[key] = r["at"]
+            taken[r["start"]].add(r["who"])
+            taken[key] = True
     return modes
 
 
@@ -60,26 +109,57 @@ def k_modes(responses: DataFrame, k: int, starts: int = 10, rounds: int = 20, se
     """(respondent_id, label, cost) of the cheapest of several starts; missing is a level of its own.
 
     A start draws a mode for each cluster by the frequencies of the codes and takes the respondents
-    nearest to these. A round assigns everyone to the mode with the fewest mismatches, then takes
-    each cluster's commonest code (smallest on ties); it stops when the total cost no longer falls.
+    nearest to these. A round assigns everyone to the mode with the fewest mismatches (smallest label
+    on ties), then takes each cluster's commonest code (smallest on ties; a cluster without members
+    keeps its mode). A start stops when its cost no longer falls. All starts share each pass: counts
+    of starts x clusters x levels are made in the tasks and added in a tree.
     """
-    rows = stored(_levels(responses))
-    counts = rows.groupBy("column_name", "code").agg(F.count(F.lit(1)).alias("n")).withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("column_name")))
-    levels = stored(counts.groupBy("column_name").agg(F.sort_array(F.collect_list(F.struct("code", "p"))).alias("l")))
-    best, least, found = None, math.inf, None
-    for start in range(starts):
-        modes, last = _first_modes(rows, levels, k, seed * 1000 + start), math.inf
-        for _ in range(rounds):
-            found = stored(_nearest_modes(rows, modes))
-            cost = found.agg(F.sum("cost")).first()[0] or 0
-            if cost < least:
-                best, least = found, cost
-            if cost >= last:
-                break
-            last = cost
-            counts = rows.join(found.select("respondent_id", "label"), "respondent_id").groupBy("label", "column_name", "code").agg(F.count(F.lit(1)).alias("n"))
-            modes = stored(counts.groupBy("column_name", "label").agg(F.max_by("code", F.struct("n", -F.col("code"))).alias("code")))
-    return best if best is not None else found
+    people, levels, counts, column, names = _answers(responses)
+    kind = people.schema["respondent_id"].dataType.simpleString()
+    if not levels:
+        return responses.sparkSession.createDataFrame([], f"respondent_id {kind}, label int, cost int")
+    modes = _first_modes(people, counts, column, len(names), k, starts, seed)
+    least, best = np.full(starts, np.inf), modes.copy()
+    last, going = least.copy(), np.ones(starts, bool)
+    size, m = len(levels), len(names)
+    for _ in range(rounds):
+
+        def count(batches, modes=modes, going=np.flatnonzero(going)):
+            total, cost = np.zeros((len(going), k, size)), np.zeros(len(going))
+            for b in batches:
+                at = lists(b.column(1))
+                if not len(at):
+                    continue
+                away = _mismatches(at, modes[going])
+                label = away.argmin(2)
+                cost += np.take_along_axis(away, label[:, :, None], 2)[:, :, 0].sum(0)
+                for s in range(len(going)):
+                    spots = label[:, s, None] * size + at
+                    total[s] += np.bincount(spots.ravel(), minlength=k * size).reshape(k, size)
+            yield 0, np.concatenate([cost, total.ravel()])
+
+        found = tree_sum(people, count)[0]
+        on = np.flatnonzero(going)
+        cost, total = found[: len(on)], found[len(on) :].reshape(len(on), k, size)
+        better = cost < least[on]
+        best[on[better]], least[on[better]] = modes[on[better]], cost[better]
+        going[on] = cost < last[on]
+        last[on] = cost
+        if not going.any():
+            break
+        for s, t in zip(on, total):
+            for q in range(m):
+                own = np.flatnonzero(column == q)
+                some = t[:, own].sum(1) > 0
+                modes[s, some, q] = own[t[some][:, own].argmax(1)]
+    chosen = best[int(np.argmin(least))][None]
+
+    def assign(batches):
+        for b in batches:
+            away = _mismatches(lists(b.column(1)), chosen)[:, 0] if b.num_rows else np.zeros((0, k), np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(away.argmin(1).astype(np.int32)), pa.array(away.min(1, initial=2**31 - 1).astype(np.int32))], ["respondent_id", "label", "cost"])
+
+    return people.mapInArrow(assign, f"respondent_id {kind}, label int, cost int")
 
 
 # ------------------------------------------------------------------ levels against levels
@@ -155,57 +235,194 @@ def one_hot_components(responses: DataFrame, k: int = 5) -> tuple[DataFrame, lis
 # ------------------------------------------------------------------ vectors: (id, features array<double>)
 
 
-def k_means_labels(vectors: DataFrame, k: int, seed: int = 1, bisecting: bool = False) -> DataFrame:
-    """(id, label) by K-Means, or divisively by bisecting K-Means in place of Ward linkage."""
-    from pyspark.ml.clustering import BisectingKMeans, KMeans
-    from pyspark.ml.functions import array_to_vector
+def _batch(b: pa.RecordBatch, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and features, moved by the mean of all so that squares keep their digits."""
+    x = lists(b.column(1)).astype(float) if b.num_rows else np.zeros((0, len(shift)))
+    return b.column(0).to_numpy(zero_copy_only=False), x - shift
+
+
+def _middle(vectors: DataFrame) -> np.ndarray:
+    """Mean of all features; empty without rows."""
+
+    def sums(batches):
+        total = None
+        for b in batches:
+            if b.num_rows:
+                x = lists(b.column(1)).astype(float)
+                total = (0 if total is None else total) + np.append(x.sum(0), len(x))
+        if total is not None:
+            yield 0, total
+
+    found = tree_sum(vectors, sums).get(0)
+    return np.zeros(0) if found is None else found[:-1] / found[-1]
 
-    v = vectors.select("id", array_to_vector("features").alias("features"))
-    model = (BisectingKMeans if bisecting else KMeans)(k=k, seed=seed, maxIter=20).fit(v)
-    return model.transform(v).select("id", F.col("prediction").alias("label"))
 
+def _gaps(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """(row, start, label): squared distances to centres (start, label, dimension)."""
+    flat = centres.reshape(-1, centres.shape[-1])
+    gaps = (x**2).sum(1)[:, None] - 2 * x @ flat.T + (flat**2).sum(1)[None]
+    return np.maximum(gaps, 0).reshape(len(x), *centres.shape[:2])
 
-def _moments(labelled: DataFrame) -> list[tuple[int, int, float, float, float]]:
-    """(label, d, weight, mean, variance) from (features, label, w); labels times dimensions rows."""
-    rows = labelled.select("label", "w", F.posexplode("features").alias("d", "x")).groupBy("label", "d")
-    w, x = F.col("w"), F.col("x")
-    sums = rows.agg(F.sum(w).alias("n"), F.sum(w * x).alias("sx"), F.sum(w * x * x).alias("sxx"))
-    mean = F.col("sx") / F.col("n")
-    return [tuple(r) for r in sums.select("label", "d", "n", mean, F.greatest(F.col("sxx") / F.col("n") - mean * mean, F.lit(0.0)) + 1e-6).collect()]
 
+def k_means_starts(vectors: DataFrame, k: int, starts: int = 10, rounds: int = 300, tolerance: float = 1e-4, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centres by start, costs by start, mean of all) of K-Means from several starts, all in the same passes; centres are less the mean.
 
-def diagonal_mixture(vectors: DataFrame, k: int, rounds: int = 30, tolerance: float = 1e-4, seed: int = 1) -> tuple[DataFrame, float, float]:
-    """Gaussian mixture with diagonal covariances: (id, label), log-likelihood and BIC.
+    vectors: (id, features). A first centre is drawn, each further one in proportion to the squared
+    distance from those before: every task offers its best draw, keyed by id, start and turn, and the
+    best of all is taken. Rounds are Lloyd's; a start ends when its centres' squared moves sum to
+    tolerance times the mean variance at most. A cluster without members keeps its centre.
+    """
+    shift = _middle(vectors)
+    if not len(shift):
+        return np.zeros((0, k, 0)), np.zeros(0), shift
+    dim = len(shift)
+    centres = np.zeros((starts, k, dim))
+    for turn in range(k):
+
+        def offer(batches, centres=centres, turn=turn):
+            best = np.full((starts, dim + 1), -np.inf)
+            for b in batches:
+                ids, x = _batch(b, shift)
+                if not len(x):
+                    continue
+                away = _gaps(x, centres[:, :turn]).min(2) if turn else np.ones((len(x), starts))
+                for s in range(starts):
+                    # the largest of log(weight) + Gumbel noise is a draw in proportion to the weights
+                    with np.errstate(divide="ignore"):
+                        worth = np.log(away[:, s]) - np.log(-np.log(uniform(ids, seed, s, turn)))
+                    i = int(worth.argmax())
+                    if worth[i] > best[s, 0] or not np.isfinite(best[s, 1:]).all():
+                        best[s] = np.append(worth[i], x[i])
+            yield pa.RecordBatch.from_arrays([pa.array([best.tobytes()], pa.binary())], ["x"])
+
+        offers = np.stack([np.frombuffer(r["x"]).reshape(starts, dim + 1) for r in vectors.mapInArrow(offer, "x binary").collect()])
+        offers[:, :, 0] = np.where(np.isfinite(offers[:, :, 1]), offers[:, :, 0], -np.inf)
+        for s in range(starts):
+            real = np.flatnonzero(np.isfinite(offers[:, s, 1]))
+            centres[s, turn] = offers[real[offers[real, s, 0].argmax()], s, 1:]
+    going, cost, spread = np.ones(starts, bool), np.full(starts, np.inf), None
+    for _ in range(rounds):
+        on = np.flatnonzero(going)
+
+        def sums(batches, at=centres[on]):
+            size, total, cost, squares = np.zeros((len(at), k)), np.zeros((len(at), k, dim)), np.zeros(len(at)), np.zeros(1)
+            n = np.zeros(1)
+            for b in batches:
+                _, x = _batch(b, shift)
+                gaps = _gaps(x, at)
+                label = gaps.argmin(2)
+                cost += gaps.min(2).sum(0)
+                squares += (x**2).sum()
+                n += len(x)
+                for s in range(len(at)):
+                    size[s] += np.bincount(label[:, s], minlength=k)
+                    np.add.at(total[s], label[:, s], x)
+            yield 0, np.concatenate([n, squares, cost, size.ravel(), total.ravel()])
+
+        found = tree_sum(vectors, sums)[0]
+        spread = found[1] / found[0] / dim
+        cost[on] = found[2 : 2 + len(on)]
+        size = found[2 + len(on) : 2 + len(on) * (1 + k)].reshape(len(on), k)
+        total = found[2 + len(on) * (1 + k) :].reshape(len(on), k, dim)
+        moved = np.where(size[:, :, None] > 0, total / np.maximum(size, 1)[:, :, None], centres[on])
+        step = ((moved - centres[on]) ** 2).sum((1, 2))
+        centres[on] = moved
+        going[on] = step > tolerance * spread
+        if not going.any():
+            break
+    return centres, cost, shift
+
+
+def _nearest(vectors: DataFrame, centres: np.ndarray, shift: np.ndarray) -> DataFrame:
+    def assign(batches):
+        for b in batches:
+            _, x = _batch(b, shift)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_gaps(x, centres[None])[:, 0].argmin(1).astype(np.int32))], ["id", "label"])
+
+    return vectors.mapInArrow(assign, f"id {vectors.schema['id'].dataType.simpleString()}, label int")
 
-    Starts from K-Means. Each round computes memberships in Arrow batches next to the data and sums
-    moments by label and dimension; variances have a floor of 1e-6.
+
+def k_means_labels(vectors: DataFrame, k: int, seed: int = 1, bisecting: bool = False, starts: int = 10) -> DataFrame:
+    """(id, label) by K-Means, the cheapest of several starts (the first of equals), or divisively by bisecting K-Means."""
+    if bisecting:
+        from pyspark.ml.clustering import BisectingKMeans
+        from pyspark.ml.functions import array_to_vector
+
+        v = vectors.select("id", array_to_vector("features").alias("features"))
+        return BisectingKMeans(k=k, seed=seed, maxIter=20).fit(v).transform(v).select("id", F.col("prediction").alias("label"))
+    rows = stored(vectors.select("id", "features"), "vectors")
+    centres, cost, shift = k_means_starts(rows, k, starts, seed=seed)
+    return _nearest(rows, centres[int(np.argmin(cost))] if len(cost) else np.zeros((k, 0)), shift)
+
+
+def diagonal_mixture(vectors: DataFrame, k: int, rounds: int = 100, tolerance: float = 1e-6, seed: int = 1, starts: int = 10) -> tuple[DataFrame, float, float]:
+    """Gaussian mixture with diagonal covariances: (id, label), log-likelihood and BIC of the likeliest of several starts.
+
+    Each start begins from its own K-Means. A round is one pass for all starts: memberships and
+    their moments are made next to the data and added in a tree, around each component's mean of the
+    round before, so that variances keep their digits; they have a floor of 1e-6. A start ends when
+    its log-likelihood gains less than tolerance of itself.
     """
-    start = vectors.join(k_means_labels(vectors, k, seed), "id").withColumn("w", F.lit(1.0))
-    rows, last = _moments(start), -math.inf
-    while True:
-        dim = max(r[1] for r in rows) + 1
-        size, mean, var = np.full(k, 1e-12), np.zeros((k, dim)), np.ones((k, dim))
-        for c, d, n, m, v in rows:
-            size[c], mean[c, d], var[c, d] = max(n, 1e-12), m, v
-        prior = np.log(size / size.sum())
-
-        def member(batches, mean=mean, var=var, prior=prior):
+    rows = stored(vectors.select("id", "features"), "vectors")
+    centres, _, shift = k_means_starts(rows, k, starts, seed=seed)
+    dim = len(shift)
+    if not dim:
+        return rows.select("id", F.lit(0).alias("label")), 0.0, 0.0
+    mean, var, prior = centres.copy(), np.ones((starts, k, dim)), np.full((starts, k), 1 / k)
+
+    def logs(x: np.ndarray, m: np.ndarray, v: np.ndarray, p: np.ndarray) -> np.ndarray:
+        return np.log(p) - 0.5 * (np.log(2 * np.pi * v).sum(1) + np.stack([((x - m[c]) ** 2 / v[c]).sum(1) for c in range(k)], 1))
+
+    last, loglik, going, n = np.full(starts, -np.inf), np.full(starts, -np.inf), np.ones(starts, bool), 0
+    best = [None] * starts
+    for turn in range(rounds + 1):
+        on = np.flatnonzero(going)
+
+        def sums(batches, mean=mean, var=var, prior=prior, hard=turn == 0):
+            out = {int(s): np.zeros(2 + k + 2 * k * dim) for s in on}
             for b in batches:
-                x = np.stack(b["features"].to_numpy()) if len(b) else np.zeros((0, mean.shape[1]))
-                logs = np.stack([prior[c] - 0.5 * (np.log(2 * np.pi * var[c]) + (x - mean[c]) ** 2 / var[c]).sum(1) for c in range(len(prior))], 1)
-                top = logs.max(1, keepdims=True)
-                lse = top[:, 0] + np.log(np.exp(logs - top).sum(1))
-                yield pd.DataFrame({"id": b["id"], "features": b["features"], "probs": list(np.exp(logs - lse[:, None])), "loglik": lse})
-
-        post = stored(vectors.mapInPandas(member, "id long, features array<double>, probs array<double>, loglik double"))
-        loglik = post.agg(F.sum("loglik")).first()[0]
-        rounds -= 1
-        if rounds <= 0 or loglik - last <= tolerance * max(1.0, abs(loglik)):
+                _, x = _batch(b, shift)
+                for s, o in out.items():
+                    o[0] += len(x)
+                    if hard:
+                        p = np.eye(k)[_gaps(x, mean[s][None])[:, 0].argmin(1)]
+                    else:
+                        joint = logs(x, mean[s], var[s], prior[s])
+                        top = joint.max(1, keepdims=True)
+                        lse = top[:, 0] + np.log(np.exp(joint - top).sum(1))
+                        o[1] += lse.sum()
+                        p = np.exp(joint - lse[:, None])
+                    o[2 : 2 + k] += p.sum(0)
+                    for c in range(k):
+                        away, at = x - mean[s, c], 2 + k + 2 * c * dim
+                        o[at : at + dim] += p[:, c] @ away
+                        o[at + dim : at + 2 * dim] += p[:, c] @ away**2
+            yield from out.items()
+
+        found = tree_sum(rows, sums)
+        for s in on:
+            o = found[int(s)]
+            n, now = o[0], o[1]
+            if turn:
+                if now > loglik[s]:
+                    loglik[s], best[s] = now, (mean[s].copy(), var[s].copy(), prior[s].copy())
+                going[s] = now - last[s] > tolerance * max(1.0, abs(now))
+                last[s] = now
+            size = np.maximum(o[2 : 2 + k], 1e-12)
+            first, second = o[2 + k :].reshape(k, 2, dim).transpose(1, 0, 2) / size[:, None]
+            mean[s], var[s], prior[s] = mean[s] + first, np.maximum(second - first**2, 0) + 1e-6, size / size.sum()
+        if not going.any():
             break
-        last = loglik
-        rows = _moments(post.select("features", F.posexplode("probs").alias("label", "w")))
-    labels = post.select("id", (F.array_position("probs", F.array_max("probs")) - 1).cast("int").alias("label"))
-    return labels, loglik, (k - 1 + 2 * k * dim) * math.log(post.count()) - 2 * loglik
+    chosen = int(np.argmax(loglik))
+    m, v, p = best[chosen]
+
+    def assign(batches):
+        for b in batches:
+            _, x = _batch(b, shift)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(logs(x, m, v, p).argmax(1).astype(np.int32))], ["id", "label"])
+
+    labels = rows.mapInArrow(assign, f"id {rows.schema['id'].dataType.simpleString()}, label int")
+    return labels, float(loglik[chosen]), (k - 1 + 2 * k * dim) * math.log(n) - 2 * float(loglik[chosen])
 
 
 def silhouette(labelled: DataFrame) -> float | None:

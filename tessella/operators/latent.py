@@ -5,13 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions.shared import discard, stored
 from tessella.functions.text import inverse_cdf, keyed_uniform
+from tessella.operators.arrays import lists, tree_sum
 from tessella.operators.running import exact_percentiles
 from tessella.operators.statistics import adjusted_rand
 
@@ -37,50 +37,59 @@ def posteriors(responses: DataFrame, parameters: DataFrame, priors: DataFrame, b
     return top.withColumn("loglik", lse).select(*who, "class", F.exp(F.col("s") - F.col("loglik")).alias("p"), "loglik")
 
 
-def _round(keys: list[str], levels: int, k: int, model: tuple[np.ndarray, np.ndarray] | None):
-    """A partition's sums per fit: class-major weights of the levels, sizes of the classes, log-likelihood.
+def _round(keys: list[str], levels: int, k: int, starts: int, model: tuple[np.ndarray, np.ndarray] | None, going: np.ndarray):
+    """A partition's sums per fit and start: class-major weights of the levels, sizes of the classes, log-likelihood.
 
-    model: log-probabilities (fit, level, class) and log-priors (fit, class); without one the
-    memberships are those to start from.
+    model: log-probabilities (fit and start, level, class) and log-priors (fit and start, class);
+    without one the memberships are those to start from. Only those that are going are made.
     """
     number = {f: i for i, f in enumerate(keys)}
 
     def sums(batches):
-        total, met = np.zeros((len(keys), k * levels + k + 1)), np.zeros(len(keys), bool)
+        total, met = np.zeros((len(keys) * starts, k * levels + k + 1)), np.zeros(len(keys) * starts, bool)
         for b in batches:
-            n = len(b)
-            if not n:
+            if not b.num_rows:
                 continue
-            fit, w = b["_fit"].map(number).to_numpy(), b["_w"].to_numpy()
-            at = np.concatenate(b["_at"].to_numpy()).astype(np.int64)
-            row = np.repeat(np.arange(n), b["_at"].map(len).to_numpy())
-            if model is None:
-                p, loglik = np.stack(b["_start"].to_numpy()), np.zeros(n)
-            else:
-                terms = model[0][fit[row], at]
-                joint = model[1][fit] + np.stack([np.bincount(row, terms[:, c], n) for c in range(k)], 1)
-                top = joint.max(1, keepdims=True)
-                loglik = top[:, 0] + np.log(np.exp(joint - top).sum(1))
-                p = np.exp(joint - loglik[:, None])
-            p = p * w[:, None]
-            for c in range(k):
-                total[:, c * levels : (c + 1) * levels] += np.bincount(fit[row] * levels + at, p[row, c], len(keys) * levels).reshape(len(keys), levels)
-                total[:, k * levels + c] += np.bincount(fit, p[:, c], len(keys))
-            total[:, -1] += np.bincount(fit, loglik * w, len(keys))
-            met[fit] = True
-        yield pd.DataFrame({"fit": np.flatnonzero(met).astype(np.int32), "sums": list(total[met])})
+            names = b.column(0).dictionary_encode()
+            every = np.array([number[x] for x in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()]
+            held = np.diff(b.column(1).offsets.to_numpy())
+            answers, weight = b.column(1).flatten().to_numpy().astype(np.int64), b.column(2).to_numpy()
+            first = lists(b.column(3)).reshape(b.num_rows, starts, k) if model is None else None
+            for s in range(starts):
+                on = going[every * starts + s]
+                if not on.any():
+                    continue
+                fit, w, at = every[on] * starts + s, weight[on], answers[np.repeat(on, held)]
+                n, row = len(fit), np.repeat(np.arange(len(fit)), held[on])
+                if model is None:
+                    p, loglik = first[on, s], np.zeros(n)
+                else:
+                    terms = model[0][fit[row], at]
+                    joint = model[1][fit] + np.stack([np.bincount(row, terms[:, c], n) for c in range(k)], 1)
+                    top = joint.max(1, keepdims=True)
+                    loglik = top[:, 0] + np.log(np.exp(joint - top).sum(1))
+                    p = np.exp(joint - loglik[:, None])
+                p = p * w[:, None]
+                for c in range(k):
+                    total[:, c * levels : (c + 1) * levels] += np.bincount(fit[row] * levels + at, p[row, c], len(total) * levels).reshape(len(total), levels)
+                    total[:, k * levels + c] += np.bincount(fit, p[:, c], len(total))
+                total[:, -1] += np.bincount(fit, loglik * w, len(total))
+                met[fit] = True
+        for f in np.flatnonzero(met):
+            yield int(f), total[f]
 
     return sums
 
 
-def fit_many(responses: DataFrame, k: int, by: tuple[str, ...] = (), weight: Column | None = None, rounds: int = 250, tolerance: float = 1e-6, seed: int = 1):
-    """(parameters, priors, logliks) of one fit per value of `by`, all in the same jobs.
+def fit_many(responses: DataFrame, k: int, by: tuple[str, ...] = (), weight: Column | None = None, rounds: int = 250, tolerance: float = 1e-6, seed: int = 1, starts: int = 1):
+    """(parameters, priors, logliks) of one fit per value of `by`, the likeliest of several starts (the first of equals), all in the same jobs.
 
     Each respondent's answers are brought together once, as places of levels, and written to the
-    shared folder. A round is then one pass over that table without a join: memberships and their
-    sums are made in Arrow batches next to the data, partitions' sums are added by Spark, and fits
-    times classes times levels numbers reach the driver, never a respondent. Each fit starts from
-    keyed random memberships, the same for the same rows and seed. Of three rounds two are plain
+    shared folder. A round is then one pass over that table without a join, for all fits and starts:
+    memberships and their sums are made in Arrow batches next to the data, partitions' sums are added
+    in a tree as arrays, and fits times starts times classes times levels numbers reach the driver,
+    never a respondent. Each start has keyed random memberships, the same for the same rows and seed.
+    Of three rounds two are plain
     steps and one is taken from a squared extrapolation of both; where that is less likely than the
     plain steps, these stand. A fit ends once a plain step gains less than tolerance of its
     log-likelihood, or after rounds passes with the likeliest model met; only the others' respondents
@@ -93,14 +102,16 @@ def fit_many(responses: DataFrame, k: int, by: tuple[str, ...] = (), weight: Col
     kinds = responses.select(*by, "column_name", "code").schema
     schema = T.StructType([*[kinds[c] for c in by], T.StructField("class", T.IntegerType()), kinds["column_name"], kinds["code"], T.StructField("logp", T.DoubleType())])
     places = spark.createDataFrame([(*x, i) for i, x in enumerate(levels)], T.StructType([kinds["column_name"], kinds["code"], T.StructField("_at", T.IntegerType())]))
-    digest = [F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in who], F.lit(str(c)))) for c in range(k)]
-    draws = [F.conv(F.substring(x, 1, 8), 16, 10).cast("double") / 2**32 + 0.1 for x in digest]
+    which = lambda x: [F.lit(str(x + 1))] if starts > 1 else []
+    digest = lambda x, c: F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(y).cast("string") for y in by], *which(x), F.col("respondent_id").cast("string"), F.lit(str(c))))
+    draws = [[F.conv(F.substring(digest(x, c), 1, 8), 16, 10).cast("double") / 2**32 + 0.1 for c in range(k)] for x in range(starts)]
+    begin = F.array(*[v / sum(u[1:], u[0]) for u in draws for v in u])
     people = rows.join(places, ["column_name", "code"], "left").groupBy(*who).agg(F.collect_list("_at").alias("_at"))
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in by]) if by else F.lit("")
     one = (weight if weight is not None else F.lit(1.0)).cast("double")
-    people = stored(people.select(*by, key.alias("_fit"), "_at", one.alias("_w"), F.transform(F.array(*draws), lambda u: u / sum(draws[1:], draws[0])).alias("_start")), "people")
+    people = stored(people.select(*by, key.alias("_fit"), "_at", one.alias("_w"), begin.alias("_start")), "people")
     fits = [tuple(r) for r in people.select("_fit", *by).distinct().orderBy("_fit").collect()]
-    n, m = len(fits), len(levels)
+    n, m = len(fits) * starts, len(levels)
     names = sorted({c for c, _ in levels})
     column = np.array([names.index(c) for c, _ in levels], int)
     cut = k * m
@@ -113,16 +124,17 @@ def fit_many(responses: DataFrame, k: int, by: tuple[str, ...] = (), weight: Col
         return np.hstack([p.reshape(n, cut), np.maximum(sizes / np.maximum(sizes.sum(1, keepdims=True), 1e-300), 1e-12)])
 
     def split(model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return model[:, :cut].reshape(n, m, k), model[:, cut:]
+        return model[:, :cut].reshape(len(model), m, k), model[:, cut:]
 
     model, best, logliks, going = None, np.ones((n, cut + k)), np.full(n, -np.inf), np.ones(n, bool)
     seen, reach = np.zeros((n, m), bool), np.full(n, 4.0)
     for turn in range(rounds + 1 if fits else 0):
-        some = people if going.all() else people.where(F.col("_fit").isin([f[0] for f, g in zip(fits, going) if g]))
-        parts = some.drop(*by).mapInPandas(_round([f[0] for f in fits], m, k, None if model is None else split(np.log(model))), "fit int, sums array<double>")
-        added = parts.select("fit", F.posexplode("sums").alias("at", "x")).groupBy("fit", "at").agg(F.sum("x").alias("x")).toArrow()
+        live = going.reshape(-1, starts).any(1)
+        some = people if live.all() else people.where(F.col("_fit").isin([f[0] for f, g in zip(fits, live) if g]))
+        added = tree_sum(some.select("_fit", "_at", "_w", "_start"), _round([f[0] for f in fits], m, k, starts, None if model is None else split(np.log(model)), going))
         sums = np.zeros((n, cut + k + 1))
-        sums[added["fit"].to_numpy(), added["at"].to_numpy()] = added["x"].to_numpy()
+        for f, x in added.items():
+            sums[f] = x
         weights, now = sums[:, :cut].reshape(n, k, m).transpose(0, 2, 1), sums[:, -1]
         if model is None:
             seen = weights.sum(2) > 0
@@ -147,7 +159,9 @@ def fit_many(responses: DataFrame, k: int, by: tuple[str, ...] = (), weight: Col
             worse = now < before
             reach = np.where(worse, np.maximum(reach / 4, 1.0), np.where(length == reach, reach * 4, reach))
             model = np.where(worse[:, None], plain, step)
-    logp, prior = split(np.log(best))
+    likeliest = logliks.reshape(-1, starts).argmax(1) + np.arange(len(fits)) * starts
+    logp, prior = split(np.log(best[likeliest]))
+    logliks, seen = logliks[likeliest], seen[likeliest]
     discard(people)
     parameters = [(*f[1:], c, *levels[i], float(logp[j, i, c])) for j, f in enumerate(fits) for i in range(m) if seen[j, i] for c in range(k)]
     classes = [(*f[1:], c, float(prior[j, c])) for j, f in enumerate(fits) for c in range(k)]
@@ -158,13 +172,8 @@ def fit_many(responses: DataFrame, k: int, by: tuple[str, ...] = (), weight: Col
 
 def fit_latent_classes(responses: DataFrame, k: int, rounds: int = 250, tolerance: float = 1e-6, seed: int = 1, starts: int = 1):
     """(parameters, priors, loglik) of the best of several starts; the first of equals wins."""
-    if starts == 1:
-        parameters, priors, logliks = fit_many(responses, k, rounds=rounds, tolerance=tolerance, seed=seed)
-        return parameters, priors, logliks.get((), 0.0)
-    many = responses.withColumn("start", F.explode(F.sequence(F.lit(1), F.lit(starts))))
-    parameters, priors, logliks = fit_many(many, k, ("start",), None, rounds, tolerance, seed)
-    best = min(logliks, key=lambda f: (-logliks[f], f), default=(1,))
-    return parameters.where(F.col("start") == best[0]).drop("start"), priors.where(F.col("start") == best[0]).drop("start"), logliks.get(best, 0.0)
+    parameters, priors, logliks = fit_many(responses, k, (), None, rounds, tolerance, seed, starts)
+    return parameters, priors, logliks.get((), 0.0)
 
 
 def hard_labels(post: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -194,7 +203,7 @@ def poisson_one(*keys: Column, seed: int = 1) -> Column:
     return inverse_cdf(chances, keyed_uniform(*keys, seed=seed)).cast("double")
 
 
-def bootstrap_stability(responses: DataFrame, original: DataFrame, k: int, replicates: int = 50, rounds: int = 250, seed: int = 1) -> DataFrame:
+def bootstrap_stability(responses: DataFrame, original: DataFrame, k: int, replicates: int = 50, rounds: int = 250, seed: int = 1, starts: int = 3) -> DataFrame:
     """(replicate, ari): agreement of classes refitted on resamples with the original (respondent_id, label).
 
     All replicates are fitted side by side; each then labels every respondent of the full data.
@@ -202,7 +211,7 @@ def bootstrap_stability(responses: DataFrame, original: DataFrame, k: int, repli
     by = ("replicate",)
     many = responses.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     drawn = poisson_one(F.col("replicate"), F.col("respondent_id"), seed=seed)
-    parameters, priors, _ = fit_many(many, k, by, drawn, rounds, seed=seed)
+    parameters, priors, _ = fit_many(many, k, by, drawn, rounds, seed=seed, starts=starts)
     labels = hard_labels(posteriors(many, parameters, priors, by), by)
     return adjusted_rand(labels.select(*by, "respondent_id", F.col("label").alias("y")).join(original.select("respondent_id", F.col("label").alias("x")), "respondent_id"), by)
 
@@ -219,18 +228,18 @@ def simulate(parameters: DataFrame, priors: DataFrame, respondents: DataFrame, b
     return drawn.join(codes, "class").select(*who, "column_name", F.get("l", pick)["v"].alias("code"))
 
 
-def bootstrap_ratio_test(responses: DataFrame, k: int, replicates: int = 30, rounds: int = 250, tolerance: float = 1e-6, seed: int = 1) -> dict[str, float]:
+def bootstrap_ratio_test(responses: DataFrame, k: int, replicates: int = 30, rounds: int = 250, tolerance: float = 1e-6, seed: int = 1, starts: int = 2) -> dict[str, float]:
     """Likelihood ratio of k against k + 1 classes and its p-value from responses simulated under k classes.
 
     All four kinds of fits end by the same tolerance, so that their ratios compare.
     """
     by = ("replicate",)
-    parameters, priors, few = fit_latent_classes(responses, k, rounds, tolerance, seed)
-    _, _, more = fit_latent_classes(responses, k + 1, rounds, tolerance, seed)
+    parameters, priors, few = fit_latent_classes(responses, k, rounds, tolerance, seed, starts)
+    _, _, more = fit_latent_classes(responses, k + 1, rounds, tolerance, seed, starts)
     ids = responses.select("respondent_id").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     drawn = stored(simulate(parameters, priors, ids, by, seed))
-    _, _, a = fit_many(drawn, k, by, None, rounds, tolerance, seed)
-    _, _, b = fit_many(drawn, k + 1, by, None, rounds, tolerance, seed)
+    _, _, a = fit_many(drawn, k, by, None, rounds, tolerance, seed, starts)
+    _, _, b = fit_many(drawn, k + 1, by, None, rounds, tolerance, seed, starts)
     observed = 2 * (more - few)
     return {"ratio": observed, "p": (1 + sum(2 * (b[f] - a[f]) >= observed for f in a)) / (1 + len(a))}
 

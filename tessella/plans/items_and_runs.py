@@ -256,7 +256,7 @@ def _(s, d):
 
 @query("A35_fit_table")
 def _(s, d):
-    return rounded(LA.fit_table(LA.model_selection(V.responses(s, d), starts=1)))
+    return rounded(LA.fit_table(LA.model_selection(V.responses(s, d), starts=2)))
 
 
 @query("W03_pick_order", R.WALK + "SELECT column_name, battery, v, CAST(row_number() OVER (ORDER BY rank) AS INT) AS pick, row_number() OVER (ORDER BY rank)<=2 AS held_out FROM walk JOIN rk ON rk.column_name=walk.picked")
