@@ -79,7 +79,7 @@ AT_ONCE = 32_000_000
 
 def in_portions(texts: pa.Array, most: int = AT_ONCE):
     """(first row, rows) of an Arrow batch with at most so many bytes of text each; a longer text stands alone."""
-    size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    size = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
     at = 0
     while at < len(texts):
         n = max(1, int(np.searchsorted(np.cumsum(size[at:]), most, side="right")))

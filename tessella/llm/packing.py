@@ -33,6 +33,10 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - printable))}
 
 
+#: Runs, and parts of runs, whose ids a worker keeps.
+MOST_KEPT = 150_000
+
+
 class PartIds(dict):
     """The ids that the tokenizer's model gives one part of a run, as bytes; kept for the parts seen."""
 
@@ -41,7 +45,7 @@ class PartIds(dict):
         self.model = model
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) > 400_000:
+        if len(self) > MOST_KEPT:
             self.clear()
         out = self[part] = array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
         return out
@@ -59,7 +63,7 @@ class RunIds(dict):
         self.tokenizer, self.parts, self.letters = tokenizer, PartIds(tokenizer.model), byte_letters()
 
     def __missing__(self, run: str) -> bytes:
-        if len(self) > 400_000:
+        if len(self) > MOST_KEPT:
             self.clear()
         if run.isascii() and run.isalpha() and len(run) < 200:
             out = self.parts[run.lower()]
