@@ -36,7 +36,7 @@ def tree_sum(rows: DataFrame, sums: Callable[[Iterable[pa.RecordBatch]], Iterabl
     parts = rows.mapInArrow(part, schema)
     while left > FAN:
         left = -(-left // FAN)
-        parts = parts.groupBy("key", F.floor(F.col("part") / FAN).alias("part")).applyInArrow(add, schema)
+        parts = parts.groupBy("key", F.floor(F.col("part") / FAN).alias("to")).applyInArrow(add, schema)
     for r in parts.toArrow().to_pylist():
         x = np.frombuffer(r["x"])
         out[r["key"]] = out[r["key"]] + x if r["key"] in out else x.copy()

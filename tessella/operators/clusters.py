@@ -165,71 +165,107 @@ def k_modes(responses: DataFrame, k: int, starts: int = 10, rounds: int = 20, se
 # ------------------------------------------------------------------ levels against levels
 
 
-def _burt(responses: DataFrame) -> tuple[list[tuple[str, float]], np.ndarray, int, int]:
-    """Levels, their joint counts, respondents and questions; levels squared is all that reaches the driver."""
-    rows = _levels(responses)
-    names = rows.select("column_name").distinct().withColumn("battery", F.lit(0))
-    ones = rows.groupBy("column_name", "code").agg(F.count(F.lit(1)).alias("n")).orderBy("column_name", "code").collect()
-    levels = [(r["column_name"], r["code"]) for r in ones]
-    at = {x: i for i, x in enumerate(levels)}
-    table = np.zeros((len(levels), len(levels)))
-    for i, r in enumerate(ones):
-        table[i, i] = r["n"]
-    for r in ST.pair_cells(rows, names, across_only=False).collect():
-        i, j = at[(r["a"], r["ca"])], at[(r["b"], r["cb"])]
-        table[i, j] = table[j, i] = r["n"]
-    return levels, table, rows.select("respondent_id").distinct().count(), len({c for c, _ in levels})
-
-
-def _place(responses: DataFrame, levels: list, weights: np.ndarray, shift: np.ndarray) -> DataFrame:
+#: Columns of a block that is multiplied in one pass, beyond those asked for; passes at most.
+SPARE, PASSES = 10, 30
+
+
+def _product(people: DataFrame, w: np.ndarray) -> np.ndarray:
+    """Z'Zw of the respondents' level indicators Z: each task adds its respondents' rows of Zw to their levels."""
+
+    def sums(batches):
+        total = np.zeros(w.shape)
+        for b in batches:
+            at = lists(b.column(1))
+            if len(at):
+                rows = sum(w[at[:, q]] for q in range(at.shape[1]))
+                for q in range(at.shape[1]):
+                    np.add.at(total, at[:, q], rows)
+        yield 0, total.ravel()
+
+    return tree_sum(people, sums)[0].reshape(w.shape)
+
+
+def _largest(people: DataFrame, scale: np.ndarray, factor: float, away: np.ndarray, k: int, tolerance: float = 1e-10, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest values and vectors of scale * (factor Z'Z - away away') * scale, by block Krylov steps.
+
+    A pass multiplies one block of columns; the blocks so far span the space in which the values are
+    taken, until the k largest no longer move. Levels times the block's width numbers reach the
+    driver in a pass. With fewer levels than the block is wide one pass gives all.
+    """
+    size, width = len(scale), k + SPARE
+    block = np.eye(size) if size <= width else np.linalg.qr(np.random.default_rng(seed).normal(size=(size, width)))[0]
+    basis = image = np.zeros((size, 0))
+    values = vectors = None
+    for _ in range(PASSES):
+        scaled = scale[:, None] * block
+        made = scale[:, None] * (factor * _product(people, scaled) - np.outer(away, away @ scaled))
+        basis, image = np.hstack([basis, block]), np.hstack([image, made])
+        inner = basis.T @ image
+        found, turned = np.linalg.eigh((inner + inner.T) / 2)
+        order = np.argsort(-found)[:k]
+        before, values, vectors = values, found[order], basis @ turned[:, order]
+        if basis.shape[1] >= size or before is not None and np.abs(values - before).max() <= tolerance * max(abs(values[0]), 1e-300):
+            break
+        rest = made - basis @ (basis.T @ made)
+        rest -= basis @ (basis.T @ rest)
+        u, s, _ = np.linalg.svd(rest, full_matrices=False)
+        block = u[:, s > 1e-12 * max(s[0], 1e-300)][:, : size - basis.shape[1]] if len(s) and s[0] > 1e-14 else u[:, :0]
+        if not block.shape[1]:
+            break
+    return values, vectors
+
+
+def _place(people: DataFrame, weights: np.ndarray, shift: np.ndarray) -> DataFrame:
     """(respondent_id, coordinates): the sum of the weights of a respondent's levels, less a shift."""
-    spark = responses.sparkSession
-    rows = [(c, v, d, float(weights[i, d])) for i, (c, v) in enumerate(levels) for d in range(weights.shape[1])]
-    w = spark.createDataFrame(rows, "column_name string, code double, d int, w double")
-    sums = _levels(responses).join(w, ["column_name", "code"]).groupBy("respondent_id", "d").agg(F.sum("w").alias("x"))
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda p: p["x"])
-    moved = F.zip_with(listed, F.array(*[F.lit(float(s)) for s in shift]), lambda x, s: x - s)
-    return sums.groupBy("respondent_id").agg(moved.alias("coordinates"))
+
+    def put(batches):
+        for b in batches:
+            at = lists(b.column(1))
+            x = sum((weights[at[:, q]] for q in range(at.shape[1])), np.zeros((len(at), weights.shape[1]))) - shift
+            ends = pa.array(np.arange(len(at) + 1, dtype=np.int32) * weights.shape[1])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], ["respondent_id", "coordinates"])
+
+    return people.mapInArrow(put, f"respondent_id {people.schema['respondent_id'].dataType.simpleString()}, coordinates array<double>")
 
 
 def correspondence(responses: DataFrame, most: int = 50, keep: float = 0.7) -> tuple[DataFrame, list[float], float]:
     """Multiple correspondence analysis: row coordinates, kept inertias, total inertia.
 
     At most `most` components are fitted; the first ones that reach the share `keep` of the fitted
-    inertia (not of the total) are kept. Signs are arbitrary. Every respondent needs a row for every
-    question; missing is a level of its own. An empty table has no coordinates.
+    inertia (not of the total) are kept. Signs are arbitrary. Missing is a level of its own, as is a
+    question without a row. An empty table has no coordinates. Only counts of levels and blocks of
+    levels times components reach the driver.
     """
-    levels, table, n, q = _burt(responses)
+    people, levels, counts, _, names = _answers(responses)
     if not levels:
-        return responses.sparkSession.createDataFrame([], "respondent_id long, coordinates array<double>"), [], 0.0
-    mass = np.diag(table) / (n * q)
+        return people.select("respondent_id", F.array().cast("array<double>").alias("coordinates")), [], 0.0
+    q = len(names)
+    n = counts.sum() / q
+    mass = counts / (n * q)
     root = np.sqrt(mass)
-    values, vectors = np.linalg.eigh((table / (n * q * q) - np.outer(mass, mass)) / np.outer(root, root))
-    order = np.argsort(-values)[: min(most, len(levels) - q)]
-    fitted = np.maximum(values[order], 0)
+    k = max(1, min(most, len(levels) - q))
+    values, vectors = _largest(people, 1 / root, 1 / (n * q * q), mass, k)
+    fitted = np.maximum(values, 0)
     kept = int(np.searchsorted(np.cumsum(fitted) / max(fitted.sum(), 1e-300), keep) + 1)
-    order = order[:kept]
-    weights = vectors[:, order] / root[:, None] / q
-    return _place(responses, levels, weights, np.zeros(len(order))), [float(v) for v in values[order]], float(values.sum())
+    return _place(people, vectors[:, :kept] / root[:, None] / q, np.zeros(min(kept, k))), [float(v) for v in values[:kept]], len(levels) / q - 1
 
 
 def one_hot_components(responses: DataFrame, k: int = 5) -> tuple[DataFrame, list[float]]:
     """Principal components of the standardised level indicators: scores and explained shares.
 
-    The correlations of the indicators follow from joint counts of levels, so no wide table is made.
-    A level that everybody has does not vary and is left out.
+    The correlations of the indicators are only multiplied, so neither a wide table nor a table of
+    level pairs is made. A level that everybody has does not vary and is left out.
     """
-    levels, table, n, _ = _burt(responses)
-    p = np.diag(table) / max(n, 1)
-    varies = [i for i in range(len(levels)) if 0 < p[i] < 1]
-    if not varies:
-        return responses.sparkSession.createDataFrame([], "respondent_id long, coordinates array<double>"), []
-    levels, p, table = [levels[i] for i in varies], p[varies], table[np.ix_(varies, varies)]
-    sd = np.sqrt(p * (1 - p))
-    values, vectors = np.linalg.eigh((table / n - np.outer(p, p)) / np.outer(sd, sd))
-    order = np.argsort(-values)[:k]
-    weights = vectors[:, order] / sd[:, None]
-    return _place(responses, levels, weights, p @ weights), [float(v) for v in values[order] / values.sum()]
+    people, levels, counts, column, names = _answers(responses)
+    n = counts.sum() / max(len(names), 1)
+    p = counts / max(n, 1)
+    varies = (p > 0) & (p < 1)
+    if not varies.any():
+        return people.select("respondent_id", F.array().cast("array<double>").alias("coordinates")).limit(0), []
+    scale = np.where(varies, 1 / np.sqrt(np.where(varies, p * (1 - p), 1)), 0.0)
+    values, vectors = _largest(people, scale, 1 / n, p, min(k, int(varies.sum())))
+    weights = vectors * scale[:, None]
+    return _place(people, weights, p @ weights), [float(v) for v in values / varies.sum()]
 
 
 # ------------------------------------------------------------------ vectors: (id, features array<double>)
@@ -333,6 +369,11 @@ def k_means_starts(vectors: DataFrame, k: int, starts: int = 10, rounds: int = 3
     return centres, cost, shift
 
 
+def _first_least(cost: np.ndarray) -> int:
+    """The first of those that cost least but for rounding."""
+    return int(np.flatnonzero(cost <= cost.min() + 1e-9 * abs(cost.min()))[0])
+
+
 def _nearest(vectors: DataFrame, centres: np.ndarray, shift: np.ndarray) -> DataFrame:
     def assign(batches):
         for b in batches:
@@ -352,7 +393,7 @@ def k_means_labels(vectors: DataFrame, k: int, seed: int = 1, bisecting: bool =
         return BisectingKMeans(k=k, seed=seed, maxIter=20).fit(v).transform(v).select("id", F.col("prediction").alias("label"))
     rows = stored(vectors.select("id", "features"), "vectors")
     centres, cost, shift = k_means_starts(rows, k, starts, seed=seed)
-    return _nearest(rows, centres[int(np.argmin(cost))] if len(cost) else np.zeros((k, 0)), shift)
+    return _nearest(rows, centres[_first_least(cost)] if len(cost) else np.zeros((k, 0)), shift)
 
 
 def diagonal_mixture(vectors: DataFrame, k: int, rounds: int = 100, tolerance: float = 1e-6, seed: int = 1, starts: int = 10) -> tuple[DataFrame, float, float]:
@@ -413,7 +454,7 @@ def diagonal_mixture(vectors: DataFrame, k: int, rounds: int = 100, tolerance: f
             mean[s], var[s], prior[s] = mean[s] + first, np.maximum(second - first**2, 0) + 1e-6, size / size.sum()
         if not going.any():
             break
-    chosen = int(np.argmax(loglik))
+    chosen = _first_least(-loglik)
     m, v, p = best[chosen]
 
     def assign(batches):
@@ -425,6 +466,137 @@ def diagonal_mixture(vectors: DataFrame, k: int, rounds: int = 100, tolerance: f
     return labels, float(loglik[chosen]), (k - 1 + 2 * k * dim) * math.log(n) - 2 * float(loglik[chosen])
 
 
+# ------------------------------------------------------------------ Ward's tree
+
+#: Clustering features that a task, a merge of tasks and the driver hold at most; rows that join them at a time.
+FEATURES, CHUNK = 512, 2048
+
+
+def ward_merges(size: np.ndarray, centre: np.ndarray) -> list[tuple[int, int, float]]:
+    """Ward's merges (a, b, cost) of features of these sizes and centres, by rising cost; the i-th merge makes number len(size) + i.
+
+    Chains of nearest neighbours: two that are nearest to each other are merged wherever they are
+    found, since no later merge can come between them. The cost is the growth of the sum of squares.
+    """
+    n = len(size)
+    size, centre = np.append(size.astype(float), np.zeros(max(n - 1, 0))), np.vstack([centre, np.zeros((max(n - 1, 0), centre.shape[1]))])
+    live = np.zeros(len(size), bool)
+    live[:n] = True
+    chain, found = [], []
+    for new in range(n, 2 * n - 1):
+        if not chain:
+            chain = [int(np.flatnonzero(live)[0])]
+        while True:
+            a = chain[-1]
+            others = np.flatnonzero(live)
+            others = others[others != a]
+            cost = size[a] * size[others] / (size[a] + size[others]) * ((centre[others] - centre[a]) ** 2).sum(1)
+            near = others[cost == cost.min()]
+            b = chain[-2] if len(chain) > 1 and chain[-2] in near else int(near[0])
+            if len(chain) > 1 and b == chain[-2]:
+                break
+            chain.append(b)
+        chain = chain[:-2]
+        found.append((a, b, float(cost.min()), new))
+        size[new] = size[a] + size[b]
+        centre[new] = (size[a] * centre[a] + size[b] * centre[b]) / size[new]
+        live[[a, b]], live[new] = False, True
+    # number the merges by cost, as made from those before
+    number, out = {i: i for i in range(n)}, []
+    for i, (a, b, cost, new) in enumerate(sorted(found, key=lambda m: (m[2], m[3]))):
+        out.append((min(number[a], number[b]), max(number[a], number[b]), cost))
+        number[new] = n + i
+    return out
+
+
+def cut_tree(n: int, merges: list[tuple[int, int, float]], k: int) -> np.ndarray:
+    """Label of each of n features when all but the k - 1 dearest merges are made; numbered by their first feature."""
+    top = np.arange(2 * n)
+    for i, (a, b, _) in enumerate(merges[: max(n - k, 0)]):
+        top[[a, b]] = n + i
+    for i in range(n + len(merges) - 1, -1, -1):  # a merge's number is higher than its parts'
+        top[i] = top[top[i]]
+    _, first, label = np.unique(top[:n], return_index=True, return_inverse=True)
+    return np.argsort(np.argsort(first))[label]
+
+
+def _condensed(size: np.ndarray, centre: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most `most` features: the cheapest of Ward's merges are made. Sizes and centres add up exactly."""
+    if len(size) <= most:
+        return size, centre
+    label = cut_tree(len(size), ward_merges(size, centre), most)
+    total = np.bincount(label, size)
+    return total, np.stack([np.bincount(label, size * centre[:, d]) for d in range(centre.shape[1])], 1) / total[:, None]
+
+
+def clustering_features(vectors: DataFrame, most: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, centres) of at most `most` features that stand for all vectors.
+
+    Each task takes its rows CHUNK at a time into its features and condenses them by Ward's own cost;
+    the features of four tasks at a time are condensed again, until one set is left. No more than
+    CHUNK and `most`, or four times `most`, features ever meet. With at most `most` rows every row is a feature.
+    """
+    schema = "part long, size array<double>, centre array<double>"
+
+    def table(part: int, size: np.ndarray, centre: np.ndarray) -> list[pa.Array]:
+        return [pa.array([part], pa.int64()), pa.array([size.tolist()], pa.list_(pa.float64())), pa.array([centre.ravel().tolist()], pa.list_(pa.float64()))]
+
+    def gather(batches):
+        from pyspark import TaskContext
+
+        size, centre = np.zeros(0), None
+        for b in batches:
+            x = lists(b.column(1)).astype(float)
+            for at in range(0, len(x), CHUNK):
+                part = x[at : at + CHUNK]
+                centre = part if centre is None else np.vstack([centre, part])
+                size, centre = _condensed(np.append(size, np.ones(len(part))), centre, most)
+        if centre is not None:
+            yield pa.RecordBatch.from_arrays(table(TaskContext.get().partitionId(), size, centre), ["part", "size", "centre"])
+
+    def merge(key, t):
+        size = np.concatenate([np.array(x) for x in t["size"].to_pylist()])
+        centre = np.concatenate([np.array(x) for x in t["centre"].to_pylist()]).reshape(len(size), -1)
+        return pa.Table.from_arrays(table(key[0].as_py(), *_condensed(size, centre, most)), names=["part", "size", "centre"])
+
+    left, parts = vectors.rdd.getNumPartitions(), vectors.mapInArrow(gather, schema)
+    while left > 1:
+        left = -(-left // 4)
+        parts = parts.groupBy(F.floor(F.col("part") / 4).alias("to")).applyInArrow(merge, schema)
+    rows = parts.toArrow().to_pylist()
+    if not rows:
+        return np.zeros(0), np.zeros((0, 0))
+    size = np.concatenate([np.array(r["size"]) for r in rows])
+    return _condensed(size, np.concatenate([np.array(r["centre"]) for r in rows]).reshape(len(size), -1), most)
+
+
+def ward(vectors: DataFrame, k: int, most: int = FEATURES) -> tuple[DataFrame, DataFrame]:
+    """((id, label) for k clusters, the tree (step, a, b, cost, size)) of Ward linkage over clustering features.
+
+    Numbers below the number of features are features, the step-th merge makes the step-th number
+    after them. Rows take the label of the nearest feature. Up to `most` rows this is Ward's linkage
+    itself; beyond, merges within a feature are not in the tree. Labels are numbered by first feature.
+    """
+    spark, rows = vectors.sparkSession, stored(vectors.select("id", "features"), "vectors")
+    size, centre = clustering_features(rows, most)
+    order = np.lexsort(centre.T[::-1]) if len(size) else np.zeros(0, int)
+    size, centre = size[order], centre[order]
+    merges, n = ward_merges(size, centre) if len(size) else [], len(size)
+    total = size.tolist()
+    for a, b, _ in merges:
+        total.append(total[a] + total[b])
+    tree = spark.createDataFrame([(i, a, b, c, int(round(total[n + i]))) for i, (a, b, c) in enumerate(merges)], "step int, a int, b int, cost double, size long")
+    label = cut_tree(n, merges, k) if n else np.zeros(0, int)
+
+    def assign(batches):
+        for b in batches:
+            x = lists(b.column(1)).astype(float)
+            near = [int(((centre - v) ** 2).sum(1).argmin()) for v in x]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(label[near].astype(np.int32))], ["id", "label"])
+
+    return rows.mapInArrow(assign, f"id {rows.schema['id'].dataType.simpleString()}, label int"), tree
+
+
 def silhouette(labelled: DataFrame) -> float | None:
     """Silhouette with squared Euclidean distances of (features, label); null unless two labels or more have two members each."""
     from pyspark.ml.evaluation import ClusteringEvaluator

@@ -541,6 +541,22 @@ def _(s, d):
     return CU.k_means_labels(vectors(s, d).drop("label"), 3, bisecting=True)
 
 
+def shared_space(s: SparkSession, d: str) -> DataFrame:
+    """(id, features): respondents in the space of the correspondence analysis, in which all methods are compared."""
+    place, _, _ = CU.correspondence(V.responses(s, d))
+    return stored(place.select(F.col("respondent_id").alias("id"), F.col("coordinates").alias("features")), "space")
+
+
+@query("M12_ward")
+def _(s, d):
+    return CU.ward(shared_space(s, d), 3)[0]
+
+
+@query("M12_ward_tree")
+def _(s, d):
+    return rounded(CU.ward(shared_space(s, d), 3)[1])
+
+
 VECTORS = "WITH v AS (SELECT vec_id id, CAST(embedding AS DOUBLE[]) f, label FROM embeddings), e AS (SELECT id, label, unnest(range(len(f))) d, unnest(f) x FROM v), "
 
 

@@ -163,3 +163,95 @@ def test_k_modes_starts_differ_and_repeat(spark):
     r = spark.createDataFrame(rows, "respondent_id long, column_name string, code double")
     a, b = (sorted((x["respondent_id"], x["label"], x["cost"]) for x in CU.k_modes(r, 3, starts=3).collect()) for _ in range(2))
     assert a == b and len({(i % 3, c) for i, c, _ in a}) < 9 and sum(c for _, _, c in a) < 150
+
+
+def plain_ward(x):
+    """All pairs, the cheapest merge first."""
+    clusters, out = {i: [i] for i in range(len(x))}, []
+    while len(clusters) > 1:
+        def cost(a, b):
+            p, q = x[clusters[a]], x[clusters[b]]
+            return len(p) * len(q) / (len(p) + len(q)) * ((p.mean(0) - q.mean(0)) ** 2).sum()
+        keys = sorted(clusters)
+        c, a, b = min((cost(a, b), a, b) for i, a in enumerate(keys) for b in keys[i + 1 :])
+        clusters[len(x) + len(out)] = clusters.pop(a) + clusters.pop(b)
+        out.append((c, frozenset(clusters[len(x) + len(out)])))
+    return out
+
+
+def test_ward_equals_plain_linkage_where_each_row_is_a_feature(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 3)) + 4 * (np.arange(60) % 4)[:, None]
+    v = spark.createDataFrame([(i, f.tolist()) for i, f in enumerate(x)], "id long, features array<double>").repartition(7)
+    labels, tree = CU.ward(v, 4)
+    order = np.lexsort(x.T[::-1])
+    members, want = {i: {int(order[i])} for i in range(60)}, plain_ward(x)
+    for r, (cost, group) in zip(tree.orderBy("step").collect(), want):
+        members[60 + r["step"]] = members[r["a"]] | members[r["b"]]
+        assert abs(r["cost"] - cost) < 1e-9 and members[60 + r["step"]] == set(group) and r["size"] == len(group)
+    got = {r["id"]: r["label"] for r in labels.collect()}
+    assert len({(i % 4, c) for i, c in got.items()}) == 4
+    assert CU.ward(v.limit(0), 3)[0].count() == 0 and CU.ward(v.limit(1), 3)[0].first()["label"] == 0
+
+
+def test_ward_over_condensed_features(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 2)) / 4 + 5 * (np.arange(3000) % 3)[:, None]
+    v = spark.createDataFrame([(i, f.tolist()) for i, f in enumerate(x)], "id long, features array<double>").repartition(9)
+    monkeypatch.setattr(CU, "CHUNK", 100)
+    size, centre = CU.clustering_features(v, 40)
+    assert len(size) == 40 and size.sum() == 3000 and np.allclose(size @ centre, x.sum(0))
+    labels, tree = CU.ward(v, 3, 40)
+    got = {r["id"]: r["label"] for r in labels.collect()}
+    assert len({(i % 3, c) for i, c in got.items()}) == 3 and tree.agg(F.max("size")).first()[0] == 3000
+    costs = [r["cost"] for r in tree.orderBy("step").collect()]
+    assert costs == sorted(costs)
+
+
+def test_many_levels_by_block_steps(spark):
+    """More levels than a block is wide: the largest inertias within 1e-6 of the decomposition."""
+    rng = random.Random(7)
+    rows = [(i, f"c{j}", float((i % 5) * 3 + rng.randrange(4) if rng.random() < 0.7 else rng.randrange(40))) for i in range(400) for j in range(6)]
+    rows = [r for r in rows if not (r[0] == 3 and r[1] == "c2")]  # a respondent without a row for a question
+    r = spark.createDataFrame(rows, "respondent_id long, column_name string, code double")
+    full = {(i, c): v for i, c, v in rows} | {(3, "c2"): CU.MISSING}
+    levels = sorted({(c, v) for (_, c), v in full.items()})
+    z = np.zeros((400, len(levels)))
+    for (i, c), v in full.items():
+        z[i, levels.index((c, v))] = 1
+    assert len(levels) > 8 + CU.SPARE
+    p = z / z.sum()
+    rm, cm = p.sum(1), p.sum(0)
+    u, sv, _ = np.linalg.svd((p - np.outer(rm, cm)) / np.sqrt(np.outer(rm, cm)), full_matrices=False)
+    place, kept, total = CU.correspondence(r, most=8, keep=0.99)
+    assert np.abs(np.array(kept) - (sv**2)[: len(kept)]).max() < 1e-6 and abs(total - (sv**2).sum()) < 1e-9
+    got = np.array([x["coordinates"] for x in place.orderBy("respondent_id").collect()])
+    want = (u * sv / np.sqrt(rm)[:, None])[:, : len(kept)]
+    assert np.allclose(got[:, :4] @ got[:, :4].T, want[:, :4] @ want[:, :4].T, atol=1e-4)
+    x = (z - z.mean(0)) / z.std(0)
+    _, shares = CU.one_hot_components(r, 4)
+    sv = np.linalg.svd(x, full_matrices=False)[1]
+    assert np.abs(np.array(shares) - (sv**2 / (sv**2).sum())[:4]).max() < 1e-6
+
+
+def test_starts_run_side_by_side(spark):
+    """Sums over many parts, and the best of several starts: K-Means costs by hand, latent starts against single ones."""
+    from tessella.operators import arrays as AR
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 2)) / 3 + 4 * np.stack([np.arange(300) % 3, np.arange(300) % 2], 1)
+    v = spark.createDataFrame([(i, f.tolist()) for i, f in enumerate(x)], "id long, features array<double>").repartition(40)
+    total = AR.tree_sum(v, lambda bs: [(k, sum((AR.lists(b.column(1)).sum(0) for b in bs if b.num_rows), np.zeros(2)) * (k + 1)) for bs in [list(bs)] for k in (0, 1)])
+    assert np.allclose(total[0], x.sum(0)) and np.allclose(total[1], 2 * x.sum(0))
+    centres, cost, shift = CU.k_means_starts(v, 6, starts=4)
+    gaps = ((x[:, None, None] - shift - centres[None]) ** 2).sum(-1).min(2).sum(0)
+    assert np.allclose(gaps, cost, rtol=1e-3) and len(set(np.round(cost, 6))) > 1
+    labels = {r["id"]: r["label"] for r in CU.k_means_labels(v, 6, starts=4).collect()}
+    best = centres[CU._first_least(cost)]
+    assert all(labels[i] == int(((x[i] - shift - best) ** 2).sum(1).argmin()) for i in range(300))
+    _, r = planted(spark)
+    apart = LA.fit_many(r.withColumn("start", F.explode(F.sequence(F.lit(1), F.lit(3)))), 3, ("start",))[2]
+    together = LA.fit_latent_classes(r, 3, starts=3)[2]
+    assert abs(max(apart.values()) - together) < 1e-9 * abs(together)
+    u = AR.uniform(np.arange(20_000), 1, 2)
+    assert abs(u.mean() - 0.5) < 0.01 and abs(np.corrcoef(u, AR.uniform(np.arange(20_000), 1, 3))[0, 1]) < 0.03
