@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.text import METHOD_NAMES, POPULATION_NAMES, named, run_subpopulation
+from tessella.functions.text import METHOD_NAMES, POPULATION_NAMES, adapter, base_model, named, run_subpopulation, user_prompt
 from tessella.operators.running import running
 
 FLOOR = 1e-10
@@ -247,6 +247,19 @@ def category_expansion(rows: DataFrame, distribution: str, categories: str | Non
     return rows.select(*rest, F.posexplode(zipped).alias("pos", "x")).select(*rest, "pos", *[f"x.{n}" for n in listed])
 
 
+def training_rows(items: DataFrame, prompts: DataFrame) -> DataFrame:
+    """Rows of the modal config: each item under every system prompt, with its user prompt and expected answer.
+
+    items: (question, categories, p, any keys); an optional template comes before the question and a
+    sub_question after the options. prompts: (system_prompt_id, system_prompt), few enough to broadcast
+    or not as their size tells Spark. The expected text is the first of the likeliest categories.
+    """
+    has = lambda c: F.col(c) if c in items.columns else F.lit(None).cast("string")
+    text = F.get("categories", (F.array_position("p", F.array_max("p")) - 1).cast("int"))
+    rows = items.withColumns({"user_prompt": user_prompt(has("template"), F.col("question"), has("sub_question"), F.col("categories")), "expected_text": text, "expected_distribution": F.col("p")})
+    return rows.drop("p").crossJoin(prompts)
+
+
 def route_splits(rows: DataFrame, held_items: DataFrame, held_prompts: DataFrame, item: list[str], prompt: str) -> DataFrame:
     """rows with `split`: validation where the item or the prompt is held out, else train."""
     items = held_items.select(*item).distinct().withColumn("_item", F.lit(True))
@@ -260,6 +273,54 @@ def newest_run(runs: DataFrame) -> DataFrame:
     return runs.where("not reasoning").withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
 
 
+#: The datasets whose runs stand for a model.
+MODAL_DATASETS = ("modal_response",)
+
+
+def run_metrics(configs: DataFrame, results: DataFrame, datasets: tuple[str, ...] = MODAL_DATASETS) -> DataFrame:
+    """Metrics of each model's newest run without reasoning on one of the datasets, by subpopulation, split and system prompt.
+
+    configs: (model, run, dataset, reasoning, timestamp); results: (model, run, subpopulation, split,
+    system_prompt_id, expected_text, model_answer, cross_entropy, kl_divergence). An answer is right
+    if it equals the expected text but for case and outer blanks; accuracy is in percent of all
+    rows, so a missing text is wrong. Null keys are groups of their own. A model whose newest run
+    has no results has no metrics.
+    """
+    plain = configs.where(F.col("dataset").isin(*datasets)).withColumns({"reasoning": F.coalesce("reasoning", F.lit(False)), "timestamp": F.coalesce("timestamp", F.lit(""))})
+    chosen = newest_run(plain).select("model", "run")
+    right = F.coalesce(answer_matches(F.col("model_answer"), F.col("expected_text")), F.lit(False))
+    keys = ["subpopulation", "split", "system_prompt_id"]
+    means = results.join(chosen, ["model", "run"]).groupBy("model", *keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        (100 * F.avg(right.cast("double"))).alias("accuracy"),
+        F.avg(F.col("cross_entropy").cast("double")).alias("cross_entropy"),
+        F.avg(F.col("kl_divergence").cast("double")).alias("kl_divergence"),
+    )
+    return means.select("model", base_model(F.col("model")).alias("base_model"), adapter(F.col("model")).alias("method"), *keys, "n", *METRICS)
+
+
+#: How a metric is shown.
+SHOWN = {"accuracy": "%.1f", "cross_entropy": "%.2f", "kl_divergence": "%.3f"}
+
+
+def table_cells(table: DataFrame) -> DataFrame:
+    """(base_model, place, label, metric, split, text, best) of main_table's cells as they are shown.
+
+    A null is two hyphens. The best value of a base model's column, the first of equals, stands in
+    bold; the base row competes like any other and nulls never win.
+    """
+    cells = [F.struct(F.lit(m).alias("metric"), F.lit(x).alias("split"), F.col(f"{m}_{x}").alias("value"), F.lit(f).alias("form")) for m, f in SHOWN.items() for x in ("train", "validation", "overall")]
+    long = table.select("base_model", "place", "label", F.inline(F.array(*cells)))
+    worth = F.when(F.col("metric") == "accuracy", -F.col("value")).otherwise(F.col("value"))
+    first = F.row_number().over(Window.partitionBy("base_model", "metric", "split").orderBy(worth.asc_nulls_last(), "place")) == 1
+    text = F.lit(None).cast("string")
+    for m, f in SHOWN.items():
+        text = F.when(F.col("metric") == m, F.format_string(f, "value")).otherwise(text)
+    best = first & F.col("value").isNotNull()
+    shown = F.when(F.col("value").isNull(), "--").when(F.col("best"), F.concat(F.lit("\\textbf{"), text, F.lit("}"))).otherwise(text)
+    return long.withColumn("best", best).select("base_model", "place", "label", "metric", "split", shown.alias("text"), "best")
+
+
 def missing_jobs(grid: DataFrame, completed: DataFrame) -> DataFrame:
     """Rows of the (model, config, subpopulation) grid that no completed run covers; null equals null only."""
     on = (F.col("g.model") == F.col("c.model")) & (F.col("g.config") == F.col("c.config")) & F.col("g.subpopulation").eqNullSafe(F.col("c.subpopulation"))

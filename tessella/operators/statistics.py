@@ -67,6 +67,29 @@ def informativeness(dist: DataFrame, label: str) -> DataFrame:
     return pairs.groupBy("column_name").agg(F.avg("tvd").alias("informativeness"))
 
 
+def distribution_ablation(soft: DataFrame, hard: dict[str, DataFrame]) -> DataFrame:
+    """(column_name, soft_informativeness, and for each labeling <name>_tvd and <name>_informativeness).
+
+    soft: (cluster, column_name, code, p) from posteriors; hard: the same from each labeling's hard
+    labels, with the clusters numbered alike. The distance is the mean over clusters of half the sum
+    of absolute differences; a cell that one side lacks counts as zero.
+    """
+    out = informativeness(soft, "cluster").withColumnRenamed("informativeness", "soft_informativeness")
+    for name, dist in hard.items():
+        both = soft.withColumnRenamed("p", "_soft").join(dist.select("cluster", "column_name", "code", F.col("p").alias("_hard")), ["cluster", "column_name", "code"], "full").na.fill(0.0, ["_soft", "_hard"])
+        gaps = both.groupBy("column_name", "cluster").agg((F.sum(F.abs(F.col("_soft") - F.col("_hard"))) / 2).alias("t")).groupBy("column_name").agg(F.avg("t").alias(f"{name}_tvd"))
+        own = informativeness(dist, "cluster").withColumnRenamed("informativeness", f"{name}_informativeness")
+        out = out.join(gaps, "column_name", "full").join(own, "column_name", "full")
+    return out
+
+
+def ablation_summary(ablation: DataFrame) -> DataFrame:
+    """(measure, mean, median, p95) over the questions of every measure of a distribution ablation, with linear percentiles."""
+    long = ablation.unpivot(["column_name"], [c for c in ablation.columns if c != "column_name"], "measure", "value")
+    means = long.groupBy("measure").agg(F.avg("value").alias("mean"))
+    return means.join(exact_percentiles(long, "measure", "value", {"median": 0.5, "p95": 0.95}), "measure")
+
+
 def pair_cells(responses: DataFrame, batteries: DataFrame, across_only: bool = True) -> DataFrame:
     """(a, b, ca, cb, n): joint counts of two columns over respondents who answered both.
 

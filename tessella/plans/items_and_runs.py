@@ -516,6 +516,41 @@ def _(s, d):
     return rounded(flat.select("model", "run_name", "reasoning", "question_id", "subpopulation", F.char_length("model_answer").cast("long").alias("answer_signs"), F.col("cross_entropy").cast("double").alias("cross_entropy")))
 
 
+def differing_runs(s: SparkSession, d: str) -> tuple[str, str]:
+    """Three runs a model: the newest on another dataset, the next one (with reasoning for some models), and the oldest, whose results lack two columns."""
+    configs, results = folder(s), folder(s)
+    e = V.eval_results(s, d).withColumn("run", F.concat(F.lit("r"), (F.col("prompt") % 3).cast("string")))
+    run, long = F.col("run"), F.length("model") % 2 == 0
+    config = F.struct(F.when(run == "r0", "sampled_response").otherwise("modal_response").alias("dataset"), (long & (run == "r1")).alias("reasoning"), F.concat(F.lit("2026-01-0"), (F.lit(3) - F.right("run", F.lit(1)).cast("int")).cast("string")).alias("timestamp"))
+    e.select("model", "run").distinct().select("model", "run", F.to_json(config).alias("value")).write.partitionBy("model", "run").text(configs)
+    expected = F.when(F.col("event_id") % 2 == 0, "Yes; \nindeed ").otherwise("no")
+    answer = F.when(F.col("is_correct"), F.concat(F.lit("  "), F.upper(expected), F.lit("\n"))).when(~F.col("is_correct"), "other")
+    rows = e.select("model", "run", expected.alias("expected_text"), answer.alias("model_answer"), F.col("prompt").alias("system_prompt_id"), "cross_entropy", "kl_divergence", F.when(F.col("event_id") % 5 != 0, F.col("subpopulation")).alias("subpopulation"), "split")
+    for some, gone in ((run != "r2", ()), (run == "r2", ("subpopulation", "split"))):
+        part = rows.where(some).drop(*gone)
+        part.repartition("model", "run").write.mode("append").partitionBy("model", "run").csv(results, header=True, quoteAll=True, escape='"', nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return configs, results
+
+
+@query("A28_W01_run_metrics", ", c AS (SELECT *, length(model)%2=0 AS l FROM ev WHERE prompt%3=CASE WHEN length(model)%2=0 THEN 2 ELSE 1 END), k AS (SELECT model, CASE WHEN l THEN 'overall' WHEN event_id%5<>0 THEN subpopulation END AS subpopulation, CASE WHEN l THEN 'validation' ELSE split END AS split, CAST(prompt AS VARCHAR) AS system_prompt_id, is_correct, cross_entropy, kl_divergence FROM c) SELECT model, model AS base_model, 'base' AS method, subpopulation, split, system_prompt_id, count(*) AS n, round(100.0*count(*) FILTER (is_correct)/count(*),6) AS accuracy, round(avg(cross_entropy),6) AS cross_entropy, round(avg(kl_divergence),6) AS kl_divergence FROM k GROUP BY ALL")
+def _(s, d):
+    configs, results = differing_runs(s, d)
+    runs = files.read_runs(s, configs, "part-*").select("model", "run", "dataset", "reasoning", "timestamp")
+    return rounded(SC.run_metrics(runs, files.read_run_results(s, results, "part-*")))
+
+
+@query("X08_training_rows", f", a AS ({_A01}), g AS (SELECT subpopulation, column_name, string_agg(CAST(p AS DECIMAL(9,6)), ',' ORDER BY pos) AS expected_distribution, arg_min(pos, (-n, pos)) m, count(*) AS k FROM a GROUP BY ALL) SELECT subpopulation, column_name, 'p'||b.item_id AS system_prompt_id, b.text AS system_prompt, 'Which holds for '||column_name||'?'||chr(10)||chr(10)||'Options:'||chr(10)||array_to_string(list_transform(range(k), lambda i: 'Opt '||(i+1)), chr(10)) AS user_prompt, 'Opt '||(m+1) AS expected_text, expected_distribution FROM g, benchmark b")
+def _(s, d):
+    """The rows of the modal config, each with its prompts: every question of a subpopulation under every system prompt."""
+    dist = ST.empirical_distribution(ST.with_overall(R.labelled(s, d)), V.options(s))
+    rows = dist.groupBy("subpopulation", "column_name").agg(F.sort_array(F.collect_list(F.struct("pos", "p"))).alias("o"))
+    options = F.transform("o", lambda x: F.concat(F.lit("Opt "), (x["pos"] + 1).cast("string")))
+    p = F.transform("o", lambda x: x["p"])
+    items = rows.select("subpopulation", "column_name", F.concat(F.lit("Which holds for "), "column_name", F.lit("?")).alias("question"), options.alias("categories"), p.alias("p"))
+    made = SC.training_rows(items, V.read(s, d, "benchmark").select(F.concat(F.lit("p"), F.col("item_id").cast("string")).alias("system_prompt_id"), F.col("text").alias("system_prompt")))
+    return made.select("subpopulation", "column_name", "system_prompt_id", "system_prompt", "user_prompt", "expected_text", F.array_join(F.transform("expected_distribution", lambda x: F.format_string("%.6f", x)), ",").alias("expected_distribution"))
+
+
 @query("S07_split_scan", "SELECT id, split FROM (SELECT event_id id, split, row_number() OVER (PARTITION BY split ORDER BY event_id) k FROM ev WHERE model=(SELECT min(model) FROM ev) AND subpopulation='s2') WHERE k<=20")
 def _(s, d):
     path, e = folder(s), V.eval_results(s, d)

@@ -240,6 +240,25 @@ def _(s, d):
     return rounded(both.groupBy("column_name", "cluster").agg((F.sum(F.abs(F.col("soft") - F.col("hard"))) / 2).alias("t")).groupBy("column_name").agg(F.avg("t").alias("tvd")))
 
 
+def ablation(s: SparkSession, d: str) -> DataFrame:
+    soft = ST.posterior_distribution(V.responses(s, d), V.assignments(s, d))
+    hard = ST.hard_distribution(labelled(s, d).withColumnRenamed("cluster", "label")).withColumnRenamed("label", "cluster")
+    return ST.distribution_ablation(soft, {"hard": hard})
+
+
+_ABLATION = ", ab AS (SELECT column_name, si, tvd, hi FROM (SELECT column_name, avg(t) AS si FROM (SELECT x.column_name, sum(abs(x.p-y.p))/2 t FROM pp x JOIN pp y USING (column_name, code) WHERE x.cluster<y.cluster GROUP BY x.column_name, x.cluster, y.cluster) GROUP BY 1) JOIN (SELECT column_name, avg(t) AS hi FROM (SELECT x.column_name, sum(abs(x.p-y.p))/2 t FROM hp x JOIN hp y USING (column_name, code) WHERE x.label<y.label GROUP BY x.column_name, x.label, y.label) GROUP BY 1) USING (column_name) JOIN (SELECT column_name, avg(t) AS tvd FROM (SELECT coalesce(pp.column_name,hp.column_name) column_name, coalesce(pp.cluster,hp.label) k, sum(abs(coalesce(pp.p,0)-coalesce(hp.p,0)))/2 t FROM pp FULL JOIN hp ON pp.cluster=hp.label AND pp.column_name=hp.column_name AND pp.code=hp.code GROUP BY 1,2) GROUP BY 1) USING (column_name)) "
+
+
+@query("A22_ablation_table", _ABLATION + "SELECT column_name, round(si,6) AS soft_informativeness, round(tvd,6) AS hard_tvd, round(hi,6) AS hard_informativeness FROM ab")
+def _(s, d):
+    return rounded(ablation(s, d))
+
+
+@query("A22_ablation_summary", _ABLATION + "SELECT measure, round(avg(v),6) AS mean, round(median(v),6) AS median, round(quantile_cont(v,0.95),6) AS p95 FROM (SELECT unnest(['soft_informativeness','hard_tvd','hard_informativeness']) AS measure, unnest([si, tvd, hi]) AS v FROM ab) GROUP BY 1")
+def _(s, d):
+    return rounded(ST.ablation_summary(ablation(s, d)))
+
+
 @query("A21_rand_matrix", ", m AS (SELECT respondent_id, 'by2' method, cluster l FROM asg UNION ALL SELECT respondent_id, 'by3', cluster3 FROM asg UNION ALL SELECT respondent_id, 'certain', CASE WHEN respondent_id%9<>0 THEN CAST(p0>=0.5 AS INT) END FROM asg), c AS (SELECT x.method a, y.method b, x.l lx, y.l ly, count(*) n FROM m x JOIN m y USING (respondent_id) WHERE x.l IS NOT NULL AND y.l IS NOT NULL GROUP BY ALL), t AS (SELECT a, b, sum(n*(n-1)/2) cs, sum(n) n FROM c GROUP BY ALL), r AS (SELECT a, b, sum(k*(k-1)/2) rs FROM (SELECT a, b, lx, sum(n) k FROM c GROUP BY ALL) GROUP BY ALL), q AS (SELECT a, b, sum(k*(k-1)/2) ks FROM (SELECT a, b, ly, sum(n) k FROM c GROUP BY ALL) GROUP BY ALL) SELECT a, b, round((cs-rs*ks/(n*(n-1)/2))/((rs+ks)/2-rs*ks/(n*(n-1)/2)),6) AS ari FROM t JOIN r USING (a, b) JOIN q USING (a, b)")
 def _(s, d):
     a = V.assignments(s, d)
@@ -414,13 +433,29 @@ def versions(s: SparkSession, d: str) -> DataFrame:
     return e.withColumn("subpopulation", one_of(F.substring("subpopulation", 2, 1), ["overall", "cluster_0", "cluster_1"]))
 
 
-@query("A31_main_table", VERSIONS + "SELECT base_model, CAST(row_number() OVER (PARTITION BY base_model ORDER BY o) - 1 AS INT) AS place, label, " + ", ".join(f"round(max(CASE WHEN split='{x}' THEN {m} END),6) AS {m}_{x}" for x in ("train", "validation", "overall") for m in SC.METRICS) + " FROM mo JOIN (VALUES ('base','overall',0,'Base'),('modal_response-cluster_1','cluster_1',1,'Modal response (cluster 1)'),('modal_response-overall','overall',2,'Modal response (overall)'),('first_token_distribution-cluster_0','cluster_0',3,'First token (cluster 0)'),('own-overall','overall',4,'own (overall)')) t(method,pop,o,label) USING (method, pop) GROUP BY base_model, o, label")
-def _(s, d):
+_A31 = "SELECT base_model, CAST(row_number() OVER (PARTITION BY base_model ORDER BY o) - 1 AS INT) AS place, label, " + ", ".join(f"round(max(CASE WHEN split='{x}' THEN {m} END),6) AS {m}_{x}" for x in ("train", "validation", "overall") for m in SC.METRICS) + " FROM mo JOIN (VALUES ('base','overall',0,'Base'),('modal_response-cluster_1','cluster_1',1,'Modal response (cluster 1)'),('modal_response-overall','overall',2,'Modal response (overall)'),('first_token_distribution-cluster_0','cluster_0',3,'First token (cluster 0)'),('own-overall','overall',4,'own (overall)')) t(method,pop,o,label) USING (method, pop) GROUP BY base_model, o, label"
+
+
+def main_table(s: SparkSession, d: str) -> DataFrame:
     keys = ["base_model", "method", "subpopulation"]
     m = SC.summary(versions(s, d), [*keys, "split", "prompt"])
     return rounded(SC.main_table(SC.mean_over_prompts(m, [*keys, "split"]).unionByName(SC.overall_split(m, keys))))
 
 
+@query("A31_main_table", VERSIONS + _A31)
+def _(s, d):
+    return main_table(s, d)
+
+
+_CELLS = " UNION ALL ".join(f"SELECT base_model, place, label, '{m}' AS metric, '{x}' AS split, {m}_{x} AS v, '{f}' AS f, {'-' if m == 'accuracy' else ''}{m}_{x} AS w FROM mt" for m, f in SC.SHOWN.items() for x in ("train", "validation", "overall"))
+
+
+@query("A32_table_cells", VERSIONS.rstrip() + f", mt AS ({_A31}), c AS ({_CELLS}), k AS (SELECT *, v IS NOT NULL AND row_number() OVER (PARTITION BY base_model, metric, split ORDER BY w NULLS LAST, place) = 1 AS best FROM c) SELECT base_model, place, label, metric, split, CASE WHEN v IS NULL THEN '--' WHEN best THEN '\\textbf{{'||printf(f, v)||'}}' ELSE printf(f, v) END AS text, best FROM k")
+def _(s, d):
+    return SC.table_cells(main_table(s, d))
+
+
+
 @query("A40_completed_runs", "SELECT DISTINCT model, dataset, subpopulation FROM (SELECT model, strftime(ts,'%Y-%m-%d') run, 'd'||(prompt%2) dataset, CASE WHEN subpopulation<>'s0' THEN subpopulation END subpopulation, CASE WHEN prompt<>5 THEN prompt=4 END reasoning, bool_or(event_id%97=0) aborted, count(DISTINCT split) k, count(is_correct) rows FROM ev GROUP BY ALL) WHERE reasoning IS NOT TRUE AND NOT aborted AND k=2 AND rows>0")
 def _(s, d):
     p = F.col("prompt")
@@ -547,6 +582,35 @@ def shared_space(s: SparkSession, d: str) -> DataFrame:
     return stored(place.select(F.col("respondent_id").alias("id"), F.col("coordinates").alias("features")), "space")
 
 
+def methods(s: SparkSession, d: str, k: int = 3) -> tuple[DataFrame, dict[str, DataFrame], dict[str, float]]:
+    """The shared space, each method's (respondent_id, label) and the BIC of those with a likelihood."""
+    r, space = V.responses(s, d), shared_space(s, d)
+    parameters, priors, loglik = LA.fit_latent_classes(r, k, starts=10)
+    named = lambda x: x.select(F.col("id").alias("respondent_id"), "label")
+    mixture, _, bic = CU.diagonal_mixture(space, k)
+    labels = {
+        "latent": LA.hard_labels(LA.posteriors(r, parameters, priors)).select("respondent_id", "label"),
+        "k_modes": CU.k_modes(r, k).select("respondent_id", "label"),
+        "k_means": named(CU.k_means_labels(space, k)),
+        "mixture": named(mixture),
+        "ward": named(CU.ward(space, k)[0]),
+    }
+    return space, {m: stored(x, m) for m, x in labels.items()}, {"latent": LA.information_criteria(r, k, loglik)["bic"], "mixture": bic}
+
+
+@query("M15_M18_shared_space")
+def _(s, d):
+    """All methods side by side, with the agreement of each with the latent classes."""
+    space, labels, bics = methods(s, d)
+    table = CU.compare_methods(V.responses(s, d), space, labels, bics)
+    agreement = None
+    for m, x in labels.items():
+        pair = labels["latent"].withColumnRenamed("label", "x").join(x.withColumnRenamed("label", "y"), "respondent_id")
+        one = ST.adjusted_rand(pair).select(F.lit("agreement_with_latent").alias("metric"), F.col("ari").alias("value"), F.lit(m).alias("method"))
+        agreement = one if agreement is None else agreement.unionByName(one)
+    return rounded(table.unionByName(agreement))
+
+
 @query("M12_ward")
 def _(s, d):
     return CU.ward(shared_space(s, d), 3)[0]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators.scoring import first_per_split
-from tessella.sources.ranges import read_quoted
+from tessella.sources.ranges import read_by_name, read_quoted
 from tessella.sources.versions import current, publish
 
 MAPPING = "id long, question string, sub_questions array<string>, column_names array<string>, word_response_types array<string>, numeric_response_types array<string>, survey_section string, question_type string, question_format string"
@@ -53,6 +53,18 @@ def read_results(spark: SparkSession, root: str, schema: str, name: str = "per_q
     return _from_path(spark.read.csv(f"{root}/*/*/{name}", header=True, schema=schema, multiLine=True, escape='"'))
 
 
+#: What stands for a column that a run's results lack.
+ABSENT = {"subpopulation": "overall", "split": "validation"}
+METRIC_COLUMNS = ("subpopulation", "split", "system_prompt_id", "expected_text", "model_answer", "cross_entropy", "kl_divergence")
+
+
+def read_run_results(spark: SparkSession, root: str, name: str = "per_question_results.csv", columns: tuple[str, ...] = METRIC_COLUMNS) -> DataFrame:
+    """model, run and the columns, as text, of every run's results, whichever of them a run has; absent ones as ABSENT says."""
+    rows = read_by_name(spark, f"{root}/*/*/{name}", columns, absent=ABSENT)
+    at = F.col("file")
+    return rows.select(F.regexp_extract(at, r"(?:[^/=]+=)?([^/]+)/[^/]+/[^/]+$", 1).alias("model"), F.regexp_extract(at, r"[^/]+/(?:[^/=]+=)?([^/]+)/[^/]+$", 1).alias("run"), *columns)
+
+
 def read_splits(spark: SparkSession, path: str, config: str, splits: tuple[str, ...] = ("train", "validation"), subpopulation: str | None = None, most: int | None = None, order: str = "id") -> DataFrame:
     """Rows of a dataset's splits with their `split`; of one population and the first `most` per split only, where asked."""
     rows = spark.read.parquet(path).where((F.col("config") == config) & F.col("split").isin(*splits))
