@@ -10,12 +10,13 @@ s AS (SELECT r, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(arr
   CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, len(l) AS n_lines, coalesce(n, 0) AS n_repeat_words FROM d LEFT JOIN rep USING (r)),
 v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, n_symbols / greatest(n_words, 1)::DOUBLE AS symbol_share, n_dup_lines / greatest(n_lines, 1)::DOUBLE AS dup_line_share,
   n_repeat_words / greatest(n_words, 1)::DOUBLE AS repeat_share, word_chars / greatest(n_words, 1)::DOUBLE AS mean_word FROM s),
-long AS (SELECT r, lang, rule, x FROM (SELECT r, lang, base_failed, symbol_share, dup_line_share, repeat_share, mean_word FROM v) UNPIVOT (x FOR rule IN (symbol_share, dup_line_share, repeat_share, mean_word))),
-cut AS (SELECT rule, unnest(cs) AS c FROM (VALUES ('symbol_share', [1.0, 0.5, 0.3, 0.2, 0.1, 0.05]::DOUBLE[]), ('dup_line_share', [0.9, 0.7, 0.5, 0.3, 0.2, 0.1]::DOUBLE[]), ('repeat_share', [0.25, 0.2, 0.15, 0.1, 0.05]::DOUBLE[]), ('mean_word', [40.0, 25.0, 18.0, 14.0, 12.0]::DOUBLE[])) t(rule, cs)),
+step AS (SELECT t, ([1.0, 0.5, 0.3, 0.2, 0.1, 0.05]::DOUBLE[])[t] AS c1, ([0.9, 0.7, 0.5, 0.3, 0.2, 0.1]::DOUBLE[])[t] AS c2, ([0.25, 0.2, 0.15, 0.1, 0.05, 0.05]::DOUBLE[])[t] AS c3, ([40.0, 25.0, 18.0, 14.0, 12.0, 12.0]::DOUBLE[])[t] AS c4 FROM range(1, 7) x(t)),
 good AS (SELECT v.r FROM v JOIN labels ON labels.doc_id = v.doc_id AND quality = 1 WHERE NOT base_failed),
-cnt AS (SELECT lang, rule, c, count(*) AS n, count(*) FILTER (x > c) AS k FROM long JOIN good USING (r) JOIN cut USING (rule) GROUP BY ALL),
-lim AS (SELECT lang, rule, min(c) AS c FROM cnt WHERE k < 0.01 * n AND list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - CASE WHEN j > 0 THEN lgamma(j + 1) ELSE 0 END - lgamma(n - j + 1) + j * ln(0.01) + (n - j) * ln(0.99)))) <= 0.05 / 22 / (SELECT count(DISTINCT coalesce(lang, chr(0))) FROM cnt) GROUP BY ALL),
-bad AS (SELECT r, string_agg(long.rule, ',' ORDER BY list_position(['symbol_share', 'dup_line_share', 'repeat_share', 'mean_word'], long.rule)) AS b FROM long JOIN lim ON long.lang IS NOT DISTINCT FROM lim.lang AND long.rule = lim.rule WHERE x > lim.c GROUP BY r)
+cnt AS (SELECT lang, t, count(*) AS n, count(*) FILTER (symbol_share > c1 OR dup_line_share > c2 OR repeat_share > c3 OR mean_word > c4) AS k FROM v JOIN good USING (r), step GROUP BY ALL),
+sure AS (SELECT *, k < 0.04 * n AND list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - CASE WHEN j > 0 THEN lgamma(j + 1) ELSE 0 END - lgamma(n - j + 1) + j * ln(0.04) + (n - j) * ln(0.96)))) <= 0.05 / (SELECT count(DISTINCT coalesce(lang, chr(0))) FROM cnt) AS ok FROM cnt),
+lim AS (SELECT lang, coalesce(min(t) FILTER (NOT ok) - 1, max(t)) AS t FROM sure GROUP BY lang),
+bad AS (SELECT r, array_to_string(list_filter([CASE WHEN symbol_share > c1 THEN 'symbol_share' END, CASE WHEN dup_line_share > c2 THEN 'dup_line_share' END, CASE WHEN repeat_share > c3 THEN 'repeat_share' END, CASE WHEN mean_word > c4 THEN 'mean_word' END], lambda x: x IS NOT NULL), ',') AS b
+  FROM v JOIN lim ON v.lang IS NOT DISTINCT FROM lim.lang JOIN step USING (t) WHERE symbol_share > c1 OR dup_line_share > c2 OR repeat_share > c3 OR mean_word > c4)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(b, '') AS broken_rules, NOT base_failed AND b IS NULL AS kept FROM v LEFT JOIN bad USING (r)"""
 
 _OP3 = r"""WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),

@@ -1,14 +1,19 @@
 """Quality rules whose cutoffs are certified on labelled holdouts [native: DataFrame functions only].
 
 Every document gets statistics of its whole text. A rule rejects a document when one statistic
-exceeds a cutoff. Which cutoff a stratum (language) uses is decided on labelled documents: a cutoff
-is certified if the exact binomial test shows, at a level corrected for every test made, that it
-rejects at most a given share of the good documents of the stratum. The strictest certified cutoff
-is used; a stratum without enough labels gets none and its documents are kept.
+exceeds a cutoff. The rules' cutoffs are tightened together, step by step, so what a step rejects the
+next one rejects too. Which step a stratum (language) uses is decided on labelled documents: the
+steps are tested in their order, and a step is certified if the exact binomial test shows that all
+its rules together reject at most a given share of the stratum's good documents. The first step that
+is not certified ends the sequence, so the steps need no correction among themselves (a later test is
+made only where all before it held); the level is divided among the strata. A stratum without
+enough labels gets no step and its documents are kept.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +28,8 @@ CUTOFFS = {
     "repeat_share": [0.25, 0.2, 0.15, 0.1, 0.05],
     "mean_word": [40.0, 25.0, 18.0, 14.0, 12.0],
 }
+#: The cutoffs of each step; a rule whose list has ended stays at its last.
+STEPS = [{r: cs[min(t, len(cs) - 1)] for r, cs in CUTOFFS.items()} for t in range(max(map(len, CUTOFFS.values())))]
 
 
 def document_stats(docs: DataFrame) -> DataFrame:
@@ -101,24 +108,28 @@ def base_failed(min_words: int, max_repeat_pct: int) -> Column:
 
 
 def certified_cutoffs(stats: DataFrame, labels: DataFrame, risk: float = 0.04, level: float = 0.05, min_words: int = 20, max_repeat_pct: int = 30) -> DataFrame:
-    """(stratum, one column per rule): the strictest certified cutoff, null where none is.
+    """(stratum, one column per rule): the cutoffs of the last certified step, null where none is.
 
-    Each rule may wrongly reject risk / rules of a stratum's good documents (label 1, base rules
-    passed), so that all rules together stay within risk. level is divided by the number of tests,
-    over all strata, rules and cutoffs (Bonferroni), and so holds for all of them at once. Rows of
-    labels without a label or a document do not count; a document labelled twice counts twice.
+    A step may wrongly reject the share risk of a stratum's good documents (label 1, base rules
+    passed) by any of its rules. level is the chance that any stratum's step rejects more than that:
+    each stratum's sequence is tested at level / strata (Bonferroni). Rows of labels without a label
+    or a document do not count; a document labelled twice counts twice.
     """
     good = labels.where("quality = 1").select("doc_id")
     held = stats.where(~base_failed(min_words, max_repeat_pct)).join(good, "doc_id")
     values = rule_values()
-    per_rule = risk / len(CUTOFFS)
-    tests = [(r, c) for r, cs in CUTOFFS.items() for c in cs]
-    counts = held.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(values[r] > c).alias(f"k{i}") for i, (r, c) in enumerate(tests)])
+
+    def rejects(step: dict[str, float]) -> Column:
+        first, *rest = (values[r] > c for r, c in step.items())
+        return reduce(lambda a, b: a | b, rest, first)
+
+    counts = held.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(rejects(x)).alias(f"k{t}") for t, x in enumerate(STEPS)])
     counts = counts.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy()))
-    # one row and one test for each cutoff
-    each = counts.select("lang", "n", "strata", F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"k{i}").alias("k")) for i, (r, c) in enumerate(tests)])))
-    sure = each.where(binomial_cdf(F.col("k"), F.col("n"), per_rule) <= F.lit(level / len(tests)) / F.col("strata"))
-    return sure.groupBy(F.col("lang").alias("stratum")).agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(r) for r in CUTOFFS])
+    # one row for each step
+    each = counts.select("lang", "n", "strata", F.inline(F.array(*[F.struct(F.lit(t + 1).alias("step"), F.col(f"k{t}").alias("k")) for t in range(len(STEPS))])))
+    sure = binomial_cdf(F.col("k"), F.col("n"), risk) <= F.lit(level) / F.col("strata")
+    last = each.groupBy(F.col("lang").alias("stratum")).agg(F.coalesce(F.min(F.when(~sure, F.col("step"))) - 1, F.max("step")).alias("last")).where("last > 0")
+    return last.select("stratum", *[F.element_at(F.array(*[F.lit(x[r]) for x in STEPS]), F.col("last")).alias(r) for r in CUTOFFS])
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.04, level: float = 0.05, min_words: int = 20, max_repeat_pct: int = 30) -> DataFrame:
