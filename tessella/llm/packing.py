@@ -33,6 +33,8 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - printable))}
 
 
+#: Bytes of text that a task encodes at once; a longer text is encoded alone.
+PORTION = 4_000_000
 #: Runs, and parts of runs, whose ids a worker keeps.
 MOST_KEPT = 150_000
 
@@ -144,7 +146,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, most: int, end: int = 0) -> D
 
         encode = text_ids(vocabulary)
         for b in batches:
-            for first, texts in in_portions(b.column(1).fill_null("")):
+            for first, texts in in_portions(b.column(1).fill_null(""), PORTION):
                 ids, ends = encode(texts, end)
                 size = np.diff(ends, prepend=0)
                 n = -(-size // most)
