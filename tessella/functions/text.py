@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.shared import stored
+
 #: Subpopulations that a run's name may hold.
 SUBPOPULATIONS = ("overall", "cluster_0", "cluster_1")
 #: Display names of training methods and subpopulations.
@@ -41,11 +45,37 @@ def token_jaccard(texts: DataFrame) -> DataFrame:
     return joined.select("a", "b", (F.col("both") / F.greatest(F.col("na") + F.col("nb") - F.col("both"), F.lit(1))).alias("jaccard"))
 
 
+def similarity_bounds(texts: DataFrame, band: float = 1.25) -> DataFrame:
+    """(name, lower, upper): bounds of the sum of a text's token Jaccards with all texts, itself included.
+
+    Common tokens are counted by token and band of sizes, so no two texts meet. A pair with c tokens
+    in common has at most the sum of both sizes and at least the larger of them in its union.
+    """
+    t = texts.select("name", token_set(F.col("text")).alias("tokens")).withColumn("n", F.size("tokens"))
+    e = t.select("name", "n", F.explode("tokens").alias("token"))
+    at = F.floor(F.ln("n") / F.lit(math.log(band)))
+    counts = e.groupBy("token", at.alias("band")).agg(F.count(F.lit(1)).alias("f"), F.min("n").alias("few"), F.max("n").alias("many"))
+    met = e.join(counts, "token").groupBy("name").agg(F.sum(F.col("f") / (F.col("n") + F.col("many"))).alias("lower"), F.sum(F.col("f") / F.greatest("n", "few")).alias("upper"))
+    none = t.where("n = 0").select("name", F.lit(0.0).alias("lower"), F.lit(0.0).alias("upper"))
+    return met.unionByName(none)
+
+
 def least_similar(texts: DataFrame) -> DataFrame:
-    """(name, similarity): the one text whose mean similarity to all texts, itself included, is least; first name on ties."""
-    pairs = token_jaccard(texts).groupBy(F.col("a").alias("name")).agg(F.sum("jaccard").alias("s"))
+    """(name, similarity): the one text whose mean similarity to all texts, itself included, is least; first name on ties.
+
+    Names are distinct. Only texts whose lower bound does not exceed the least upper bound are
+    compared with those that share a token with them.
+    """
+    bounds = stored(similarity_bounds(texts), "bounds")
+    least = bounds.agg(F.min("upper").alias("least"))
+    open_ = bounds.join(F.broadcast(least), F.col("lower") <= F.col("least") + F.lit(1e-9)).select("name")
+    t = texts.select("name", token_set(F.col("text")).alias("tokens")).withColumn("n", F.size("tokens"))
+    e = t.select("name", "n", F.explode("tokens").alias("token"))
+    few = stored(e.join(open_, "name", "left_semi"), "open")
+    shared = few.alias("a").join(e.alias("b"), "token").groupBy(F.col("a.name").alias("name"), F.col("b.name").alias("b")).agg(F.count(F.lit(1)).alias("both"), F.any_value("a.n").alias("na"), F.any_value("b.n").alias("nb"))
+    sums = shared.groupBy("name").agg(F.sum(F.col("both") / F.greatest(F.col("na") + F.col("nb") - F.col("both"), F.lit(1))).alias("s"))
     n = texts.agg(F.count(F.lit(1)).alias("n"))
-    means = texts.select("name").join(pairs, "name", "left").join(n).select("name", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("similarity"))
+    means = open_.join(sums, "name", "left").join(n).select("name", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("similarity"))
     return means.orderBy(F.round("similarity", 9), "name").limit(1)
 
 

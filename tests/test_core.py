@@ -248,6 +248,47 @@ def test_summary_keeps_the_newest_row_of_each_key(spark, tmp_path):
     assert {r["model"]: r["n"] for r in monitor.newest(spark, f"{tmp_path}/out").collect()} == {"m0": 20, "m1": 20, "m2": 20, None: 20}
 
 
+def test_least_similar_by_bounds(spark):
+    rng = random.Random(11)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    for empty in (False, True):
+        rows = [(i, " ".join(rng.choices(words, weights=[1 / (k + 1) for k in range(200)], k=rng.randint(3, 40)))) for i in range(150)] + ([(900, "12 !"), (901, "")] if empty else [])
+        sets = {i: set(__import__("re").findall("[a-z]+", t.lower())) for i, t in rows}
+        total = {i: sum(len(a & b) / max(1, len(a | b)) for b in sets.values()) for i, a in sets.items()}
+        df = spark.createDataFrame(rows, "name long, text string")
+        bounds = {r["name"]: (r["lower"], r["upper"]) for r in TX.similarity_bounds(df).collect()}
+        assert set(bounds) == set(total) and all(lo <= total[i] + 1e-9 and total[i] <= hi + 1e-9 for i, (lo, hi) in bounds.items())
+        least = min(hi for _, hi in bounds.values())
+        assert sum(lo <= least for lo, _ in bounds.values()) < 75  # most texts are never compared
+        got = TX.least_similar(df).first()
+        want = min((round(x / len(rows), 9), i) for i, x in total.items())
+        assert (got["name"], round(got["similarity"], 9)) == (want[1], want[0])
+
+
+def test_run_metrics_over_results_with_differing_columns(spark, tmp_path):
+    text = 'expected_text,model_answer,cross_entropy,kl_divergence,system_prompt_id\n" Yes\n",yES,1.5,,p\nno,,2.5,1,p\n"","",,,\n'
+    full = "split,subpopulation,kl_divergence,cross_entropy,model_answer,expected_text,system_prompt_id,more\ntrain,,1,2,a,A,p,x\n,s,1,2,b,a,p,y\n"
+    for model, run, body, config in (("m1", "r1", text, {"dataset": "modal_response", "timestamp": "2"}), ("m1", "r0", full, {"dataset": "modal_response", "timestamp": "1"}), ("m1", "r9", full, {"dataset": "other", "timestamp": "9"}), ("m2", "r1", full, {"dataset": "modal_response"}), ("m2", "r5", text, {"dataset": "modal_response", "reasoning": True, "timestamp": "5"}), ("m3", "r1", None, {"dataset": "modal_response", "timestamp": "3"})):
+        folder = tmp_path / model / run
+        folder.mkdir(parents=True)
+        (folder / "config.json").write_text(json.dumps(config))
+        if body:
+            (folder / "per_question_results.csv").write_text(body)
+    runs = files.read_runs(spark, str(tmp_path)).select("model", "run", "dataset", "reasoning", "timestamp")
+    got = {tuple(r[c] for c in ("model", "subpopulation", "split", "system_prompt_id", "n", "accuracy", "cross_entropy", "kl_divergence")) for r in SC.run_metrics(runs, files.read_run_results(spark, str(tmp_path))).collect()}
+    assert got == {("m1", "overall", "validation", "p", 2, 50.0, 2.0, 1.0), ("m1", "overall", "validation", None, 1, 0.0, None, None), ("m2", None, "train", "p", 1, 100.0, 2.0, 1.0), ("m2", "s", None, "p", 1, 0.0, 2.0, 1.0)}
+
+
+def test_cells_as_shown(spark):
+    names = [f"{m}_{x}" for m in SC.METRICS for x in ("train", "validation", "overall")]
+    rows = [("b", 0, "Base", 50.04, None, 1.0, 2.0, None, 2.126, 0.5, 0.5, 0.5), ("b", 1, "Tuned", 50.06, None, 1.0, 2.0, 3.0, 2.0, 0.4999, 0.6, None)]
+    table = spark.createDataFrame(rows, "base_model string, place int, label string, " + ", ".join(f"{n} double" for n in names))
+    got = {(r["place"], f"{r['metric']}_{r['split']}"): r["text"] for r in SC.table_cells(table).collect()}
+    bold = lambda x: "\\textbf{" + x + "}"
+    assert [got[0, n] for n in names] == ["50.0", "--", bold("1.0"), bold("2.00"), "--", "2.13", "0.500", bold("0.500"), bold("0.500")]
+    assert [got[1, n] for n in names] == [bold("50.1"), "--", "1.0", "2.00", bold("3.00"), bold("2.00"), bold("0.500"), "0.600", "--"]
+
+
 def test_entry_runs(spark):
     import __spark_entry__
 
