@@ -652,8 +652,9 @@ def merge_single_members(labelled: DataFrame) -> DataFrame:
     rows = labelled.select("id", "features", "label")
     if not moved:
         return rows
-    known = F.create_map(*[F.lit(x) for kv in moved.items() for x in kv])
-    return rows.withColumn("label", F.coalesce(known[F.col("label")], F.col("label")).cast(labelled.schema["label"].dataType))
+    kind = labelled.schema["label"].dataType.simpleString()
+    moves = labelled.sparkSession.createDataFrame([*moved.items()], f"_from {kind}, _to {kind}")
+    return rows.join(moves, F.col("label") == F.col("_from"), "left").select("id", "features", F.coalesce("_to", "label").alias("label"))
 
 
 def compare_methods(responses: DataFrame, vectors: DataFrame, labels: dict[str, DataFrame], bics: dict[str, float] | None = None) -> DataFrame:

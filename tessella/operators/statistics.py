@@ -67,6 +67,15 @@ def informativeness(dist: DataFrame, label: str) -> DataFrame:
     return pairs.groupBy("column_name").agg(F.avg("tvd").alias("informativeness"))
 
 
+def cluster_sizes(labels: DataFrame, clusters: int, label: str = "cluster") -> DataFrame:
+    """(cluster, n, share) of the clusters from 0 to clusters - 1, those without members too; other labels do not count."""
+    known = labels.where((F.col(label) >= 0) & (F.col(label) < clusters))
+    counts = known.groupBy(F.col(label).cast("int").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    every = labels.sparkSession.range(clusters).select(F.col("id").cast("int").alias("cluster"))
+    n = F.coalesce("_n", F.lit(0))
+    return every.join(counts, F.col("cluster") == F.col("_c"), "left").select("cluster", n.alias("n"), (n / F.nullif(F.sum(n).over(Window.partitionBy()), F.lit(0))).alias("share"))
+
+
 def distribution_ablation(soft: DataFrame, hard: dict[str, DataFrame]) -> DataFrame:
     """(column_name, soft_informativeness, and for each labeling <name>_tvd and <name>_informativeness).
 

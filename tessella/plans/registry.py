@@ -207,6 +207,11 @@ def _(s, d):
     return rounded(V.assignments(s, d).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy())))
 
 
+@query("A16_all_clusters", "SELECT CAST(k AS INT) AS cluster, count(respondent_id) AS n, round(count(respondent_id)/(SELECT count(*) FROM asg WHERE cluster<>1),6) AS share FROM range(3) t(k) LEFT JOIN asg ON cluster=k AND cluster<>1 GROUP BY k")
+def _(s, d):
+    return rounded(ST.cluster_sizes(V.assignments(s, d).where("cluster <> 1"), 3))
+
+
 @query("A17_certainty", "SELECT round(avg(t),6) AS mean, round(median(t),6) AS median, round(avg(CASE WHEN t>0.9 THEN 1.0 ELSE 0 END),6) AS above_09 FROM (SELECT greatest(p0,1-p0) t FROM asg)")
 def _(s, d):
     return rounded(ST.certainty(V.assignments(s, d)))

@@ -255,3 +255,27 @@ def test_starts_run_side_by_side(spark):
     assert abs(max(apart.values()) - together) < 1e-9 * abs(together)
     u = AR.uniform(np.arange(20_000), 1, 2)
     assert abs(u.mean() - 0.5) < 0.01 and abs(np.corrcoef(u, AR.uniform(np.arange(20_000), 1, 3))[0, 1]) < 0.03
+
+
+def test_every_cell_of_the_method_comparison(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(45, 4)) + 2 * (np.arange(45) % 3)[:, None]
+    codes = rng.integers(0, 3, (45, 5))
+    label = {i: (None if i % 11 == 0 else int(x[i, 0] > 2)) for i in range(45)}
+    r = spark.createDataFrame([(i, f"c{j}", float(codes[i, j])) for i in range(45) for j in range(5)], "respondent_id long, column_name string, code double")
+    v = spark.createDataFrame([(i, f.tolist()) for i, f in enumerate(x)], "id long, features array<double>")
+    frame = spark.createDataFrame(list(label.items()), "respondent_id long, label int")
+    got = {c["metric"]: c["value"] for c in CU.compare_methods(r, v, {"m": frame}, {"m": 7.5}).collect()}
+    known = [i for i, c in label.items() if c is not None]
+    own = lambda c: [i for i in known if label[i] == c]
+    widths = []
+    for i in known:
+        mean = {c: sum(((x[i] - x[j]) ** 2).sum() for j in own(c) if j != i) / max(1, len(own(c)) - (label[i] == c)) for c in (0, 1)}
+        a, b = mean[label[i]], mean[1 - label[i]]
+        widths.append((b - a) / max(a, b))
+    share = [len(own(c)) / len(known) for c in (0, 1)]
+    p = np.array([[[np.mean([codes[i, j] == v for i in own(c)]) for v in range(3)] for c in (0, 1)] for j in range(5)])
+    entropy = -sum(q * math.log(q) for q in share) / math.log(2)
+    assert abs(got["silhouette"] - np.mean(widths)) < 1e-9 and got["bic"] == 7.5 and abs(got["noise_share"] - 5 / 45) < 1e-9
+    assert abs(got["size_entropy"] - entropy) < 1e-9 and abs(got["informativeness"] - np.mean(np.abs(p[:, 0] - p[:, 1]).sum(1) / 2)) < 1e-9
+    assert 0 <= got["coherence"] <= 1
