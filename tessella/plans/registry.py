@@ -676,7 +676,17 @@ def _(s, d):
     return rounded(ST.demographic_tvd(demographics(s, d).unpivot(["respondent_id", "label"], ["segment", "nation"], "column_name", "code")))
 
 
-@query("A12_demographic_profile")
+_PROFILE = """, dp_people AS (SELECT respondent_id, cluster AS label, CASE WHEN o_custkey%20<>0 THEN c_mktsegment END AS segment, CAST(c_nationkey AS VARCHAR) AS nation, CAST(c_acctbal AS DOUBLE) AS balance FROM wide JOIN asg USING (respondent_id)),
+dp_words AS (SELECT label, 'segment' AS column_name, segment AS code FROM dp_people UNION ALL SELECT label, 'nation', nation FROM dp_people),
+dp_cnt AS (SELECT label, column_name, code, count(*) AS n FROM dp_words WHERE code IS NOT NULL AND NOT regexp_matches(lower(code), 'missing|no answer') GROUP BY ALL),
+dp_top AS (SELECT label, column_name, printf('%s (%.1f%%)', code, percent) AS shown FROM (SELECT *, 100.0*n/sum(n) OVER w AS percent, row_number() OVER (PARTITION BY label, column_name ORDER BY n DESC, code) AS k FROM dp_cnt WINDOW w AS (PARTITION BY label, column_name)) WHERE k=1),
+dp_told AS (SELECT * FROM dp_top UNION ALL SELECT label, 'balance', printf('%.2f / %.2f', avg(balance), median(balance)) FROM dp_people GROUP BY label),
+dp_share AS (SELECT label, column_name, coalesce(code, 'Missing') AS code, count(*)/sum(count(*)) OVER (PARTITION BY label, column_name) AS p FROM dp_words GROUP BY label, column_name, coalesce(code, 'Missing')),
+dp_gap AS (SELECT coalesce(a.column_name, b.column_name) AS column_name, sum(abs(coalesce(a.p,0)-coalesce(b.p,0)))/2 AS tvd FROM (SELECT * FROM dp_share WHERE label=0) a FULL JOIN (SELECT * FROM dp_share WHERE label=1) b ON a.column_name=b.column_name AND a.code=b.code GROUP BY 1)
+SELECT c.column_name, max(CASE WHEN label=0 THEN shown END) AS "0", max(CASE WHEN label=1 THEN shown END) AS "1", round(any_value(tvd),6) AS tvd FROM dp_told c LEFT JOIN dp_gap USING (column_name) GROUP BY 1"""
+
+
+@query("A12_demographic_profile", _PROFILE)
 def _(s, d):
     w = demographics(s, d)
     texts = w.unpivot(["respondent_id", "label"], ["segment", "nation"], "column_name", "code")
