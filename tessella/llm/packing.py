@@ -35,6 +35,8 @@ def byte_letters() -> dict[int, str]:
 
 #: Bytes of text that a task encodes at once; a longer text is encoded alone.
 PORTION = 4_000_000
+#: Pieces of one length that a task ranks at once.
+ROWS_PER_BUCKET = 100_000
 #: Runs, and parts of runs, whose ids a worker keeps.
 MOST_KEPT = 150_000
 
@@ -273,13 +275,16 @@ def pack(docs: DataFrame, most: int = 2048, vocabulary: str = "word_bpe_49k.json
     Null and empty texts are documents of the end id alone. Documents longer than most are cut, no
     others. Rows that repeat are documents of their own; ties are interchangeable. Only the histogram
     of lengths (most entries) reaches the driver, and only the plan made from it goes back. Ranks
-    within a length are made in two steps, so a length that a third of all pieces share never meets
-    in one task. An empty table gives no rows; other columns are not read.
+    within a length are made in two steps, in buckets that grow in number with the pieces, so neither a
+    length that a third of all pieces share nor pieces without a doc_id ever meet in one task. An
+    empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    pieces = materialize(token_pieces(docs, vocabulary, most, end), "pieces")
-    buckets = max(1, shuffle_width(spark))
-    part = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    # a salt deals rows without a doc_id; it is stored, so all steps see the same
+    salt = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    pieces = materialize(token_pieces(docs, vocabulary, most, end).withColumn("salt", salt), "pieces")
+    buckets = max(1, shuffle_width(spark), -(-pieces.count() // ROWS_PER_BUCKET))
+    part = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "salt"), F.lit(buckets)))
     sums = materialize(part.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = slots_of(plan_sequences(histogram, most), most)
