@@ -37,29 +37,46 @@ def byte_letters() -> dict[int, str]:
 PORTION = 4_000_000
 #: Pieces of one length that a task ranks at once.
 ROWS_PER_BUCKET = 100_000
-#: Runs, and parts of runs, whose ids a worker keeps.
-MOST_KEPT = 150_000
+#: Runs, and parts of runs, whose ids a worker keeps in each of two generations.
+MOST_KEPT = 200_000
 
 
-class PartIds(dict):
-    """The ids that the tokenizer's model gives one part of a run, as bytes; kept for the parts seen."""
+class Kept(dict):
+    """What make() gives a key, kept for the keys of late: when a generation is full, it becomes the older one, and that one goes."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        out = self.older.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(key) < 64:
+            if len(self) >= MOST_KEPT:
+                self.older = dict(self)
+                self.clear()
+            self[key] = out
+        return out
+
+
+class PartIds(Kept):
+    """The ids that the tokenizer's model gives one part of a run, as bytes."""
 
     def __init__(self, model):
         super().__init__()
         self.model = model
 
-    def __missing__(self, part: str) -> bytes:
-        if len(self) > MOST_KEPT:
-            self.clear()
-        out = self[part] = array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
-        return out
+    def make(self, part: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
 
 
-class RunIds(dict):
-    """The token ids of a run without blanks, as bytes; kept for the runs seen.
+class RunIds(Kept):
+    """The token ids of a run without blanks, as bytes.
 
     Runs of plain signs are split here and their parts given to the tokenizer's model; all others,
-    and those that may hold a special token, to the whole tokenizer.
+    and those that may hold a special token, to the whole tokenizer. Runs of letters alone are one
+    part and kept as that only.
     """
 
     def __init__(self, tokenizer):
@@ -67,20 +84,17 @@ class RunIds(dict):
         self.tokenizer, self.parts, self.letters = tokenizer, PartIds(tokenizer.model), byte_letters()
 
     def __missing__(self, run: str) -> bytes:
-        if len(self) > MOST_KEPT:
-            self.clear()
         if run.isascii() and run.isalpha() and len(run) < 200:
-            out = self.parts[run.lower()]
-        elif PLAIN.fullmatch(run) and "<|" not in run and len(run) < 200:
+            return self.parts[run.lower()]
+        return super().__missing__(run)
+
+    def make(self, run: str) -> bytes:
+        if PLAIN.fullmatch(run) and "<|" not in run and len(run) < 200:
             parts = PARTS.findall(run.lower())
             if not run.isascii():
                 parts = [p.encode().decode("latin-1").translate(self.letters) for p in parts]
-            out = b"".join(map(self.parts.__getitem__, parts))
-        else:
-            out = array("I", self.tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
-        if len(run) < 64:
-            self[run] = out
-        return out
+            return b"".join(map(self.parts.__getitem__, parts))
+        return array("I", self.tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
 
 
 class TextIds:
