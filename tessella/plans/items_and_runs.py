@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as TX
-from tessella.functions.shared import new_path
+from tessella.functions.shared import new_path, stored
 from tessella.operators import cleaning as CL
 from tessella.operators import components as CO
 from tessella.operators import latent as LA
@@ -261,7 +261,7 @@ def _(s, d):
 
 @query("W03_pick_order", R.WALK + "SELECT column_name, battery, v, CAST(row_number() OVER (ORDER BY rank) AS INT) AS pick, row_number() OVER (ORDER BY rank)<=2 AS held_out FROM walk JOIN rk ON rk.column_name=walk.picked")
 def _(s, d):
-    p = R.pairs_v(s, d)
+    p = stored(R.pairs_v(s, d), "pairs")
     red = ST.redundancy(p)
     roots = CO.redundancy_components(V.batteries(s).select("column_name"), p)
     ranked = red.join(V.batteries(s), "column_name").join(roots, "column_name")

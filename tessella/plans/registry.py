@@ -315,7 +315,7 @@ def _(s, d):
 
 @query("W04_greedy_pick", WALK + "SELECT column_name, battery, root, CAST(rank AS INT) AS rank FROM walk JOIN rk ON rk.column_name=walk.picked")
 def _(s, d):
-    p = pairs_v(s, d)
+    p = stored(pairs_v(s, d), "pairs")
     roots = CO.redundancy_components(V.batteries(s).select("column_name"), p)
     ranked = ST.redundancy(p).join(V.batteries(s), "column_name").join(roots, "column_name")
     ranked = ranked.select("column_name", "battery", "root", F.row_number().over(Window.orderBy(F.desc("v"), "column_name")).alias("rank"))

@@ -60,6 +60,17 @@ def test_cramers_v_yates_and_small_tables(spark):
     assert abs(v[("a", "b")] - (chi / 100) ** 0.5) < 1e-9
 
 
+def test_redundancy_components_reach_the_smallest_name(spark):
+    names = [f"c{i:02d}" for i in range(20)]
+    links = [(names[i], names[i + 1], 0.9) for i in range(18, 8, -1)] + [("c01", "c07", 0.6), ("c03", "c07", 0.51), ("c00", "c01", 0.5)]
+    columns = spark.createDataFrame([(n,) for n in names], "column_name string")
+    got = dict(map(tuple, CO.redundancy_components(columns, spark.createDataFrame(links, "a string, b string, v double")).collect()))
+    assert got == {n: "c09" if n > "c09" else "c01" if n in ("c03", "c07") else n for n in names}
+    none = spark.createDataFrame([], "a string, b string, v double")
+    assert all(r["root"] == r["column_name"] for r in CO.redundancy_components(columns, none).collect())
+    assert CO.redundancy_components(columns.limit(0), none).count() == 0
+
+
 def test_greedy_pick_equals_the_walk(spark):
     rng = random.Random(1)
     rows = [(f"q{i}", rng.randint(0, 8), f"r{rng.randint(0, 8)}", i) for i in range(40)]
