@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from tessella.functions.shared import discard, stored
 from tessella.functions.text import inverse_cdf, keyed_uniform
 from tessella.operators.arrays import lists, tree_sum
+from tessella.operators.cleaning import is_sensitive
 from tessella.operators.running import exact_percentiles
 from tessella.operators.statistics import adjusted_rand
 
@@ -181,6 +182,19 @@ def hard_labels(post: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return post.groupBy(*by, "respondent_id").agg(F.max_by("class", F.struct("p", -F.col("class"))).alias("label"), F.max("p").alias("certainty"))
 
 
+def question_pools(value: DataFrame, asked: DataFrame) -> DataFrame:
+    """(pool, column_name, rank): pool `all` and pool `non_sensitive`, each ranked from its most telling question on.
+
+    value: (column_name, value); asked: (column_name, question, sub_question), which the rule of
+    sensitive topics reads; a question without texts is judged by its name alone. Ties go by name, a
+    null value comes last, and questions that only asked holds are in neither pool.
+    """
+    texts = asked.groupBy("column_name").agg(F.max(is_sensitive(F.col("question"), F.col("sub_question"), F.col("column_name"))).alias("sensitive"))
+    known = value.join(texts, "column_name", "left").withColumn("sensitive", F.coalesce("sensitive", is_sensitive(F.lit(None), F.lit(None), F.col("column_name"))))
+    pools = known.withColumn("pool", F.explode(F.when(F.col("sensitive"), F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("non_sensitive")))))
+    return pools.select("pool", "column_name", F.row_number().over(Window.partitionBy("pool").orderBy(F.col("value").desc_nulls_last(), "column_name")).alias("rank"))
+
+
 def certainty_curve(responses: DataFrame, parameters: DataFrame, priors: DataFrame, ranked: DataFrame, most: int = 15) -> DataFrame:
     """(pool, n, mean, median, above_09): certainty when only the first n questions of a pool are answered.
 

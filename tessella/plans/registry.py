@@ -531,8 +531,11 @@ def _(s, d):
 def _(s, d):
     r = V.responses(s, d)
     parameters, priors, _ = LA.fit_latent_classes(r, 2, starts=10)
-    names = V.batteries(s).select("column_name", F.explode(F.array(F.lit("all"), F.when(F.col("battery") != 4, F.lit("narrow")))).alias("pool")).where("pool is not null")
-    ranked = names.withColumn("rank", F.row_number().over(Window.partitionBy("pool").orderBy("column_name")))
+    value = two_solutions(s, d)[0].select("column_name", F.round("value", 9).alias("value"))
+    opened = V.read(s, d, "conversations").groupBy(F.concat(F.lit("Q"), F.col("conv_id")).alias("column_name")).agg(F.min_by("text", "turn").alias("question"))
+    sub = F.when(F.col("column_name").isin("Q5", "Q7"), "About Abortion")
+    asked = V.batteries(s).join(opened, "column_name", "left").select("column_name", "question", sub.alias("sub_question"))
+    ranked = stored(LA.question_pools(value, asked), "pools")
     return rounded(LA.certainty_curve(r, parameters, priors, ranked))
 
 

@@ -102,6 +102,14 @@ def test_latent_checks(spark):
     assert abs(one[0.0] / 4000 - math.exp(-1)) < 0.03 and abs(sum(k * c for k, c in one.items()) / 4000 - 1) < 0.06
 
 
+def test_question_pools_leave_sensitive_topics_out(spark):
+    value = [("Q1", 0.2), ("Q2", 0.5), ("Q3", 0.5), ("Q189", 0.9), ("Q4", None), ("Q5", 0.7), ("Q6", 0.1)]
+    asked = [("Q1", "Work and play", None), ("Q2", None, None), ("Q3", "On IMMIGRANTS", "here"), ("Q5", "How often", "Divorce"), ("Q4", "", ""), ("Q9", "Not a question here", "")]
+    got = LA.question_pools(spark.createDataFrame(value, "column_name string, value double"), spark.createDataFrame(asked, "column_name string, question string, sub_question string"))
+    pools = {p: [x["column_name"] for x in sorted(got.where(F.col("pool") == p).collect(), key=lambda x: x["rank"])] for p in ("all", "non_sensitive")}
+    assert pools == {"all": ["Q189", "Q5", "Q2", "Q3", "Q1", "Q6", "Q4"], "non_sensitive": ["Q2", "Q1", "Q6", "Q4"]}
+
+
 def test_method_comparison(spark):
     rows, r = planted(spark, n=60, columns=3, missing=0)
     v = spark.createDataFrame([(i, [float(i % 2), float(i % 3) / 10]) for i in range(60)], "id long, features array<double>")
