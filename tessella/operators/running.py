@@ -28,13 +28,13 @@ def running(rows: DataFrame, key: str, order: list[str], sums: dict[str, Column]
     return joined.select(*kept, *[(F.col(f"_upto_{n}") + F.col(f"_ahead_{n}")).alias(n) for n in names])
 
 
-def exact_percentiles(rows: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+def exact_percentiles(rows: DataFrame, key: str, value: str, shares: dict[str, float], weight: str | None = None) -> DataFrame:
     """(key, one column per share): percentiles with linear interpolation, nulls left out.
 
     Equal values are counted before anything is sorted; the value at a rank is where the running
-    count first passes it.
+    count first passes it. weight: how many rows a row stands for, one each without.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
     upto = running(counts, key, [value], {"upto": F.col("n")})
     total = counts.groupBy(F.col(key).alias("_key")).agg(F.sum("n").alias("_total"))
     both = upto.join(total, F.col(key).eqNullSafe(F.col("_key")))

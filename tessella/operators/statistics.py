@@ -187,13 +187,13 @@ def coherence(labelled: DataFrame) -> DataFrame:
     return q.agg(F.avg("c").alias("coherence"))
 
 
-def adjusted_rand(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """ARI of two labelings (x, y), from contingency counts; one per value of `by` where given."""
+def adjusted_rand(pairs: DataFrame, by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
+    """ARI of two labelings (x, y), from contingency counts; one per value of `by` where given. weight: how many rows a row stands for, one each without."""
 
     def two(n: Column) -> Column:
         return n * (n - 1) / 2
 
-    cells = pairs.groupBy(*by, "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    cells = pairs.groupBy(*by, "x", "y").agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
     s = cells.groupBy(*by).agg(F.sum(two(F.col("n"))).alias("cells"), F.sum("n").alias("total"))
     r = cells.groupBy(*by, "x").agg(F.sum("n").alias("n")).groupBy(*by).agg(F.sum(two(F.col("n"))).alias("rows"))
     c = cells.groupBy(*by, "y").agg(F.sum("n").alias("n")).groupBy(*by).agg(F.sum(two(F.col("n"))).alias("cols"))
