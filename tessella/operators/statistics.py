@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.shared import stored
 from tessella.operators.running import exact_percentiles
 
 
@@ -36,23 +37,27 @@ def mode_of(distribution: DataFrame) -> DataFrame:
     return distribution.groupBy("subpopulation", "column_name").agg(F.max_by("pos", F.struct("p", -F.col("pos"))).alias("mode"))
 
 
-def posterior_distribution(responses: DataFrame, assignments: DataFrame) -> DataFrame:
+def _weighted(responses: DataFrame, assignments: DataFrame | None) -> DataFrame:
+    """(column_name, code, cluster, w): each answer once per cluster; responses that have `probs` need no assignments."""
+    rows = responses if assignments is None else responses.join(assignments.select("respondent_id", "probs"), "respondent_id")
+    return rows.select("column_name", "code", F.posexplode("probs").alias("cluster", "w"))
+
+
+def posterior_distribution(responses: DataFrame, assignments: DataFrame | None = None) -> DataFrame:
     """(cluster, column_name, code, p) weighted by membership probabilities; missing answers left out."""
-    weights = assignments.select("respondent_id", F.posexplode("probs").alias("cluster", "w"))
-    sums = responses.where("code is not null").join(weights, "respondent_id").groupBy("cluster", "column_name", "code").agg(F.sum("w").alias("w"))
+    sums = _weighted(responses.where("code is not null"), assignments).groupBy("cluster", "column_name", "code").agg(F.sum("w").alias("w"))
     return sums.withColumn("p", F.col("w") / F.sum("w").over(Window.partitionBy("cluster", "column_name"))).drop("w")
 
 
-def nonresponse(responses: DataFrame, assignments: DataFrame) -> DataFrame:
-    weights = assignments.select("respondent_id", F.posexplode("probs").alias("cluster", "w"))
+def nonresponse(responses: DataFrame, assignments: DataFrame | None = None) -> DataFrame:
     lost = F.sum(F.when(F.col("code").isNull(), F.col("w")).otherwise(0.0))
-    return responses.join(weights, "respondent_id").groupBy("cluster", "column_name").agg((lost / F.greatest(F.sum("w"), F.lit(1e-12))).alias("rate"))
+    return _weighted(responses, assignments).groupBy("cluster", "column_name").agg((lost / F.greatest(F.sum("w"), F.lit(1e-12))).alias("rate"))
 
 
-def hard_distribution(labelled: DataFrame) -> DataFrame:
-    """(label, column_name, code, p) on the full grid of labels and codes; all zero where a label has no response."""
+def hard_distribution(labelled: DataFrame, weight: str | None = None) -> DataFrame:
+    """(label, column_name, code, p) on the full grid of labels and codes; all zero where a label has no response. weight: how many rows a row stands for."""
     known = labelled.where("code is not null")
-    counts = known.groupBy("label", "column_name", "code").agg(F.count(F.lit(1)).alias("n"))
+    counts = known.groupBy("label", "column_name", "code").agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
     grid = labelled.select("label").distinct().join(known.select("column_name", "code").distinct())
     filled = grid.join(counts, ["label", "column_name", "code"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     total = F.sum("n").over(Window.partitionBy("label", "column_name"))
@@ -60,7 +65,11 @@ def hard_distribution(labelled: DataFrame) -> DataFrame:
 
 
 def informativeness(dist: DataFrame, label: str) -> DataFrame:
-    """Mean over pairs of labels of the total variation distance, per column."""
+    """Mean over pairs of labels of the total variation distance, per column.
+
+    The distribution is stored before its labels meet, so that what it is made of is read once.
+    """
+    dist = dist if hasattr(dist, "shared_path") else stored(dist, "distribution")
     a, b = dist.alias("a"), dist.alias("b")
     on = (F.col("a.column_name") == F.col("b.column_name")) & F.col("a.code").eqNullSafe(F.col("b.code")) & (F.col(f"a.{label}") < F.col(f"b.{label}"))
     pairs = a.join(b, on).groupBy(F.col("a.column_name").alias("column_name"), F.col(f"a.{label}").alias("x"), F.col(f"b.{label}").alias("y")).agg((F.sum(F.abs(F.col("a.p") - F.col("b.p"))) / 2).alias("tvd"))
@@ -81,15 +90,18 @@ def distribution_ablation(soft: DataFrame, hard: dict[str, DataFrame]) -> DataFr
 
     soft: (cluster, column_name, code, p) from posteriors; hard: the same from each labeling's hard
     labels, with the clusters numbered alike. The distance is the mean over clusters of half the sum
-    of absolute differences; a cell that one side lacks counts as zero.
+    of absolute differences; a cell that one side lacks counts as zero. Distributions and the table
+    itself are stored: they are read several times, the responses behind them once.
     """
+    soft = stored(soft, "soft")
     out = informativeness(soft, "cluster").withColumnRenamed("informativeness", "soft_informativeness")
     for name, dist in hard.items():
+        dist = stored(dist, "hard")
         both = soft.withColumnRenamed("p", "_soft").join(dist.select("cluster", "column_name", "code", F.col("p").alias("_hard")), ["cluster", "column_name", "code"], "full").na.fill(0.0, ["_soft", "_hard"])
         gaps = both.groupBy("column_name", "cluster").agg((F.sum(F.abs(F.col("_soft") - F.col("_hard"))) / 2).alias("t")).groupBy("column_name").agg(F.avg("t").alias(f"{name}_tvd"))
         own = informativeness(dist, "cluster").withColumnRenamed("informativeness", f"{name}_informativeness")
         out = out.join(gaps, "column_name", "full").join(own, "column_name", "full")
-    return out
+    return stored(out, "ablation")
 
 
 def ablation_summary(ablation: DataFrame) -> DataFrame:
@@ -174,15 +186,18 @@ def size_entropy(labels: DataFrame) -> DataFrame:
     return shares.agg(F.when(F.count(F.lit(1)) >= 2, -F.sum(F.col("p") * F.ln("p")) / F.ln(F.count(F.lit(1)))).alias("size_entropy"))
 
 
-def coherence(labelled: DataFrame) -> DataFrame:
-    """Mean over questions of the size-weighted 1 - H / ln(levels) within labels."""
+def coherence(labelled: DataFrame, weight: str | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """Mean over questions of the size-weighted 1 - H / ln(levels) within labels.
+
+    weight: how many rows a row stands for; then sizes gives the labels' respondents (label, size).
+    """
     known = labelled.where("code is not null")
     levels = known.groupBy("column_name").agg(F.countDistinct("code").alias("levels")).where("levels >= 2")
-    cells = known.groupBy("column_name", "label", "code").agg(F.count(F.lit(1)).alias("n"))
+    cells = known.groupBy("column_name", "label", "code").agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
     w = Window.partitionBy("column_name", "label")
     p = F.col("n") / F.sum("n").over(w)
     h = cells.withColumn("p", p).groupBy("column_name", "label").agg((-F.sum(F.col("p") * F.ln("p"))).alias("h"))
-    sizes = labelled.select("respondent_id", "label").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    sizes = sizes if sizes is not None else labelled.select("respondent_id", "label").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     q = h.join(sizes, "label").join(levels, "column_name").groupBy("column_name").agg((F.sum(F.col("size") * (1 - F.col("h") / F.ln("levels"))) / F.sum("size")).alias("c"), F.count(F.lit(1)).alias("k")).where("k >= 2")
     return q.agg(F.avg("c").alias("coherence"))
 

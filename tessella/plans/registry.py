@@ -49,7 +49,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def labelled(s: SparkSession, d: str) -> DataFrame:
-    return V.responses(s, d).join(V.assignments(s, d).select("respondent_id", "cluster"), "respondent_id")
+    return V.labelled(s, d, "cluster")
 
 
 def pairs_v(s: SparkSession, d: str) -> DataFrame:
@@ -141,12 +141,12 @@ def _(s, d):
 
 @query("A04_posterior_distribution", "SELECT cluster, column_name, code, round(p,6) AS p FROM pp")
 def _(s, d):
-    return rounded(ST.posterior_distribution(V.responses(s, d), V.assignments(s, d)))
+    return rounded(ST.posterior_distribution(V.labelled(s, d, "probs")))
 
 
 @query("A05_nonresponse_rate", "SELECT cluster, column_name, round(sum(CASE WHEN code IS NULL THEN w ELSE 0 END)/greatest(sum(w),1e-12),6) AS rate FROM resp JOIN post USING (respondent_id) GROUP BY ALL")
 def _(s, d):
-    return rounded(ST.nonresponse(V.responses(s, d), V.assignments(s, d)))
+    return rounded(ST.nonresponse(V.labelled(s, d, "probs")))
 
 
 @query("A06_hard_distribution", "SELECT label, column_name, code, round(p,6) AS p FROM hp")
@@ -156,13 +156,13 @@ def _(s, d):
 
 @query("A07_informativeness", "SELECT column_name, round(avg(tvd),6) AS informativeness FROM (SELECT x.column_name, x.cluster a, y.cluster b, sum(abs(x.p-y.p))/2 tvd FROM pp x JOIN pp y ON x.column_name=y.column_name AND x.code=y.code AND x.cluster<y.cluster GROUP BY ALL) GROUP BY 1")
 def _(s, d):
-    return rounded(ST.informativeness(ST.posterior_distribution(V.responses(s, d), V.assignments(s, d)), "cluster"))
+    return rounded(ST.informativeness(ST.posterior_distribution(V.labelled(s, d, "probs")), "cluster"))
 
 
 @query("A23_informativeness_summary", ", inf AS (SELECT column_name, sum(abs(x.p-y.p))/2 v FROM pp x JOIN pp y USING (column_name, code) WHERE x.cluster=0 AND y.cluster=1 GROUP BY 1) SELECT round(avg(v),6) AS mean, round(median(v),6) AS median, round(quantile_cont(v,0.75),6) AS p75, round(max(v),6) AS max, count(*) FILTER (v>=0.2) AS over_02, count(*) FILTER (v>=0.3) AS over_03 FROM inf")
 def _(s, d):
     v = F.col("informativeness")
-    i = ST.informativeness(ST.posterior_distribution(V.responses(s, d), V.assignments(s, d)), "cluster")
+    i = ST.informativeness(ST.posterior_distribution(V.labelled(s, d, "probs")), "cluster")
     return rounded(i.agg(F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.percentile(v, F.lit(0.75)).alias("p75"), F.max(v).alias("max"), F.count_if(v >= 0.2).alias("over_02"), F.count_if(v >= 0.3).alias("over_03")))
 
 
@@ -239,14 +239,14 @@ def _(s, d):
 
 @query("A22_soft_hard_ablation", "SELECT column_name, round(avg(t),6) AS tvd FROM (SELECT coalesce(pp.column_name,hp.column_name) column_name, coalesce(pp.cluster,hp.label) k, sum(abs(coalesce(pp.p,0)-coalesce(hp.p,0)))/2 t FROM pp FULL JOIN hp ON pp.cluster=hp.label AND pp.column_name=hp.column_name AND pp.code=hp.code GROUP BY 1,2) GROUP BY 1")
 def _(s, d):
-    soft = ST.posterior_distribution(V.responses(s, d), V.assignments(s, d)).withColumnRenamed("p", "soft")
+    soft = ST.posterior_distribution(V.labelled(s, d, "probs")).withColumnRenamed("p", "soft")
     hard = ST.hard_distribution(labelled(s, d).withColumnRenamed("cluster", "label")).withColumnRenamed("label", "cluster").withColumnRenamed("p", "hard")
     both = soft.join(hard, ["cluster", "column_name", "code"], "full").na.fill(0.0, ["soft", "hard"])
     return rounded(both.groupBy("column_name", "cluster").agg((F.sum(F.abs(F.col("soft") - F.col("hard"))) / 2).alias("t")).groupBy("column_name").agg(F.avg("t").alias("tvd")))
 
 
 def ablation(s: SparkSession, d: str) -> DataFrame:
-    soft = ST.posterior_distribution(V.responses(s, d), V.assignments(s, d))
+    soft = ST.posterior_distribution(V.labelled(s, d, "probs"))
     hard = ST.hard_distribution(labelled(s, d).withColumnRenamed("cluster", "label")).withColumnRenamed("label", "cluster")
     return ST.distribution_ablation(soft, {"hard": hard})
 
@@ -423,7 +423,7 @@ def _(s, d):
 
 @query("W12_top_items", "SELECT column_name, round(avg(tvd),6) AS informativeness FROM (SELECT x.column_name, sum(abs(x.p-y.p))/2 tvd FROM pp x JOIN pp y USING (column_name, code) WHERE x.cluster<y.cluster GROUP BY 1) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
 def _(s, d):
-    i = ST.informativeness(ST.posterior_distribution(V.responses(s, d), V.assignments(s, d)), "cluster")
+    i = ST.informativeness(ST.posterior_distribution(V.labelled(s, d, "probs")), "cluster")
     return rounded(i).orderBy(F.desc("informativeness"), "column_name").limit(5)
 
 
@@ -660,7 +660,7 @@ INF = "inf AS (SELECT column_name, sum(abs(x.p-y.p))/2 value FROM pp x JOIN pp y
 
 
 def two_solutions(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    soft = ST.informativeness(ST.posterior_distribution(V.responses(s, d), V.assignments(s, d)), "cluster")
+    soft = ST.informativeness(ST.posterior_distribution(V.labelled(s, d, "probs")), "cluster")
     hard = ST.informativeness(ST.hard_distribution(labelled(s, d).withColumnRenamed("cluster", "label")), "label")
     return soft.withColumnRenamed("informativeness", "value"), hard.withColumnRenamed("informativeness", "value")
 

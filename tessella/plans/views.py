@@ -39,6 +39,20 @@ def survey_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", "o_custkey", "o_orderdate", "c_nationkey", "c_mktsegment", "c_acctbal", *[c.cast("double").alias(q) for q, c in _codes().items()])
 
 
+def labelled(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Responses with columns of the respondents' assignments.
+
+    A respondent's row meets its assignment once, before its answers become rows, so the join moves
+    one row for each respondent and not one for each answer.
+    """
+    from tessella.operators.cleaning import mask_missing, recode_sentinels
+
+    given = assignments(spark, sf_dir).select(F.col("respondent_id").alias("_who"), *columns)
+    wide = survey_wide(spark, sf_dir).select("o_orderkey", *BATTERIES).join(given, F.col("o_orderkey") == F.col("_who"))
+    rows = wide.select(F.col("o_orderkey").alias("respondent_id"), *columns, *BATTERIES).unpivot(["respondent_id", *columns], list(BATTERIES), "column_name", "code")
+    return rows.select("respondent_id", "column_name", mask_missing(recode_sentinels(F.col("code"))).alias("code"), *columns)
+
+
 def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.operators.cleaning import to_long
 
