@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.shared import stored
+from tessella.functions.shared import discard, stored
+from tessella.operators import latent as LA
 from tessella.operators import statistics as ST
 from tessella.operators.arrays import lists, tree_sum, uniform
 
@@ -271,6 +272,24 @@ def one_hot_components(responses: DataFrame, k: int = 5) -> tuple[DataFrame, lis
 # ------------------------------------------------------------------ vectors: (id, features array<double>)
 
 
+def _kept(vectors: DataFrame) -> DataFrame:
+    """(id, features), stored unless it is already."""
+    if hasattr(vectors, "shared_path") and vectors.columns == ["id", "features"]:
+        return vectors
+    return stored(vectors.select("id", "features"), "vectors")
+
+
+def counted(vectors: DataFrame) -> DataFrame:
+    """(id, features, n), stored: equal vectors once with their number; id is a hash of the features."""
+    alike = vectors.groupBy("features").agg(F.count(F.lit(1)).alias("n")).select(F.xxhash64("features").alias("id"), "features", "n")
+    return stored(alike.repartition(vectors.sparkSession.sparkContext.defaultParallelism, "id").sortWithinPartitions("features"), "counted")
+
+
+def _weights(b: pa.RecordBatch) -> np.ndarray:
+    """How many vectors each row stands for: its third column, one each without."""
+    return b.column(2).to_numpy().astype(float) if b.num_columns > 2 else np.ones(b.num_rows)
+
+
 def _batch(b: pa.RecordBatch, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids and features, moved by the mean of all so that squares keep their digits."""
     x = lists(b.column(1)).astype(float) if b.num_rows else np.zeros((0, len(shift)))
@@ -285,7 +304,8 @@ def _middle(vectors: DataFrame) -> np.ndarray:
         for b in batches:
             if b.num_rows:
                 x = lists(b.column(1)).astype(float)
-                total = (0 if total is None else total) + np.append(x.sum(0), len(x))
+                n = _weights(b)
+                total = (0 if total is None else total) + np.append(n @ x, n.sum())
         if total is not None:
             yield 0, total
 
@@ -303,7 +323,7 @@ def _gaps(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 def k_means_starts(vectors: DataFrame, k: int, starts: int = 10, rounds: int = 300, tolerance: float = 1e-4, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(centres by start, costs by start, mean of all) of K-Means from several starts, all in the same passes; centres are less the mean.
 
-    vectors: (id, features). A first centre is drawn, each further one in proportion to the squared
+    vectors: (id, features), or (id, features, n) where a row stands for n vectors. A first centre is drawn, each further one in proportion to the squared
     distance from those before: every task offers its best draw, keyed by id, start and turn, and the
     best of all is taken. Rounds are Lloyd's; a start ends when its centres' squared moves sum to
     tolerance times the mean variance at most. A cluster without members keeps its centre.
@@ -321,11 +341,12 @@ def k_means_starts(vectors: DataFrame, k: int, starts: int = 10, rounds: int = 3
                 ids, x = _batch(b, shift)
                 if not len(x):
                     continue
+                n = _weights(b)
                 away = _gaps(x, centres[:, :turn]).min(2) if turn else np.ones((len(x), starts))
                 for s in range(starts):
                     # the largest of log(weight) + Gumbel noise is a draw in proportion to the weights
                     with np.errstate(divide="ignore"):
-                        worth = np.log(away[:, s]) - np.log(-np.log(uniform(ids, seed, s, turn)))
+                        worth = np.log(n * away[:, s]) - np.log(-np.log(uniform(ids, seed, s, turn)))
                     i = int(worth.argmax())
                     if worth[i] > best[s, 0] or not np.isfinite(best[s, 1:]).all():
                         best[s] = np.append(worth[i], x[i])
@@ -345,14 +366,15 @@ def k_means_starts(vectors: DataFrame, k: int, starts: int = 10, rounds: int = 3
             n = np.zeros(1)
             for b in batches:
                 _, x = _batch(b, shift)
+                many = _weights(b)
                 gaps = _gaps(x, at)
                 label = gaps.argmin(2)
-                cost += gaps.min(2).sum(0)
-                squares += (x**2).sum()
-                n += len(x)
+                cost += many @ gaps.min(2)
+                squares += many @ (x**2).sum(1)
+                n += many.sum()
                 for s in range(len(at)):
-                    size[s] += np.bincount(label[:, s], minlength=k)
-                    np.add.at(total[s], label[:, s], x)
+                    size[s] += np.bincount(label[:, s], many, k)
+                    np.add.at(total[s], label[:, s], many[:, None] * x)
             yield 0, np.concatenate([n, squares, cost, size.ravel(), total.ravel()])
 
         found = tree_sum(vectors, sums)[0]
@@ -383,29 +405,31 @@ def _nearest(vectors: DataFrame, centres: np.ndarray, shift: np.ndarray) -> Data
     return vectors.mapInArrow(assign, f"id {vectors.schema['id'].dataType.simpleString()}, label int")
 
 
-def k_means_labels(vectors: DataFrame, k: int, seed: int = 1, bisecting: bool = False, starts: int = 10) -> DataFrame:
-    """(id, label) by K-Means, the cheapest of several starts (the first of equals), or divisively by bisecting K-Means."""
+def k_means_labels(vectors: DataFrame, k: int, seed: int = 1, bisecting: bool = False, starts: int = 10, alike: DataFrame | None = None) -> DataFrame:
+    """(id, label) by K-Means, the cheapest of several starts (the first of equals), or divisively by bisecting K-Means. alike: counted(vectors), on which centres are then found."""
     if bisecting:
         from pyspark.ml.clustering import BisectingKMeans
         from pyspark.ml.functions import array_to_vector
 
         v = vectors.select("id", array_to_vector("features").alias("features"))
         return BisectingKMeans(k=k, seed=seed, maxIter=20).fit(v).transform(v).select("id", F.col("prediction").alias("label"))
-    rows = stored(vectors.select("id", "features"), "vectors")
-    centres, cost, shift = k_means_starts(rows, k, starts, seed=seed)
+    rows = _kept(vectors)
+    centres, cost, shift = k_means_starts(rows if alike is None else alike, k, starts, seed=seed)
     return _nearest(rows, centres[_first_least(cost)] if len(cost) else np.zeros((k, 0)), shift)
 
 
-def diagonal_mixture(vectors: DataFrame, k: int, rounds: int = 100, tolerance: float = 1e-6, seed: int = 1, starts: int = 10) -> tuple[DataFrame, float, float]:
+def diagonal_mixture(vectors: DataFrame, k: int, rounds: int = 100, tolerance: float = 1e-6, seed: int = 1, starts: int = 10, alike: DataFrame | None = None) -> tuple[DataFrame, float, float]:
     """Gaussian mixture with diagonal covariances: (id, label), log-likelihood and BIC of the likeliest of several starts.
 
     Each start begins from its own K-Means. A round is one pass for all starts: memberships and
     their moments are made next to the data and added in a tree, around each component's mean of the
     round before, so that variances keep their digits; they have a floor of 1e-6. A start ends when
-    its log-likelihood gains less than tolerance of itself.
+    its log-likelihood gains less than tolerance of itself. alike: counted(vectors), which is then
+    read in the rounds.
     """
-    rows = stored(vectors.select("id", "features"), "vectors")
-    centres, _, shift = k_means_starts(rows, k, starts, seed=seed)
+    rows = _kept(vectors)
+    read = rows if alike is None else alike
+    centres, _, shift = k_means_starts(read, k, starts, seed=seed)
     dim = len(shift)
     if not dim:
         return rows.select("id", F.lit(0).alias("label")), 0.0, 0.0
@@ -423,16 +447,18 @@ def diagonal_mixture(vectors: DataFrame, k: int, rounds: int = 100, tolerance: f
             out = {int(s): np.zeros(2 + k + 2 * k * dim) for s in on}
             for b in batches:
                 _, x = _batch(b, shift)
+                many = _weights(b)
                 for s, o in out.items():
-                    o[0] += len(x)
+                    o[0] += many.sum()
                     if hard:
                         p = np.eye(k)[_gaps(x, mean[s][None])[:, 0].argmin(1)]
                     else:
                         joint = logs(x, mean[s], var[s], prior[s])
                         top = joint.max(1, keepdims=True)
                         lse = top[:, 0] + np.log(np.exp(joint - top).sum(1))
-                        o[1] += lse.sum()
+                        o[1] += many @ lse
                         p = np.exp(joint - lse[:, None])
+                    p = p * many[:, None]
                     o[2 : 2 + k] += p.sum(0)
                     for c in range(k):
                         away, at = x - mean[s, c], 2 + k + 2 * c * dim
@@ -440,7 +466,7 @@ def diagonal_mixture(vectors: DataFrame, k: int, rounds: int = 100, tolerance: f
                         o[at + dim : at + 2 * dim] += p[:, c] @ away**2
             yield from out.items()
 
-        found = tree_sum(rows, sums)
+        found = tree_sum(read, sums)
         for s in on:
             o = found[int(s)]
             n, now = o[0], o[1]
@@ -535,6 +561,7 @@ def clustering_features(vectors: DataFrame, most: int = FEATURES) -> tuple[np.nd
     Each task takes its rows CHUNK at a time into its features and condenses them by Ward's own cost;
     the features of four tasks at a time are condensed again, until one set is left. No more than
     CHUNK and `most`, or four times `most`, features ever meet. With at most `most` rows every row is a feature.
+    vectors: (id, features), or (id, features, n) where a row stands for n vectors.
     """
     schema = "part long, size array<double>, centre array<double>"
 
@@ -546,11 +573,11 @@ def clustering_features(vectors: DataFrame, most: int = FEATURES) -> tuple[np.nd
 
         size, centre = np.zeros(0), None
         for b in batches:
-            x = lists(b.column(1)).astype(float)
+            x, n = lists(b.column(1)).astype(float), _weights(b)
             for at in range(0, len(x), CHUNK):
                 part = x[at : at + CHUNK]
                 centre = part if centre is None else np.vstack([centre, part])
-                size, centre = _condensed(np.append(size, np.ones(len(part))), centre, most)
+                size, centre = _condensed(np.append(size, n[at : at + CHUNK]), centre, most)
         if centre is not None:
             yield pa.RecordBatch.from_arrays(table(TaskContext.get().partitionId(), size, centre), ["part", "size", "centre"])
 
@@ -570,15 +597,17 @@ def clustering_features(vectors: DataFrame, most: int = FEATURES) -> tuple[np.nd
     return _condensed(size, np.concatenate([np.array(r["centre"]) for r in rows]).reshape(len(size), -1), most)
 
 
-def ward(vectors: DataFrame, k: int, most: int = FEATURES) -> tuple[DataFrame, DataFrame]:
+def ward(vectors: DataFrame, k: int, most: int = FEATURES, alike: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """((id, label) for k clusters, the tree (step, a, b, cost, size)) of Ward linkage over clustering features.
 
+    Equal vectors are one feature with their number from the start (Ward's linkage merges them first,
+    at no cost), so features are made of what differs; alike: counted(vectors), if it is there already.
     Numbers below the number of features are features, the step-th merge makes the step-th number
     after them. Rows take the label of the nearest feature. Up to `most` rows this is Ward's linkage
-    itself; beyond, merges within a feature are not in the tree. Labels are numbered by first feature.
+    itself but for those merges; beyond, merges within a feature are not in the tree. Labels are numbered by first feature.
     """
-    spark, rows = vectors.sparkSession, stored(vectors.select("id", "features"), "vectors")
-    size, centre = clustering_features(rows, most)
+    spark, rows = vectors.sparkSession, _kept(vectors)
+    size, centre = clustering_features(counted(rows) if alike is None else alike, most)
     order = np.lexsort(centre.T[::-1]) if len(size) else np.zeros(0, int)
     size, centre = size[order], centre[order]
     merges, n = ward_merges(size, centre) if len(size) else [], len(size)
@@ -589,24 +618,58 @@ def ward(vectors: DataFrame, k: int, most: int = FEATURES) -> tuple[DataFrame, D
     label = cut_tree(n, merges, k) if n else np.zeros(0, int)
 
     def assign(batches):
+        middle = centre.mean(0) if n else np.zeros(0)
         for b in batches:
-            x = lists(b.column(1)).astype(float)
-            near = [int(((centre - v) ** 2).sum(1).argmin()) for v in x]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(label[near].astype(np.int32))], ["id", "label"])
+            if b.num_rows:
+                x = lists(b.column(1)).astype(float) - middle
+                near = np.concatenate([_gaps(x[i : i + CHUNK], (centre - middle)[None])[:, 0].argmin(1) for i in range(0, len(x), CHUNK)])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(label[near].astype(np.int32))], ["id", "label"])
 
     return rows.mapInArrow(assign, f"id {rows.schema['id'].dataType.simpleString()}, label int"), tree
 
 
 def silhouette(labelled: DataFrame) -> float | None:
-    """Silhouette with squared Euclidean distances of (features, label); null unless two labels or more have two members each."""
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.functions import array_to_vector
+    """Silhouette with squared Euclidean distances of (features, label); null unless two labels or more have two members each.
+
+    Equal rows are counted first. A vector's mean distance to a cluster follows from the cluster's
+    size, sum and sum of squares, so two passes over the counted rows are enough.
+    """
+    rows = stored(labelled.groupBy(F.col("label").cast("double").alias("label"), "features").agg(F.count(F.lit(1)).alias("n")), "silhouette")
+    names = sorted(r["label"] for r in rows.select("label").distinct().collect())
+    shift = _middle(rows)
+    dim, k = len(shift), len(names)
+
+    def parts(batches):
+        for b in batches:
+            if b.num_rows:
+                yield np.searchsorted(names, b.column(0).to_numpy()), lists(b.column(1)).astype(float) - shift, _weights(b)
 
-    sizes = labelled.groupBy("label").count().agg(F.count(F.lit(1)).alias("k"), F.min("count").alias("least")).first()
-    if sizes["k"] < 2 or sizes["least"] < 2:
+    def moments(batches):
+        total = np.zeros((k, dim + 2))
+        for label, x, n in parts(batches):
+            np.add.at(total, label, n[:, None] * np.column_stack([np.ones(len(x)), (x**2).sum(1), x]))
+        yield 0, total.ravel()
+
+    found = tree_sum(rows, moments).get(0, np.zeros(0)).reshape(-1, dim + 2)
+    size, squares, middle = found[:, 0], found[:, 1], found[:, 2:]
+    if k < 2 or size.min() < 2:
+        discard(rows)
         return None
-    v = labelled.select(array_to_vector("features").alias("features"), F.col("label").cast("double").alias("prediction"))
-    return ClusteringEvaluator().evaluate(v)
+
+    def widths(batches):
+        total = np.zeros(2)
+        for label, x, n in parts(batches):
+            away, at = np.maximum((x**2).sum(1)[:, None] - 2 * x @ (middle / size[:, None]).T + squares / size, 0), np.arange(len(x))
+            own = away[at, label] * size[label] / (size[label] - 1)
+            away[at, label] = np.inf
+            near = away.min(1)
+            most = np.maximum(own, near)
+            total += [n @ np.where(most > 0, (near - own) / np.where(most > 0, most, 1), 0.0), n.sum()]
+        yield 0, total
+
+    got = tree_sum(rows, widths)[0]
+    discard(rows)
+    return float(got[0] / got[1])
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -661,20 +724,28 @@ def compare_methods(responses: DataFrame, vectors: DataFrame, labels: dict[str,
     """(method, metric, value): silhouette, BIC, size entropy, informativeness, coherence and noise share of each labeling.
 
     labels: method to (respondent_id, label), label null for noise; bics: method to BIC, for methods
-    that have a likelihood (null for others). The number of methods is small; each metric is one
-    distributed job per method.
+    that have a likelihood (null for others). Each respondent's answers are brought together once;
+    a method's labels meet one row for each respondent, and its metrics are made from the numbers of
+    those alike in label and answers.
     """
     spark, parts = responses.sparkSession, []
+    levels, names = LA._known(responses)
+    people, _ = LA._gathered(responses, ["respondent_id"], levels, names)
+    kind = responses.select("column_name", "code").schema
+    listed = [(i, *x) for i, x in enumerate(levels)] + [(len(levels) + q, c, None) for q, c in enumerate(names)]
+    places = spark.createDataFrame(listed, f"_place int, column_name {kind['column_name'].dataType.simpleString()}, code {kind['code'].dataType.simpleString()}")
     for method, frame in labels.items():
         known = frame.where("label is not null")
-        rows = responses.join(known, "respondent_id")
+        cells = stored(people.join(known, "respondent_id").groupBy("label", "_at").agg(F.count(F.lit(1)).alias("n")), "cells")
+        rows = stored(cells.select("label", "n", F.explode("_at").alias("_place")).groupBy("label", "_place").agg(F.sum("n").alias("n")).join(F.broadcast(places), "_place").select("label", "column_name", "code", "n"), "rows")
+        sizes = cells.groupBy("label").agg(F.sum("n").alias("size"))
         value = silhouette(vectors.join(known, vectors["id"] == known["respondent_id"]))
         score = spark.range(1).select(F.lit("silhouette").alias("metric"), F.lit(value).cast("double").alias("value"))
         for metric, df in (
             ("bic", spark.range(1).select(F.lit((bics or {}).get(method)).alias("bic"))),
             ("size_entropy", ST.size_entropy(known)),
-            ("informativeness", ST.informativeness(ST.hard_distribution(rows), "label").agg(F.avg("informativeness"))),
-            ("coherence", ST.coherence(rows)),
+            ("informativeness", ST.informativeness(ST.hard_distribution(rows, "n"), "label").agg(F.avg("informativeness"))),
+            ("coherence", ST.coherence(rows, "n", sizes)),
             ("noise_share", frame.agg(F.avg(F.col("label").isNull().cast("double")))),
         ):
             score = score.unionAll(df.select(F.lit(metric), F.col(df.columns[0]).cast("double")))

@@ -595,13 +595,14 @@ def methods(s: SparkSession, d: str, k: int = 3) -> tuple[DataFrame, dict[str, D
     r, space = V.responses(s, d), shared_space(s, d)
     parameters, priors, loglik = LA.fit_latent_classes(r, k, starts=10)
     named = lambda x: x.select(F.col("id").alias("respondent_id"), "label")
-    mixture, _, bic = CU.diagonal_mixture(space, k)
+    alike = CU.counted(space)
+    mixture, _, bic = CU.diagonal_mixture(space, k, alike=alike)
     labels = {
         "latent": LA.hard_labels(LA.posteriors(r, parameters, priors)).select("respondent_id", "label"),
         "k_modes": CU.k_modes(r, k).select("respondent_id", "label"),
-        "k_means": named(CU.k_means_labels(space, k)),
+        "k_means": named(CU.k_means_labels(space, k, alike=alike)),
         "mixture": named(mixture),
-        "ward": named(CU.ward(space, k)[0]),
+        "ward": named(CU.ward(space, k, alike=alike)[0]),
     }
     return space, {m: stored(x, m) for m, x in labels.items()}, {"latent": LA.information_criteria(r, k, loglik)["bic"], "mixture": bic}
 

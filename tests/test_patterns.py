@@ -6,8 +6,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessella.functions.text import keyed_uniform
+from tessella.operators import clusters as CU
 from tessella.operators import latent as LA
 from tessella.operators import running as RU
+from tessella.plans import views as V
 from tests.test_models import planted
 
 
@@ -74,3 +76,33 @@ def test_resample_draws_and_weighted_percentiles(spark):
     assert got == 0
     rows = spark.createDataFrame([("x", 1.0, 3), ("x", 5.0, 2), ("y", 2.0, 1)], "k string, v double, w int")
     assert {x["k"]: x["m"] for x in RU.exact_percentiles(rows, "k", "v", {"m": 0.75}, "w").collect()} == {"x": 5.0, "y": 2.0}
+
+
+def test_counted_vectors_stand_for_their_copies(spark):
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 4, (90, 2)) + 9.0 * (np.arange(90) % 3)[:, None]
+    v = spark.createDataFrame([(i, f.tolist()) for i, f in enumerate(x)], "id long, features array<double>")
+    alike = CU.counted(v)
+    n = len({tuple(f) for f in x})
+    assert alike.count() == n < 50 and alike.agg(F.sum("n")).first()[0] == 90
+    size, centre = CU.clustering_features(alike, 100)
+    assert len(size) == n and size.sum() == 90 and np.allclose(size @ centre, x.sum(0))
+    labels, tree = CU.ward(v, 3)
+    assert tree.count() == n - 1 and tree.agg(F.max("size")).first()[0] == 90
+    whole, _, bic = CU.diagonal_mixture(v, 3, starts=2, alike=alike)
+    for found in (labels, whole, CU.k_means_labels(v, 3, alike=alike)):
+        got = found.collect()
+        assert len(got) == 90 and len({(r["id"] % 3, r["label"]) for r in got}) == 3
+    centres, cost, shift = CU.k_means_starts(alike, 3, starts=3)
+    gaps = ((x[:, None, None] - shift - centres[None]) ** 2).sum(-1).min(2).sum(0)
+    assert np.allclose(gaps, cost) and np.allclose(shift, x.mean(0))
+
+
+def test_labelled_rows_equal_the_join_of_answers(spark):
+    d = "/root/testdata/sf0.001"
+    want = V.responses(spark, d).join(V.assignments(spark, d).select("respondent_id", "cluster"), "respondent_id")
+    got = V.labelled(spark, d, "cluster")
+    assert got.columns == want.columns and got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # answers become rows after the last join
+    assert plan.index("Expand") < plan.index("Join")
