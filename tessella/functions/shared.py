@@ -42,6 +42,11 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def tasks_for(rows: DataFrame, most: int = 250_000) -> int:
+    """How many tasks share rows so that each holds about `most` of them; no fewer than a shuffle has, which small tables keep."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // most))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -512,7 +512,7 @@ def _(s, d):
     path = folder(s)
     nested.write.json(path)
     back = s.read.json(path, schema=nested.schema)
-    flat = back.select("model", F.inline("runs")).select("model", "config.run_name", "config.reasoning", F.inline("results"))
+    flat = back.select("model", "config.run_name", "config.reasoning", F.inline("results"))
     return rounded(flat.select("model", "run_name", "reasoning", "question_id", "subpopulation", F.char_length("model_answer").cast("long").alias("answer_signs"), F.col("cross_entropy").cast("double").alias("cross_entropy")))
 
 

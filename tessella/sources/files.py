@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators.scoring import first_per_split
-from tessella.sources.ranges import read_by_name, read_quoted
+from tessella.sources.ranges import quoted_records, read_by_name, read_quoted
 from tessella.sources.versions import current, publish
 
 MAPPING = "id long, question string, sub_questions array<string>, column_names array<string>, word_response_types array<string>, numeric_response_types array<string>, survey_section string, question_type string, question_format string"
@@ -38,19 +38,22 @@ def read_templates(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
-def _from_path(df: DataFrame) -> DataFrame:
+def _from_path(at: Column) -> dict[str, Column]:
     """model and run from the two folders above a file; a folder called key=value gives its value."""
-    at = F.col("_metadata.file_path")
-    return df.select("*", F.regexp_extract(at, r"(?:[^/=]+=)?([^/]+)/[^/]+/[^/]+$", 1).alias("model"), F.regexp_extract(at, r"[^/]+/(?:[^/=]+=)?([^/]+)/[^/]+$", 1).alias("run"))
+    return {"model": F.regexp_extract(at, r"(?:[^/=]+=)?([^/]+)/[^/]+/[^/]+$", 1), "run": F.regexp_extract(at, r"[^/]+/(?:[^/=]+=)?([^/]+)/[^/]+$", 1)}
 
 
 def read_runs(spark: SparkSession, root: str, name: str = "config.json") -> DataFrame:
     """Every <model>/<run>/<name> under root, with model and run from the path."""
-    return _from_path(spark.read.json(f"{root}/*/*/{name}", schema=RUN, multiLine=True))
+    rows = spark.read.json(f"{root}/*/*/{name}", schema=RUN, multiLine=True)
+    return rows.select("*", *[c.alias(k) for k, c in _from_path(F.col("_metadata.file_path")).items()])
 
 
 def read_results(spark: SparkSession, root: str, schema: str, name: str = "per_question_results.csv") -> DataFrame:
-    return _from_path(spark.read.csv(f"{root}/*/*/{name}", header=True, schema=schema, multiLine=True, escape='"'))
+    """Every run's results below a header, columns by place as schema says, with model and run from the path; see ranges.quoted_records."""
+    records = quoted_records(spark, f"{root}/*/*/{name}", origin=_from_path(F.col("file"))).where("record > 0")
+    parsed = records.select(F.from_csv("text", schema, {"quote": '"', "escape": '"', "multiLine": "true"}).alias("x"), "model", "run")
+    return parsed.select("x.*", "model", "run")
 
 
 #: What stands for a column that a run's results lack.

@@ -8,16 +8,22 @@ from __future__ import annotations
 
 import csv
 import hashlib
+import re
+from urllib.parse import quote as percent
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.shared import stored
+from tessella.functions.shared import stored, tasks_for
 
 #: Bytes that are digested as one range, and ranges (or runs of them) that are joined at a time.
 RANGE, JOINED = 64 << 20, 1024
+#: Bytes that are cut into records as one range, and files that are read whole.
+RECORDS, PACKED = 16 << 20, r"\.(gz|bz2|zst|lz4)$"
 
 
 def with_origin(rows: DataFrame) -> DataFrame:
@@ -69,34 +75,117 @@ def attach_by_place(left: DataFrame, right: DataFrame, name: str = "place") -> D
 # ---------------------------------------------------------------- quoted records
 
 
-def quoted_records(spark: SparkSession, path: str, quote: str = '"') -> DataFrame:
+def _opened(path: str):
+    """The file system of a path as Spark lists it, and the path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(percent(path, safe="/:@="))
+
+
+def _file_ranges(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, bytes, size, i): files without their content, cut into ranges of size bytes, no larger than Spark's own; compressed ones are one range."""
+    most, unit = re.fullmatch(r"\s*(\d+)\s*([kmgt]?)b?\s*", spark.conf.get("spark.sql.files.maxPartitionBytes").lower()).groups()
+    size = min(RECORDS, int(most) << 10 * " kmgt".index(unit or " "))
+    files = spark.read.format("binaryFile").load(pattern).select("path", F.col("length").alias("bytes")).where("bytes > 0")
+    files = files.withColumn("size", F.when(F.col("path").rlike(PACKED), F.col("bytes")).otherwise(F.lit(size)).cast("long"))
+    return files.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("bytes") - 1) / F.col("size")))).alias("i"))
+
+
+def _pieces(path: str, size: int, i: int):
+    """The byte before range i (none before the first), its bytes, and what follows by the megabyte; a compressed file's bytes in pieces."""
+    where, name = _opened(path)
+    if re.search(PACKED, path):
+        yield b""
+        with where.open_input_stream(name, compression="detect") as f:
+            while piece := f.read(RECORDS):
+                yield piece
+        return
+    with where.open_input_file(name) as f:
+        f.seek(max(i * size - 1, 0))
+        yield f.read(1) if i else b""
+        yield f.read(size)
+        while piece := f.read(1 << 20):
+            yield piece
+
+
+def _records_from(path: str, size: int, i: int, inside: int, mark: int):
+    """Arrow arrays of the records that start in range i, without their line's end; the last is read to its end beyond the range."""
+    pieces = _pieces(path, size, i)
+    before = next(pieces)
+    # a range that starts within a record leaves what is left of it to the range where it started
+    skip = bool(before) and (bool(inside) or before != b"\n")
+    held = b""
+    for k, piece in enumerate(pieces):
+        beyond = k > 0 and not re.search(PACKED, path)
+        if beyond and (skip or not held):
+            return
+        bytes_ = np.frombuffer(piece, np.uint8)
+        lines = np.flatnonzero(bytes_ == 10)
+        quotes = np.flatnonzero(bytes_ == mark)
+        ends = lines[(inside + np.searchsorted(quotes, lines)) % 2 == 0] + 1
+        inside = (inside + len(quotes)) % 2
+        if not len(ends):
+            held = held if skip else held + piece
+            continue
+        if beyond:
+            yield pa.array([held + piece[: ends[0] - 1]], pa.binary())
+            return
+        edges = ends if skip else np.concatenate([[0], ends])
+        if held:
+            yield pa.array([held + piece[: ends[0] - 1]], pa.binary())
+            edges = ends
+        text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64).tobytes()), pa.py_buffer(piece)])
+        yield pc.binary_slice(text, 0, -1).cast(pa.binary())
+        skip, held = False, piece[ends[-1] :]
+    if held and not skip:
+        yield pa.array([held], pa.binary())
+
+
+def quoted_records(spark: SparkSession, path: str, quote: str = '"', origin: dict[str, Column] | None = None) -> DataFrame:
     """(file, record, text) of every record of quoted text files: record counts from 0 in each file.
 
-    A record ends at a line's end outside quotes. Each range's lines are read by one task, which
-    cannot know whether it starts inside quotes; so it counts the record starts for either case. The
-    parity of all quotes before a range then tells which case holds. Lines that are a whole record
-    pass; only the lines of records with line breaks meet by record. Blank lines outside quotes are
-    no records.
+    A record ends at a line's end outside quotes; a quote stands around a field or doubled within
+    it, nowhere else. Files are read by byte ranges, twice, as range_digests reads them. The first
+    time a range's quotes are counted: the parity of all before it tells whether it starts inside
+    quotes. The second time a range gives the records that start in it, so rows never meet; a
+    record must fit a task. Blank lines outside quotes are no records. origin: columns made of
+    `file`, once for each range.
     """
-    lines = with_origin(spark.read.text(path, lineSep="\n"))
-    odd = F.pmod(F.char_length("value") - F.char_length(F.replace("value", F.lit(quote))), F.lit(2))
-    order = Window.partitionBy("_file", "_block").orderBy("_seen")
-    a = lines.withColumn("_odd", odd).withColumn("_in", F.pmod(F.coalesce(F.sum("_odd").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), F.lit(2)))
-    full = F.trim(F.col("value"), F.lit(" \t\r")) != ""
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    starts = {f"_start{s}": F.count_if((F.col("_in") == s) & full).over(upto) for s in (0, 1)}
-    a = stored(a.withColumns(starts | {"_line": F.row_number().over(order)}).drop("_seen"), "lines")
-    sizes = a.groupBy(F.col("_file").alias("f"), F.col("_block").alias("b")).agg(F.sum("_odd").alias("odd"), F.max("_start0").alias("s0"), F.max("_start1").alias("s1"))
-    within = Window.partitionBy("f").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    case = sizes.withColumn("inside", F.pmod(F.coalesce(F.sum("odd").over(within), F.lit(0)), F.lit(2)))
-    case = case.withColumn("ahead", F.coalesce(F.sum(F.when(F.col("inside") == 0, F.col("s0")).otherwise(F.col("s1"))).over(within), F.lit(0)))
-    b = a.join(case.select("f", "b", "inside", "ahead"), (F.col("_file") == F.col("f")) & (F.col("_block") == F.col("b")))
-    outside = F.col("_in") == F.col("inside")
-    b = b.where(~outside | full).select(F.col("_file").alias("file"), (F.col("ahead") + F.when(F.col("inside") == 0, F.col("_start0")).otherwise(F.col("_start1")) - 1).alias("record"), "b", "_line", "value", (outside & (F.col("_odd") == 0)).alias("whole"))
-    parts = F.sort_array(F.collect_list(F.struct("b", "_line", "value")))
-    broken = b.where("not whole").groupBy("file", "record").agg(F.array_join(F.transform(parts, lambda x: x["value"]), "\n").alias("text"))
-    text = F.regexp_replace("text", "\r$", "").alias("text")
-    return b.where("whole").select("file", "record", F.col("value").alias("text")).unionByName(broken).select("file", "record", text)
+    origin, mark = origin or {}, ord(quote)
+
+    def count(batches):
+        for b in batches:
+            odd = []
+            for path, size, i in zip(*(b.column(k).to_pylist() for k in (0, 2, 3))):
+                pieces = _pieces(path, size, i)
+                next(pieces)
+                # a compressed file has no range after its first
+                odd.append(0 if size >= b.column(1)[len(odd)].as_py() else int(np.count_nonzero(np.frombuffer(next(pieces), np.uint8) == mark) % 2))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(odd, pa.int64())], ["path", "bytes", "size", "i", "odd"])
+
+    def cut(batches):
+        for b in batches:
+            for r, path, size, i, inside in zip(*(c.to_pylist() for c in b.columns)):
+                n = 0
+                for text in _records_from(path, size, i, inside, mark):
+                    text = text.view(pa.string())
+                    text = text.filter(pc.greater(pc.binary_length(pc.ascii_ltrim(text, characters=" \t\r")), 0))
+                    for at in range(0, len(text), 10_000):
+                        part = text.slice(at, 10_000)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), r)), pa.array(np.arange(n, n + len(part))), part], ["r", "n", "text"])
+                        n += len(part)
+
+    found = _file_ranges(spark, path)
+    width = tasks_for(found, 4)
+    counted = found.repartition(width, "path", "i").mapInArrow(count, "path string, bytes long, size long, i long, odd long")
+    within = Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.pmod(F.coalesce(F.sum("odd").over(within), F.lit(0)), F.lit(2)).alias("inside")
+    known = stored(counted.select("path", "size", "i", inside).select(F.monotonically_increasing_id().alias("r"), "path", "size", "i", "inside"), "ranges")
+    rows = stored(known.repartition(width, "path", "i").mapInArrow(cut, "r long, n long, text string"), "records")
+    starts = known.join(rows.groupBy("r").agg((F.max("n") + 1).alias("n")), "r", "left")
+    ahead = starts.select("r", F.col("path").alias("file"), F.coalesce(F.sum("n").over(within), F.lit(0)).alias("ahead")).withColumns(origin)
+    text = F.when(F.endswith("text", F.lit("\r")), F.regexp_replace("text", "\r$", "")).otherwise(F.col("text")).alias("text")
+    return rows.join(F.broadcast(ahead), "r").select("file", (F.col("ahead") + F.col("n")).alias("record"), *origin, text)
 
 
 def read_quoted(spark: SparkSession, path: str, sep: str = ";", place: bool = False) -> DataFrame:

@@ -305,3 +305,17 @@ def test_entry_runs(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_published_runs_in_parts(spark):
+    """A run's results are spread over rows of bounded size, in order; nothing of it is lost."""
+    text = "question_id question column_name question_format system_prompt_id sub_question model_reasoning categories model_distribution true_distribution kl_divergence cross_entropy model_answer expected_text subpopulation".split()
+    kind = "model string, run string, " + ", ".join(f"{c} string" for c in text)
+    row = lambda model, run, q, answer: (model, run, q, *[None] * 11, answer, None, None)
+    rows = [row("m", "r-cluster_0-1", f"q{i:03d}", "x" * i) for i in range(230)] + [row("m", "r2", "q1", None), row("m", "r3", None, "a"), row("m", "r3", "", "a"), row("m", "r4", "q1", "a")]
+    configs = [("m", r, "t", "d", r, None, None, None) for r in ("r-cluster_0-1", "r2", "r3", "r5")]
+    got = SC.published(spark.createDataFrame(configs, "model string, run string, target string, dataset string, run_name string, timestamp string, model_sha string, reasoning boolean"), spark.createDataFrame(rows, kind), size=20).collect()
+    assert {r["run"] for r in got} == {"r-cluster_0-1", "r2", "r3"} and all(len(r["results"]) <= 20 and r["config"]["run_name"] == r["run"] for r in got)
+    first = sorted((r for r in got if r["run"] == "r-cluster_0-1"), key=lambda r: r["part"])
+    assert [(x["question_id"], x["subpopulation"], len(x["model_answer"])) for r in first for x in r["results"]] == [(f"q{i:03d}", "cluster_0", min(i, 200)) for i in range(230)]
+    assert [[(x["question_id"], x["model_answer"]) for x in r["results"]] for r in got if r["run"] in ("r2", "r3")] in ([[("q1", "")], []], [[], [("q1", "")]])

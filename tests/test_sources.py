@@ -88,6 +88,19 @@ def test_one_quoted_text_over_many_ranges(spark, tmp_path, small_ranges):
         files.read_labels(spark, f"{tmp_path}/none.csv")
 
 
+def test_records_of_all_cuts(spark, tmp_path):
+    """Wherever a file is cut, each record comes from the range where it starts."""
+    data = 'a,b\n1,"x\n""y""\n\n"\n\n22,\xff\n"3\n",""\n4,"end\n'.encode("latin-1")
+    (tmp_path / "t.csv").write_bytes(data)
+    want = [b"a,b", b'1,"x\n""y""\n\n"', b"", b"22,\xff", b'"3\n",""', b'4,"end\n']
+    for size in range(1, len(data) + 2):
+        got = []
+        for i in range(-(-len(data) // size)):
+            inside = data[: i * size].count(b'"') % 2
+            got += [x for a in ranges._records_from(f"file:{tmp_path}/t.csv", size, i, inside, ord('"')) for x in a.to_pylist()]
+        assert got == want, size
+
+
 def test_survey_columns_attached_from_quoted_files(spark, tmp_path, small_ranges):
     """Codes in one table, labels with line breaks in another, of other files: row i belongs to row i."""
     for t in ("codes", "labels"):
