@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as TX
-from tessella.functions.shared import new_path, stored
+from tessella.functions.shared import new_path, stored, tasks_for
 from tessella.operators import cleaning as CL
 from tessella.operators import components as CO
 from tessella.operators import latent as LA
@@ -480,6 +480,12 @@ def _(s, d):
     return files.read_templates(s, path)
 
 
+def by_run(rows: DataFrame, key: F.Column) -> DataFrame:
+    """rows of a run together, those of a large table's runs cut by key into a file for every some millions of the table's rows."""
+    width = tasks_for(rows)
+    return rows.repartition(width, "model", "run", F.pmod(F.xxhash64(key), F.lit(1 + width // 16)))
+
+
 def stored_runs(s: SparkSession, d: str) -> tuple[str, str]:
     """Runs as folders of files: configs and results below <model>/<run>."""
     configs, results = folder(s), folder(s)
@@ -487,8 +493,8 @@ def stored_runs(s: SparkSession, d: str) -> tuple[str, str]:
     runs = e.groupBy("model", "run").agg(F.collect_set("split").alias("splits"), F.max("prompt").alias("p"))
     runs = runs.select("model", "run", F.to_json(F.struct(F.col("model").alias("target"), F.lit("d").alias("dataset"), F.sort_array("splits").alias("splits"), (F.col("p") == 3).alias("reasoning"), F.col("run").alias("run_name"))).alias("value"))
     runs.write.partitionBy("model", "run").text(configs)
-    rows = e.select("model", "run", F.when(F.col("event_id") % 8 != 0, F.concat(F.lit("q"), F.col("event_id").cast("string"))).alias("question_id"), F.when(F.col("event_id") % 3 != 0, F.col("subpopulation")).alias("subpopulation"), F.repeat(F.lit("ab,\n"), (F.col("event_id") % 100).cast("int")).alias("model_answer"), F.round("cross_entropy", 6).cast("string").alias("cross_entropy"))
-    rows.repartition("model", "run").write.partitionBy("model", "run").csv(results, header=True, quoteAll=True, escape='"', nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    rows = e.select("event_id", "model", "run", F.when(F.col("event_id") % 8 != 0, F.concat(F.lit("q"), F.col("event_id").cast("string"))).alias("question_id"), F.when(F.col("event_id") % 3 != 0, F.col("subpopulation")).alias("subpopulation"), F.repeat(F.lit("ab,\n"), (F.col("event_id") % 100).cast("int")).alias("model_answer"), F.round("cross_entropy", 6).cast("string").alias("cross_entropy"))
+    by_run(rows, F.col("event_id")).drop("event_id").write.partitionBy("model", "run").csv(results, header=True, quoteAll=True, escape='"', nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return configs, results
 
 

@@ -1,6 +1,7 @@
 """File sources and sinks by byte ranges and by key, against plain Python."""
 
 import csv
+import gzip
 import hashlib
 import io
 import os
@@ -88,6 +89,29 @@ def test_one_quoted_text_over_many_ranges(spark, tmp_path, small_ranges):
         files.read_labels(spark, f"{tmp_path}/none.csv")
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_results_are_read_by_ranges(spark, tmp_path, small_ranges, end):
+    """One run's large file and a packed one: records of any length come whole, from several tasks."""
+    rng, want = random.Random(end), []
+    for run, name in (("r1", "part-0.csv"), ("r 2%41", "part-0.csv"), ("r 2%41", "part-1.csv.gz")):
+        folder = tmp_path / "model=m" / f"run={run}"
+        folder.mkdir(parents=True, exist_ok=True)
+        out = io.StringIO()
+        w = csv.writer(out, lineterminator=end)
+        w.writerow(["question_id", "answer"])
+        for i in range(200):
+            text = "".join(rng.choice(["a", ",", '"', "\n", "\n\n", "é", "x" * 90]) for _ in range(rng.randint(1, 60 if i % 50 == 7 else 4)))
+            want.append(("m", run, i, text))
+            w.writerow([i, text])
+            if i % 9 == 0:
+                out.write("  " + end)
+        data = out.getvalue().encode()
+        (folder / name).write_bytes(gzip.compress(data) if name.endswith("gz") else data)
+    rows = files.read_results(spark, str(tmp_path), "question_id int, answer string", "part-*").withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r["model"], r["run"], r["question_id"], r["answer"]) for r in rows) == sorted(want)
+    assert len({r["task"] for r in rows if r["run"] == "r1"}) > 1
+
+
 def test_records_of_all_cuts(spark, tmp_path):
     """Wherever a file is cut, each record comes from the range where it starts."""
     data = 'a,b\n1,"x\n""y""\n\n"\n\n22,\xff\n"3\n",""\n4,"end\n'.encode("latin-1")
