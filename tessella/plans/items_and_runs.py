@@ -531,10 +531,10 @@ def differing_runs(s: SparkSession, d: str) -> tuple[str, str]:
     e.select("model", "run").distinct().select("model", "run", F.to_json(config).alias("value")).write.partitionBy("model", "run").text(configs)
     expected = F.when(F.col("event_id") % 2 == 0, "Yes; \nindeed ").otherwise("no")
     answer = F.when(F.col("is_correct"), F.concat(F.lit("  "), F.upper(expected), F.lit("\n"))).when(~F.col("is_correct"), "other")
-    rows = e.select("model", "run", expected.alias("expected_text"), answer.alias("model_answer"), F.col("prompt").alias("system_prompt_id"), "cross_entropy", "kl_divergence", F.when(F.col("event_id") % 5 != 0, F.col("subpopulation")).alias("subpopulation"), "split")
+    rows = e.select("event_id", "model", "run", expected.alias("expected_text"), answer.alias("model_answer"), F.col("prompt").alias("system_prompt_id"), "cross_entropy", "kl_divergence", F.when(F.col("event_id") % 5 != 0, F.col("subpopulation")).alias("subpopulation"), "split")
     for some, gone in ((run != "r2", ()), (run == "r2", ("subpopulation", "split"))):
         part = rows.where(some).drop(*gone)
-        part.repartition("model", "run").write.mode("append").partitionBy("model", "run").csv(results, header=True, quoteAll=True, escape='"', nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        by_run(part, F.col("event_id")).drop("event_id").write.mode("append").partitionBy("model", "run").csv(results, header=True, quoteAll=True, escape='"', nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return configs, results
 
 

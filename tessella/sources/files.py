@@ -63,9 +63,8 @@ METRIC_COLUMNS = ("subpopulation", "split", "system_prompt_id", "expected_text",
 
 def read_run_results(spark: SparkSession, root: str, name: str = "per_question_results.csv", columns: tuple[str, ...] = METRIC_COLUMNS) -> DataFrame:
     """model, run and the columns, as text, of every run's results, whichever of them a run has; absent ones as ABSENT says."""
-    rows = read_by_name(spark, f"{root}/*/*/{name}", columns, absent=ABSENT)
-    at = F.col("file")
-    return rows.select(F.regexp_extract(at, r"(?:[^/=]+=)?([^/]+)/[^/]+/[^/]+$", 1).alias("model"), F.regexp_extract(at, r"[^/]+/(?:[^/=]+=)?([^/]+)/[^/]+$", 1).alias("run"), *columns)
+    rows = read_by_name(spark, f"{root}/*/*/{name}", columns, absent=ABSENT, origin=_from_path(F.col("file")))
+    return rows.select("model", "run", *columns)
 
 
 def read_splits(spark: SparkSession, path: str, config: str, splits: tuple[str, ...] = ("train", "validation"), subpopulation: str | None = None, most: int | None = None, order: str = "id") -> DataFrame:

@@ -212,17 +212,19 @@ def read_quoted(spark: SparkSession, path: str, sep: str = ";", place: bool = Fa
     return parsed.join(ahead, F.col("file") == F.col("f")).select(*fields, (F.col("ahead") + F.col("record") - 1).cast("long").alias("place"))
 
 
-def read_by_name(spark: SparkSession, path: str, columns: tuple[str, ...], sep: str = ",", absent: dict[str, str] | None = None) -> DataFrame:
+def read_by_name(spark: SparkSession, path: str, columns: tuple[str, ...], sep: str = ",", absent: dict[str, str] | None = None, origin: dict[str, Column] | None = None) -> DataFrame:
     """`file` and the named columns, as text, of quoted text files whose headers may differ.
 
     A column stands where its file's header names it. In files without it, it is null or what absent
-    says; an empty field is null in any case. The distinct headers reach the driver.
+    says; an empty field is null in any case. The distinct headers reach the driver; a row for each
+    file goes to every task. origin: see quoted_records.
     """
-    records = stored(quoted_records(spark, path), "records")
+    origin = origin or {}
+    records = quoted_records(spark, path, origin=origin)
     heads = records.where("record = 0").select("file", F.col("text").alias("head"))
     kinds = {h["head"]: [c.removeprefix("\ufeff") for c in next(csv.reader([h["head"]], delimiter=sep))] for h in heads.select("head").distinct().collect()}
     width = max(map(len, kinds.values()), default=1)
-    parsed = records.where("record > 0").join(heads, "file").select("file", "head", F.from_csv("text", ", ".join(f"_{i} string" for i in range(width)), {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true"}).alias("x"))
+    parsed = records.where("record > 0").join(F.broadcast(heads), "file").select("file", *origin, "head", F.from_csv("text", ", ".join(f"_{i} string" for i in range(width)), {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true"}).alias("x"))
     out = []
     for c in columns:
         value = F.lit(None).cast("string")
@@ -230,7 +232,7 @@ def read_by_name(spark: SparkSession, path: str, columns: tuple[str, ...], sep:
             here = F.nullif(F.col(f"x._{names.index(c)}"), F.lit("")) if c in names else F.lit((absent or {}).get(c)).cast("string")
             value = F.when(F.col("head") == head, here).otherwise(value)
         out.append(value.alias(c))
-    return parsed.select("file", *out)
+    return parsed.select("file", *origin, *out)
 
 
 # ---------------------------------------------------------------- digests

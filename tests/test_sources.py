@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import cleaning as CL
+from tessella.operators import scoring as SC
 from tessella.sources import files, ranges, versions
 
 
@@ -125,6 +126,25 @@ def test_records_of_all_cuts(spark, tmp_path):
         assert got == want, size
 
 
+def test_named_columns_need_no_rows_moved(spark, tmp_path):
+    """Headers and chosen runs go to the tasks; results are not shuffled by their few files or runs."""
+    for run, head in (("r1", "model_answer,expected_text,split"), ("r2", "expected_text,model_answer")):
+        (tmp_path / "m" / run).mkdir(parents=True)
+        (tmp_path / "m" / run / "per_question_results.csv").write_text(head + "\n" + "".join(f'"y\n","y"{",train" if run == "r1" else ""}\n' for _ in range(5)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        results = files.read_run_results(spark, str(tmp_path))
+        configs = spark.createDataFrame([("m", r, "modal_response", False, r) for r in ("r1", "r2")], "model string, run string, dataset string, reasoning boolean, timestamp string")
+        out = SC.run_metrics(configs, results)
+        joins = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+        # ranges are numbered in a join of their own small table
+        assert joins and all("BroadcastHashJoin" in x or "[r#" in x for x in joins)
+        assert [(r["split"], r["n"], r["accuracy"]) for r in out.collect()] == [("validation", 5, 100.0)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_survey_columns_attached_from_quoted_files(spark, tmp_path, small_ranges):
     """Codes in one table, labels with line breaks in another, of other files: row i belongs to row i."""
     for t in ("codes", "labels"):
