@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions.shared import tasks_for
+
 #: Battery of each question.
 BATTERIES = {"Q1": 1, "Q2": 1, "Q3": 2, "Q4": 2, "Q5": 3, "Q6": 3, "Q7": 4, "Q8": 4}
 #: Number of listed options (codes 1..n) of each question; -1 is listed for Q1 only.
@@ -34,8 +36,17 @@ def _codes() -> dict[str, Column]:
     }
 
 
+def met(left: DataFrame, left_key: str, right: DataFrame, right_key: str, most: int = 250_000) -> tuple[DataFrame, DataFrame]:
+    """Both tables dealt by their keys among so many tasks that one joins about `most` rows of left, whatever the table's size."""
+    width = tasks_for(left, most)
+    if width <= int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return left, right
+    return left.repartition(width, left_key), right.repartition(width, right_key)
+
+
 def survey_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    orders, customers = met(read(spark, sf_dir, "orders"), "o_custkey", read(spark, sf_dir, "customer"), "c_custkey")
+    rows = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
     return rows.select("o_orderkey", "o_custkey", "o_orderdate", "c_nationkey", "c_mktsegment", "c_acctbal", *[c.cast("double").alias(q) for q, c in _codes().items()])
 
 
@@ -43,12 +54,13 @@ def labelled(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Responses with columns of the respondents' assignments.
 
     A respondent's row meets its assignment once, before its answers become rows, so the join moves
-    one row for each respondent and not one for each answer.
+    one row for each respondent and not one for each answer, dealt among tasks of bounded size.
     """
     from tessella.operators.cleaning import mask_missing, recode_sentinels
 
     given = assignments(spark, sf_dir).select(F.col("respondent_id").alias("_who"), *columns)
-    wide = survey_wide(spark, sf_dir).select("o_orderkey", *BATTERIES).join(given, F.col("o_orderkey") == F.col("_who"))
+    answers, given = met(survey_wide(spark, sf_dir).select("o_orderkey", *BATTERIES), "o_orderkey", given, "_who")
+    wide = answers.join(given, F.col("o_orderkey") == F.col("_who"))
     rows = wide.select(F.col("o_orderkey").alias("respondent_id"), *columns, *BATTERIES).unpivot(["respondent_id", *columns], list(BATTERIES), "column_name", "code")
     return rows.select("respondent_id", "column_name", mask_missing(recode_sentinels(F.col("code"))).alias("code"), *columns)
 

@@ -17,6 +17,7 @@ from tessella.operators import running as RU
 from tessella.operators import scoring as SC
 from tessella.operators import statistics as ST
 from tessella.plans import registry
+from tessella.plans import views as V
 from tessella.sources import files
 from tessella.streaming import monitor
 
@@ -319,3 +320,12 @@ def test_published_runs_in_parts(spark):
     first = sorted((r for r in got if r["run"] == "r-cluster_0-1"), key=lambda r: r["part"])
     assert [(x["question_id"], x["subpopulation"], len(x["model_answer"])) for r in first for x in r["results"]] == [(f"q{i:03d}", "cluster_0", min(i, 200)) for i in range(230)]
     assert [[(x["question_id"], x["model_answer"]) for x in r["results"]] for r in got if r["run"] in ("r2", "r3")] in ([[("q1", "")], []], [[], [("q1", "")]])
+
+
+def test_joins_of_respondents_grow_in_tasks(spark):
+    """A large table's join is dealt among more tasks, a small one's stays as it is."""
+    left, right = spark.range(1000).withColumnRenamed("id", "a"), spark.range(1000).withColumnRenamed("id", "b")
+    assert all(x is y for x, y in zip(V.met(left, "a", right, "b"), (left, right)))
+    a, b = V.met(left, "a", right, "b", most=50)
+    held = [len(x) for x in a.hint("merge").join(b, F.col("a") == F.col("b")).rdd.glom().collect()]
+    assert len(held) == 20 and sum(held) == 1000 and max(held) < 100
