@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.shared import tasks_for
-
 #: Battery of each question.
 BATTERIES = {"Q1": 1, "Q2": 1, "Q3": 2, "Q4": 2, "Q5": 3, "Q6": 3, "Q7": 4, "Q8": 4}
 #: Number of listed options (codes 1..n) of each question; -1 is listed for Q1 only.
@@ -36,11 +34,18 @@ def _codes() -> dict[str, Column]:
     }
 
 
-def met(left: DataFrame, left_key: str, right: DataFrame, right_key: str, most: int = 250_000) -> tuple[DataFrame, DataFrame]:
-    """Both tables dealt by their keys among so many tasks that one joins about `most` rows of left, whatever the table's size."""
-    width = tasks_for(left, most)
-    if width <= int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+def met(left: DataFrame, left_key: str, right: DataFrame, right_key: str, most: int = 250_000, widest: int = 200, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both tables dealt by their keys among so many tasks that one joins about `most` rows, whatever the table's size and the session's settings.
+
+    The number of tasks is fixed here, no fewer than a shuffle of the session has, since Spark merges the partitions of its
+    own joins into a few large ones. Above `widest` tasks each joins up to four times as many rows first: to write a wider
+    shuffle a task sorts all that it has read in memory. rows: how many rows the larger table has, where that is known.
+    """
+    rows = max(left.count(), right.count()) if rows is None else rows
+    if rows <= most:
         return left, right
+    fewest = max(left.sparkSession.sparkContext.defaultParallelism, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    width = max(fewest, min(-(-rows // most), widest), -(-rows // (4 * most)))
     return left.repartition(width, left_key), right.repartition(width, right_key)
 
 
@@ -59,7 +64,7 @@ def labelled(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     from tessella.operators.cleaning import mask_missing, recode_sentinels
 
     given = assignments(spark, sf_dir).select(F.col("respondent_id").alias("_who"), *columns)
-    answers, given = met(survey_wide(spark, sf_dir).select("o_orderkey", *BATTERIES), "o_orderkey", given, "_who")
+    answers, given = met(survey_wide(spark, sf_dir).select("o_orderkey", *BATTERIES), "o_orderkey", given, "_who", rows=given.count())
     wide = answers.join(given, F.col("o_orderkey") == F.col("_who"))
     rows = wide.select(F.col("o_orderkey").alias("respondent_id"), *columns, *BATTERIES).unpivot(["respondent_id", *columns], list(BATTERIES), "column_name", "code")
     return rows.select("respondent_id", "column_name", mask_missing(recode_sentinels(F.col("code"))).alias("code"), *columns)

@@ -329,3 +329,19 @@ def test_joins_of_respondents_grow_in_tasks(spark):
     a, b = V.met(left, "a", right, "b", most=50)
     held = [len(x) for x in a.hint("merge").join(b, F.col("a") == F.col("b")).rdd.glom().collect()]
     assert len(held) == 20 and sum(held) == 1000 and max(held) < 100
+
+
+def test_joins_of_respondents_keep_their_tasks_in_wide_sessions(spark):
+    """The tasks of a join hold alike many rows where the session has more partitions than the join needs, which Spark would merge."""
+    left, right = spark.range(1000).withColumnRenamed("id", "a"), spark.range(1000).withColumnRenamed("id", "b")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        a, b = V.met(left, "a", right, "b", most=50)
+        held = [len(x) for x in a.hint("merge").join(b, F.col("a") == F.col("b")).rdd.glom().collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(held) == 200 and sum(held) == 1000 and max(held) < 100
+    # the larger side counts, and tasks fill up before a shuffle gets wider than `widest`
+    widths = [V.met(left.limit(10), "a", right, "b", most=m, widest=30)[0].rdd.getNumPartitions() for m in (50, 20, 5)]
+    assert widths == [20, 30, 50]
