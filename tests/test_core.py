@@ -345,3 +345,24 @@ def test_joins_of_respondents_keep_their_tasks_in_wide_sessions(spark):
     # the larger side counts, and tasks fill up before a shuffle gets wider than `widest`
     widths = [V.met(left.limit(10), "a", right, "b", most=m, widest=30)[0].rdd.getNumPartitions() for m in (50, 20, 5)]
     assert widths == [20, 30, 50]
+
+
+@pytest.mark.parametrize("name", ["A06_hard_distribution", "A10_dominant_category"])
+def test_queries_deal_their_respondents(spark, monkeypatch, name):
+    """The query's joins are dealt where the session has more partitions than they need, and its rows stay the same."""
+    met, dealt, run = V.met, [], registry.queries()[name]
+    plain = sorted(run(spark, "/root/testdata/sf0.001").collect())
+
+    def small(left, left_key, right, right_key, **more):
+        got = met(left, left_key, right, right_key, **(more | {"most": 100}))
+        dealt.append(got[0] is not left and got[1] is not right)
+        return got
+
+    monkeypatch.setattr(V, "met", small)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    try:
+        assert sorted(run(spark, "/root/testdata/sf0.001").collect()) == plain
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert dealt == [True, True]
