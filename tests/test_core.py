@@ -347,7 +347,7 @@ def test_joins_of_respondents_keep_their_tasks_in_wide_sessions(spark):
     assert widths == [20, 30, 50]
 
 
-@pytest.mark.parametrize("name", ["A06_hard_distribution", "A10_dominant_category", "A13_composition", "J05_item_distributions"])
+@pytest.mark.parametrize("name", ["A06_hard_distribution", "A10_dominant_category", "A13_composition", "J05_item_distributions", "S09_nested_json"])
 def test_queries_deal_their_respondents(spark, monkeypatch, name):
     """The query's joins are dealt where the session has more partitions than they need, and its rows stay the same."""
     met, dealt, run = V.met, [], registry.queries()[name]
