@@ -17,6 +17,7 @@ from tessella.functions.shared import discard, stored
 from tessella.operators import latent as LA
 from tessella.operators import statistics as ST
 from tessella.operators.arrays import lists, tree_sum, uniform
+from tessella.operators.running import running
 
 #: Level of a missing answer where missing is a level of its own.
 MISSING = -5.0
@@ -496,15 +497,20 @@ def diagonal_mixture(vectors: DataFrame, k: int, rounds: int = 100, tolerance: f
 
 #: Clustering features that a task, a merge of tasks and the driver hold at most; rows that join them at a time.
 FEATURES, CHUNK = 512, 2048
+#: Clusters that the driver merges at the end; those that a task seeks the cheapest merge of, and how many of these at a time.
+LAST, ASKED, TILE = 2048, 8192, 256
 
 
-def ward_merges(size: np.ndarray, centre: np.ndarray) -> list[tuple[int, int, float]]:
+def ward_merges(size: np.ndarray, centre: np.ndarray, height: np.ndarray | None = None) -> list[tuple[int, int, float]]:
     """Ward's merges (a, b, cost) of features of these sizes and centres, by rising cost; the i-th merge makes number len(size) + i.
 
     Chains of nearest neighbours: two that are nearest to each other are merged wherever they are
-    found, since no later merge can come between them. The cost is the growth of the sum of squares.
+    found, since no later merge can come between them. The cost is the growth of the sum of squares;
+    rounding never lets it fall below that of a merge it builds on. height: the cost at which each
+    feature was made, 0 without.
     """
     n = len(size)
+    height = np.append(np.zeros(n) if height is None else height, np.zeros(max(n - 1, 0)))
     size, centre = np.append(size.astype(float), np.zeros(max(n - 1, 0))), np.vstack([centre, np.zeros((max(n - 1, 0), centre.shape[1]))])
     live = np.zeros(len(size), bool)
     live[:n] = True
@@ -523,7 +529,8 @@ def ward_merges(size: np.ndarray, centre: np.ndarray) -> list[tuple[int, int, fl
                 break
             chain.append(b)
         chain = chain[:-2]
-        found.append((a, b, float(cost.min()), new))
+        height[new] = max(cost.min(), height[a], height[b])
+        found.append((a, b, float(height[new]), new))
         size[new] = size[a] + size[b]
         centre[new] = (size[a] * centre[a] + size[b] * centre[b]) / size[new]
         live[[a, b]], live[new] = False, True
@@ -556,7 +563,7 @@ def _condensed(size: np.ndarray, centre: np.ndarray, most: int) -> tuple[np.ndar
 
 
 def clustering_features(vectors: DataFrame, most: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
-    """(sizes, centres) of at most `most` features that stand for all vectors.
+    """(sizes, centres) of at most `most` features that stand for all vectors: a summary, which no linkage here is made from.
 
     Each task takes its rows CHUNK at a time into its features and condenses them by Ward's own cost;
     the features of four tasks at a time are condensed again, until one set is left. No more than
@@ -597,35 +604,160 @@ def clustering_features(vectors: DataFrame, most: int = FEATURES) -> tuple[np.nd
     return _condensed(size, np.concatenate([np.array(r["centre"]) for r in rows]).reshape(len(size), -1), most)
 
 
-def ward(vectors: DataFrame, k: int, most: int = FEATURES, alike: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """((id, label) for k clusters, the tree (step, a, b, cost, size)) of Ward linkage over clustering features.
+def _cheapest(asked: DataFrame, live: DataFrame, middle: np.ndarray) -> DataFrame:
+    """(node, to): the cluster of live, a stored table, that each one asked for costs least to merge with.
 
-    Equal vectors are one feature with their number from the start (Ward's linkage merges them first,
-    at no cost), so features are made of what differs; alike: counted(vectors), if it is there already.
-    Numbers below the number of features are features, the step-th merge makes the step-th number
-    after them. Rows take the label of the nearest feature. Up to `most` rows this is Ward's linkage
-    itself but for those merges; beyond, merges within a feature are not in the tree. Labels are numbered by first feature.
+    Every task reads all clusters CHUNK at a time and holds about ASKED of those asked for. What comes
+    within rounding of the least by a matrix product is computed again from the differences, in a way
+    that gives both ends of a pair the same cost; ties go by a draw keyed by the pair.
     """
-    spark, rows = vectors.sparkSession, _kept(vectors)
-    size, centre = clustering_features(counted(rows) if alike is None else alike, most)
-    order = np.lexsort(centre.T[::-1]) if len(size) else np.zeros(0, int)
-    size, centre = size[order], centre[order]
-    merges, n = ward_merges(size, centre) if len(size) else [], len(size)
-    total = size.tolist()
-    for a, b, _ in merges:
-        total.append(total[a] + total[b])
-    tree = spark.createDataFrame([(i, a, b, c, int(round(total[n + i]))) for i, (a, b, c) in enumerate(merges)], "step int, a int, b int, cost double, size long")
-    label = cut_tree(n, merges, k) if n else np.zeros(0, int)
-
-    def assign(batches):
-        middle = centre.mean(0) if n else np.zeros(0)
-        for b in batches:
-            if b.num_rows:
-                x = lists(b.column(1)).astype(float) - middle
-                near = np.concatenate([_gaps(x[i : i + CHUNK], (centre - middle)[None])[:, 0].argmin(1) for i in range(0, len(x), CHUNK)])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(label[near].astype(np.int32))], ["id", "label"])
-
-    return rows.mapInArrow(assign, f"id {rows.schema['id'].dataType.simpleString()}, label int"), tree
+    files, n = live.inputFiles(), asked.count()
+    tasks = max(1, -(-n // ASKED), min(asked.sparkSession.sparkContext.defaultParallelism, -(-n // TILE)))
+    columns = ["node", "size", "centre"]
+
+    def search(batches):
+        from pyarrow import fs
+        from pyarrow import parquet as pq
+
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        node, size = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(2))
+        x = np.concatenate([lists(b.column(2)) for b in held]) - middle
+        squares, part, slack = (x**2).sum(1), 1 / size, 8 * (x.shape[1] + 4) * np.finfo(float).eps
+        least, drawn, pair, to = np.full(len(node), np.inf), np.ones(len(node)), np.zeros(len(node), np.int64), np.full(len(node), -1)
+        for path in files:
+            where, name = fs.FileSystem.from_uri(path)
+            with where.open_input_file(name) as f:
+                for b in pq.ParquetFile(f).iter_batches(CHUNK, columns=columns):
+                    other, weight, y = b.column(0).to_numpy(), b.column(1).to_numpy(), lists(b.column(2)) - middle
+                    near, share = (y**2).sum(1), 1 / weight
+                    for at in range(0, len(node), TILE):
+                        s = slice(at, at + TILE)
+                        unsure = slack * (squares[s] + near.max())
+                        low = (squares[s] - unsure)[:, None] + near - 2 * x[s] @ y.T
+                        low /= part[s, None] + share
+                        _, i, j = np.intersect1d(node[s], other, assume_unique=True, return_indices=True)
+                        low[i, j] = np.inf  # itself
+                        bound = np.minimum(low.min(1) + 2 * unsure / (part[s] + share.min()), least[s])
+                        row, col = np.nonzero((low <= bound[:, None]) & (low < np.inf))
+                        if not len(row):
+                            continue
+                        gaps = np.zeros(len(row))
+                        for d in range(x.shape[1]):
+                            gaps += (x[at + row, d] - y[col, d]) ** 2
+                        cost = size[at + row] * weight[col] / (size[at + row] + weight[col]) * gaps
+                        ends = np.minimum(node[at + row], other[col]) << 31 | np.maximum(node[at + row], other[col])
+                        draw = uniform(ends, 0)
+                        order = np.lexsort((ends, draw, cost, row))
+                        order = order[np.unique(row[order], return_index=True)[1]]
+                        r, c, u, e = at + row[order], cost[order], draw[order], ends[order]
+                        less = (c < least[r]) | (c == least[r]) & ((u < drawn[r]) | (u == drawn[r]) & (e < pair[r]))
+                        r = r[less]
+                        least[r], drawn[r], pair[r], to[r] = c[less], u[less], e[less], other[col[order]][less]
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(to)], ["node", "to"])
+
+    return asked.select(*columns).repartition(tasks, "node").mapInArrow(search, "node long, to long")
+
+
+def _numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """rows with their place from 0 in the order."""
+    places = running(rows.withColumn("_all", F.lit(0)), "_all", list(order), {})
+    return stored(places.select(*rows.columns, (F.col("i") - 1).alias(name)), "numbered")
+
+
+def _linkage(alike: DataFrame, most: int) -> tuple[DataFrame, DataFrame, int]:
+    """((features, n, node), (step, a, b, a_made, b_made, made, height, size), number of nodes): all of Ward's merges of counted vectors.
+
+    A vector is a node, numbered in the vectors' order. A cluster is named by its first node and the
+    round it was made in, -1 for a node alone; a < b are its parts' first nodes. In a round all pairs
+    that are each other's cheapest are merged, wherever they are: no merge elsewhere can come between
+    them, so in order of cost these are the merges of the cheapest pair of all, one after the other. What
+    is cheapest for a cluster stays so until that one is merged, so only new clusters and those
+    that pointed to a merged one are asked for again. Clusters are a table throughout; the driver takes over from
+    `most` of them, or from 16 times as many where a round merges less than a 64th.
+    """
+    spark, middle = alike.sparkSession, _middle(alike)
+    nodes = _numbered(alike.select("features", "n"), "node", "features")
+    live = stored(nodes.select("node", F.col("n").cast("double").alias("size"), F.col("features").alias("centre"), F.lit(0.0).alias("height"), F.lit(-1).alias("made"), F.lit(None).cast("long").alias("to")), "live")
+    n = left = live.count()
+    merges, turn, slow = [], 0, False
+    merge = "a long, b long, a_made int, b_made int, made int, height double, size double"
+    while left > max(16 * most if slow else most, 1):
+        near = stored(_cheapest(live.where("to is null"), live, middle), "near")
+        to = stored(live.where("to is not null").select("node", "to").unionAll(near), "to")
+        back = to.select(F.col("node").alias("b"), F.col("to").alias("a"))
+        pairs = stored(to.select(F.col("node").alias("a"), F.col("to").alias("b")).join(back, ["a", "b"]).where("a < b"), "pairs")
+        many = pairs.count()
+        if not many and near.count() == left:
+            raise ValueError("Ward's linkage needs finite vectors")
+        side = lambda k: live.select(*[F.col(c).alias(f"{k}_{c}") for c in ("size", "centre", "height", "made")], F.col("node").alias(k))
+        size = F.col("a_size") + F.col("b_size")
+        centre = F.zip_with("a_centre", "b_centre", lambda x, y: (F.col("a_size") * x + F.col("b_size") * y) / size)
+        cost = F.col("a_size") * F.col("b_size") / size * _distance(F.col("a_centre"), F.col("b_centre"))
+        joined = pairs.join(side("a"), "a").join(side("b"), "b")
+        made = stored(joined.select("a", "b", "a_made", "b_made", F.lit(turn).alias("made"), F.greatest(cost, "a_height", "b_height").alias("height"), size.alias("size"), centre.alias("centre")), "made")
+        gone = pairs.select(F.explode(F.array("a", "b")).alias("gone"))
+        kept = live.drop("to").join(to, "node").join(gone, F.col("node") == F.col("gone"), "left_anti").join(gone, F.col("to") == F.col("gone"), "left")
+        # where nothing was merged, what rounding left behind is asked for again
+        still = F.when(F.col("gone").isNull() & F.lit(many > 0), F.col("to"))
+        grown = made.select(F.col("a").alias("node"), "size", "centre", "height", "made", F.lit(None).cast("long").alias("to"))
+        after = stored(kept.select("node", "size", "centre", "height", "made", still.alias("to")).unionAll(grown), "live")
+        discard(live, near, to, pairs)
+        live, slow, left, turn = after, many * 64 < left, left - many, turn + 1
+        merges.append(made.select(*[c.split()[0] for c in merge.split(", ")]))
+    rest = live.drop("to").orderBy("node").toArrow().to_pylist()
+    size, height = (np.array([r[c] for r in rest], float) for c in ("size", "height"))
+    names, total, last = [(r["node"], r["made"]) for r in rest], size.tolist(), []
+    for a, b, cost in ward_merges(size, np.array([r["centre"] for r in rest]), height) if rest else []:
+        (a, a_made), (b, b_made), weight = *sorted((names[a], names[b])), total[a] + total[b]
+        last.append((a, b, a_made, b_made, turn + len(last), cost, weight))
+        names.append((a, turn + len(last) - 1))
+        total.append(weight)
+    found = spark.createDataFrame(last, merge)
+    for m in merges:
+        found = found.unionAll(m)
+    return nodes, _numbered(found, "step", "height", "made", "a"), n
+
+
+def _tree(steps: DataFrame, n: int) -> DataFrame:
+    """(step, a, b, cost, size): numbers below n are nodes, the step-th merge makes number n + step."""
+    by = lambda k: steps.select(F.col("a").alias(k), F.col("made").alias(f"{k}_made"), (F.lit(n) + F.col("step")).alias(f"{k}_number"))
+    parts = steps.join(by("a"), ["a", "a_made"], "left").join(by("b"), ["b", "b_made"], "left")
+    first, second = F.coalesce("a_number", "a"), F.coalesce("b_number", "b")
+    numbers = [F.least(first, second).cast("int").alias("a"), F.greatest(first, second).cast("int").alias("b")]
+    return parts.select(F.col("step").cast("int").alias("step"), *numbers, F.col("height").alias("cost"), F.round("size").cast("long").alias("size"))
+
+
+def ward_tree(vectors: DataFrame, most: int = LAST, alike: DataFrame | None = None) -> DataFrame:
+    """The tree (step, a, b, cost, size) of Ward's linkage, as ward() gives it."""
+    _, steps, n = _linkage(counted(_kept(vectors)) if alike is None else alike, most)
+    return _tree(steps, n)
+
+
+def ward(vectors: DataFrame, k: int, most: int = LAST, alike: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """((id, label) for k clusters, the tree (step, a, b, cost, size)) of Ward's linkage over all vectors.
+
+    Equal vectors are one node with their number from the start (Ward's linkage merges them first,
+    at no cost); alike: counted(vectors), if it is there already. Nodes are numbered in the vectors'
+    order, the step-th merge makes the step-th number after them; no merge of differing vectors is left
+    out at any size. Labels are those after all but the k - 1 dearest merges, numbered by first node.
+    most: clusters that the driver merges in the end; it does not change the linkage. Quadratic in
+    the number of differing vectors.
+    """
+    rows = _kept(vectors)
+    nodes, steps, n = _linkage(counted(rows) if alike is None else alike, most)
+    # a merge leads from the first node of one part to that of the other, which comes before it
+    made = steps.where(F.col("step") < n - k).select(F.col("b").alias("node"), F.col("a").alias("up"))
+    roots = stored(nodes.join(made, "node", "left").select("node", F.coalesce("up", "node").alias("root"), F.lit(True).alias("moved")), "roots")
+    while roots.where("moved").limit(1).count():
+        up = roots.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        after = stored(roots.join(up, "root").select("node", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), "roots")
+        discard(roots)
+        roots = after
+    number = roots.select("root").distinct().select("root", (F.row_number().over(Window.orderBy("root")) - 1).cast("int").alias("label"))
+    labels = nodes.join(roots, "node").join(number, "root").select("features", "label")
+    return rows.join(labels, "features").select("id", "label"), _tree(steps, n)
 
 
 def silhouette(labelled: DataFrame) -> float | None:

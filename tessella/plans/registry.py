@@ -627,7 +627,7 @@ def _(s, d):
 
 @query("M12_ward_tree")
 def _(s, d):
-    return rounded(CU.ward(shared_space(s, d), 3)[1])
+    return rounded(CU.ward_tree(shared_space(s, d)))
 
 
 VECTORS = "WITH v AS (SELECT vec_id id, CAST(embedding AS DOUBLE[]) f, label FROM embeddings), e AS (SELECT id, label, unnest(range(len(f))) d, unnest(f) x FROM v), "

@@ -216,6 +216,60 @@ def test_ward_over_condensed_features(spark, monkeypatch):
     assert costs == sorted(costs)
 
 
+def replayed(x, size, tree):
+    """The clusters left by rows (a, b, cost, size), each of which must be a cheapest merge of what is left."""
+    n = len(x)
+    centre, size, live = np.vstack([x, np.zeros((n - 1, x.shape[1]))]), np.append(size.astype(float), np.zeros(n - 1)), list(range(n))
+    cost = np.full((2 * n - 1, 2 * n - 1), np.inf)
+
+    def meet(i, others):
+        cost[i, others] = cost[others, i] = size[i] * size[others] / (size[i] + size[others]) * ((centre[others] - centre[i]) ** 2).sum(1)
+
+    for i in range(1, n):
+        meet(i, np.arange(i))
+    members, states = {i: {i} for i in range(n)}, []
+    for step, (a, b, c, m) in enumerate(tree):
+        new = n + step
+        assert a < b and abs(cost[a, b] - c) < 1e-9 and c < cost[np.ix_(live, live)].min() + 1e-9
+        size[new], members[new] = size[a] + size[b], members.pop(a) | members.pop(b)
+        centre[new] = (size[a] * centre[a] + size[b] * centre[b]) / size[new]
+        assert size[new] == m
+        live = [i for i in live if i not in (a, b)]
+        meet(new, np.array(live, int))
+        live.append(new)
+        states.append({min(v): v for v in members.values()})
+    return states
+
+
+def test_ward_leaves_no_merge_out(spark):
+    """More vectors than the driver merges, without ties and with many: a merge for each but one, each the cheapest left."""
+    rng = np.random.default_rng(6)
+    apart = rng.normal(size=(700, 3)) + 4 * (np.arange(700) % 5)[:, None]
+    tied = rng.permutation(np.stack(np.meshgrid(*[np.arange(9.0)] * 3), -1).reshape(-1, 3))[:640]
+    for x in (apart, np.vstack([tied, tied[:100]])):
+        v = spark.createDataFrame([(i, f.tolist()) for i, f in enumerate(x)], "id long, features array<double>").repartition(5)
+        nodes, size = np.unique(x, axis=0, return_counts=True)
+        labels, tree = CU.ward(v, 4, 60)
+        found = [(r["a"], r["b"], r["cost"], r["size"]) for r in tree.orderBy("step").collect()]
+        assert len(found) == len(nodes) - 1 > 512
+        want = {node: label for label, (_, group) in enumerate(sorted(replayed(nodes, size, found)[-4].items())) for node in group}
+        at = {tuple(f): i for i, f in enumerate(nodes)}
+        assert {r["id"]: r["label"] for r in labels.collect()} == {i: want[at[tuple(f)]] for i, f in enumerate(x)}
+        # all at once on the driver: the same linkage, but for ties
+        whole = [r["cost"] for r in CU.ward_tree(v).orderBy("step").collect()]
+        assert len(whole) == len(found) and (x is not apart or np.allclose(whole, [c for _, _, c, _ in found]))
+
+
+def test_merges_of_equal_cost_keep_their_order(spark):
+    """Corners of a simplex: all merges cost the same but for rounding, which must not put a merge before its parts."""
+    x = np.eye(60) / 3
+    merges = CU.ward_merges(np.ones(60), x)
+    assert [max(a, b) < 60 + i for i, (a, b, _) in enumerate(merges)] == [True] * 59
+    v = spark.createDataFrame([(i, f.tolist()) for i, f in enumerate(x)], "id long, features array<double>")
+    tree = [(r["a"], r["b"], r["cost"], r["size"]) for r in CU.ward_tree(v, 5).orderBy("step").collect()]
+    assert len(replayed(np.unique(x, axis=0), np.ones(60), tree)) == 59
+
+
 def test_many_levels_by_block_steps(spark):
     """More levels than a block is wide: the largest inertias within 1e-6 of the decomposition."""
     rng = random.Random(7)
